@@ -1,11 +1,12 @@
 """Queries of the training-data operators and, where SQL can express them, their oracles."""
 
-from . import chat, decontamination, sharding, token_counts
+from . import chat, decontamination, near_dedup, sharding, token_counts
 from .oracles import ORACLES
 
 
 def queries() -> dict:
     return {
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_decontamination": decontamination.op4_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op8_chat": chat.op8_chat,
