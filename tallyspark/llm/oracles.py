@@ -1,3 +1,53 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+SUBSTRING_DEDUP = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
+  FROM documents
+), placed AS (
+  SELECT doc_id, line, k,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         string_split_regex(trim(regexp_replace(translate(line, {_UPPER}, {_LOWER}), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), ' ') AS w
+  FROM lines
+), ranked AS (
+  SELECT doc_id, line, k, start, w,
+         len(w) >= 5 AND row_number() OVER (PARTITION BY CASE WHEN len(w) >= 5 THEN array_to_string(w, ' ') ELSE NULL END ORDER BY doc_id, start) > 1 AS gone
+  FROM placed
+)
+SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+       coalesce(sum(length(line)) FILTER (WHERE gone), 0)::BIGINT AS removed_chars,
+       coalesce(string_agg(start::BIGINT || '-' || (start + length(line))::BIGINT, ',' ORDER BY k) FILTER (WHERE gone), '') AS removed,
+       coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text
+FROM ranked GROUP BY doc_id
+"""
+
+DECONTAMINATION = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS win
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS k FROM i WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT n FROM windows
+), grams AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, sizes WHERE len(w) >= n)
+), hits AS (
+  SELECT g.doc_id, g.k, g.n, x.item_id FROM grams g JOIN windows x ON g.n = x.n AND g.win = x.win
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items t USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRING_DEDUP}

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-BLOCK = 1024
+BLOCK = 64
 PIECE = 20_000
 
 
