@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their oracles."""
 
-from . import chat, decontamination, fingerprints, near_dedup, sharding, substring_dedup, token_counts
+from . import chat, decontamination, fingerprints, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts
 from .oracles import ORACLES
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
         "op7_sharding": sharding.op7_sharding,
         "op8_chat": chat.op8_chat,
         "op9_token_counts": token_counts.op9_token_counts,

@@ -16,6 +16,7 @@ rows alike; texts of any length are encoded whole; extra columns pass through.
 
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 SLICE_BYTES = 4 << 20
-MOST_CACHED_WORDS = 400_000
+MOST_CACHED_WORDS = 800_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -100,7 +101,7 @@ class Model:
         self.unknown_score = float(self.scores[normal].min()) - 10.0
         self.raw = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k in (3, 5) else p.replace(SPACE, " ").encode() if k != UNKNOWN else " ⁇ ".encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.apart: dict[int, bool] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}  # ids as int32
 
     @staticmethod
     def hash_of(text: str) -> int:
@@ -139,9 +140,9 @@ class Model:
     def _text(self, i: int) -> str:
         return self.pieces[i] if i >= 0 else chr(-1 - i)
 
-    def encode_words(self, words: list[str]) -> dict[str, np.ndarray]:
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words; words of one length advance together."""
-        out: dict[str, np.ndarray] = {}
+        out: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
@@ -152,7 +153,7 @@ class Model:
                 out.update(zip(part, self._viterbi(part, n), strict=True))
         return out
 
-    def _viterbi(self, words: list[str], n: int) -> list[np.ndarray]:
+    def _viterbi(self, words: list[str], n: int) -> list[bytes]:
         m = len(words)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.int64)  # a row per position
         best = np.full((n + 1, m), -np.inf)
@@ -195,7 +196,7 @@ class Model:
         for rows, ids in steps:
             for r, i in zip(rows.tolist(), ids.tolist(), strict=True):
                 paths[r].append(i)
-        return [np.array(self._with_bytes(p[::-1]), np.int32) for p in paths]
+        return [array("i", self._with_bytes(p[::-1])).tobytes() for p in paths]
 
     def _with_bytes(self, path: list[int]) -> list[int]:
         if min(path) >= 0:
@@ -208,16 +209,14 @@ class Model:
     def _blanks(self, n: int) -> list[str]:
         return self.merged(SPACE * n)
 
-    def encode_unit(self, unit: str, core: np.ndarray | None) -> np.ndarray:
-        """A word with more than one leading blank: blanks only merge among themselves, after everything else."""
+    def encode_unit(self, unit: str, core: bytes) -> bytes:
+        """A word with several leading blanks from the ids of its one-blank form (empty: no word follows). Blanks only
+        merge among themselves, after everything else."""
+        ids = array("i", core)
         blanks = len(unit) - len(unit.lstrip(SPACE))
-        if core is not None:
-            takes = int(core[0]) >= 0 and self.lengths[core[0]] > 1
-            head = self._blanks(blanks - 1) if takes else self._blanks(blanks)
-            core = core if takes else core[1:]
-        else:
-            head, core = self._blanks(blanks), np.zeros(0, np.int32)
-        return np.concatenate([np.array([self.by_text[x] for x in head], np.int32), core])
+        takes = bool(ids) and self.lengths[ids[0]] > 1
+        head = self._blanks(blanks - takes)
+        return array("i", [self.by_text[x] for x in head]).tobytes() + (ids if takes else ids[1:]).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -249,11 +248,10 @@ def encode_batch(model: Model, texts: list[str]) -> list[np.ndarray]:
         plain = (fresh - blank - many.keys()) | set(many.values())
         known.update(model.encode_words(list(plain)))
         for w in blank:
-            known[w] = model.encode_unit(w, None)
+            known[w] = model.encode_unit(w, b"")
         for w, c in many.items():
             known[w] = model.encode_unit(w, known[c])
-    nothing = np.zeros(0, np.int32)
-    return [np.concatenate([known[w] for w in words]) if words else nothing for words in cut]
+    return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in cut]
 
 
 def decode_ids(model: Model, ids: np.ndarray) -> str:
