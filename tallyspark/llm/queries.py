@@ -1,11 +1,12 @@
 """Queries of the training-data operators and, where SQL can express them, their oracles."""
 
-from . import chat, decontamination, fingerprints, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts
+from . import chat, decontamination, fingerprints, near_dedup, quality, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
 from .oracles import ORACLES
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_decontamination": decontamination.op4_decontamination,
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op7_sharding": sharding.op7_sharding,
         "op8_chat": chat.op8_chat,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_quality": quality.op10_quality,
     }
 
 
