@@ -100,3 +100,8 @@ def legacy_refs(state: DataFrame) -> DataFrame:
 def legacy_pending(state: DataFrame) -> DataFrame:
     """(key, txn_id) of a legacy state document."""
     return state.select(F.explode("pending_map").alias("key", "txn_id"))
+
+
+def as_map(pairs: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """One row with all pairs as a map: for small keyed tables that go back to a caller whole."""
+    return pairs.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("entries"))

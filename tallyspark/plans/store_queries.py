@@ -165,3 +165,37 @@ def legacy_import(spark, sf_dir):
     state = n.select(F.map_from_entries(F.array(F.struct(F.concat(F.lit("k"), "n_nationkey"), "n_name"))).alias("pending_map"))
     have = n.where("n_nationkey < 5").select(F.concat(F.lit("k"), "n_nationkey").alias("key"), F.col("n_name").alias("txn_id"))
     return st.insert_ignore(have, st.legacy_pending(state), "key")
+
+
+@query("clock_load", "SELECT 66::INT AS counter, 'ABCDEF1234567890' AS client, 0::INT AS fresh_counter, '0000000000000000' AS fresh_client")
+def clock_load(spark, sf_dir):
+    n = td.table(spark, sf_dir, "nation")
+    stored = n.where("n_nationkey = 0").select(F.lit('{"timestamp":"2024-03-15T10:30:45.123Z-0042-ABCDEF1234567890"}').alias("clock"))
+    broken = stored.select(F.lit('{"timestamp":"notavalid"}').alias("clock"))
+    fresh = cl.load_clock(broken).select(F.col("counter").alias("fresh_counter"), F.col("client").alias("fresh_client"))
+    return cl.load_clock(stored).select("counter", "client").join(fresh)  # one row each
+
+
+@query("clock_save", "SELECT 'main' AS id, 'c' || max(o_orderkey) AS clock FROM orders")
+def clock_save(spark, sf_dir):
+    clocks = spark.createDataFrame([], "id string, clock string")
+    saves = td.table(spark, sf_dir, "orders").select(F.lit("main").alias("id"), F.concat(F.lit("c"), "o_orderkey").alias("clock"), F.col("o_orderkey").alias("ord"))
+    return st.upsert(clocks, st.latest(saves, "id", "ord"), "id")
+
+
+@query("pending_as_map", "SELECT count(*) AS keys, count(DISTINCT n_name) AS values_ FROM nation")
+def pending_as_map(spark, sf_dir):
+    n = td.table(spark, sf_dir, "nation")
+    m = st.as_map(n.select(F.concat(F.lit("k"), "n_nationkey").alias("key"), F.col("n_name").alias("value")))
+    return m.select(F.size("entries").cast("long").alias("keys"), F.size(F.array_distinct(F.map_values("entries"))).cast("long").alias("values_"))
+
+
+@query("account_by_id", f"WITH a AS ({td.BANK_ACCOUNTS_SQL}) SELECT id, bank_name FROM a WHERE id = 7")
+def account_by_id(spark, sf_dir):
+    return td.bank_accounts(spark, sf_dir).where("id = 7").select("id", "bank_name")
+
+
+@query("banks_of_country", "SELECT n_name AS bank FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' ORDER BY bank")
+def banks_of_country(spark, sf_dir):
+    n, r = td.table(spark, sf_dir, "nation"), td.table(spark, sf_dir, "region").where("r_name = 'EUROPE'")
+    return n.join(r, n.n_regionkey == r.r_regionkey, "left_semi").select(F.col("n_name").alias("bank")).orderBy("bank")
