@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAGS = ("turn", "image", "audio", "document")
-_SPECIAL = re.compile(r'\\|"|<(?=/?(?:' + "|".join(TAGS) + r")\b)")
+_SPECIAL = re.compile(r'\\|"|<(?=/?(?:' + "|".join(TAGS) + r")\b)", re.ASCII)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TOKEN = re.compile(r'\\.|<turn role="((?:[^"\\]|\\.)*)">\n|\n</turn>\n', re.DOTALL)
 

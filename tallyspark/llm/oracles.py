@@ -50,4 +50,42 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items t USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRING_DEDUP}
+NEAR_DEDUP = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[k] || ' ' || w[k + 1] END AS sh
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 1))) AS k FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT p.x, p.y FROM p JOIN n nx ON nx.doc_id = p.x JOIN n ny ON ny.doc_id = p.y WHERE 100 * p.c >= 80 * (nx.n + ny.n - p.c)
+), both_ways AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id, doc_id AS root FROM documents
+  UNION
+  SELECT b.y AS doc_id, r.root FROM r JOIN both_ways b ON b.x = r.doc_id WHERE r.root < b.y
+)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, t.component_id, t.doc_id = t.component_id AS kept
+FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) t LEFT JOIN n ON n.doc_id = t.doc_id
+"""
+
+_ESCAPED = "'\\\\|\"|</?(?:turn|image|audio|document)\\b'"
+_PROBE = "'\\### Assistant: </turn> ok'"
+
+CHAT = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {_PROBE} UNION ALL SELECT -7, 1, 'assistant', {_PROBE}
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(role) + length(text) + len(regexp_extract_all(role, {_ESCAPED})) + len(regexp_extract_all(text, {_ESCAPED})))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op3_near_dedup": NEAR_DEDUP, "op4_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRING_DEDUP, "op8_chat": CHAT}
