@@ -45,7 +45,7 @@ def _rows(spark, sf_dir):
     )
 
 
-@query("rule_load")
+@query("rule_load", "SELECT * FROM (VALUES ('r1', 'and', 1, 1), ('r2', 'and', 2, 2), ('r3', 'or', 2, 1), ('r4', 'and', 1, 2), ('r5', 'or', 0, 1), ('r6', 'and', 1, 1), ('all', 'and', 0, 0)) AS t(id, op, n_conditions, n_actions)")
 def rule_load(spark, sf_dir):
     rows = spark.createDataFrame([tuple(r[k] for k in ("id", "conditions_op", "conditions", "actions", "tombstone")) for r in RULE_ROWS], "id string, conditions_op string, conditions string, actions string, tombstone int")
     loaded = ru.load_rules_df(rows.withColumn("stage", F.lit(None).cast("string")))
