@@ -4,9 +4,9 @@ Every document becomes a set of 64-bit shingle hashes; documents with equal sets
 ``TREES`` label sequences of ``DEPTH`` min-hash bytes. Each tree orders all nodes by its sequence, a range partitioning
 deals the orders out evenly, and sorted neighbours, which share the longest common prefixes, are the candidates: the
 depth at which two nodes meet follows how crowded their region is. A bit sketch carried by the row discards
-neighbours that cannot be similar; the rest are confirmed on their full sets. Candidates of the first trees are
-confirmed first, which joins nearly every crowded region; after that only pairs between different components are.
-Links that hold become components.
+neighbours that cannot be similar; the rest are confirmed on their full sets, and links that hold become components.
+The forest grows in two steps: the first trees join nearly every crowded region, and rows of the other trees carry
+their component so far, so that these only name neighbours that are not joined yet.
 
 Rows at the edges of the range partitions (a few for each partition) are compared once more in one small step, so
 where a partition ends loses no neighbour.
@@ -33,11 +33,11 @@ TREES, DEPTH = 32, 12
 SKETCH_BYTES = 24
 NEIGHBOURS = 8
 LEAST_PREFIX = 2
-FIRST_TREES = 2
+FIRST_TREES = 4
 SLICE_BYTES = 2 << 20
 MOST_BROADCAST_IDS = 1_000_000
 NODE, KEY = 16, 1 + DEPTH
-ROW = KEY + NODE + SKETCH_BYTES
+ROW = KEY + NODE + SKETCH_BYTES + NODE
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,14 +135,14 @@ def _sets(width: int):
     return run, "node binary, shingles binary"
 
 
-def _tree_rows(trees: int):
+def _tree_rows(first: int, end: int, trees: int):
     schema = pa.schema([("row", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for node, sig in zip(batch.column("node").to_pylist(), batch.column("sig").to_pylist(), strict=True):
-                tail = node + sig[trees * DEPTH :]
-                yield pa.record_batch([pa.array([bytes((t,)) + sig[t * DEPTH : (t + 1) * DEPTH] + tail for t in range(trees)], pa.binary())], schema=schema)
+            for node, sig, root in zip(*(batch.column(c).to_pylist() for c in ("node", "sig", "root")), strict=True):
+                tail = node + sig[trees * DEPTH :] + (root or node)
+                yield pa.record_batch([pa.array([bytes((t,)) + sig[t * DEPTH : (t + 1) * DEPTH] + tail for t in range(first, end)], pa.binary())], schema=schema)
 
     return run, "row binary"
 
@@ -153,8 +153,8 @@ def _least_agreement(threshold: float) -> int:
     return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
 
 
-_FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("tree", pa.int32()), ("edge", pa.binary())])
-_FOUND_DDL = "a binary, b binary, tree int, edge binary"
+_FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("edge", pa.binary())])
+_FOUND_DDL = "a binary, b binary, edge binary"
 
 
 def _sure_agreement(threshold: float) -> int:
@@ -163,8 +163,8 @@ def _sure_agreement(threshold: float) -> int:
     return int(n * p + (n * p * (1 - p)) ** 0.5)
 
 
-def _candidates(m: np.ndarray, first: int, least: int, sure: int) -> tuple[list[bytes], list[bytes], np.ndarray]:
-    """Neighbouring rows of the sorted matrix ``m``; the later one of a pair is at ``first`` or after.
+def _candidates(m: np.ndarray, first: int, least: int, sure: int) -> tuple[list[bytes], list[bytes]]:
+    """Neighbouring rows of the sorted matrix ``m`` with different roots; the later one of a pair is at ``first`` or after.
 
     Beyond the next row, a pair is only named unless the rows between chain it by links that are as good as sure.
     """
@@ -176,7 +176,8 @@ def _candidates(m: np.ndarray, first: int, least: int, sure: int) -> tuple[list[
         one, two = m[:-step], m[step:]
         prefix = (one[:, : 1 + LEAST_PREFIX] == two[:, : 1 + LEAST_PREFIX]).all(axis=1)
         i = np.flatnonzero(prefix)
-        agree = SKETCH_BYTES * 8 - np.bitwise_count(one[i, KEY + NODE :] ^ two[i, KEY + NODE :]).sum(axis=1, dtype=np.int64)
+        i = i[(one[i, ROW - NODE :] != two[i, ROW - NODE :]).any(axis=1)]
+        agree = SKETCH_BYTES * 8 - np.bitwise_count(one[i, KEY + NODE : ROW - NODE] ^ two[i, KEY + NODE : ROW - NODE]).sum(axis=1, dtype=np.int64)
         if step == 1:
             chain[i[agree >= sure] + 1] = True
         i = i[agree >= least]
@@ -188,7 +189,7 @@ def _candidates(m: np.ndarray, first: int, least: int, sure: int) -> tuple[list[
     ids = m[:, KEY : KEY + NODE].tobytes()
     left = [ids[i * NODE : (i + 1) * NODE] for i in found[:, 0]]
     right = [ids[i * NODE : (i + 1) * NODE] for i in found[:, 1]]
-    return left, right, m[found[:, 0], 0].astype(np.int32)
+    return left, right
 
 
 def _neighbours(least: int, sure: int, with_edges: bool):
@@ -199,10 +200,10 @@ def _neighbours(least: int, sure: int, with_edges: bool):
                 continue
             new = np.frombuffer(b"".join(batch.column("row").to_pylist()), np.uint8).reshape(-1, ROW)
             m = np.concatenate([last, new])
-            a, b, tree = _candidates(m, len(last), least, sure)
+            a, b = _candidates(m, len(last), least, sure)
             low = [min(x) for x in zip(a, b, strict=True)]
             high = [max(x) for x in zip(a, b, strict=True)]
-            yield pa.record_batch([pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(tree, pa.int32()), pa.nulls(len(low), pa.binary())], schema=_FOUND)
+            yield pa.record_batch([pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.nulls(len(low), pa.binary())], schema=_FOUND)
             if with_edges and not begun:
                 yield _edges(new[:NEIGHBOURS])
             begun, last = True, m[-NEIGHBOURS:]
@@ -214,19 +215,19 @@ def _neighbours(least: int, sure: int, with_edges: bool):
 
 def _edges(rows: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(len(rows), pa.binary())
-    return pa.record_batch([none, none, pa.nulls(len(rows), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], schema=_FOUND)
+    return pa.record_batch([none, none, pa.array([r.tobytes() for r in rows], pa.binary())], schema=_FOUND)
 
 
-def candidate_pairs(nodes: DataFrame, threshold: float, trees: int = TREES) -> DataFrame:
-    """``nodes``: node and sig. Distinct pairs (a < b) of neighbours in some tree's order, with the first such tree."""
-    run, ddl = _tree_rows(trees)
+def candidate_pairs(nodes: DataFrame, threshold: float, first: int, end: int, trees: int = TREES) -> DataFrame:
+    """``nodes``: node, sig and root (null: itself). Distinct pairs (a < b) of neighbours with different roots in the
+    orders of trees ``first`` to ``end`` - 1."""
+    run, ddl = _tree_rows(first, end, trees)
     bounds = _least_agreement(threshold), _sure_agreement(threshold)
     rows = nodes.mapInArrow(run, ddl).repartitionByRange("row").sortWithinPartitions("row")
     found = materialize(rows.mapInArrow(_neighbours(*bounds, True), _FOUND_DDL), "forest")
     edges = found.where("edge IS NOT NULL").select(F.col("edge").alias("row")).distinct().coalesce(1).sortWithinPartitions("row")
     across = edges.mapInArrow(_neighbours(*bounds, False), _FOUND_DDL)
-    both = found.where("edge IS NULL").select("a", "b", "tree").union(across.select("a", "b", "tree"))
-    return both.where("a <> b").groupBy("a", "b").agg(F.min("tree").alias("tree"))
+    return found.where("edge IS NULL").select("a", "b").union(across.select("a", "b")).where("a <> b").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -252,29 +253,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     run, ddl = _signatures(width, trees)
     signed = materialize(plain.mapInArrow(run, ddl), "signatures")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.min("id").alias("id"))
-    pairs = materialize(candidate_pairs(nodes.select("node", "sig"), percent / 100, trees), "candidates")
-
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    # a node's document: its smallest id; ids alone go along, a set's text is read where it lies
-    wanted = materialize(signed.where("node IS NOT NULL").select("node", "id").groupBy("node").agg(F.min("id").alias("id")).join(ends, "node", "left_semi").select("id").distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
-    run, ddl = _sets(width)
-    texts = plain.join(wanted.withColumnRenamed("id", "want"), F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    sets = materialize(texts.select("text").mapInArrow(run, ddl).dropDuplicates(["node"]), "sets")
-
-    first = materialize(_confirmed(pairs.where(F.col("tree") < FIRST_TREES), sets, percent), "links")
-    roots = connected_components(first)
-    of = lambda end: F.coalesce(F.col(f"{end}_root"), F.col(end))
-    rest = (
-        pairs.where(F.col("tree") >= FIRST_TREES)
-        .join(roots.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left")
-        .join(roots.select(F.col("node").alias("b"), F.col("root").alias("b_root")), "b", "left")
-        .where(of("a") != of("b"))
-        .select("a", "b")
-    )
-    links = first.union(materialize(_confirmed(rest, sets, percent), "links"))
+    named = signed.where("node IS NOT NULL")
+    nodes = named.groupBy("node").agg(F.first("sig").alias("sig"))
+
+    def confirmed(roots: DataFrame | None, first: int, end: int) -> DataFrame:
+        rooted = nodes.withColumn("root", F.lit(None).cast("binary")) if roots is None else nodes.join(roots, "node", "left")
+        pairs = materialize(candidate_pairs(rooted, percent / 100, first, end, trees), "candidates")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        # a node's document is that of its smallest id; ids alone go along, its text is read where it lies
+        wanted = materialize(named.select("node", "id").groupBy("node").agg(F.min("id").alias("want")).join(ends, "node", "left_semi").select("want").distinct(), "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
+        run, ddl = _sets(width)
+        texts = plain.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi")
+        sets = materialize(texts.select("text").mapInArrow(run, ddl).dropDuplicates(["node"]), "sets")
+        return materialize(_confirmed(pairs, sets, percent), "links")
+
+    early = min(FIRST_TREES, trees)
+    links = confirmed(None, 0, early)
     roots = connected_components(links)
+    if early < trees:
+        roots = connected_components(links.union(confirmed(roots, early, trees)))
 
     member = signed.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = member.where("root IS NOT NULL")
