@@ -2,7 +2,9 @@
 
 Labels say toxic or not; the grade of a toxic row comes from the same labelled sample: the words that occur far more
 often in its toxic rows are counted in each toxic row, and the counts' terciles are grades 1 to 3 (0: not toxic). One
-weight vector is shared by the three thresholds. Words are screened by how their counts go with the label. The fit uses at most ``MOST_LABELLED`` labelled rows, those whose ids
+weight vector is shared by the three thresholds. Words are screened by how their counts go with the label. A document counts as
+toxic from the score on that parts the sample best, a clean row above it weighing as FALSE_ALARM toxic ones. The fit
+uses at most ``MOST_LABELLED`` labelled rows, those whose ids
 hash lowest; every document is scored on its whole text.
 
 Defined results: null and empty texts score by the thresholds alone; null labels or ids are not used for fitting; an
@@ -10,6 +12,8 @@ id labelled twice counts once, toxic if any row says so; with no toxic label eve
 rows score alike; an empty table gives no rows; extra columns pass through.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +24,7 @@ from .linear import Ordinal, View, collected_features, fit_ordinal, screened, sl
 MOST_LABELLED = 40_000
 GRADES = 4
 MARKED_ODDS, MARKED_ROWS = 8.0, 5
+FALSE_ALARM = 5.0
 VIEW = View(words=True)
 
 
@@ -39,17 +44,41 @@ def grades_of(toxic: np.ndarray, rows: np.ndarray, slots: np.ndarray, values: np
     return grade
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Ordinal:
+@dataclass
+class Severity:
+    """The ordinal model, and the score from which on a document counts as toxic."""
+
+    model: Ordinal
+    cut: float
+
+
+def best_cut(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """The score that parts toxic rows from clean ones best, a clean row above it weighing as FALSE_ALARM toxic ones."""
+    if not toxic.any():
+        return float("inf")
+    order = np.argsort(-scores, kind="stable")
+    s, gain = scores[order], np.cumsum(np.where(toxic[order], 1.0, -FALSE_ALARM))
+    last = np.append(s[1:] != s[:-1], True)  # rows of one score stand on one side
+    k = int(np.argmax(np.where(last, gain, -np.inf)))
+    if gain[k] <= 0:
+        return float("inf")
+    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Severity:
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = smallest_by_hash(known, most)
     told = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     told, rows, slots, values = collected_features(told, VIEW, screened(told, VIEW, "toxic"))
-    return fit_ordinal(rows, slots, values, grades_of(told["toxic"].to_numpy(), rows, slots, values), GRADES)
+    toxic = told["toxic"].to_numpy().astype(bool)
+    model = fit_ordinal(rows, slots, values, grades_of(toxic, rows, slots, values), GRADES)
+    return Severity(model, best_cut(model.scores(rows, slots, values, len(toxic)), toxic))
 
 
-def severity(docs: DataFrame, model: Ordinal, text_col: str = "text", out: str = "severity") -> DataFrame:
-    """``docs`` with struct ``out``: p (of at least grade 1, 2, 3) and the expected grade."""
-    kind = pa.struct([("p", pa.list_(pa.float64())), ("expected", pa.float64())])
+def severity(docs: DataFrame, fitted: Severity, text_col: str = "text", out: str = "severity") -> DataFrame:
+    """``docs`` with struct ``out``: p (of at least grade 1, 2, 3), the expected grade and whether it is toxic."""
+    kind = pa.struct([("p", pa.list_(pa.float64())), ("expected", pa.float64()), ("toxic", pa.bool_())])
+    model, cut = fitted.model, fitted.cut
     used = np.flatnonzero(model.weights)
     sent = docs.sparkSession.sparkContext.broadcast((used, model.weights[used], model.thresholds, len(model.weights)))
 
@@ -60,11 +89,11 @@ def severity(docs: DataFrame, model: Ordinal, text_col: str = "text", out: str =
         m, found = Ordinal(full, thresholds), []
         for part in slices(texts):
             r, s, v = VIEW.features(part, full != 0)
-            p = m.at_least(m.scores(r, s, v, len(part)))
-            found.extend({"p": row, "expected": float(row.sum())} for row in p)
+            scores = m.scores(r, s, v, len(part))
+            found.extend({"p": row, "expected": float(row.sum()), "toxic": bool(z >= cut)} for row, z in zip(m.at_least(scores), scores, strict=True))
         return pa.array(found, kind)
 
-    return docs.withColumn(out, F.arrow_udf(score, "struct<p:array<double>,expected:double>")(F.col(text_col).cast("string")))
+    return docs.withColumn(out, F.arrow_udf(score, "struct<p:array<double>,expected:double,toxic:boolean>")(F.col(text_col).cast("string")))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -72,5 +101,5 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     scored = severity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), out="s")
     p = [F.round(F.element_at("s.p", k), 6) for k in (1, 2, 3)]
     return scored.select(
-        "doc_id", p[0].alias("p_toxic"), p[1].alias("p_severe"), p[2].alias("p_extreme"), F.round("s.expected", 6).alias("expected_severity"), (p[0] >= 0.5).alias("toxic"),
+        "doc_id", p[0].alias("p_toxic"), p[1].alias("p_severe"), p[2].alias("p_extreme"), F.round("s.expected", 6).alias("expected_severity"), F.col("s.toxic").alias("toxic"),
     )

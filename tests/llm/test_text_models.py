@@ -133,12 +133,19 @@ def test_toxicity_on_held_out_rows(spark):
     train = spark.createDataFrame([*labels[:600], (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs(spark, rows), train)
     got = {x["doc_id"]: x["severity"] for x in toxicity.severity(docs(spark, [*rows, (9000, None), (9001, "")]), model).collect()}
-    said = [(got[k]["p"][0] >= 0.5) == bool(t) for k, _, t in labels[600:]]
-    assert sum(said) / len(said) > 0.97 and got[9000] == got[9001] and got[9000]["p"][0] < 0.5
+    said = [got[k]["toxic"] == bool(t) for k, _, t in labels[600:]]
+    assert sum(said) / len(said) > 0.97 and got[9000] == got[9001] and not got[9000]["toxic"]
     assert all(abs(sum(x["p"]) - x["expected"]) < 1e-9 for x in got.values())
     assert toxicity.severity(docs(spark, []), model).count() == 0
 
 
+def test_the_cut_parts_scores_and_keeps_ties_together():
+    cut = toxicity.best_cut(np.array([0.0, 0.0, 1.0, 2.0, 2.0]), np.array([False, False, True, True, True]))
+    assert cut == 0.5
+    assert toxicity.best_cut(np.array([1.0, 1.0]), np.array([True, False])) == float("inf")
+    assert toxicity.best_cut(np.zeros(0), np.zeros(0, bool)) == float("inf")
+
+
 def test_toxicity_without_toxic_labels(spark):
     rows, labels = corpus(40, 2)
     for some in ([(k, q, 0) for k, q, _ in labels], []):
