@@ -31,8 +31,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 MOST_CACHED_WORDS = 800_000
+TABLE_BITS, MAYBE_BITS = 20, 20
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -101,6 +102,9 @@ class Model:
         self.unknown_score = float(self.scores[normal].min()) - 10.0
         self.raw = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k in (3, 5) else p.replace(SPACE, " ").encode() if k != UNKNOWN else " ⁇ ".encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.apart: dict[int, bool] = {}
+        self.seen, self.seen_apart = np.full(1 << TABLE_BITS, -1), np.zeros(1 << TABLE_BITS, bool)
+        self.maybe = np.zeros(1 << MAYBE_BITS, bool)  # a piece's hash may end in these bits
+        self.maybe[(self.hashes & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)] = True
         self.words: dict[str, bytes] = {}  # ids as int32
 
     @staticmethod
@@ -125,17 +129,28 @@ class Model:
         return parts
 
     def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether each pair of pieces is what merging their joined text gives. Ids of -1 - c are lone characters."""
+        """Whether each pair of pieces is what merging their joined text gives. Ids of -1 - c are lone characters.
+
+        A direct-mapped table answers for pairs seen before; a pair it has lost is looked up, or worked out, again.
+        """
         keys = (left.astype(np.int64) + (1 << 21)) * (1 << 22) + (right.astype(np.int64) + (1 << 21))
-        distinct, back = np.unique(keys, return_inverse=True)
-        verdict = np.empty(len(distinct), bool)
-        for n, k in enumerate(distinct.tolist()):
-            known = self.apart.get(k)
-            if known is None:
-                a, b = self._text((k >> 22) - (1 << 21)), self._text((k & ((1 << 22) - 1)) - (1 << 21))
-                known = self.apart[k] = self.merged(a + b) == [a, b]
-            verdict[n] = known
-        return verdict[back]
+        with np.errstate(over="ignore"):
+            at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        verdict = self.seen_apart[at]
+        lost = np.flatnonzero(self.seen[at] != keys)
+        if len(lost):
+            distinct, back = np.unique(keys[lost], return_inverse=True)
+            said = np.empty(len(distinct), bool)
+            for n, k in enumerate(distinct.tolist()):
+                known = self.apart.get(k)
+                if known is None:
+                    a, b = self._text((k >> 22) - (1 << 21)), self._text((k & ((1 << 22) - 1)) - (1 << 21))
+                    known = self.apart[k] = self.merged(a + b) == [a, b]
+                said[n] = known
+            verdict[lost] = said[back]
+            self.seen[at[lost]], self.seen_apart[at[lost]] = keys[lost], verdict[lost]
+            self.seen[at[lost[self.seen[at[lost]] != keys[lost]]]] = -1  # two new pairs in one place: neither stays
+        return verdict
 
     def _text(self, i: int) -> str:
         return self.pieces[i] if i >= 0 else chr(-1 - i)
@@ -161,31 +176,32 @@ class Model:
         piece = np.zeros((n + 1, m), np.int64)  # last piece of the best path to each position; -1 - c: a character without a piece
         length = np.zeros((n + 1, m), np.int64)
         rolling = np.zeros((min(self.longest, n), m), np.uint64)  # rolling[k]: hash of the k + 1 characters that end here
+        low = np.uint64((1 << MAYBE_BITS) - 1)
         for end in range(1, n + 1):
             c = chars[end - 1].astype(np.uint64) + np.uint64(1)
             with np.errstate(over="ignore"):
                 rolling[1:] = rolling[:-1] * np.uint64(0x9E3779B97F4A7C15) + c
             rolling[0] = c
             for size in range(1, min(self.longest, end, len(rolling)) + 1):
-                at = np.searchsorted(self.hashes, rolling[size - 1])
-                at[at == len(self.hashes)] = 0
-                found = self.hashes[at] == rolling[size - 1]
-                ids = np.where(found, self.ids[at], -1 - chars[end - 1])
-                if size > 1 and not found.any():
+                start, h = end - size, rolling[size - 1]
+                i = np.flatnonzero(self.maybe[(h & low).astype(np.int64)] & (best[start] > -np.inf)) if size > 1 else np.flatnonzero(best[start] > -np.inf)
+                if not len(i):
                     continue
-                start = end - size
-                score = best[start] + np.where(found, self.scores[ids * found] if self.model_type == UNIGRAM else 0.0, self.unknown_score)
-                may = found if size > 1 else np.ones(m, bool)
-                may = may & (best[start] > -np.inf)
+                at = np.minimum(np.searchsorted(self.hashes, h[i]), len(self.hashes) - 1)
+                found = self.hashes[at] == h[i]
+                ids = np.where(found, self.ids[at], -1 - chars[end - 1, i])
+                if size > 1:
+                    i, ids = i[found], ids[found]
                 if self.model_type == BPE:
-                    score = np.where(may, 0.0, -np.inf)
-                    if start:
-                        ask = np.flatnonzero(may)
-                        may[ask] = self.stay_apart(piece[start][ask], ids[ask])
-                better = may & (score > best[end])
-                best[end][better] = score[better]
-                piece[end][better] = ids[better]
-                length[end][better] = size
+                    if start and len(i):
+                        may = self.stay_apart(piece[start, i], ids)
+                        i, ids = i[may], ids[may]
+                    score = np.zeros(len(i))
+                else:
+                    score = best[start, i] + np.where(ids >= 0, self.scores[np.maximum(ids, 0)], self.unknown_score)
+                better = score > best[end, i]
+                i, ids = i[better], ids[better]
+                best[end, i], piece[end, i], length[end, i] = score[better], ids, size
         where, pending, steps = np.full(m, n), np.arange(m), []
         while len(pending):
             now = where[pending]
