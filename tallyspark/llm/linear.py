@@ -195,7 +195,7 @@ LEAST_Z, LEAST_DF = 3.0, 5
 def screened(rows: DataFrame, view: View, label: str) -> np.ndarray:
     """Slots whose value goes with ``label`` (null: not counted) by at least LEAST_Z standard deviations.
 
-    Sums are made by partition and added up by slot; there are 2**BITS slots at most, so the driver gets a bounded table.
+    Sums are made by partition and added up by slot; the driver gets the slots that pass, of 2**BITS at most.
     """
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64()), ("x", pa.float64()), ("xx", pa.float64()), ("xy", pa.float64())])
 
@@ -217,10 +217,11 @@ def screened(rows: DataFrame, view: View, label: str) -> np.ndarray:
     if not n or share in (0.0, 1.0):
         return wanted
     parts = known.select(F.col("text").cast("string").alias("text"), F.col(label).cast("double").alias("y")).mapInArrow(sums, "slot int, n bigint, x double, xx double, xy double")
-    got = parts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")]).where(F.col("n") >= LEAST_DF).toArrow()
-    slots_, _, x, xx, xy = (c.to_numpy() for c in got.columns)
-    z = (xy - x * share) / np.sqrt(np.maximum(xx - x * x / n, 1e-12) * share * (1 - share))
-    wanted[slots_[np.abs(z) >= LEAST_Z]] = True
+    total = parts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")])
+    spread = F.sqrt(F.greatest(F.col("xx") - F.col("x") * F.col("x") / n, F.lit(1e-12)) * (share * (1 - share)))
+    z = (F.col("xy") - F.col("x") * share) / spread
+    got = total.where((F.col("n") >= LEAST_DF) & (F.abs(z) >= LEAST_Z)).select("slot").toArrow()
+    wanted[got.column("slot").to_numpy()] = True
     return wanted
 
 
