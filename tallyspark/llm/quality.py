@@ -118,9 +118,8 @@ _RESULT = pa.struct([("p_text", pa.float64()), ("p_meta", pa.float64()), ("score
 def score(docs: DataFrame, model: CoTrained, out: str = "quality_score") -> DataFrame:
     """``docs`` (text, source, lang, n_chars) with struct ``out``."""
     used = np.flatnonzero(model.text.weights)
-    sent = docs.sparkSession.sparkContext.broadcast((used, model.text.weights[used], model))
-    model = CoTrained(Ordinal(np.zeros(0), model.text.thresholds), model.meta, model.text_fit, model.meta_fit, model.prior)
-    sent = docs.sparkSession.sparkContext.broadcast((used, sent.value[1], model))
+    light = CoTrained(Ordinal(np.zeros(0), model.text.thresholds), model.meta, model.text_fit, model.meta_fit, model.prior)
+    sent = docs.sparkSession.sparkContext.broadcast((used, model.text.weights[used], light))
 
     def scored(texts: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> pa.Array:
         used, weights, m = sent.value
