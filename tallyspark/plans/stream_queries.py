@@ -1,5 +1,7 @@
 """Streaming forms, driven over files that are there now, and the wire codecs."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,10 +16,13 @@ from .registry import query
 
 
 def _folder(spark) -> str:
-    """A new folder in the shared checkpoint folder; a local one only in local mode."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="tallyspark-") if spark.sparkContext.master.startswith("local") else None)
-    if at is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """A new folder in the shared checkpoint folder; a temporary one only in local mode where none is set."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tallyspark-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
