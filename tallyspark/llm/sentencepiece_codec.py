@@ -31,8 +31,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-SLICE_BYTES = 8 << 20
-MOST_CACHED_WORDS = 800_000
+SLICE_BYTES = 4 << 20
+MOST_CACHED_WORDS = 120_000
+MOST_CACHED_PAIRS = 400_000
 TABLE_BITS, MAYBE_BITS = 20, 20
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -106,6 +107,7 @@ class Model:
         self.maybe = np.zeros(1 << MAYBE_BITS, bool)  # a piece's hash may end in these bits
         self.maybe[(self.hashes & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)] = True
         self.words: dict[str, bytes] = {}  # ids as int32
+        self.older: dict[str, bytes] = {}  # words of the generation before; those met again move up
 
     @staticmethod
     def hash_of(text: str) -> int:
@@ -146,6 +148,8 @@ class Model:
                 if known is None:
                     a, b = self._text((k >> 22) - (1 << 21)), self._text((k & ((1 << 22) - 1)) - (1 << 21))
                     known = self.apart[k] = self.merged(a + b) == [a, b]
+                    if len(self.apart) > MOST_CACHED_PAIRS:
+                        self.apart = {k: known}
                 said[n] = known
             verdict[lost] = said[back]
             self.seen[at[lost]], self.seen_apart[at[lost]] = keys[lost], verdict[lost]
@@ -250,14 +254,16 @@ def normalize(model: Model, text: str) -> str:
 
 
 def encode_batch(model: Model, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each whole text; every distinct word is encoded once and remembered by the worker."""
+    """Ids of each whole text; every distinct word is encoded once and remembered by the worker.
+
+    Two generations of about MOST_CACHED_WORDS words are kept, so what a worker holds does not grow with the corpus.
+    """
     cut = [_WORD.findall(normalize(model, t)) for t in texts]
-    known = model.words
-    fresh = {w for words in cut for w in words if w not in known}
+    known, distinct = model.words, {w for words in cut for w in words}
+    for w in distinct & model.older.keys():
+        known[w] = model.older.pop(w)
+    fresh = distinct - known.keys()
     if fresh:
-        if len(known) + len(fresh) > MOST_CACHED_WORDS:
-            known.clear()
-            fresh = {w for words in cut for w in words}
         bare = {w: SPACE + w.lstrip(SPACE) for w in fresh if w[:2] == SPACE * 2}
         blank = {w for w, c in bare.items() if c == SPACE} if model.model_type == BPE else set()
         many = {w: c for w, c in bare.items() if w not in blank} if model.model_type == BPE else {}
@@ -267,7 +273,10 @@ def encode_batch(model: Model, texts: list[str]) -> list[np.ndarray]:
             known[w] = model.encode_unit(w, b"")
         for w, c in many.items():
             known[w] = model.encode_unit(w, known[c])
-    return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in cut]
+    out = [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in cut]
+    if len(known) > MOST_CACHED_WORDS:
+        model.older, model.words = known, {}
+    return out
 
 
 def decode_ids(model: Model, ids: np.ndarray) -> str:
