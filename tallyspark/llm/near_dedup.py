@@ -5,11 +5,13 @@ Every document becomes a set of 64-bit shingle hashes; documents with equal sets
 deals the orders out evenly, and sorted neighbours, which share the longest common prefixes, are the candidates: the
 depth at which two nodes meet follows how crowded their region is. A bit sketch carried by the row discards
 neighbours that cannot be similar; the rest are confirmed on their full sets, and links that hold become components.
-The forest grows in two steps: the first trees join nearly every crowded region, and rows of the other trees carry
-their component so far, so that these only name neighbours that are not joined yet.
+The forest grows in two steps. The first trees only look at near neighbours: they join nearly every group of copies,
+and lose nothing for good. In the other trees every two nodes of different components that share a prefix of
+``LEAST_PREFIX`` labels are compared, however many share it; a pair is named in the first tree where it does, unless
+its sketches or its first labels of all trees are too far apart. Rows of one component are passed over as a whole.
 
-Rows at the edges of the range partitions (a few for each partition) are compared once more in one small step, so
-where a partition ends loses no neighbour.
+Rows at the edges of the range partitions (a few for each partition) of the first trees are compared once more in one
+small step, so where a partition ends loses no neighbour.
 
 Defined results: null and empty texts and texts without words have the empty set and link with nothing, not with each
 other; rows with equal texts link; rows of a null id take part, and the smallest id ignores nulls; a null id is
@@ -38,6 +40,8 @@ SLICE_BYTES = 2 << 20
 MOST_BROADCAST_IDS = 1_000_000
 NODE, KEY = 16, 1 + DEPTH
 ROW = KEY + NODE + SKETCH_BYTES + NODE
+HEAD = 1 + LEAST_PREFIX
+NAMED = 50_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -230,6 +234,121 @@ def candidate_pairs(nodes: DataFrame, threshold: float, first: int, end: int, tr
     return found.where("edge IS NULL").select("a", "b").union(across.select("a", "b")).where("a <> b").distinct()
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as an Arrow array."""
+    n, width = rows.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _head_rows(first: int, end: int, trees: int):
+    """For each tree a row of tree, first labels, root, node, sketch and the first labels of all trees."""
+    schema = pa.schema([("row", pa.binary())])
+    at = np.arange(trees)[:, None] * DEPTH + np.arange(LEAST_PREFIX)
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                sig = _matrix(batch.column("sig"), trees * DEPTH + SKETCH_BYTES)
+                node = _matrix(batch.column("node"), NODE)
+                root = _matrix(pc.coalesce(batch.column("root"), batch.column("node")), NODE)
+                heads = sig[:, at]
+                tail = np.concatenate([root, node, sig[:, trees * DEPTH :], heads.reshape(len(sig), -1)], axis=1)
+                out = np.empty((len(sig), end - first, HEAD + tail.shape[1]), np.uint8)
+                out[:, :, 0] = np.arange(first, end)
+                out[:, :, 1:HEAD] = heads[:, first:end]
+                out[:, :, HEAD:] = tail[:, None]
+                yield pa.record_batch([_binary(out.reshape(-1, out.shape[2]))], schema=schema)
+
+    return run, "row binary"
+
+
+def _pairs_of_runs(m: np.ndarray, first: int, trees: int, least: int, least_heads: int):
+    """Matrices (low node, high node) of the pairs in whole runs of one tree and prefix, rows sorted by run and root."""
+    n, sketch_at = len(m), HEAD + 2 * NODE
+
+    def ends(columns: int) -> np.ndarray:
+        change = np.flatnonzero((m[1:, :columns] != m[:-1, :columns]).any(axis=1)) + 1
+        return np.append(change, n)[np.searchsorted(change, np.arange(n), side="right")]
+
+    run_end, next_root = ends(HEAD), ends(HEAD + NODE)
+    i = np.flatnonzero(next_root < run_end)
+    if not len(i):
+        return
+    j = next_root[i]
+    node = np.ascontiguousarray(m[:, HEAD + NODE : sketch_at])
+    order = node.view(">u8").astype(np.uint64)
+    sketch = np.ascontiguousarray(m[:, sketch_at : sketch_at + SKETCH_BYTES]).view(np.uint64)
+    heads = m[:, sketch_at + SKETCH_BYTES :].reshape(n, trees, LEAST_PREFIX)
+    while len(i):
+        agree = SKETCH_BYTES * 8 - np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        on = agree >= least
+        if on.any():
+            a, b = i[on], j[on]
+            equal = heads[a] == heads[b]
+            met = equal[:, first:].all(axis=2).argmax(axis=1) + first  # the first tree in which the two meet
+            on = (met == m[a, 0]) & (equal.sum(axis=(1, 2)) >= least_heads)
+            a, b = a[on], b[on]
+            swap = (order[a, 0] > order[b, 0]) | (order[a, 0] == order[b, 0]) & (order[a, 1] > order[b, 1])
+            yield node[np.where(swap, b, a)], node[np.where(swap, a, b)]
+        j = j + 1
+        more = j < run_end[i]
+        i, j = i[more], j[more]
+
+
+def _whole_runs(first: int, trees: int, threshold: float):
+    width = HEAD + 2 * NODE + SKETCH_BYTES + trees * LEAST_PREFIX
+    least = _least_agreement(threshold)
+    k = trees * LEAST_PREFIX
+    least_heads = int(k * threshold - 4.5 * (k * threshold * (1 - threshold)) ** 0.5)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def named(held):
+        low, high, n = [], [], 0
+        for a, b in _pairs_of_runs(np.concatenate(held), first, trees, least, least_heads):
+            low.append(a)
+            high.append(b)
+            n += len(a)
+            if n >= NAMED:
+                yield pa.record_batch([_binary(np.concatenate(low)), _binary(np.concatenate(high))], schema=schema)
+                low, high, n = [], [], 0
+        if n:
+            yield pa.record_batch([_binary(np.concatenate(low)), _binary(np.concatenate(high))], schema=schema)
+
+    def run(batches):
+        held: list[np.ndarray] = []  # ends with a run that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = _matrix(batch.column("row"), width)
+            last = len(new) - int((new[:, :HEAD] == new[-1, :HEAD]).all(axis=1).sum())  # where the last run starts
+            if last:
+                yield from named([*held, new[:last]])
+                held = [new[last:]]
+            else:
+                if held and (held[-1][-1, :HEAD] != new[0, :HEAD]).any():
+                    yield from named(held)
+                    held = []
+                held.append(new)
+        if held:
+            yield from named(held)
+
+    return run
+
+
+def pairs_in_runs(nodes: DataFrame, threshold: float, first: int, end: int, trees: int = TREES) -> DataFrame:
+    """``nodes``: node, sig and root (null: itself). All pairs (a < b) of different roots that share the first labels
+    in one of the trees ``first`` to ``end`` - 1, each once, less those that sketch and labels show to be too far apart."""
+    run, ddl = _head_rows(first, end, trees)
+    rows = nodes.select("node", "sig", "root").mapInArrow(run, ddl)
+    return rows.repartition(F.substring("row", 1, HEAD)).sortWithinPartitions("row").mapInArrow(_whole_runs(first, trees, threshold), "a binary, b binary")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have ``100 * intersection >= percent * union``."""
 
@@ -257,8 +376,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     nodes = named.groupBy("node").agg(F.first("sig").alias("sig"))
 
     def confirmed(roots: DataFrame | None, first: int, end: int) -> DataFrame:
-        rooted = nodes.withColumn("root", F.lit(None).cast("binary")) if roots is None else nodes.join(roots, "node", "left")
-        pairs = materialize(candidate_pairs(rooted, percent / 100, first, end, trees), "candidates")
+        if roots is None:
+            named_pairs = candidate_pairs(nodes.withColumn("root", F.lit(None).cast("binary")), percent / 100, first, end, trees)
+        else:
+            named_pairs = pairs_in_runs(nodes.join(roots, "node", "left"), percent / 100, first, end, trees)
+        pairs = materialize(named_pairs, "candidates")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         # a node's document is that of its smallest id; ids alone go along, its text is read where it lies
         wanted = materialize(named.select("node", "id").groupBy("node").agg(F.min("id").alias("want")).join(ends, "node", "left_semi").select("want").distinct(), "wanted")
@@ -271,8 +393,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     early = min(FIRST_TREES, trees)
     links = confirmed(None, 0, early)
     roots = connected_components(links)
-    if early < trees:
-        roots = connected_components(links.union(confirmed(roots, early, trees)))
+    roots = connected_components(links.union(confirmed(roots, early if early < trees else 0, trees)))
 
     member = signed.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = member.where("root IS NOT NULL")

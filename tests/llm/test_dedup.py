@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,19 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "n", 1, "h", "m", 2, 3) for i, t in rows], DOCS)
 
 
+def crowd(seed, size, pairs):
+    """Documents that are random 80% subsets of one pool of 400 words, and near copies (0.8 to 0.9) of some of them."""
+    r = random.Random(seed)
+    pool = [f"w{k}" for k in range(400)]
+    rows = [r.sample(pool, 320) for _ in range(size)]
+    for k in range(pairs):
+        kept, away = list(rows[k]), [w for w in pool if w not in set(rows[k])]
+        n = r.randint(17, 35)
+        rows.append(kept[n:] + r.sample(away, n))
+    r.shuffle(rows)
+    return [(k, " ".join(w)) for k, w in enumerate(rows)]
+
+
 def near_model(rows, width):
     """Brute force over all pairs of rows."""
     sets = []
@@ -175,3 +189,15 @@ def test_edited_texts_with_odd_ids(spark):
     assert fingerprints.edited_fingerprints(docs(spark, [(7, "abcdefgh")])).first()["n_chars"] == 8
     rows = [(None, "null id text"), (1, "twice"), (1, "twice"), (1, "other"), (2**40, "far")]
     assert fingerprints.edited_fingerprints(docs(spark, rows)).count() == 5
+
+
+def test_near_duplicates_in_a_crowded_region(spark):
+    rows = crowd(3, 1000, 100)
+    held = np.zeros((len(rows), 400), np.float32)
+    for k, (_, text) in enumerate(rows):
+        held[k, [int(w[1:]) for w in text.split()]] = 1
+    both, n = held @ held.T, held.sum(axis=1)
+    near = np.triu(100 * both >= 80 * (n[:, None] + n - both), 1)
+    gone = set(np.flatnonzero(near.any(axis=0)).tolist())
+    got = near_dedup.near_duplicates(docs(spark, rows), width=1, percent=80, trees=16)
+    assert len(gone) == 100 and {x.doc_id for x in got.where("NOT kept").collect()} == gone
