@@ -97,8 +97,9 @@ def co_train(label: np.ndarray, text, meta, n_words: int, rounds: int = ROUNDS)
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = MOST_LABELLED, unlabelled: int = MOST_UNLABELLED) -> CoTrained:
     wide = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    told_ids = known.select("doc_id")
     known = smallest_by_hash(known, labelled)
-    pool = smallest_by_hash(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), unlabelled).withColumn("label", F.lit(-1))
+    pool = smallest_by_hash(docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(told_ids, "doc_id", "left_anti"), unlabelled).withColumn("label", F.lit(-1))
     sample = known.union(pool).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = wide.join(F.broadcast(sample), "doc_id")
     told, *text = collected_features(rows, TEXT, screened(rows.withColumn("known", F.when(F.col("label") >= 0, F.col("label"))), TEXT, "known"))

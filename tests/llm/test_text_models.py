@@ -182,3 +182,12 @@ def test_the_metadata_view_helps():
     t, s, both = m.combine(m.text.scores(np.arange(n), text, np.ones(n), n), m.meta.scores(*meta, n))
     right = lambda p: ((p >= 0.5) == good)[800:].mean()
     assert right(both) >= right(t) + 0.1 and right(both) >= right(s) - 0.01
+
+
+def test_quality_pool_holds_unlabelled_rows_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda label, *a, **b: seen.append(label.tolist()))
+    rows = [(k, f"some words {k}") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    quality.fit(docs(spark, rows), labels, labelled=30, unlabelled=15)
+    assert (seen[0].count(-1), len(seen[0])) == (15, 45)
