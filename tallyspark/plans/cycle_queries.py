@@ -55,8 +55,8 @@ def sync_cycle(spark, sf_dir):
 def ref_anti_join(spark, sf_dir):
     f = td.feed(spark, sf_dir)
     refs = _refs(spark, sf_dir).select(F.col("ref").alias("entry_ref"))
-    booked = f.where("status = 'BOOK' AND entry_ref <> ''").join(refs, "entry_ref", "left_anti").select("feed_ord")
-    return booked.unionByName(f.where("status <> 'BOOK' OR entry_ref = ''").select("feed_ord"))
+    booked = f.where("status = 'BOOK' AND coalesce(entry_ref, '') <> ''").join(refs, "entry_ref", "left_anti").select("feed_ord")
+    return booked.unionByName(f.where("status <> 'BOOK' OR coalesce(entry_ref, '') = ''").select("feed_ord"))
 
 
 @query("exact_id_match", f"{_WITH} SELECT feed_ord, 'T' || feed_ord AS ledger_id FROM feed WHERE feed_ord % 4 = 0")

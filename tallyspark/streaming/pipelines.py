@@ -15,8 +15,8 @@ REF_DAYS = 21
 
 def dedup_refs(feed: DataFrame, ts: str = "ts", days: int = REF_DAYS) -> DataFrame:
     """Rows of a stream whose reference was not seen in the last ``days``; rows without one all pass."""
-    named = feed.where("entry_ref <> ''").withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark(["entry_ref"])
-    return named.select(feed.columns).unionByName(feed.where("entry_ref = ''"))
+    named = feed.where("coalesce(entry_ref, '') <> ''").withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark(["entry_ref"])
+    return named.select(feed.columns).unionByName(feed.where("coalesce(entry_ref, '') = ''"))
 
 
 _OUT = "account long, pending_key string, feed_ord long, outcome string"

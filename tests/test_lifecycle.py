@@ -111,3 +111,21 @@ def test_streamed_fold_equals_the_batch(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     out = sp.run_available(sp.pending_to_booked(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), "fold_test", f"{tmp_path}/state")
     assert {x["feed_ord"]: x["outcome"] for x in out.collect()} == model(rows)
+
+
+def test_rows_of_a_null_reference_are_kept(spark, tmp_path, monkeypatch):
+    from tallyspark.plans import cycle_queries
+    from tallyspark.streaming import pipelines
+
+    rows = [(1, "BOOK", None), (2, "BOOK", None), (3, "BOOK", ""), (4, "BOOK", "a"), (5, "BOOK", "a"), (6, "PDNG", "a")]
+    feed = spark.createDataFrame(rows, "feed_ord long, status string, entry_ref string").selectExpr("*", "timestamp'2024-01-01' AS ts")
+    monkeypatch.setattr(cycle_queries.td, "feed", lambda *_: feed)
+    monkeypatch.setattr(cycle_queries, "_refs", lambda *_: spark.createDataFrame([("a",)], "ref string"))
+    assert sorted(x.feed_ord for x in cycle_queries.ref_anti_join(spark, "").collect()) == [1, 2, 3, 6]
+    feed.coalesce(1).write.parquet(f"{tmp_path}/feed")
+    stream = spark.readStream.schema(feed.schema).parquet(f"{tmp_path}/feed")
+    q = pipelines.dedup_refs(stream).writeStream.format("memory").queryName("null_refs").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    q.stop()
+    got = [x.feed_ord for x in spark.table("null_refs").collect()]
+    assert {1, 2, 3} <= set(got) and len(got) == 4
