@@ -2,26 +2,45 @@
 
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
-SUBSTRING_DEDUP = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
-  FROM documents
-), placed AS (
-  SELECT doc_id, line, k,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-         string_split_regex(trim(regexp_replace(translate(line, {_UPPER}, {_LOWER}), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), ' ') AS w
-  FROM lines
-), ranked AS (
-  SELECT doc_id, line, k, start, w,
-         len(w) >= 5 AND row_number() OVER (PARTITION BY CASE WHEN len(w) >= 5 THEN array_to_string(w, ' ') ELSE NULL END ORDER BY doc_id, start) > 1 AS gone
-  FROM placed
+_UNIT = r"'[\x20\x09\x0B-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]+){3,}?[^\x20\x09-\x0D]*[.!?,;:](?:[\x20\x09\x0B-\x0D]+|$)|.+'"
+
+SUBSTRING_DEDUP = rf"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k, len(l) AS n FROM split
+), cut AS (
+  SELECT doc_id, k, n, CASE WHEN line = '' THEN [''] ELSE regexp_extract_all(line, {_UNIT}, 0, 's') END AS u FROM lines
+), pieces AS (
+  SELECT doc_id, k, j, u[j] || CASE WHEN j = len(u) AND k < n THEN chr(10) ELSE '' END AS piece
+  FROM (SELECT doc_id, k, n, u, unnest(generate_series(1, len(u))) AS j FROM cut)
+), keyed AS (
+  SELECT doc_id, k, j, piece, trim(regexp_replace(translate(piece, {_UPPER}, {_LOWER}), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS key,
+         coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM pieces
+), worded AS (
+  SELECT doc_id, k, j, len(string_split(key, ' ')) AS words, row_number() OVER (PARTITION BY key ORDER BY doc_id, k, j) > 1 AS again,
+         row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS pos
+  FROM keyed WHERE key <> ''
+), runs AS (
+  SELECT doc_id, k, j, words, again, pos - row_number() OVER (PARTITION BY doc_id, again ORDER BY pos) AS run FROM worded
+), judged AS (
+  SELECT doc_id, k, j, again AND sum(words) OVER (PARTITION BY doc_id, again, run) >= 35 AS gone FROM runs
+), marked AS (
+  SELECT p.doc_id, p.k, p.j, p.piece, p.start,
+         coalesce(last_value(g.gone IGNORE NULLS) OVER (PARTITION BY p.doc_id ORDER BY p.k, p.j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS gone
+  FROM keyed p LEFT JOIN judged g ON g.doc_id = p.doc_id AND g.k = p.k AND g.j = p.j
+), spans AS (
+  SELECT doc_id, min(start)::BIGINT AS start, max(start + length(piece))::BIGINT AS stop
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - row_number() OVER (PARTITION BY doc_id, gone ORDER BY k, j) AS run FROM marked)
+  WHERE gone GROUP BY doc_id, run
+), removed AS (
+  SELECT doc_id, count(*) AS n, sum(stop - start)::BIGINT AS chars, string_agg(start || '-' || stop, ',' ORDER BY start) AS listed FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY k, j) FILTER (WHERE NOT gone), '') AS text FROM marked GROUP BY doc_id
 )
-SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
-       coalesce(sum(length(line)) FILTER (WHERE gone), 0)::BIGINT AS removed_chars,
-       coalesce(string_agg(start::BIGINT || '-' || (start + length(line))::BIGINT, ',' ORDER BY k) FILTER (WHERE gone), '') AS removed,
-       coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text
-FROM ranked GROUP BY doc_id
+SELECT t.doc_id, coalesce(r.n, 0)::BIGINT AS n_removed, coalesce(r.chars, 0)::BIGINT AS removed_chars, coalesce(r.listed, '') AS removed, t.text
+FROM kept t LEFT JOIN removed r ON r.doc_id = t.doc_id
 """
 
 DECONTAMINATION = f"""

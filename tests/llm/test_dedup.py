@@ -105,38 +105,88 @@ def test_pairs_at_partition_edges_are_found():
 # substring dedup
 
 
-def cut_model(rows, least=5):
-    """Each (doc, line) in order of id: later occurrences go."""
+def units_model(text):
+    """(start, stop, key) of each unit, word by word: a unit starts where the one before it has ended, blanks and all."""
+    found, line_at = [], 0
+    for line in text.split("\n"):
+        words, start = [], line_at
+        spots = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        for k, (a, b) in enumerate(spots):
+            words.append(re.sub("[A-Z]", lambda m: m[0].lower(), line[a:b]))
+            if k + 1 == len(spots) or len(words) >= 4 and line[b - 1] in ".!?,;:":
+                found.append((start, tuple(words)))
+                words, start = [], line_at + (spots[k + 1][0] if k + 1 < len(spots) else 0)
+        line_at += len(line) + 1
+    ends = [s for s, _ in found[1:]] + [len(text)] * bool(found)
+    return [(s, e, w) for (s, w), e in zip(found, ends, strict=True)]
+
+
+def cut_model(rows, least=35):
+    """Each (id, text) in order of id without its long runs of units that were seen before."""
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda x: x[0]):
-        kept = []
-        for line in (t or "").split("\n"):
-            key = tuple(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
-            if len(key) >= least and key in seen:
+        t, run, gone = t or "", [], []
+        for u in [*units_model(t), None]:
+            if u and u[2] in seen:
+                run.append(u)
                 continue
-            if len(key) >= least:
-                seen.add(key)
-            kept.append(line)
-        out.append((i, "\n".join(kept)))
+            if sum(len(x[2]) for x in run) >= least:
+                gone.append((run[0][0], run[-1][1]))
+            run = []
+            if u:
+                seen.add(u[2])
+        for a, b in reversed(gone):
+            t = t[:a] + t[b:]
+        out.append((i, t))
     return out
 
 
-def test_repeats_are_removed_and_offsets_kept(spark):
+@pytest.mark.parametrize("hot", [10_000, 20])
+def test_repeats_are_removed_and_offsets_kept(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "MOST_HOT", hot)
     r = random.Random(8)
-    lines = [" ".join(r.choices("abcdefgh", k=r.randint(1, 9))) for _ in range(25)]
-    rows = [(k, "\n".join(r.choice([x, x.upper(), f"  {x.replace(' ', chr(9))} "]) for x in r.choices(lines, k=r.randint(0, 12)))) for k in range(60)] + [(60, None), (61, ""), (62, "\n\n"), (63, "a b c d e f\n" * 3000)]
+    word = lambda: "".join(r.choices("abcdefgé", k=r.randint(1, 5))) + r.choice(["", "", "", ",", ".", "!"])
+    passages = [" ".join(word() for _ in range(r.randint(30, 90))) for _ in range(8)]
+    rows = []
+    for k in range(120):
+        parts = [" ".join(word() for _ in range(r.randint(1, 40)))]
+        for _ in range(r.randint(0, 3)):
+            parts += [r.choice([x, x.upper(), x.replace(" ", "\n", 3), f"  {x} "]) if "é" not in x else x for x in [r.choice(passages)]] + [" ".join(word() for _ in range(r.randint(0, 9)))]
+        rows.append((k, r.choice([" ", "\n", "\n\n"]).join(parts)))
+    rows += [(120, None), (121, ""), (122, "\n\n"), (123, "a b c d e f.\n" * 3000), (124, "word " * 30_000), (125, passages[0]), (126, passages[0])]
     got = substring_dedup.remove_repeats(docs(spark, rows), text_out="clean").orderBy("doc_id").collect()
-    assert [(x["doc_id"], x["clean"]) for x in got] == cut_model(rows)
+    want = cut_model(rows)
+    assert [(x["doc_id"], x["clean"]) for x in got] == want
+    assert sum(t != (w or "") for (_, t), (_, w) in zip(rows, want, strict=True)) > 50
     for x, (_, text) in zip(got, rows, strict=True):
+        left, at = [], 0
         for s in x["removed_spans"] or []:
-            assert len(text[s["start"] : s["stop"]].split()) >= 5
+            assert len(text[s["start"] : s["stop"]].split()) >= 35
+            left.append(text[at : s["start"]])
+            at = s["stop"]
+        assert "".join([*left, (text or "")[at:]]) == x["clean"]
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_a_passage_inside_longer_lines_is_found(spark):
+    passage = "Here a passage starts, which holds some sixty words. " + " ".join(f"p{k}{'.' if k % 9 == 8 else ''}" for k in range(52)) + "."
+    rows = [(1, f"one text that says {passage} and goes on"), (2, f"quite another one with {passage} Its own end"), (3, "a common line of few words.\nx"), (4, "a common line of few words.\ny")]
+    got = {x["doc_id"]: x for x in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
+    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "quite another one with Here a passage starts, Its own end"
+    assert (got[3]["text"], got[4]["text"]) == (rows[2][1], rows[3][1])
+
+
 def test_repeated_rows_and_null_ids_are_one_document(spark):
-    rows = [(1, "a b c d e\nx"), (1, "a b c d e\nx"), (None, "a b c d e\ny"), (1, "other words of one id\na b c d e")]
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, f"{long}\nx"), (1, f"{long}\nx"), (None, f"{long}\ny"), (1, f"other words of one id\n{long}")]
     got = Counter((x["doc_id"], x["text"]) for x in substring_dedup.remove_repeats(docs(spark, rows)).collect())
-    assert got == Counter({(1, "x"): 2, (None, "a b c d e\ny"): 1, (1, "other words of one id"): 1})
+    assert got == Counter({(1, "x"): 2, (None, f"{long}\ny"): 1, (1, "other words of one id\n"): 1})
+
+
+def test_places_order_ids_and_hold_the_extremes(spark):
+    ids = [None, -(2**63), -1, 0, 1, 2**63 - 1]
+    got = docs(spark, [(i, "t") for i in ids]).select("doc_id", substring_dedup.place_of("doc_id", "text").alias("p")).orderBy("p").collect()
+    assert [x["doc_id"] for x in got] == ids and len({x["p"] for x in got}) == len(ids)
 
 
 # fingerprints

@@ -17,8 +17,8 @@ SF = "sf0.001"
 def corpus():
     r = random.Random(11)
     word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 6)))
-    line = lambda: " ".join(word() for _ in range(r.randint(3, 14)))
-    shared, items = [line() for _ in range(5)], [(k, " ".join(word() for _ in range(14))) for k in range(4)]
+    line = lambda: " ".join(word() for _ in range(r.randint(3, 14))) + "."
+    shared, items = [" ".join(line() for _ in range(9)) for _ in range(5)], [(k, " ".join(word() for _ in range(14))) for k in range(4)]
     rows = []
     for k in range(120):
         lines = [line() for _ in range(r.randint(4, 9))]
