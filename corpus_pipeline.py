@@ -6,8 +6,8 @@ stage's docs. All but the last return the columns of docs.
 1. quality: documents that the co-trained classifier scores under 0.5 go.
 2. near_dedup: one document of each group of near-duplicates (5-word shingles, similarity 0.8) stays, the one with the
    smallest id.
-3. substring_dedup: lines of at least 5 words stay in their earliest document only; a document's text and n_chars are
-   what is left of it. Documents stay, even with an empty text.
+3. substring_dedup: runs of repeated clauses of at least 35 words stay in their earliest document only; a document's
+   text and n_chars are what is left of it. Documents stay, even with an empty text.
 4. decontamination: documents that hold a 10-word window of a benchmark item go.
 5. sentencepiece: every text is encoded; rows are doc_id, n_tokens, the ids and whether they decode to the text.
 """
