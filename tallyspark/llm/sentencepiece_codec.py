@@ -7,8 +7,9 @@ probe the sorted hashes of the pieces, and a maximum over the piece lengths stor
 
 A unigram model's best path has the greatest sum of scores. In a BPE model a path is the merges' own result if and
 only if every two neighbouring pieces stay apart when their joined text is merged, and each prefix has exactly one
-such last piece; so the same pass keeps, at every position, the piece that may stand after the one before it. The
-verdict on a pair of pieces is kept by the worker. Characters with no piece fall back to byte pieces.
+such last piece; so the same pass keeps, at every position, the piece that may stand after the one before it. All
+pairs of a step are judged together, by undoing the merges beside their border from the latest to the first.
+Characters with no piece fall back to byte pieces.
 
 Defined results: null and empty texts have no ids and decode to the empty text; ids come in text order for repeated
 rows alike; texts of any length are encoded whole; extra columns pass through.
@@ -31,9 +32,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-SLICE_BYTES = 4 << 20
-MOST_CACHED_WORDS = 120_000
-MOST_CACHED_PAIRS = 400_000
+SLICE_BYTES = 2 << 20
+MOST_CACHED_WORDS = 250_000
+MOST_CACHED_PAIRS = 100_000
 TABLE_BITS, MAYBE_BITS = 20, 20
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -102,7 +103,13 @@ class Model:
         self.lengths = np.array([len(p) for p in self.pieces])
         self.unknown_score = float(self.scores[normal].min()) - 10.0
         self.raw = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k in (3, 5) else p.replace(SPACE, " ").encode() if k != UNKNOWN else " ⁇ ".encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.apart: dict[int, bool] = {}
+        self.apart: dict[int, bool] = {}  # verdicts that were worked out one by one
+        self.hash_by_id, self.step = np.zeros(len(self.pieces), np.uint64), np.ones(self.longest + 1, np.uint64)
+        self.hash_by_id[normal] = hashes
+        for n in range(self.longest):
+            self.step[n + 1] = np.uint64(int(self.step[n]) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        if self.model_type == BPE:
+            self._merge_trees(normal)
         self.seen, self.seen_apart = np.full(1 << TABLE_BITS, -1), np.zeros(1 << TABLE_BITS, bool)
         self.maybe = np.zeros(1 << MAYBE_BITS, bool)  # a piece's hash may end in these bits
         self.maybe[(self.hashes & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)] = True
@@ -116,24 +123,85 @@ class Model:
             h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def merged(self, text: str) -> list[str]:
-        """The result of merging ``text`` by score, best and leftmost first."""
+    def _merge_trees(self, normal: np.ndarray) -> None:
+        """For each piece: its rank among merges, the two parts of its last merge, whether merging its text gives it,
+        and whether no part is of a later rank, so that ranks tell the order of merges."""
+        n = len(self.pieces)
+        self.rank = np.full(n, -1)  # single characters are there from the start
+        long = np.array([i for i in normal if len(self.pieces[i]) > 1], np.int64)
+        self.rank[long[np.argsort(-self.scores[long], kind="stable")]] = np.arange(len(long))
+        self.parts = np.full((n, 2), -1)
+        self.whole, self.in_order = np.ones(n, bool), np.ones(n, bool)
+        for i in sorted(long.tolist(), key=lambda i: len(self.pieces[i])):
+            text = self.pieces[i]
+            ends = self._last_merge(text)
+            if ends is None:
+                self.whole[i] = self.in_order[i] = False
+                continue
+            self.parts[i] = [self.by_text.get(x, -1) for x in ends]
+            self.in_order[i] = all(p >= 0 and self.in_order[p] and self.rank[p] < self.rank[i] for p in self.parts[i])
+
+    def _last_merge(self, text: str) -> list[str] | None:
+        """The two parts of ``text`` before its last merge, if merging ends in one piece."""
+        before = None
+        for parts in self._merging(text):
+            before, last = (parts, before) if len(parts) > 1 else (before, parts)
+        return before if before is not None and len(before) == 2 and len(last or []) == 1 else None
+
+    def _merging(self, text: str):
+        """The parts of ``text`` after each merge, best score and leftmost first."""
         parts = list(text)
-        while len(parts) > 1:
+        while True:
+            yield parts
             best, at = None, -1
             for k in range(len(parts) - 1):
                 i = self.by_text.get(parts[k] + parts[k + 1])
                 if i is not None and (best is None or self.scores[i] > best):
                     best, at = self.scores[i], k
             if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                return
+            parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
+
+    def merged(self, text: str) -> list[str]:
+        """The result of merging ``text`` by score, best and leftmost first."""
+        for parts in self._merging(text):
+            pass
         return parts
 
+    def _joined_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rank of the piece that x and y make together (none: beyond all ranks)."""
+        out = np.full(len(x), len(self.pieces))
+        with np.errstate(over="ignore"):
+            h = self.hash_by_id[x] * self.step[np.minimum(self.lengths[y], self.longest)] + self.hash_by_id[y]
+        i = np.flatnonzero(self.maybe[(h & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)] & (self.lengths[x] + self.lengths[y] <= self.longest))
+        at = np.minimum(np.searchsorted(self.hashes, h[i]), len(self.hashes) - 1)
+        found = self.hashes[at] == h[i]
+        out[i[found]] = self.rank[self.ids[at[found]]]
+        return out
+
+    def _stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Verdicts on pairs of pieces whose merges go by rank. Going back in time, the later of the two parts beside the
+        border is undone; had the two been one piece of a rank before what took them away, they would have merged."""
+        out = np.ones(len(left), bool)
+        i, x, y = np.arange(len(left)), left.copy(), right.copy()
+        most = len(self.pieces)
+        until_x, until_y = np.full(len(i), most), np.full(len(i), most)
+        while len(i):
+            r = self._joined_rank(x, y)
+            cross = (r < until_x) & (r <= until_y) & (r < most)  # of equal ranks the leftmost goes first
+            out[i[cross]] = False
+            rx, ry = self.rank[x], self.rank[y]
+            on = ~cross & ((rx >= 0) | (ry >= 0))
+            i, x, y, until_x, until_y, rx, ry = (v[on] for v in (i, x, y, until_x, until_y, rx, ry))
+            undo = rx > ry
+            until_x, until_y = np.where(undo, rx, until_x), np.where(undo, until_y, ry)
+            x, y = np.where(undo, self.parts[x, 1], x), np.where(undo, y, self.parts[y, 0])
+        return out
+
     def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each pair of pieces is what merging their joined text gives. Ids of -1 - c are lone characters.
 
-        A direct-mapped table answers for pairs seen before; a pair it has lost is looked up, or worked out, again.
+        A direct-mapped table answers for pairs seen before; a pair it has lost is worked out again.
         """
         keys = (left.astype(np.int64) + (1 << 21)) * (1 << 22) + (right.astype(np.int64) + (1 << 21))
         with np.errstate(over="ignore"):
@@ -142,20 +210,27 @@ class Model:
         lost = np.flatnonzero(self.seen[at] != keys)
         if len(lost):
             distinct, back = np.unique(keys[lost], return_inverse=True)
-            said = np.empty(len(distinct), bool)
-            for n, k in enumerate(distinct.tolist()):
-                known = self.apart.get(k)
-                if known is None:
-                    a, b = self._text((k >> 22) - (1 << 21)), self._text((k & ((1 << 22) - 1)) - (1 << 21))
-                    known = self.apart[k] = self.merged(a + b) == [a, b]
-                    if len(self.apart) > MOST_CACHED_PAIRS:
-                        self.apart = {k: known}
-                said[n] = known
+            a, b = (distinct >> 22) - (1 << 21), (distinct & ((1 << 22) - 1)) - (1 << 21)
+            ranked = (a >= 0) & (b >= 0)
+            ranked[ranked] = self.in_order[a[ranked]] & self.in_order[b[ranked]]
+            said = np.zeros(len(distinct), bool)
+            said[ranked] = self._stay_apart(a[ranked], b[ranked])
+            for n in np.flatnonzero(~ranked).tolist():
+                said[n] = self._apart_one(int(distinct[n]), int(a[n]), int(b[n]))
             verdict[lost] = said[back]
             self.seen[at[lost]], self.seen_apart[at[lost]] = keys[lost], verdict[lost]
             self.seen[at[lost[self.seen[at[lost]] != keys[lost]]]] = -1  # two new pairs in one place: neither stays
         return verdict
 
+    def _apart_one(self, key: int, left: int, right: int) -> bool:
+        known = self.apart.get(key)
+        if known is None:
+            if len(self.apart) >= MOST_CACHED_PAIRS:
+                self.apart.clear()
+            a, b = self._text(left), self._text(right)
+            known = self.apart[key] = self.merged(a + b) == [a, b]
+        return known
+
     def _text(self, i: int) -> str:
         return self.pieces[i] if i >= 0 else chr(-1 - i)
 
@@ -197,6 +272,8 @@ class Model:
                 if size > 1:
                     i, ids = i[found], ids[found]
                 if self.model_type == BPE:
+                    real = (ids < 0) | self.whole[ids]
+                    i, ids = i[real], ids[real]
                     if start and len(i):
                         may = self.stay_apart(piece[start, i], ids)
                         i, ids = i[may], ids[may]
@@ -206,21 +283,24 @@ class Model:
                 better = score > best[end, i]
                 i, ids = i[better], ids[better]
                 best[end, i], piece[end, i], length[end, i] = score[better], ids, size
-        where, pending, steps = np.full(m, n), np.arange(m), []
-        while len(pending):
+        where, pending, rows, ids = np.full(m, n), np.arange(m), [], []
+        while len(pending):  # from the last piece of each word to its first
             now = where[pending]
-            steps.append((pending, piece[now, pending]))
+            rows.append(pending)
+            ids.append(piece[now, pending])
             where[pending] = now - length[now, pending]
             pending = pending[where[pending] > 0]
-        paths: list[list[int]] = [[] for _ in range(m)]
-        for rows, ids in steps:
-            for r, i in zip(rows.tolist(), ids.tolist(), strict=True):
-                paths[r].append(i)
-        return [array("i", self._with_bytes(p[::-1])).tobytes() for p in paths]
+        row, path = np.concatenate(rows)[::-1], np.concatenate(ids)[::-1]
+        order = np.argsort(row, kind="stable")
+        path, ends = path[order], np.cumsum(np.bincount(row, minlength=m)).tolist()
+        odd = set(row[order][path < 0].tolist())
+        flat = path.astype(np.int32).tobytes()
+        out = [flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+        for r in odd:
+            out[r] = array("i", self._with_bytes(path[ends[r - 1] if r else 0 : ends[r]].tolist())).tobytes()
+        return out
 
     def _with_bytes(self, path: list[int]) -> list[int]:
-        if min(path) >= 0:
-            return path
         out: list[int] = []
         for i in path:
             out.extend([i] if i >= 0 else (int(self.byte_ids[b]) for b in chr(-1 - i).encode("utf-8", "surrogatepass")))
@@ -285,15 +365,21 @@ def decode_ids(model: Model, ids: np.ndarray) -> str:
     return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+
+
+def _encoded(model: Model, texts: pa.Array):
+    """The ids of each text, slice by slice."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for s in rows_per_slice(lengths, SLICE_BYTES):
+        yield encode_batch(model, [t or "" for t in texts.slice(s.start, s.stop - s.start).to_pylist()])
+
+
 def _encoder(path: str):
     def encode(texts: pa.Array) -> pa.Array:
-        model, parts = load(path), []
-        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        for s in rows_per_slice(lengths, SLICE_BYTES):
-            ids = encode_batch(model, [t or "" for t in texts.slice(s.start, s.stop - s.start).to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        return pa.concat_arrays([_lists([]), *(_lists(ids) for ids in _encoded(load(path), texts))])
 
     return F.arrow_udf(encode, "array<int>")
 
@@ -306,6 +392,17 @@ def _decoder(path: str):
     return F.arrow_udf(decode, "string")
 
 
+def _both(path: str):
+    def both(texts: pa.Array) -> pa.Array:
+        model, ids, decoded = load(path), [_lists([])], []
+        for part in _encoded(model, texts):
+            ids.append(_lists(part))
+            decoded.extend(decode_ids(model, x) for x in part)
+        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    return F.arrow_udf(both, "struct<ids:array<int>,decoded:string>")
+
+
 def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
     """``docs`` with the ids of each whole text."""
     return docs.withColumn(out, _encoder(model)(F.col(text_col).cast("string")))
@@ -316,10 +413,15 @@ def decode(docs: DataFrame, ids_col: str = "ids", out: str = "decoded", model: s
     return docs.withColumn(out, _decoder(model)(F.col(ids_col).cast("array<int>")))
 
 
+def encode_and_decode(docs: DataFrame, text_col: str = "text", out: str = "encoded", model: str = MODEL) -> DataFrame:
+    """``docs`` with struct ``out`` (ids, and the text decoded from them): one function, so each text is encoded once."""
+    return docs.withColumn(out, _both(model)(F.col(text_col).cast("string")))
+
+
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs))
+    both = encode_and_decode(docs, out="e")
     return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        "doc_id", F.size("e.ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("e.ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("e.decoded", "UTF-8"), 256).alias("decoded_sha256"), (F.col("e.decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )

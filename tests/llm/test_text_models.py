@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tallyspark.llm import decontamination, linear, quality, sentencepiece_codec, toxicity
+from tallyspark.llm import decontamination, linear, quality, queries, sentencepiece_codec, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, p string, score int, items int"
 
@@ -87,11 +87,41 @@ def test_unigram_paths_have_the_greatest_score():
             assert abs(sum(map(worth, pieces)) - best[-1]) < 1e-9, w
 
 
+def test_pairs_are_judged_as_merging_does():
+    model = sentencepiece_codec.load(sentencepiece_codec.MODEL)
+    r = np.random.default_rng(2)
+    short = np.flatnonzero((model.kinds == sentencepiece_codec.NORMAL) & (model.lengths <= 4) & model.in_order)
+    a, b = r.choice(short, 20_000), r.choice(short, 20_000)
+    a[:200] = b[:200]  # equal pieces: ties are merged from the left
+    said = model._stay_apart(a, b)
+    assert 0 < said.mean() < 1
+    for x, y, apart in zip(a.tolist(), b.tolist(), said.tolist(), strict=True):
+        one, two = model.pieces[x], model.pieces[y]
+        assert (model.merged(one + two) == [one, two]) == apart, (one, two)
+
+
+def test_each_text_is_encoded_once(spark):
+    plan = queries.queries()["op6_sentencepiece"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"ArrowEvalPython \[(\w+)\(", plan) == ["both"], plan
+
+
+def test_cached_words_change_nothing(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "MOST_CACHED_WORDS", 10)
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        raw = f.read()
+    small, cases = sentencepiece_codec.Model(raw), texts()[:400]
+    want = [list(x) for x in sentencepiece_codec.encode_batch(sentencepiece_codec.load(sentencepiece_codec.MODEL), cases)]
+    assert [list(sentencepiece_codec.encode_batch(small, [t])[0]) for t in cases] == want
+
+
 def test_round_trip_in_spark(spark):
     cases = [None, "", "Hello  world\n", "日本 🙂", "a" * 5000, "a" * 5000]
     both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs(spark, [*enumerate(cases)])))
     got = both.orderBy("doc_id").collect()
     assert [x["decoded"] for x in got] == [t or "" for t in cases] and got[0]["ids"] == []
+    once = sentencepiece_codec.encode_and_decode(docs(spark, [*enumerate(cases)])).orderBy("doc_id").collect()
+    assert [(x["encoded"]["ids"], x["encoded"]["decoded"]) for x in once] == [(x["ids"], x["decoded"]) for x in got]
+    assert sentencepiece_codec.encode_and_decode(docs(spark, [])).count() == 0
     assert sentencepiece_codec.encode(docs(spark, [])).count() == 0
 
 
