@@ -42,8 +42,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select("doc_id", "text")))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    both = sentencepiece_codec.encode_and_decode(docs.select("doc_id", "text"), out="__ts_e")
+    return both.select("doc_id", F.size("__ts_e.ids").cast("long").alias("n_tokens"), "__ts_e.ids", (F.col("__ts_e.decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [
