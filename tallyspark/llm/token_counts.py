@@ -1,7 +1,9 @@
 """Exact histogram of encoded lengths: every context limit is answered from suffix sums, with no second pass.
 
-``length_histogram`` counts documents by encoded length; ``limit_table`` adds, for each length taken as a context
-limit, the documents at least that long, the documents and tokens up to it, and the tokens left after truncation.
+``length_histogram`` counts documents by encoded length and is written once, so texts are encoded once;
+``limit_table`` adds, for each length taken as a context limit, the documents longer than that, the documents and
+tokens up to it, and the tokens left after truncation; ``answers`` and ``quantiles`` read the table for any limit and
+any share of the documents, also for limits that no document has as its length.
 
 Defined results: null and empty texts have length 0 and count as documents; repeated rows count each; an empty table
 gives no rows; other columns are not read.
@@ -15,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 64
-PIECE = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -42,9 +45,9 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = V
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(n_tokens, n_docs), one row per length that occurs."""
+    """(n_tokens, n_docs), one row per length that occurs; a table of its own, so what reads it encodes nothing again."""
     only = docs.select(F.col(text_col).cast("string").alias("text"))
-    return encoded_lengths(only, "text", vocabulary).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    return materialize(encoded_lengths(only, "text", vocabulary).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
 
 
 def limit_table(histogram: DataFrame) -> DataFrame:
@@ -75,5 +78,36 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     )
 
 
+def answers(table: DataFrame, limits: list[int]) -> DataFrame:
+    """For each of ``limits`` (any whole numbers): documents and tokens within and beyond it, and the tokens kept after
+    cutting every document at it, from the rows of ``limit_table``. A table of no rows answers with zeros."""
+    asked = table.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long").distinct()
+    # per limit the greatest length within it and the least beyond it: partial aggregates, so nothing is gathered
+    each = F.array(*[F.lit(int(x)).cast("long") for x in sorted(set(limits))])
+    ends = table.withColumn("context_limit", F.explode(each)).groupBy("context_limit").agg(
+        F.max(F.when(F.col("n_tokens") <= F.col("context_limit"), F.struct("n_tokens", "docs_within", "docs_longer", "tokens_within", "tokens_longer"))).alias("low"),
+        F.min(F.when(F.col("n_tokens") > F.col("context_limit"), F.struct("n_tokens", "n_docs", "docs_longer", "tokens_longer"))).alias("high"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    found = asked.join(F.broadcast(ends), "context_limit", "left")
+    longer = F.coalesce(F.col("low.docs_longer"), F.col("high.n_docs") + F.col("high.docs_longer"), F.lit(0))
+    beyond = F.coalesce(F.col("low.tokens_longer"), F.col("high.n_tokens") * F.col("high.n_docs") + F.col("high.tokens_longer"), F.lit(0))
+    within = zero(F.col("low.tokens_within"))
+    return found.select(
+        "context_limit", zero(F.col("low.docs_within")).alias("docs_within"), longer.alias("docs_longer"), within.alias("tokens_within"), beyond.alias("tokens_longer"),
+        (within + F.greatest(F.col("context_limit"), F.lit(0)) * longer).alias("tokens_kept"),
+    )
+
+
+def quantiles(table: DataFrame, shares: list[float]) -> DataFrame:
+    """For each of ``shares`` (0 to 1) the least length that at least this share of the documents keeps within; null
+    for a table of no rows."""
+    asked = table.sparkSession.createDataFrame([(float(x),) for x in shares], "share double").distinct()
+    enough = F.col("docs_within") >= F.col("share") * (F.col("docs_within") + F.col("docs_longer"))
+    each = F.array(*[F.lit(float(x)) for x in sorted(set(shares))])
+    found = table.withColumn("share", F.explode(each)).where(enough).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    return asked.join(F.broadcast(found), "share", "left")
+
+
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
     return limit_table(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -113,6 +113,29 @@ def test_limit_table_equals_brute_force(spark):
         assert row["tokens_kept"] == sum(min(x, k) for x in lengths) and abs(row["quantile"] - row["docs_within"] / 700) < 1e-8
 
 
+def test_answers_for_any_limit_and_share(spark):
+    r = random.Random(9)
+    lengths = [r.choice([0, 5, 63, 64, 700, r.randint(0, 400)]) for _ in range(300)]
+    table = token_counts.limit_table(spark.createDataFrame(list(Counter(lengths).items()), "n_tokens long, n_docs long"))
+    limits = [-1, 0, 1, 4, 6, 62, 64, 65, 333, 699, 701, 2048, 10**12]
+    got = {x["context_limit"]: x for x in token_counts.answers(table, limits).collect()}
+    assert sorted(got) == limits
+    for k, x in got.items():
+        assert (x["docs_within"], x["docs_longer"]) == (sum(n <= k for n in lengths), sum(n > k for n in lengths))
+        assert (x["tokens_within"], x["tokens_longer"]) == (sum(n for n in lengths if n <= k), sum(n for n in lengths if n > k))
+        assert x["tokens_kept"] == sum(min(n, max(k, 0)) for n in lengths)
+    shares = {x["share"]: x["n_tokens"] for x in token_counts.quantiles(table, [0.0, 0.1, 0.5, 0.99, 1.0]).collect()}
+    assert all(n == min(m for m in lengths if sum(k <= m for k in lengths) >= q * len(lengths)) for q, n in shares.items()) and len(shares) == 5
+    none = table.limit(0)
+    assert {tuple(x)[1:] for x in token_counts.answers(none, [0, 9]).collect()} == {(0, 0, 0, 0, 0)}
+    assert [x["n_tokens"] for x in token_counts.quantiles(none, [0.5]).collect()] == [None]
+
+
+def test_texts_are_encoded_once(spark):
+    plan = token_counts.op9_token_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_encoded_lengths(spark):
     texts = [None, "", "hello world", "a" * 5000, "hello world", "é🙂 <|endoftext|>"]
     enc = token_counts._encoding(token_counts.VOCABULARY)
