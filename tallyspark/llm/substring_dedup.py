@@ -111,7 +111,7 @@ def _runs(least: int):
 
 
 def repeated_runs(docs: DataFrame, least: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(place, runs): for each document with repeated passages, the first and last unit of each."""
+    """(place, runs): for each document with enough repeated words, the first and last unit of each passage (maybe none)."""
     plain = docs.select(F.col(text_col).cast("string").alias("text"), place_of(id_col, text_col).alias("place"))
     found = materialize(plain.mapInArrow(_unit_rows, _UNITS_DDL), "units")
     first = found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
@@ -120,14 +120,12 @@ def repeated_runs(docs: DataFrame, least: int = RUN_WORDS, id_col: str = "doc_id
     hot = first.n > found.count() / MOST_HOT
     common = F.broadcast(first.where(hot).select(F.col("high").alias("hh"), F.col("low").alias("hl"), F.col("first").alias("hot_first")))
     told = found.join(common, (F.col("high") == F.col("hh")) & (F.col("low") == F.col("hl")), "left")
-    later = [
-        told.where("hot_first IS NULL").join(first.where(~hot).drop("n"), ["high", "low"]).where("place > first"),
-        told.where("place > hot_first"),
-        found.where("again"),
-    ]
-    gone = later[0].select("place", "k", "words").union(later[1].select("place", "k", "words")).union(later[2].select("place", "k", "words"))
+    known = F.coalesce(F.col("hot_first"), F.lit("99999999999999999999999999999999999999").cast("decimal(38,0)")) < F.col("place")
+    common_gone = told.where(F.col("again") | known)
+    rare_gone = told.where("hot_first IS NULL AND NOT again").join(first.where(~hot).drop("n"), ["high", "low"]).where("place > first")
+    gone = common_gone.select("place", "k", "words").union(rare_gone.select("place", "k", "words"))
     listed = gone.groupBy("place").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("k", "words"))).alias("units"))
-    return listed.where(F.col("words") >= least).select("place", _runs(least)("units").alias("runs")).where(F.size("runs") > 0)
+    return listed.where(F.col("words") >= least).select("place", _runs(least)("units").alias("runs"))
 
 
 _EDITED = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
@@ -161,8 +159,9 @@ def remove_repeats(docs: DataFrame, least: int = RUN_WORDS, id_col: str = "doc_i
     edited = docs.withColumn("__ts_own", place_of(id_col, text_col)).join(runs, F.col("__ts_own") == F.col("__ts_key"), "left")
     text = F.col(text_col).cast("string")
     # one Python call gives text and spans; a document without runs keeps its text in the JVM
-    edited = edited.withColumn("__ts_cut", _cut()(F.when(F.col("__ts_runs").isNotNull(), text), F.col("__ts_runs")))
-    own = F.when(F.col("__ts_runs").isNotNull(), F.col("__ts_cut.text")).otherwise(F.coalesce(text, F.lit("")))
+    some = F.size("__ts_runs") > 0
+    edited = edited.withColumn("__ts_cut", _cut()(F.when(some, text), F.when(some, F.col("__ts_runs"))))
+    own = F.when(some, F.col("__ts_cut.text")).otherwise(F.coalesce(text, F.lit("")))
     edited = edited.withColumn("__ts_text", own).withColumn("__ts_spans", F.col("__ts_cut.spans"))
     return edited.withColumns({text_out: F.col("__ts_text"), spans_out: F.col("__ts_spans")}).drop("__ts_own", "__ts_key", "__ts_runs", "__ts_cut", "__ts_text", "__ts_spans")
 
