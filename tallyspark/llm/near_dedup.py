@@ -1,17 +1,19 @@
 """Near-duplicates by an LSH forest over MinHash signatures of word shingles.
 
 Every document becomes a set of 64-bit shingle hashes; documents with equal sets are one node. A node's signature has
-``TREES`` label sequences of ``DEPTH`` min-hash bytes. Each tree orders all nodes by its sequence, a range partitioning
-deals the orders out evenly, and sorted neighbours, which share the longest common prefixes, are the candidates: the
-depth at which two nodes meet follows how crowded their region is. A bit sketch carried by the row discards
-neighbours that cannot be similar; the rest are confirmed on their full sets, and links that hold become components.
-The forest grows in two steps. The first trees only look at near neighbours: they join nearly every group of copies,
-and lose nothing for good. In the other trees every two nodes of different components that share a prefix of
-``LEAST_PREFIX`` labels are compared, however many share it; a pair is named in the first tree where it does, unless
-its sketches or its first labels of all trees are too far apart. Rows of one component are passed over as a whole.
-
-Rows at the edges of the range partitions (a few for each partition) of the first trees are compared once more in one
-small step, so where a partition ends loses no neighbour.
+``TREES`` sequences of ``DEPTH`` min-hash labels, a tree each. Candidates are the nodes with the longest common prefixes
+in a tree, in two steps; all are confirmed on their full sets, and links that hold become components.
+
+1. Neighbours. The first trees' orders are sorted over all partitions and rows that stand close together and share a
+   prefix are compared. This joins nearly every group of copies; whatever it leaves out comes up again in step 2.
+2. Regions. In every tree, nodes of different components whose labels agree to ``DEPTHS[0]`` stand in one region; a
+   region of more than ``CROWD`` nodes is parted by the next labels, down to ``DEPTHS[-1]``, so the depth follows how
+   crowded it is. In the regions at the end all nodes of different components are compared, however many they are:
+   beyond ``BLOCK`` nodes by pairs of blocks, each a task's work of its own. A pair is named unless its set sizes or its
+   odd sketches (parities of shingles by hash) show that it differs in too many shingles; parities never show more
+   differences than there are, so for sets of ordinary size this drops no link at all.
+
+Two nodes of similarity 0.8 meet in a region of the least depth with a chance of 1 - 5e-8, of the greatest with 0.997.
 
 Defined results: null and empty texts and texts without words have the empty set and link with nothing, not with each
 other; rows with equal texts link; rows of a null id take part, and the smallest id ignores nulls; a null id is
@@ -31,16 +33,17 @@ from pyspark.sql import functions as F
 from .common import materialize, rows_per_slice
 from .graph import connected_components
 
-TREES, DEPTH = 32, 12
-SKETCH_BYTES = 24
+TREES, DEPTH = 32, 8
+DEPTHS = (4, 6, 8)
+CROWD, BLOCK = 512, 4096
+SKETCH_BYTES, ODD_BYTES = 24, 256
 NEIGHBOURS = 8
 LEAST_PREFIX = 2
 FIRST_TREES = 4
 SLICE_BYTES = 2 << 20
-MOST_BROADCAST_IDS = 1_000_000
+MOST_BROADCAST_ROWS = 1_000_000
 NODE, KEY = 16, 1 + DEPTH
-ROW = KEY + NODE + SKETCH_BYTES + NODE
-HEAD = 1 + LEAST_PREFIX
+ROW = KEY + NODE + SKETCH_BYTES
 NAMED = 50_000
 
 
@@ -101,6 +104,19 @@ def signature(shingles: np.ndarray, trees: int = TREES) -> bytes:
     return (mixed >> np.uint32(24)).astype(np.uint8).tobytes() + bits.tobytes()
 
 
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """For each of 8 * ODD_BYTES hash values whether an odd number of shingles has it."""
+    return np.packbits((np.bincount((shingles & np.uint64(8 * ODD_BYTES - 1)).astype(np.int64), minlength=8 * ODD_BYTES) & 1).astype(np.uint8)).tobytes()
+
+
+def most_odd(differing: np.ndarray) -> np.ndarray:
+    """Odd sketches of sets that differ in so many shingles differ in so many bits at most: never in more than that, and
+    (for large sets) not in more than six standard deviations over the mean."""
+    m = 8.0 * ODD_BYTES
+    mean, spread = m / 2 * (1 - np.exp(-2 * differing / m)), np.sqrt(m / 4 * (1 - np.exp(-4 * differing / m)))
+    return np.minimum(differing, mean + 6 * spread + 1)
+
+
 def _slices(batch: pa.RecordBatch, column: str):
     text = batch.column(column)
     lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
@@ -113,18 +129,17 @@ def node_of(shingles: np.ndarray) -> bytes | None:
 
 
 def _signatures(width: int, trees: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sig", pa.binary()), ("odd", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for s, texts in _slices(batch, "text"):
                 sets = shingle_sets(texts, width)
-                yield pa.record_batch(
-                    [batch.column("id").slice(s.start, s.stop - s.start), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.binary()), pa.array([signature(x, trees) if len(x) else None for x in sets], pa.binary())],
-                    schema=schema,
-                )
+                binary = lambda f: pa.array([f(x) if len(x) else None for x in sets], pa.binary())  # noqa: B023, E731
+                own = [batch.column(c).slice(s.start, s.stop - s.start) for c in ("id", "mark")]
+                yield pa.record_batch([*own, pa.array([len(x) for x in sets], pa.int64()), binary(node_of), binary(lambda x: signature(x, trees)), binary(odd_sketch)], schema=schema)
 
-    return run, "id bigint, n bigint, node binary, sig binary"
+    return run, "id bigint, mark bigint, n bigint, node binary, sig binary, odd binary"
 
 
 def _sets(width: int):
@@ -139,14 +154,19 @@ def _sets(width: int):
     return run, "node binary, shingles binary"
 
 
-def _tree_rows(first: int, end: int, trees: int):
+def _tree_rows(end: int, trees: int):
     schema = pa.schema([("row", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for node, sig, root in zip(*(batch.column(c).to_pylist() for c in ("node", "sig", "root")), strict=True):
-                tail = node + sig[trees * DEPTH :] + (root or node)
-                yield pa.record_batch([pa.array([bytes((t,)) + sig[t * DEPTH : (t + 1) * DEPTH] + tail for t in range(first, end)], pa.binary())], schema=schema)
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                sig, node = _matrix(part.column("sig"), trees * DEPTH + SKETCH_BYTES), _matrix(part.column("node"), NODE)
+                out = np.empty((len(sig), end, ROW), np.uint8)
+                out[:, :, 0] = np.arange(end)
+                out[:, :, 1:KEY] = sig[:, : end * DEPTH].reshape(len(sig), end, DEPTH)
+                out[:, :, KEY:] = np.concatenate([node, sig[:, trees * DEPTH :]], axis=1)[:, None]
+                yield pa.record_batch([_binary(out.reshape(-1, ROW))], schema=schema)
 
     return run, "row binary"
 
@@ -157,196 +177,190 @@ def _least_agreement(threshold: float) -> int:
     return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
 
 
-_FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("edge", pa.binary())])
-_FOUND_DDL = "a binary, b binary, edge binary"
-
-
 def _sure_agreement(threshold: float) -> int:
     """Equal sketch bits that only pairs well over the threshold have."""
     n, p = SKETCH_BYTES * 8, (3 + threshold) / 4
     return int(n * p + (n * p * (1 - p)) ** 0.5)
 
 
-def _candidates(m: np.ndarray, first: int, least: int, sure: int) -> tuple[list[bytes], list[bytes]]:
-    """Neighbouring rows of the sorted matrix ``m`` with different roots; the later one of a pair is at ``first`` or after.
+_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_PAIRS_DDL = "a binary, b binary"
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as an Arrow array."""
+    n, width = rows.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _in_order(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    """Pairs of the rows of two matrices of nodes, the lower node first."""
+    a, b = (np.ascontiguousarray(x).view(">u8").astype(np.uint64) for x in (one, two))
+    swap = ((a[:, 0] > b[:, 0]) | (a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))[:, None]
+    return pa.record_batch([_binary(np.where(swap, two, one)), _binary(np.where(swap, one, two))], schema=_PAIRS)
+
+
+def _candidates(m: np.ndarray, first: int, least: int, sure: int) -> np.ndarray:
+    """(row, row) of close rows of the sorted matrix ``m``; the later one of a pair is at ``first`` or after.
 
-    Beyond the next row, a pair is only named unless the rows between chain it by links that are as good as sure.
+    Beyond the next row, a pair is left out if the rows between chain it by links that are as good as sure.
     """
-    n, pairs = len(m), []
+    n, pairs = len(m), [np.zeros((0, 2), np.int64)]
     chain = np.zeros(n, bool)  # row i surely links with row i - 1
     for step in range(1, NEIGHBOURS + 1):
         if n <= step:
             break
         one, two = m[:-step], m[step:]
-        prefix = (one[:, : 1 + LEAST_PREFIX] == two[:, : 1 + LEAST_PREFIX]).all(axis=1)
-        i = np.flatnonzero(prefix)
-        i = i[(one[i, ROW - NODE :] != two[i, ROW - NODE :]).any(axis=1)]
-        agree = SKETCH_BYTES * 8 - np.bitwise_count(one[i, KEY + NODE : ROW - NODE] ^ two[i, KEY + NODE : ROW - NODE]).sum(axis=1, dtype=np.int64)
+        i = np.flatnonzero((one[:, : 1 + LEAST_PREFIX] == two[:, : 1 + LEAST_PREFIX]).all(axis=1))
+        agree = SKETCH_BYTES * 8 - np.bitwise_count(one[i, KEY + NODE :] ^ two[i, KEY + NODE :]).sum(axis=1, dtype=np.int64)
         if step == 1:
             chain[i[agree >= sure] + 1] = True
         i = i[agree >= least]
         if step > 1:
             i = i[~np.logical_and.reduce([chain[i + k] for k in range(1, step + 1)])]
         pairs.append(np.stack([i, i + step], axis=1))
-    found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    found = found[found[:, 1] >= first]
-    ids = m[:, KEY : KEY + NODE].tobytes()
-    left = [ids[i * NODE : (i + 1) * NODE] for i in found[:, 0]]
-    right = [ids[i * NODE : (i + 1) * NODE] for i in found[:, 1]]
-    return left, right
+    found = np.concatenate(pairs)
+    return found[found[:, 1] >= first]
 
 
-def _neighbours(least: int, sure: int, with_edges: bool):
+def _neighbours(least: int, sure: int):
     def run(batches):
-        last, begun = np.zeros((0, ROW), np.uint8), False
+        last = np.zeros((0, ROW), np.uint8)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.frombuffer(b"".join(batch.column("row").to_pylist()), np.uint8).reshape(-1, ROW)
-            m = np.concatenate([last, new])
-            a, b = _candidates(m, len(last), least, sure)
-            low = [min(x) for x in zip(a, b, strict=True)]
-            high = [max(x) for x in zip(a, b, strict=True)]
-            yield pa.record_batch([pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.nulls(len(low), pa.binary())], schema=_FOUND)
-            if with_edges and not begun:
-                yield _edges(new[:NEIGHBOURS])
-            begun, last = True, m[-NEIGHBOURS:]
-        if with_edges and begun:
-            yield _edges(last)
+            if batch.num_rows:
+                m = np.concatenate([last, _matrix(batch.column("row"), ROW)])
+                found = _candidates(m, len(last), least, sure)
+                node = m[:, KEY : KEY + NODE]
+                yield _in_order(node[found[:, 0]], node[found[:, 1]])
+                last = m[-NEIGHBOURS:]
 
     return run
 
 
-def _edges(rows: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(rows), pa.binary())
-    return pa.record_batch([none, none, pa.array([r.tobytes() for r in rows], pa.binary())], schema=_FOUND)
+def neighbour_pairs(nodes: DataFrame, threshold: float, end: int, trees: int = TREES) -> DataFrame:
+    """Pairs (a < b) of ``nodes`` (node, sig) that stand close together in the orders of the first ``end`` trees."""
+    run, ddl = _tree_rows(end, trees)
+    rows = nodes.select("node", "sig").mapInArrow(run, ddl).repartitionByRange("row").sortWithinPartitions("row")
+    return rows.mapInArrow(_neighbours(_least_agreement(threshold), _sure_agreement(threshold)), _PAIRS_DDL).distinct()
 
 
-def candidate_pairs(nodes: DataFrame, threshold: float, first: int, end: int, trees: int = TREES) -> DataFrame:
-    """``nodes``: node, sig and root (null: itself). Distinct pairs (a < b) of neighbours with different roots in the
-    orders of trees ``first`` to ``end`` - 1."""
-    run, ddl = _tree_rows(first, end, trees)
-    bounds = _least_agreement(threshold), _sure_agreement(threshold)
-    rows = nodes.mapInArrow(run, ddl).repartitionByRange("row").sortWithinPartitions("row")
-    found = materialize(rows.mapInArrow(_neighbours(*bounds, True), _FOUND_DDL), "forest")
-    edges = found.where("edge IS NOT NULL").select(F.col("edge").alias("row")).distinct().coalesce(1).sortWithinPartitions("row")
-    across = edges.mapInArrow(_neighbours(*bounds, False), _FOUND_DDL)
-    return found.where("edge IS NULL").select("a", "b").union(across.select("a", "b")).where("a <> b").distinct()
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    """The rows of a byte matrix as an Arrow array."""
-    n, width = rows.shape
-    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(width)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+def _joinable(df: DataFrame) -> DataFrame:
+    """A written table: broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST_ROWS else df
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+def regions(nodes: DataFrame, trees: int = TREES) -> DataFrame:
+    """``nodes``: node, sig, root. (region, n, node) of the nodes of every region that holds several roots, each as deep
+    as its crowd wants. Counts have partial sums, so a crowded region is never gathered here."""
+    keys = ", ".join(f"'k{d}', xxhash64(t, substring(sig, t * {DEPTH} + 1, {d}))" for d in DEPTHS)
+    each = F.explode(F.expr(f"transform(sequence(0, {trees - 1}), t -> named_struct({keys}))"))
+    live = nodes.select("node", F.xxhash64("root").alias("rh"), each.alias("k")).select("node", "rh", "k.*")
+    found = None
+    for d in DEPTHS:
+        key = f"k{d}"
+        mixed = live.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("rh").alias("low"), F.max("rh").alias("high")).where("low < high").select(key, "n")
+        mixed = materialize(mixed, "regions")
+        last = d == DEPTHS[-1]
+        ready, crowded = (mixed, None) if last else (mixed.where(F.col("n") <= CROWD), mixed.where(F.col("n") > CROWD).select(key))
+        members = live.join(_joinable(ready), key).select(F.col(key).alias("region"), "n", "node")
+        found = members if found is None else found.union(members)
+        if last or crowded.isEmpty():
+            return found
+        live = materialize(live.join(_joinable(crowded), key, "left_semi"), "crowded")
 
 
-def _head_rows(first: int, end: int, trees: int):
-    """For each tree a row of tree, first labels, root, node, sketch and the first labels of all trees."""
-    schema = pa.schema([("row", pa.binary())])
-    at = np.arange(trees)[:, None] * DEPTH + np.arange(LEAST_PREFIX)
+def _may_link(i: np.ndarray, j: np.ndarray, size: np.ndarray, odd: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows i and j can be similar by their set sizes and odd sketches."""
+    a, b = size[i], size[j]
+    may = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    k = np.flatnonzero(may)
+    bits = np.bitwise_count(odd[i[k]] ^ odd[j[k]]).sum(axis=1, dtype=np.int64)
+    may[k] = bits <= most_odd(np.floor((a[k] + b[k]) * (100 - percent) / (100 + percent)))
+    return may
 
-    def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                sig = _matrix(batch.column("sig"), trees * DEPTH + SKETCH_BYTES)
-                node = _matrix(batch.column("node"), NODE)
-                root = _matrix(pc.coalesce(batch.column("root"), batch.column("node")), NODE)
-                heads = sig[:, at]
-                tail = np.concatenate([root, node, sig[:, trees * DEPTH :], heads.reshape(len(sig), -1)], axis=1)
-                out = np.empty((len(sig), end - first, HEAD + tail.shape[1]), np.uint8)
-                out[:, :, 0] = np.arange(first, end)
-                out[:, :, 1:HEAD] = heads[:, first:end]
-                out[:, :, HEAD:] = tail[:, None]
-                yield pa.record_batch([_binary(out.reshape(-1, out.shape[2]))], schema=schema)
 
-    return run, "row binary"
+_SPOT = 8 + 4 + 4  # region and its two blocks
 
 
-def _pairs_of_runs(m: np.ndarray, first: int, trees: int, least: int, least_heads: int):
-    """Matrices (low node, high node) of the pairs in whole runs of one tree and prefix, rows sorted by run and root."""
-    n, sketch_at = len(m), HEAD + 2 * NODE
+def _pairs_of_regions(m: np.ndarray, percent: int):
+    """Pairs (matrices of nodes) of the whole regions in ``m``: rows of spot, root, own block, set size, node, odd sketch,
+    sorted by spot and root."""
+    n, at = len(m), _SPOT
 
     def ends(columns: int) -> np.ndarray:
         change = np.flatnonzero((m[1:, :columns] != m[:-1, :columns]).any(axis=1)) + 1
         return np.append(change, n)[np.searchsorted(change, np.arange(n), side="right")]
 
-    run_end, next_root = ends(HEAD), ends(HEAD + NODE)
+    run_end, next_root = ends(at), ends(at + 8)
+    own = np.ascontiguousarray(m[:, at + 8 : at + 12]).view(">u4")[:, 0]
+    size = np.ascontiguousarray(m[:, at + 12 : at + 20]).view(">u8")[:, 0].astype(np.int64)
+    node = m[:, at + 20 : at + 20 + NODE]
+    odd = np.ascontiguousarray(m[:, at + 20 + NODE :]).view(np.uint64)
+    one_block = (m[:, 8:12] == m[:, 12:16]).all(axis=1)
     i = np.flatnonzero(next_root < run_end)
-    if not len(i):
-        return
     j = next_root[i]
-    node = np.ascontiguousarray(m[:, HEAD + NODE : sketch_at])
-    order = node.view(">u8").astype(np.uint64)
-    sketch = np.ascontiguousarray(m[:, sketch_at : sketch_at + SKETCH_BYTES]).view(np.uint64)
-    heads = m[:, sketch_at + SKETCH_BYTES :].reshape(n, trees, LEAST_PREFIX)
     while len(i):
-        agree = SKETCH_BYTES * 8 - np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-        on = agree >= least
+        on = one_block[i] | (own[i] != own[j])
+        on[on] = _may_link(i[on], j[on], size, odd, percent)
         if on.any():
-            a, b = i[on], j[on]
-            equal = heads[a] == heads[b]
-            met = equal[:, first:].all(axis=2).argmax(axis=1) + first  # the first tree in which the two meet
-            on = (met == m[a, 0]) & (equal.sum(axis=(1, 2)) >= least_heads)
-            a, b = a[on], b[on]
-            swap = (order[a, 0] > order[b, 0]) | (order[a, 0] == order[b, 0]) & (order[a, 1] > order[b, 1])
-            yield node[np.where(swap, b, a)], node[np.where(swap, a, b)]
+            yield node[i[on]], node[j[on]]
         j = j + 1
         more = j < run_end[i]
         i, j = i[more], j[more]
 
 
-def _whole_runs(first: int, trees: int, threshold: float):
-    width = HEAD + 2 * NODE + SKETCH_BYTES + trees * LEAST_PREFIX
-    least = _least_agreement(threshold)
-    k = trees * LEAST_PREFIX
-    least_heads = int(k * threshold - 4.5 * (k * threshold * (1 - threshold)) ** 0.5)
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _whole_regions(percent: int):
+    width = _SPOT + 8 + 4 + 8 + NODE + ODD_BYTES
 
-    def named(held):
-        low, high, n = [], [], 0
-        for a, b in _pairs_of_runs(np.concatenate(held), first, trees, least, least_heads):
-            low.append(a)
-            high.append(b)
+    def named(m):
+        one, two, n = [], [], 0
+        for a, b in _pairs_of_regions(m, percent):
+            one.append(a)
+            two.append(b)
             n += len(a)
             if n >= NAMED:
-                yield pa.record_batch([_binary(np.concatenate(low)), _binary(np.concatenate(high))], schema=schema)
-                low, high, n = [], [], 0
+                yield _in_order(np.concatenate(one), np.concatenate(two))
+                one, two, n = [], [], 0
         if n:
-            yield pa.record_batch([_binary(np.concatenate(low)), _binary(np.concatenate(high))], schema=schema)
+            yield _in_order(np.concatenate(one), np.concatenate(two))
 
     def run(batches):
-        held: list[np.ndarray] = []  # ends with a run that may go on
+        held: list[np.ndarray] = []  # a region that may go on: 2 * BLOCK rows at most, as blocks come in pairs
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = _matrix(batch.column("row"), width)
-            last = len(new) - int((new[:, :HEAD] == new[-1, :HEAD]).all(axis=1).sum())  # where the last run starts
-            if last:
-                yield from named([*held, new[:last]])
-                held = [new[last:]]
+            same = (new[:, :_SPOT] == new[-1, :_SPOT]).all(axis=1)
+            start = len(new) if not same.any() else int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if start:
+                yield from named(np.concatenate([*held, new[:start]]))
+                held = [new[start:]]
             else:
-                if held and (held[-1][-1, :HEAD] != new[0, :HEAD]).any():
-                    yield from named(held)
+                if held and (held[-1][-1, :_SPOT] != new[0, :_SPOT]).any():
+                    yield from named(np.concatenate(held))
                     held = []
                 held.append(new)
         if held:
-            yield from named(held)
+            yield from named(np.concatenate(held))
 
     return run
 
 
-def pairs_in_runs(nodes: DataFrame, threshold: float, first: int, end: int, trees: int = TREES) -> DataFrame:
-    """``nodes``: node, sig and root (null: itself). All pairs (a < b) of different roots that share the first labels
-    in one of the trees ``first`` to ``end`` - 1, each once, less those that sketch and labels show to be too far apart."""
-    run, ddl = _head_rows(first, end, trees)
-    rows = nodes.select("node", "sig", "root").mapInArrow(run, ddl)
-    return rows.repartition(F.substring("row", 1, HEAD)).sortWithinPartitions("row").mapInArrow(_whole_runs(first, trees, threshold), "a binary, b binary")
+def region_pairs(nodes: DataFrame, percent: int, trees: int = TREES) -> DataFrame:
+    """``nodes``: node, sig, root, n, odd. Pairs (a < b) of different roots that share a region and may be similar."""
+    members = regions(nodes, trees).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spots = members.select("region", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    big_endian = lambda c, kind: F.expr(f"unhex(lpad(hex(cast({c} AS bigint)), {kind}, '0'))")
+    spots = spots.select("node", "own", F.concat(big_endian("region", 16), big_endian("least(own, other)", 8), big_endian("greatest(own, other)", 8)).alias("spot"))
+    heavy = nodes.select("node", F.concat(big_endian("xxhash64(root)", 16)).alias("rh"), F.concat(big_endian("n", 16), "node", "odd").alias("rest"))
+    rows = spots.join(heavy, "node").select(F.concat("spot", "rh", big_endian("own", 8), "rest").alias("row"))
+    return rows.repartition(F.substring("row", 1, _SPOT)).sortWithinPartitions("row").mapInArrow(_whole_regions(percent), _PAIRS_DDL).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -367,39 +381,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close).where(held("one", "two")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
-    """Rows of id, n_shingles, component_id (the smallest id reachable over links) and kept."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, marks: bool = False) -> DataFrame:
+    """Rows of id, n_shingles, component_id (the smallest id reachable over links) and kept.
+
+    ``marks`` adds the text's hash as text_mark, and first: whether id and hash are the component's first ones. With
+    repeated or null ids, that names one text of each component where kept does not."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     run, ddl = _signatures(width, trees)
-    signed = materialize(plain.mapInArrow(run, ddl), "signatures")
-    named = signed.where("node IS NOT NULL")
-    nodes = named.groupBy("node").agg(F.first("sig").alias("sig"))
+    signed = materialize(plain.select("id", "mark", "text").mapInArrow(run, ddl), "signatures")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least")
+    nodes = materialize(signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.first("n").alias("n"), least), "nodes")
 
-    def confirmed(roots: DataFrame | None, first: int, end: int) -> DataFrame:
-        if roots is None:
-            named_pairs = candidate_pairs(nodes.withColumn("root", F.lit(None).cast("binary")), percent / 100, first, end, trees)
-        else:
-            named_pairs = pairs_in_runs(nodes.join(roots, "node", "left"), percent / 100, first, end, trees)
-        pairs = materialize(named_pairs, "candidates")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "candidates")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         # a node's document is that of its smallest id; ids alone go along, its text is read where it lies
-        wanted = materialize(named.select("node", "id").groupBy("node").agg(F.min("id").alias("want")).join(ends, "node", "left_semi").select("want").distinct(), "wanted")
-        wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
+        wanted = _joinable(materialize(nodes.join(ends, "node", "left_semi").select(F.col("least.id").alias("want")).distinct(), "wanted"))
         run, ddl = _sets(width)
         texts = plain.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi")
         sets = materialize(texts.select("text").mapInArrow(run, ddl).dropDuplicates(["node"]), "sets")
         return materialize(_confirmed(pairs, sets, percent), "links")
 
-    early = min(FIRST_TREES, trees)
-    links = confirmed(None, 0, early)
-    roots = connected_components(links)
-    roots = connected_components(links.union(confirmed(roots, early if early < trees else 0, trees)))
-
-    member = signed.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    linked = member.where("root IS NOT NULL")
-    least = linked.groupBy("root").agg(F.min("id").alias("least"))
-    whole = linked.join(least, "root").select("id", "n", "least").union(member.where("root IS NULL").select("id", "n", F.col("id").alias("least")))
-    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("id").eqNullSafe(F.col("least")).alias("kept"))
+    links = confirmed(neighbour_pairs(nodes, percent / 100, min(FIRST_TREES, trees), trees))
+    rooted = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = connected_components(links.union(confirmed(region_pairs(rooted, percent, trees))))
+
+    # component by node first, so that rows of one text or one component are not gathered by it
+    linked = roots.union(roots.select("root", "root").distinct())
+    of_root = nodes.select("node", "least").join(linked, "node").groupBy("root").agg(F.min("least").alias("whole"))
+    of_node = linked.join(_joinable(materialize(of_root, "component-ids")), "root").select("node", "whole")
+    of_node = nodes.select("node", "least").join(of_node, "node", "left").select("node", F.coalesce("whole", "least").alias("least"))
+    told = signed.select("id", "mark", "n", "node").join(of_node, "node", "left").withColumn("found", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least.id")))
+    first = F.col("node").isNull() | F.col("id").eqNullSafe(F.col("least.id")) & F.col("mark").eqNullSafe(F.col("least.mark"))
+    kept = F.col("id").eqNullSafe(F.col("found")).alias("kept")
+    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("found").alias("component_id"), kept, *([F.col("mark").alias("text_mark"), first.alias("first")] if marks else []))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
