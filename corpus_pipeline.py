@@ -5,7 +5,7 @@ stage's docs. All but the last return the columns of docs.
 
 1. quality: documents that the co-trained classifier scores under 0.5 go.
 2. near_dedup: one document of each group of near-duplicates (5-word shingles, similarity 0.8) stays, the one with the
-   smallest id.
+   smallest id (null ids last; of several texts of one id the one whose hash is smallest; of equal rows one).
 3. substring_dedup: runs of repeated clauses of at least 35 words stay in their earliest document only; a document's
    text and n_chars are what is left of it. Documents stay, even with an empty text.
 4. decontamination: documents that hold a 10-word window of a benchmark item go.
@@ -25,9 +25,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs, width=5, percent=80)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__ts_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__ts_gone")), "left_anti")
+    found = near_dedup.near_duplicates(docs, width=5, percent=80, marks=True)
+    found = found.select(F.col("doc_id").alias("__ts_id"), F.col("text_mark").alias("__ts_mark"), "first", (F.col("n_shingles") > 0).alias("some"))
+    found = materialize(found, "near-dedup-decisions")
+    same = F.col("doc_id").eqNullSafe(F.col("__ts_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("__ts_mark"))
+    left = docs.join(found.where("NOT first"), same, "left_anti")
+    again = materialize(found.where("first AND some").groupBy("__ts_id", "__ts_mark").count().where("count > 1"), "repeated-rows")
+    if again.isEmpty():
+        return left
+    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same, "left_anti").union(once)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
