@@ -70,6 +70,17 @@ def test_stages_keep_columns_and_take_empty_tables(spark, folder):
         assert out.columns == docs.columns and out.count() == 0, name
 
 
+def test_near_dedup_stage_with_null_and_repeated_ids(spark, folder):
+    kind = spark.read.parquet(f"{folder}/documents.parquet").schema
+    long = " ".join(f"w{k}" for k in range(30))
+    texts = [(None, long), (1, long), (None, "quite another text of no id"), (None, "quite another text of no id"), (2, "b c d e f g"), (2, "h i j k l m"), (3, "B c d e f g"), (4, None), (None, ""), (5, "n o p q r s"), (5, "n o p q r s")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], kind)
+    got = corpus_pipeline.near_dedup_stage(spark, docs, folder)
+    assert got.columns == docs.columns
+    left = sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=repr)
+    assert left == sorted([(1, long), (None, "quite another text of no id"), (2, "b c d e f g"), (2, "h i j k l m"), (4, None), (None, ""), (5, "n o p q r s")], key=repr)
+
+
 def test_substring_stage_counts_what_is_left(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for x in corpus_pipeline.substring_dedup_stage(spark, docs, folder).collect():
