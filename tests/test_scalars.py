@@ -54,12 +54,12 @@ def test_payee(spark, ind, creditor, debtor, remittance, want):
     assert one(spark, expr, i=(ind, "string"), c=(creditor, "string"), d=(debtor, "string"), r=(remittance, "string")) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("hello  WORLD", "Hello World"), (" o'neil\tSHOP ", "O'neil Shop"), ("", "")])
+@pytest.mark.parametrize(("text", "want"), [("green  TEAPOT", "Green Teapot"), (" o'neil\tSHOP ", "O'neil Shop"), ("", "")])
 def test_title_case(spark, text, want):
     assert one(spark, fn.title_case("t"), t=(text, "string")) == want
 
 
-@pytest.mark.parametrize(("x", "want"), [(3.14, "3.14"), (42.0, "42"), (1e6, "1e+06"), (1234567.0, "1.234567e+06"), (123456789.0, "1.23456789e+08"), (0.00001, "1e-05"), (0.0001, "0.0001"), (-0.5, "-0.5"), (0.0, "0"), (999999.5, "999999.5")])
+@pytest.mark.parametrize(("x", "want"), [(2.75, "2.75"), (88.0, "88"), (1e6, "1e+06"), (1234567.0, "1.234567e+06"), (123456789.0, "1.23456789e+08"), (0.00001, "1e-05"), (0.0001, "0.0001"), (-0.5, "-0.5"), (0.0, "0"), (999999.5, "999999.5")])
 def test_general_format(spark, x, want):
     from tallyspark.operators import rules
 
@@ -68,17 +68,17 @@ def test_general_format(spark, x, want):
 
 
 def test_value_codec(spark):
-    assert one(spark, fn.encode_text("v"), v=("hello", "string")) == "S:hello"
-    assert one(spark, fn.encode_number("v"), v=(-100, "long")) == "N:-100"
-    assert one(spark, fn.encode_number("v"), v=(3.14, "double")) == "N:3.14"
+    assert one(spark, fn.encode_text("v"), v=("teapot", "string")) == "S:teapot"
+    assert one(spark, fn.encode_number("v"), v=(-412, "long")) == "N:-412"
+    assert one(spark, fn.encode_number("v"), v=(2.75, "double")) == "N:2.75"
     assert one(spark, fn.encode_text("v"), v=(None, "string")) == "0:"
     assert one(spark, fn.encode_other("v"), v=(True, "boolean")) == "S:true"
-    for text, word, number in [("S:", "", None), ("N:-7", None, -7.0), ("0:", None, None), ("", None, None), ("X:foo", None, None), ("N:x", None, None)]:
+    for text, word, number in [("S:", "", None), ("N:-7", None, -7.0), ("0:", None, None), ("", None, None), ("Q:odd", None, None), ("N:x", None, None)]:
         assert one(spark, fn.decode_text("v"), v=(text, "string")) == word
         assert one(spark, fn.decode_number("v"), v=(text, "string")) == number
 
 
-@pytest.mark.parametrize(("clock", "want"), [("2024-03-15T10:30:45.123Z-0042-ABCDEF1234567890", (0x42, "ABCDEF1234567890")), ("", None), ("notavalidtimestamp", None), ("2024-03-15T10:30:45.123Z-onlyone", None)])
+@pytest.mark.parametrize(("clock", "want"), [("2019-07-02T23:05:09.004Z-01F7-00C0FFEE00C0FFEE", (0x1F7, "00C0FFEE00C0FFEE")), ("", None), ("no clock at all", None), ("2019-07-02T23:05:09.004Z-01F7", None)])
 def test_clock(spark, clock, want):
     got = one(spark, fn.parse_clock("c"), c=(clock, "string"))
     assert (got and (got["counter"], got["client"])) == want
@@ -88,17 +88,17 @@ def test_clock_counter_is_never_cut(spark):
     assert one(spark, fn.format_clock(F.lit("2024-01-01").cast("timestamp"), "n", F.lit("c")), n=(0x12345, "long")).endswith("Z-12345-c")
 
 
-@pytest.mark.parametrize(("iban", "want"), [("DE001234567890", "DE00******7890"), ("12345678", "12345678"), ("", "")])
+@pytest.mark.parametrize(("iban", "want"), [("NL55BANK0417164300", "NL55**********4300"), ("NL554300", "NL554300"), ("", "")])
 def test_mask_iban(spark, iban, want):
     assert one(spark, fn.mask_iban("i"), i=(iban, "string")) == want
 
 
-@pytest.mark.parametrize(("a", "b", "newer"), [("1.26.15.1", "1.26.14.99", True), ("1.27.1.1", "1.26.52.99", True), ("1.2.3.4", "1.2.3.4", False), ("1.x.3", "1.0.2.9", True)])
+@pytest.mark.parametrize(("a", "b", "newer"), [("2.9.31.7", "2.9.30.88", True), ("3.0.0.1", "2.99.99.99", True), ("5.6.7.8", "5.6.7.8", False), ("4.y.2", "4.0.1.5", True)])
 def test_versions(spark, a, b, newer):
     assert one(spark, fn.is_newer("a", "b"), a=(a, "string"), b=(b, "string")) is newer
 
 
-@pytest.mark.parametrize(("tag", "ok"), [("1.26.14.42", True), ("latest", False), ("v1.0.0", False), ("1.26.14", False)])
+@pytest.mark.parametrize(("tag", "ok"), [("1.0.31.6", True), ("nightly", False), ("v1.0.31.6", False), ("1.0.31", False), ("2.0.31.6", False)])
 def test_release_tag(spark, tag, ok):
     assert one(spark, fn.is_release_tag("t"), t=(tag, "string")) is ok
 
