@@ -411,6 +411,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     of_root = nodes.select("node", "least").join(linked, "node").groupBy("root").agg(F.min("least").alias("whole"))
     of_node = linked.join(_joinable(materialize(of_root, "component-ids")), "root").select("node", "whole")
     of_node = nodes.select("node", "least").join(of_node, "node", "left").select("node", F.coalesce("whole", "least").alias("least"))
+    of_node = materialize(of_node, "node-ids")  # read back, the next join stands alone and a text of many rows can be split
     told = signed.select("id", "mark", "n", "node").join(of_node, "node", "left").withColumn("found", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least.id")))
     first = F.col("node").isNull() | F.col("id").eqNullSafe(F.col("least.id")) & F.col("mark").eqNullSafe(F.col("least.mark"))
     kept = F.col("id").eqNullSafe(F.col("found")).alias("kept")
