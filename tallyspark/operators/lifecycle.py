@@ -1,51 +1,141 @@
 """One sync cycle: pending and booked feed rows against known references, pending keys and the ledger.
 
-The set-based path settles rows that are alone with their key in the batch; a key's rows that come together are
-settled in feed order by ``fold_keys``.
+Pending keys and references are known by their text alone, whatever the account; ledger rows belong to accounts. Rows
+of one key follow each other in feed order, as each depends on what the rows before it did: the feed is dealt by key,
+sorted inside partitions, and every key is walked once in constant memory. Everything else is set-based.
 """
 
+from collections.abc import Iterator
+from types import SimpleNamespace
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as fn
-from . import reconcile as rc
-
-BRANCHES = ("pending_known", "pending_new", "ref_known", "confirmed", "pending_gone", "booked")
+from .store import stable_id
 
 
 def with_keys(feed: DataFrame) -> DataFrame:
     return feed.withColumn("pending_key", fn.pending_key("entry_ref", "date", "amount_cents"))
 
 
-def branch(feed: DataFrame, refs: DataFrame, pending: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Each feed row with the branch it takes. refs: ref; pending: key, txn_id (of ledger rows by id)."""
-    known = refs.select(F.col("ref").alias("entry_ref"), F.lit(True).alias("ref_known")).distinct()
-    waiting = pending.select(F.col("key").alias("pending_key"), F.col("txn_id").alias("pending_id"))
-    live = ledger.select(F.col("id").alias("pending_id"), F.lit(True).alias("ledger_has"))
-    x = with_keys(feed).join(known, "entry_ref", "left").join(waiting, "pending_key", "left").join(live, "pending_id", "left")
-    waits, listed = F.col("pending_id").isNotNull(), F.coalesce("ref_known", F.lit(False)) & (F.col("entry_ref") != "")
-    step = (
-        F.when((F.col("status") == "PDNG") & waits, "pending_known").when(F.col("status") == "PDNG", "pending_new").when(listed, "ref_known")
-        .when(waits & F.coalesce("ledger_has", F.lit(False)), "confirmed").when(waits, "pending_gone").otherwise("booked")
+def _with_state(feed: DataFrame, refs: DataFrame, pending: DataFrame, ledger: DataFrame, payee_ids: DataFrame) -> DataFrame:
+    """Feed rows with what was known before the batch: their reference, their pending row and its account, the ledger
+    row of their account with their reference (newest date, then first), and their payee's id."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    x = with_keys(feed.withColumn("entry_ref", text("entry_ref"))).withColumn("title", fn.title_case(text("payee")))
+    known = refs.where("ref <> ''").select(F.col("ref").alias("entry_ref"), F.lit(True).alias("ref_known")).distinct()
+    waiting = pending.groupBy(F.col("key").alias("pending_key")).agg(F.max("txn_id").alias("pending_value"))
+    waiting = waiting.withColumn("pending_id", fn.split_pending("pending_value")["txn_id"]).drop("pending_value")
+    row = F.struct("id", "account", "amount_cents", text("notes").alias("notes"), text("payee_id").alias("payee_id"), text("payee_name").alias("payee_name"), "cleared", text("imported_payee").alias("imported_payee"))
+    waiting = waiting.join(ledger.select(F.col("id").alias("pending_id"), row.alias("pending_row")), "pending_id", "left")
+    named = ledger.where("coalesce(financial_id, '') <> ''").groupBy("account", F.col("financial_id").alias("entry_ref")).agg(F.max_by(row, F.struct("date", -F.col("ord"))).alias("own"))
+    payees = payee_ids.groupBy(F.col("name").alias("title")).agg(F.min("id").alias("payee_id"))
+    x = x.join(known, "entry_ref", "left").join(waiting, "pending_key", "left").join(named, ["account", "entry_ref"], "left").join(payees, "title", "left")
+    new_id = stable_id(F.lit("txn"), F.col("account").cast("string"), F.col("entry_ref"), F.col("date").cast("string"), F.col("amount_cents").cast("string"), F.col("feed_ord").cast("string"))
+    return x.select(
+        "pending_key", "feed_ord", "account", "status", "date", "amount_cents", "entry_ref", text("payee").alias("payee"), text("notes").alias("notes"), "title",
+        F.coalesce("payee_id", F.when(F.col("title") != "", stable_id(F.lit("payee"), F.col("title"))), F.lit("")).alias("payee_id"), new_id.alias("new_id"),
+        F.coalesce("ref_known", F.lit(False)).alias("ref_known"), "pending_id", "pending_row", "own",
     )
-    return x.withColumn("branch", step).drop("ref_known", "ledger_has")
-
-
-def settle(feed: DataFrame, refs: DataFrame, pending: DataFrame, ledger: DataFrame, payee_ids: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """Branch, reconciliation and counters of each row of a batch whose pending keys are distinct."""
-    taken = branch(feed, refs, pending, ledger)
-    open_rows = taken.where(F.col("branch").isin("pending_new", "pending_gone", "booked")).withColumn("cleared", F.col("status") != "PDNG")
-    done = rc.reconcile(open_rows, ledger, payee_ids, fuzzy).select("feed_ord", "ledger_id", "how", (F.col("changed") | F.col("was_created")).alias("touched"))
-    x = taken.join(done, "feed_ord", "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
-    b = F.col("branch")
-    added = b.isin("pending_new", "pending_gone", "booked") & F.col("touched")
-    skipped = b.isin("pending_known", "ref_known") | (b.isin("pending_new", "booked") & ~F.col("touched"))
-    new_ref = (F.col("entry_ref") != "") & (b.isin("confirmed", "pending_gone") | ((b == "booked") & F.col("touched")))
+
+
+_SETTLED_DDL = (
+    "feed_ord bigint, account bigint, status string, pending_key string, entry_ref string, date date, amount_cents bigint, branch string, how string, ledger_id string, changed boolean, "
+    "notes string, payee_id string, payee_name string, cleared boolean, imported_payee string"
+)
+_SETTLED = pa.schema(
+    [("feed_ord", pa.int64()), ("account", pa.int64()), ("status", pa.string()), ("pending_key", pa.string()), ("entry_ref", pa.string()), ("date", pa.date32()), ("amount_cents", pa.int64()), ("branch", pa.string()), ("how", pa.string()), ("ledger_id", pa.string()), ("changed", pa.bool_())]
+    + [("notes", pa.string()), ("payee_id", pa.string()), ("payee_name", pa.string()), ("cleared", pa.bool_()), ("imported_payee", pa.string())]
+)
+
+
+class _Key:
+    """What is known of one pending key while its rows go by."""
+
+    def __init__(self, r: SimpleNamespace):
+        self.name, self.booked = r.pending_key, r.ref_known
+        self.waits = r.pending_row or {"id": r.pending_id, "account": None} if r.pending_id is not None else None
+        self.rows: dict[int, dict] = {}  # the ledger row with the key's reference, by account, as it is by now
+
+    def step(self, r: SimpleNamespace) -> dict:
+        self.booked |= r.ref_known
+        if r.own is not None:
+            self.rows.setdefault(r.account, dict(r.own))
+        if r.status == "PDNG":
+            if self.waits is not None:
+                return {"branch": "pending_known"}
+            row, done = self.reconcile(r, False)
+            if done["changed"]:
+                self.waits = row
+            return {"branch": "pending_new", **done}
+        if r.entry_ref and self.booked:
+            return {"branch": "ref_known"}
+        if self.waits is None:
+            _, done = self.reconcile(r, True)
+            self.booked |= bool(r.entry_ref) and done["changed"]
+            return {"branch": "booked", **done}
+        row, self.waits, self.booked = self.waits, None, self.booked or bool(r.entry_ref)
+        if row["account"] != r.account:  # not among the account's rows: the pending row is gone
+            return {"branch": "pending_gone", **self.reconcile(r, True)[1]}
+        row = self.rows[r.account] if r.account in self.rows and self.rows[r.account]["id"] == row["id"] else row
+        row["cleared"] = True
+        return {"branch": "confirmed", "how": "pending", "changed": True, **_values(row)}
+
+    def reconcile(self, r: SimpleNamespace, cleared: bool) -> tuple[dict, dict]:
+        """The account's row with the reference after the feed row's values, or a new row. An empty value changes
+        nothing, cleared follows the feed, and the imported payee is only filled when empty."""
+        row = self.rows.get(r.account) if r.entry_ref else None
+        if row is None:
+            row = {"id": r.new_id, "account": r.account, "amount_cents": r.amount_cents, "notes": r.notes, "payee_id": r.payee_id, "payee_name": r.title, "cleared": cleared, "imported_payee": r.payee}
+            if r.entry_ref:
+                self.rows[r.account] = row
+            return row, {"how": "created", "changed": True, **_values(row)}
+        new = {"cleared": cleared}
+        if r.notes:
+            new["notes"] = r.notes
+        if r.title and r.title != row["payee_name"] and r.payee_id != row["payee_id"]:
+            new |= {"payee_id": r.payee_id, "payee_name": r.title}
+        if r.payee and not row["imported_payee"]:
+            new["imported_payee"] = r.payee
+        changed = any(row[k] != v for k, v in new.items())
+        row |= new
+        return row, {"how": "exact", "changed": changed, **_values(row)}
+
+
+def _values(row: dict) -> dict:
+    """A ledger row's id and values as columns of the settled row."""
+    return {"ledger_id": row["id"], **{k: row[k] for k in ("amount_cents", "notes", "payee_id", "payee_name", "cleared", "imported_payee")}}
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key = None
+    same = ("feed_ord", "account", "status", "pending_key", "entry_ref", "date", "amount_cents")
+    for batch in batches:
+        out = []
+        for x in batch.to_pylist():
+            r = SimpleNamespace(**x)
+            if key is None or key.name != r.pending_key:
+                key = _Key(r)
+            out.append({"changed": False, **{k: x[k] for k in same}, **key.step(r)})
+        yield pa.RecordBatch.from_pylist(out, _SETTLED)
+
+
+def settle(feed: DataFrame, refs: DataFrame, pending: DataFrame, ledger: DataFrame, payee_ids: DataFrame) -> DataFrame:
+    """Every feed row with its branch, how its ledger row was found (pending, exact, created; null: not looked for),
+    that row's id and values after it (amount_cents is the feed's if there is none), and the counters it moves.
+
+    refs: ref; pending: key, txn_id ("id" or "id|day"); payee_ids: name, id. feed_ord is the order of the whole cycle."""
+    known = _with_state(feed, refs, pending, ledger, payee_ids)
+    x = known.repartition("pending_key").sortWithinPartitions("pending_key", "feed_ord").mapInArrow(_walk, _SETTLED_DDL)
+    b, touched = F.col("branch"), F.col("changed")
+    added = b.isin("pending_new", "pending_gone", "booked") & touched
+    skipped = b.isin("pending_known", "ref_known") | (b.isin("pending_new", "booked") & ~touched)
+    new_ref = (F.col("entry_ref") != "") & (b.isin("confirmed", "pending_gone") | ((b == "booked") & touched))
     return x.select(
-        "feed_ord", "account", "status", "branch", F.coalesce("ledger_id", "pending_id").alias("ledger_id"), "how", "pending_key", "entry_ref", "date",
-        added.alias("added"), (b == "confirmed").alias("confirmed"), skipped.alias("skipped"), new_ref.alias("new_ref"),
-        ((b == "pending_new") & F.col("touched")).alias("sets_pending"), b.isin("confirmed", "pending_gone").alias("drops_pending"),
+        "*", added.alias("added"), (b == "confirmed").alias("confirmed"), skipped.alias("skipped"), new_ref.alias("new_ref"), ((b == "pending_new") & touched).alias("sets_pending"),
+        b.isin("confirmed", "pending_gone").alias("drops_pending"), (b.isin("confirmed", "pending_gone") | ((b == "booked") & touched)).alias("for_rules"),
     )
 
 
@@ -63,10 +153,10 @@ def next_refs(refs: DataFrame, settled: DataFrame, as_of: Column, days: int = 21
 
 
 def next_pending(pending: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pending keys (key, txn_id) after the cycle; the last row of a key wins."""
-    gone = settled.where("drops_pending").select(F.col("pending_key").alias("key")).distinct()
-    new = settled.where("sets_pending").groupBy(F.col("pending_key").alias("key")).agg(F.max_by(F.concat_ws("|", F.coalesce("ledger_id", F.concat(F.lit("new-"), F.col("feed_ord"))), F.date_format("date", "yyyy-MM-dd")), "feed_ord").alias("txn_id"))
-    return pending.select("key", "txn_id").join(gone, "key", "left_anti").join(new.select("key"), "key", "left_anti").unionByName(new)
+    """Pending keys (key, txn_id as "id|day") after the cycle: the last row that set or dropped a key decides."""
+    moved = settled.where("sets_pending OR drops_pending").groupBy(F.col("pending_key").alias("key")).agg(F.max_by(F.struct("sets_pending", F.concat_ws("|", "ledger_id", F.date_format("date", "yyyy-MM-dd")).alias("value")), "feed_ord").alias("last"))
+    kept = pending.select("key", "txn_id").join(moved.select("key"), "key", "left_anti")
+    return kept.unionByName(moved.where("last.sets_pending").select("key", F.col("last.value").alias("txn_id")))
 
 
 def fetch_window(accounts: DataFrame, pending: DataFrame, last_sync: str | None, as_of: Column) -> DataFrame:
@@ -74,21 +164,3 @@ def fetch_window(accounts: DataFrame, pending: DataFrame, last_sync: str | None,
     earliest = pending.agg(F.min(fn.parse_date(fn.split_pending("txn_id")["date"])).alias("earliest"))
     start = F.coalesce(fn.parse_date("start_sync_date"), F.lit(last_sync).cast("date"), F.date_sub(as_of, 30))
     return accounts.join(F.broadcast(earliest)).select("account", F.least(start, F.coalesce("earliest", start)).alias("date_from"))  # one row is sent
-
-
-def fold_keys(feed: DataFrame) -> DataFrame:
-    """Rows of one pending key inside a batch, in feed order: what each does, given that nothing was known before.
-
-    A pending row opens its key, further ones are skipped; a booked row confirms an open key, else it is added; once a
-    reference is booked its later booked rows are skipped. Rows of a key share their reference, so the state before a
-    row follows from counts over the rows before it: windows do it, and a key of any size is sorted with spilling.
-    """
-    x = with_keys(feed).withColumn("waits", (F.col("status") == "PDNG").cast("long"))
-    before = Window.partitionBy("account", "pending_key").orderBy("feed_ord").rowsBetween(Window.unboundedPreceding, -1)
-    booked = F.coalesce(F.sum(1 - F.col("waits")).over(before), F.lit(0))
-    x = x.withColumn("booked", booked).withColumn("segment", F.when(F.col("entry_ref") == "", F.col("booked")).otherwise(F.least("booked", F.lit(1))))
-    inside = Window.partitionBy("account", "pending_key", "segment").orderBy("feed_ord").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("open", F.coalesce(F.sum("waits").over(inside), F.lit(0)) > 0)
-    pending, again = F.col("waits") == 1, (F.col("entry_ref") != "") & (F.col("booked") > 0)
-    outcome = F.when(pending & F.col("open"), "skipped").when(pending, "added").when(again, "skipped").when(F.col("open"), "confirmed").otherwise("added")
-    return x.select("feed_ord", "account", "pending_key", outcome.alias("outcome"))

@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as fn
+
 #: Which column each condition field reads; other fields read ''.
 FIELDS = {
     "description": "payee_id", "payee": "payee_id", "payee_name": "payee_name", "imported_description": "imported_payee", "imported_payee": "imported_payee",
@@ -244,32 +246,52 @@ def matched_rules(rows: DataFrame, rules: list[Rule], out: str = "matched_rules"
 TRIMMED = r"^[\s\u0085   -     　]+|[\s\u0085   -     　]+$"
 
 
-def apply_rules(rows: DataFrame, rules: list[Rule], payees: DataFrame | None = None, matched: str = "matched_rules") -> DataFrame:
-    """Apply the actions of matching rules in order to payee_id, notes, category and cleared.
-
-    payees (id, name) resolves payee names after a payee action; an unknown payee's name is ''.
-    """
-    rows = matched_rules(rows, rules, matched)
+def _effects(rules: list[Rule], matched: str) -> tuple[dict[str, Column], Column, list[Column]]:
+    """The columns after all actions, whether one sets the payee, and a change message for every action that runs."""
     now = {c: F.coalesce(F.col(c), F.lit("")) for c in ("payee_id", "notes", "category")} | {"cleared": F.col("cleared")}
-    set_payee = F.lit(False)
+    set_payee, messages = F.lit(False), []
     for rule in rules:
         hit = F.array_contains(F.col(matched), rule.id)
         for a in rule.actions:
             field, op, value = a.get("field"), a.get("op"), a.get("value")
-            text = text_of(value)
+            text, sent = text_of(value), None
             if field == "category" and text:
-                now["category"] = F.when(hit, F.lit(text)).otherwise(now["category"])
+                now["category"], sent = F.when(hit, F.lit(text)).otherwise(now["category"]), ("category", fn.encode_text(F.lit(text)))
             elif field in ("description", "payee") and text:
-                now["payee_id"] = F.when(hit, F.lit(text)).otherwise(now["payee_id"])
+                now["payee_id"], sent = F.when(hit, F.lit(text)).otherwise(now["payee_id"]), ("description", fn.encode_text(F.lit(text)))
                 set_payee = set_payee | hit
             elif field == "notes":
                 new = {"prepend-notes": F.concat(F.lit(text), now["notes"]), "append-notes": F.concat(now["notes"], F.lit(text))}.get(op, F.lit(text))
-                now["notes"] = F.when(hit, F.regexp_replace(new, TRIMMED, "")).otherwise(now["notes"])
+                new = F.regexp_replace(new, TRIMMED, "")
+                now["notes"], sent = F.when(hit, new).otherwise(now["notes"]), ("notes", fn.encode_text(new))
             elif field == "cleared":
-                now["cleared"] = F.when(hit, F.lit(truth_of(value))).otherwise(now["cleared"])
-    out = rows.withColumns({f"__{c}": e for c, e in now.items()} | {"__set_payee": set_payee})
+                now["cleared"], sent = F.when(hit, F.lit(truth_of(value))).otherwise(now["cleared"]), ("cleared", fn.encode_number(F.lit(int(truth_of(value)))))
+            if sent:
+                messages.append(F.when(hit, F.struct(F.lit(sent[0]).alias("column"), sent[1].alias("value"))))
+    return now, set_payee, messages
+
+
+def apply_rules(rows: DataFrame, rules: list[Rule], payees: DataFrame | None = None, matched: str = "matched_rules", messages: str | None = None) -> DataFrame:
+    """Apply the actions of matching rules in order to payee_id, notes, category and cleared.
+
+    payees (id, name) resolves payee names after a payee action; an unknown payee's name is ''. ``messages`` names a
+    column for the changes as an array of (column, value), one for every action that ran, in order.
+    """
+    rows = matched_rules(rows, rules, matched)
+    now, set_payee, sent = _effects(rules, matched)
+    extra = {"__set_payee": set_payee}
+    if messages:
+        extra["__sent"] = F.filter(F.array(*sent), lambda m: m.isNotNull()) if sent else F.array().cast("array<struct<column:string,value:string>>")
+    out = rows.withColumns({f"__{c}": e for c, e in now.items()} | extra)
     out = out.withColumns({c: F.col(f"__{c}") for c in now}).drop(*[f"__{c}" for c in now])
+    out = out.withColumnRenamed("__sent", messages) if messages else out
     if payees is not None:
         names = payees.select(F.col("id").alias("payee_id"), F.coalesce("name", F.lit("")).alias("__name"))
         out = out.join(names, "payee_id", "left").withColumn("payee_name", F.when(F.col("__set_payee"), F.coalesce("__name", F.lit(""))).otherwise(F.col("payee_name"))).drop("__name")
     return out.drop("__set_payee")
+
+
+def action_messages(applied: DataFrame, id_col: str, order: str, messages: str = "messages", dataset: str = "transactions") -> DataFrame:
+    """Change messages (dataset, row, column, value, row_order, position) of rows from ``apply_rules``."""
+    long = applied.select(F.col(id_col).cast("string").alias("row"), F.col(order).alias("row_order"), F.posexplode(messages).alias("position", "m"))
+    return long.select(F.lit(dataset).alias("dataset"), "row", F.col("m.column").alias("column"), F.col("m.value").alias("value"), "row_order", "position")

@@ -1,10 +1,13 @@
 """Matching, reconciliation and the sync cycle over whole test tables."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as lc
 from ..operators import reconcile as rc
 from ..operators import rules as ru
+from ..operators import store as st
 from ..sources import feed as feed_source
 from ..sources import testdata as td
 from .registry import query
@@ -26,31 +29,101 @@ def _payees(spark, sf_dir):
     return td.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.concat(F.lit("P-"), "c_name").alias("id"))
 
 
+def _row(id_, conditions, actions, op="and"):
+    return {"id": id_, "conditions_op": op, "conditions": json.dumps(conditions), "actions": json.dumps(actions), "tombstone": 0}
+
+
+CYCLE_RULES = [
+    _row("band", [{"type": "number", "field": "amount", "op": "isbetween", "value": {"num1": -1000000, "num2": -30000000}}], [{"field": "category", "op": "set", "value": "housing"}, {"field": "notes", "op": "append-notes", "value": " #b"}]),
+    _row("words", [{"type": "string", "field": "notes", "op": "contains", "value": "URGENT"}, {"type": "string", "field": "notes", "op": "matches", "value": "^line \\d+ second$"}], [{"field": "cleared", "op": "set", "value": True}], "or"),
+]
+
+
+def _cycle(spark, sf_dir):
+    """Landed pages through the whole cycle: refs pruned, rows settled, rules applied to what was booked. Returns the
+    pruned refs, the pending keys, and the settled rows with their matched rules and messages."""
+    pages = td.feed_pages(spark, sf_dir)
+    feed = feed_source.feed_scan(pages, ["own name"])
+    # the cycle's order: account by account, page by page (50 records each here)
+    feed = feed.withColumn("feed_ord", (F.col("account") * 10_000_000 + F.col("page_no")) * 64 + F.col("position")).drop("position", "page_no")
+    refs = st.prune_refs(_refs(spark, sf_dir), F.lit("1996-01-01").cast("date"))
+    settled = lc.settle(feed, refs, _pending(spark, sf_dir), td.ledger(spark, sf_dir), _payees(spark, sf_dir))
+    rows = settled.withColumns({c: F.when(F.col("for_rules"), F.col(c)) for c in ("notes", "payee_id", "payee_name", "imported_payee")}).withColumn("category", F.lit(""))
+    applied = ru.apply_rules(rows, ru.load_rules(CYCLE_RULES), _payees(spark, sf_dir).select("id", "name"), messages="messages")
+    on = F.col("for_rules")
+    return refs, applied.withColumns({"matched_rules": F.when(on, F.col("matched_rules")).otherwise(F.array().cast("array<string>")), "messages": F.when(on, F.col("messages")).otherwise(F.filter("messages", lambda _: F.lit(False)))})
+
+
+CYCLE_SQL = """
+WITH f AS (
+  SELECT o_orderkey AS k, o_custkey % 50 AS account, o_orderdate::DATE AS date, o_orderpriority AS priority, c_name AS name, o_orderkey % 3 <> 0 AS debit,
+         CASE WHEN o_orderkey % 5 = 0 THEN 'BOOK' WHEN o_orderstatus = 'O' THEN 'PDNG' ELSE 'BOOK' END AS status,
+         CASE WHEN o_orderkey % 3 <> 0 THEN -1 ELSE 1 END * round(round(o_totalprice, 2)::DECIMAL(18,2)::VARCHAR::DOUBLE * 100)::BIGINT AS cents,
+         CASE WHEN o_orderkey % 3 <> 0 THEN -1 ELSE 1 END * round(o_totalprice * 100)::BIGINT AS ledger_cents, o_orderkey % 6 <> 0 AS named
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 17 <> 0
+), b AS (
+  SELECT *, CASE WHEN status = 'PDNG' AND named AND k % 7 = 0 THEN 'pending_known' WHEN status = 'PDNG' THEN 'pending_new' WHEN named AND k % 5 = 0 AND date >= DATE '1995-12-11' THEN 'ref_known'
+                 WHEN named AND k % 14 = 0 THEN 'confirmed' WHEN named AND k % 7 = 0 THEN 'pending_gone' ELSE 'booked' END AS branch,
+         CASE WHEN k % 2 = 0 THEN priority ELSE 'line ' || k || ' second' END AS feed_notes FROM f
+), r AS (
+  SELECT *, branch IN ('confirmed', 'pending_gone', 'booked') AS touched,
+         CASE WHEN branch <> 'confirmed' THEN feed_notes WHEN k % 10 = 0 THEN 'edited' ELSE 'order ' || priority END AS notes,
+         CASE WHEN branch = 'confirmed' OR named AND k % 4 = 0 THEN ledger_cents ELSE cents END AS amount FROM b
+), m AS (
+  SELECT *, touched AND amount BETWEEN -30000000 AND -1000000 AS band, touched AND (contains(lower(notes), 'urgent') OR regexp_matches(notes, '^line [0-9]+ second$')) AS words FROM r
+)
+"""
+
+
 @query(
     "sync_cycle",
-    """
-WITH r AS (
-  SELECT o_orderkey AS k, o_custkey % 50 AS account, o_orderstatus, o_orderpriority, o_totalprice, o_orderkey % 3 <> 0 AS debit
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 17 <> 0), x AS (
-  SELECT *, CASE WHEN k % 5 = 0 THEN 'BOOK' WHEN o_orderstatus = 'O' THEN 'PDNG' ELSE 'BOOK' END AS status, k % 6 <> 0 AND k % 5 = 0 AS known,
-         CASE WHEN debit THEN -1 ELSE 1 END * round(round(o_totalprice, 2)::DECIMAL(18,2)::VARCHAR::DOUBLE * 100)::BIGINT AS cents FROM r)
-SELECT account, count(*) AS rows_in, count(*) FILTER (WHERE known AND status = 'BOOK') AS skipped, count(*) FILTER (WHERE NOT (known AND status = 'BOOK')) AS added,
-       sum(cents) FILTER (WHERE NOT (known AND status = 'BOOK')) AS added_cents,
-       count(*) FILTER (WHERE NOT known AND status = 'BOOK' AND cents BETWEEN -30000000 AND -1000000) AS in_band
-FROM x GROUP BY account
+    CYCLE_SQL
+    + """
+SELECT account, count(*) AS rows_in, count(*) FILTER (WHERE branch IN ('pending_new', 'pending_gone', 'booked')) AS added, count(*) FILTER (WHERE branch = 'confirmed') AS confirmed,
+       count(*) FILTER (WHERE branch IN ('pending_known', 'ref_known')) AS skipped, count(*) FILTER (WHERE touched) AS touched, sum(band::INT + words::INT)::BIGINT AS rules_applied,
+       sum(2 * band::INT + words::INT)::BIGINT AS rule_messages, coalesce(sum(amount) FILTER (WHERE touched), 0)::BIGINT AS touched_cents, count(*) FILTER (WHERE touched) AS new_refs
+FROM m GROUP BY account
 """,
 )
 def sync_cycle(spark, sf_dir):
-    feed = feed_source.feed_scan(td.feed_pages(spark, sf_dir), ["own name"])
-    refs = td.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("REF-"), "o_orderkey").alias("entry_ref"), F.lit(True).alias("known"))
-    x = feed.join(refs, "entry_ref", "left").withColumn("skip", F.coalesce("known", F.lit(False)) & (F.col("entry_ref") != "") & (F.col("status") == "BOOK"))
-    band = ru.condition({"type": "number", "field": "amount", "op": "isbetween", "value": {"num1": -1000000, "num2": -30000000}})
+    _, x = _cycle(spark, sf_dir)
+    on = F.col("for_rules")
+    count = lambda c: F.count_if(F.col(c)).alias(c)
     return x.groupBy("account").agg(
-        F.count(F.lit(1)).alias("rows_in"), F.count_if(F.col("skip")).alias("skipped"), F.count_if(~F.col("skip")).alias("added"), F.sum(F.when(~F.col("skip"), F.col("amount_cents"))).alias("added_cents"),
-        F.count_if(~F.col("skip") & (F.col("status") == "BOOK") & band).alias("in_band"),
+        F.count(F.lit(1)).alias("rows_in"), count("added"), count("confirmed"), count("skipped"), F.count_if(on).alias("touched"), F.sum(F.size("matched_rules")).alias("rules_applied"),
+        F.sum(F.size("messages")).alias("rule_messages"), F.coalesce(F.sum(F.when(on, F.col("amount_cents"))), F.lit(0)).alias("touched_cents"), F.count_if(F.col("new_ref")).alias("new_refs"),
     )
 
 
+@query(
+    "cycle_messages",
+    CYCLE_SQL
+    + """
+SELECT 'category' AS "column", 'S:housing' AS value, count(*) AS n FROM m WHERE band HAVING count(*) > 0
+UNION ALL SELECT 'notes', 'S:' || notes || ' #b', count(*) FROM m WHERE band GROUP BY notes
+UNION ALL SELECT 'cleared', 'N:1', count(*) FROM m WHERE words HAVING count(*) > 0
+""",
+)
+def cycle_messages(spark, sf_dir):
+    _, x = _cycle(spark, sf_dir)
+    sent = ru.action_messages(x, "ledger_id", "feed_ord")
+    return sent.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "cycle_refs",
+    CYCLE_SQL
+    + """
+SELECT ref, max(date) AS date FROM (SELECT CASE WHEN named THEN 'REF-' ELSE 'TX-' END || k AS ref, date FROM m WHERE touched UNION ALL
+  SELECT 'REF-' || o_orderkey, o_orderdate::DATE FROM orders WHERE o_orderkey % 5 = 0 AND o_orderdate::DATE >= DATE '1995-12-11') GROUP BY ref HAVING max(date) >= DATE '1995-12-11'
+""",
+    dates=("date",),
+)
+def cycle_refs(spark, sf_dir):
+    refs, x = _cycle(spark, sf_dir)
+    return lc.next_refs(refs, x, F.lit("1996-01-01").cast("date"))
+
+
 @query("ref_anti_join", f"{_WITH} SELECT feed_ord FROM feed WHERE NOT (status = 'BOOK' AND feed_ord % 5 = 0)")
 def ref_anti_join(spark, sf_dir):
     f = td.feed(spark, sf_dir)
@@ -126,7 +199,7 @@ BRANCH_SQL = """, b AS (
 
 @query("pending_confirm", f"{_WITH}{BRANCH_SQL} SELECT feed_ord, branch FROM b")
 def pending_confirm(spark, sf_dir):
-    return lc.branch(td.feed(spark, sf_dir), _refs(spark, sf_dir), _pending(spark, sf_dir), td.ledger(spark, sf_dir)).select("feed_ord", "branch")
+    return _settled(spark, sf_dir).select("feed_ord", "branch")
 
 
 SETTLED_SQL = BRANCH_SQL + """, s AS (
@@ -151,31 +224,65 @@ def next_refs(spark, sf_dir):
     return lc.next_refs(_refs(spark, sf_dir), _settled(spark, sf_dir), F.lit("2001-08-01").cast("date"))
 
 
-@query("next_pending", f"{_WITH}{BRANCH_SQL} SELECT count(*) AS n FROM b WHERE feed_ord % 7 = 0 AND branch NOT IN ('confirmed', 'pending_gone') OR branch = 'pending_new' AND (feed_ord % 4 <> 0 OR EXISTS (SELECT 1 FROM ledger l WHERE l.financial_id = b.entry_ref AND (l.notes <> b.notes OR l.cleared <> b.cleared OR l.imported_payee = '')))")
+_NEW_ID = "substr(sha256('txn' || chr(1) || b.account || chr(1) || entry_ref || chr(1) || strftime(b.date, '%Y-%m-%d') || chr(1) || b.amount_cents || chr(1) || feed_ord), 1, 32)"
+
+
+@query(
+    "next_pending",
+    f"""{_WITH}{BRANCH_SQL}
+SELECT entry_ref AS key, 'T' || feed_ord AS txn_id FROM b WHERE feed_ord % 7 = 0 AND branch NOT IN ('confirmed', 'pending_gone')
+UNION ALL
+SELECT entry_ref, coalesce(l.id, {_NEW_ID}) || '|' || strftime(b.date, '%Y-%m-%d')
+FROM b LEFT JOIN ledger l ON l.financial_id = b.entry_ref AND l.account = b.account
+WHERE branch = 'pending_new' AND (l.id IS NULL OR l.notes <> b.notes OR l.cleared <> b.cleared OR l.imported_payee = '')
+""",
+)
 def next_pending(spark, sf_dir):
-    return lc.next_pending(_pending(spark, sf_dir), _settled(spark, sf_dir)).agg(F.countDistinct("key").alias("n"))
+    return lc.next_pending(_pending(spark, sf_dir), _settled(spark, sf_dir))
 
 
 def _colliding(spark, sf_dir):
-    """Feed rows on few keys: every second has no reference, the others share one reference by tens."""
+    """Feed rows on few keys: every second has no reference, the others share one by tens; keys are shared by three accounts."""
     f = td.feed(spark, sf_dir)
-    return f.withColumns({"entry_ref": F.when(F.col("feed_ord") % 2 == 0, "").otherwise(F.concat(F.lit("R"), F.floor(F.col("feed_ord") / 10))), "amount_cents": F.col("amount_cents") % 3, "account": F.lit(1).cast("long")})
+    ref = F.when(F.col("feed_ord") % 2 == 0, "").otherwise(F.concat(F.lit("R"), F.floor(F.col("feed_ord") / 10)))
+    return f.withColumns({"entry_ref": ref, "amount_cents": F.col("amount_cents") % 3, "account": F.col("feed_ord") % 3, "notes": F.concat(F.lit("n"), "feed_ord")})
 
 
 @query(
     "batch_fold",
     f"""
 WITH feed AS ({td.FEED_SQL}), k AS (
-  SELECT feed_ord, status, CASE WHEN feed_ord % 2 = 0 THEN '' ELSE 'R' || (feed_ord // 10) END AS ref,
-         CASE WHEN feed_ord % 2 = 0 THEN strftime(date, '%Y-%m-%d') || '|' || (amount_cents % 3) ELSE 'R' || (feed_ord // 10) END AS key FROM feed), b AS (
-  SELECT *, coalesce(sum((status <> 'PDNG')::INT) OVER (PARTITION BY key ORDER BY feed_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS booked FROM k), s AS (
-  SELECT *, CASE WHEN ref = '' THEN booked ELSE least(booked, 1) END AS seg FROM b), o AS (
-  SELECT *, coalesce(sum((status = 'PDNG')::INT) OVER (PARTITION BY key, seg ORDER BY feed_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS is_open FROM s)
-SELECT feed_ord, CASE WHEN status = 'PDNG' THEN CASE WHEN is_open THEN 'skipped' ELSE 'added' END WHEN ref <> '' AND booked > 0 THEN 'skipped' WHEN is_open THEN 'confirmed' ELSE 'added' END AS outcome FROM o
+  SELECT feed_ord, status, feed_ord % 3 AS account, CASE WHEN feed_ord % 2 = 0 THEN '' ELSE 'R' || (feed_ord // 10) END AS ref,
+         CASE WHEN feed_ord % 2 = 0 THEN strftime(date, '%Y-%m-%d') || '|' || printf('%.2f', (amount_cents % 3) / 100.0) ELSE 'R' || (feed_ord // 10) END AS key FROM feed
+), prior AS (
+  SELECT DISTINCT key, ref, hash_key % 4 = 0 AS was_booked, hash_key % 3 = 0 AS was_waiting, hash_key % 5 AS waits_for
+  FROM (SELECT key, ref, CASE WHEN ref = '' THEN 1 ELSE substr(ref, 2)::BIGINT END AS hash_key FROM k)
+), rows_ AS (
+  SELECT feed_ord, status, account, ref, key, false AS given FROM k
+  UNION ALL SELECT -2, 'BOOK', -1, ref, key, true FROM prior WHERE was_booked
+  UNION ALL SELECT -1, 'PDNG', waits_for, ref, key, true FROM prior WHERE was_waiting
+), b AS (
+  SELECT *, coalesce(sum((status <> 'PDNG')::INT) OVER (PARTITION BY key ORDER BY feed_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS booked FROM rows_
+), s AS (
+  SELECT *, CASE WHEN ref = '' THEN booked ELSE least(booked, 1) END AS seg FROM b
+), o AS (
+  SELECT *, first_value(CASE WHEN status = 'PDNG' THEN account END IGNORE NULLS) OVER (PARTITION BY key, seg ORDER BY feed_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open_for FROM s
+)
+SELECT feed_ord, CASE WHEN status = 'PDNG' THEN CASE WHEN open_for IS NOT NULL THEN 'pending_known' ELSE 'pending_new' END WHEN ref <> '' AND booked > 0 THEN 'ref_known'
+                      WHEN open_for = account THEN 'confirmed' WHEN open_for IS NOT NULL THEN 'pending_gone' ELSE 'booked' END AS branch
+FROM o WHERE NOT given
 """,
 )
 def batch_fold(spark, sf_dir):
-    return lc.fold_keys(_colliding(spark, sf_dir)).select("feed_ord", "outcome")
+    """Keys that repeat in a batch and over accounts, on top of known references and waiting rows of five accounts."""
+    feed = _colliding(spark, sf_dir)
+    refs = feed.where("entry_ref <> ''").select("entry_ref", F.substring("entry_ref", 2, 20).cast("long").alias("k")).distinct()
+    pending = refs.where("k % 3 = 0").select(F.col("entry_ref").alias("key"), F.concat(F.lit("W"), "k", F.lit("|2000-01-01")).alias("txn_id"), "k")
+    nothing = td.ledger(spark, sf_dir).limit(0)
+    held = pending.select(F.concat(F.lit("W"), "k").alias("id"), F.lit(0).cast("long").alias("ord"), (F.col("k") % 5).alias("account"), F.lit("2000-01-01").cast("date").alias("date"), F.lit(1).cast("long").alias("amount_cents"), F.lit(False).alias("cleared"))
+    ledger = nothing.unionByName(held, allowMissingColumns=True)
+    known = refs.where("k % 4 = 0").select(F.col("entry_ref").alias("ref"))
+    return lc.settle(feed, known, pending.select("key", "txn_id"), ledger, _payees(spark, sf_dir)).select("feed_ord", "branch")
 
 
 @query("fetch_window", f"WITH a AS ({td.BANK_ACCOUNTS_SQL}) SELECT id AS account, least(CASE WHEN start_sync_date <> '' THEN start_sync_date::DATE ELSE DATE '2024-03-01' END, DATE '2024-02-20') AS date_from FROM a", dates=('date_from',))

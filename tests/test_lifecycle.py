@@ -10,36 +10,93 @@ from pyspark.sql import functions as F
 from tallyspark.operators import changelog as cl
 from tallyspark.operators import lifecycle as lc
 from tallyspark.operators import reconcile as rc
+from tallyspark.operators import rules as ru
 from tallyspark.sources import feed, wire
 
 FEED = "feed_ord long, account long, status string, date date, amount_cents long, payee string, notes string, entry_ref string, cleared boolean"
 
 
-def model(rows):
-    """Outcome of each row of a batch when nothing was known before."""
-    pending, refs, out = set(), set(), {}
+def model(rows, refs=(), pending=(), ledger=()):
+    """Branch and touched of each row, one row at a time. pending: key, id; ledger: id, account, ref, notes, cleared."""
+    refs, pending, out = set(refs), dict(pending), {}
+    table = [dict(zip(("id", "account", "ref", "notes", "cleared"), x, strict=True)) for x in ledger]
+
+    def reconcile(r, cleared):
+        ord_, acct, _, _, _, _, notes, ref, _ = r
+        for t in table:
+            if ref and t["account"] == acct and t["ref"] == ref:
+                new = {**t, "cleared": cleared, **({"notes": notes} if notes else {})}
+                changed = new != t
+                t.update(new)
+                return t["id"], changed
+        table.append({"id": f"new{ord_}", "account": acct, "ref": ref, "notes": notes, "cleared": cleared})
+        return f"new{ord_}", True
+
     for r in sorted(rows):
-        ord_, acct, status, day, cents, ref = r[0], r[1], r[2], r[3], r[4], r[7]
-        key = (acct, ref or (day, cents))
+        ord_, acct, status, day, cents, _, _, ref, _ = r
+        key = ref or f"{day}|{cents / 100:.2f}"
         if status == "PDNG":
-            out[ord_] = "skipped" if key in pending else "added"
-            pending.add(key)
-        elif ref and (acct, ref) in refs:
-            out[ord_] = "skipped"
+            if key in pending:
+                out[ord_] = ("pending_known", False)
+                continue
+            txn, touched = reconcile(r, False)
+            if touched:
+                pending[key] = txn
+            out[ord_] = ("pending_new", touched)
+        elif ref and ref in refs:
+            out[ord_] = ("ref_known", False)
+        elif key in pending:
+            txn = pending.pop(key)
+            own = [t for t in table if t["id"] == txn and t["account"] == acct]
+            if own:
+                own[0]["cleared"] = True
+                out[ord_] = ("confirmed", True)
+            else:
+                out[ord_] = ("pending_gone", reconcile(r, True)[1])
+            refs |= {ref} - {""}
         else:
-            out[ord_] = "confirmed" if key in pending else "added"
-            pending.discard(key)
-            if ref:
-                refs.add((acct, ref))
-    return out
+            touched = reconcile(r, True)[1]
+            if touched:
+                refs |= {ref} - {""}
+            out[ord_] = ("booked", touched)
+    return out, refs, pending
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_batch_fold_equals_the_row_model(spark, seed):
+def test_settling_equals_the_row_model(spark, seed):
+    """Keys that repeat in the batch and over accounts, with known references, waiting rows and a ledger before it."""
     r = random.Random(seed)
-    rows = [(k, r.randint(1, 2), r.choice(["PDNG", "BOOK"]), dt.date(2024, 1, r.randint(1, 2)), r.randint(0, 1), "p", "", r.choice(["", "A", "B"]), False) for k in range(120)]
-    got = {x["feed_ord"]: x["outcome"] for x in lc.fold_keys(spark.createDataFrame(rows, FEED)).collect()}
-    assert got == model(rows)
+    names = ["", *(f"R{k}" for k in range(25))]
+    rows = [(k, r.randint(1, 3), r.choice(["PDNG", "BOOK"]), dt.date(2024, 1, r.randint(1, 9)), r.randint(0, 4), "", r.choice(["", "x", "y"]), r.choice(names), False) for k in range(250)]
+    ledger = [(f"L{k}", 1 + k % 3, f"R{k}", r.choice(["x", "y"]), r.random() < 0.5) for k in range(0, 25, 2)]
+    refs = [f"R{k}" for k in range(0, 25, 5)]
+    pending = [(f"R{k}", f"L{k}" if k % 4 else f"lost{k}") for k in range(0, 25, 6)] + [("2024-01-03|0.02", "L4"), ("2024-01-05|0.01", "nowhere")]
+    t = spark.createDataFrame([(i, k, a, dt.date(2024, 1, 1), 7, "", "", n, f, c, "") for k, (i, a, f, n, c) in enumerate(ledger)], "id string, ord long, account long, date date, amount_cents long, payee_id string, payee_name string, notes string, financial_id string, cleared boolean, imported_payee string")
+    refs_df = spark.createDataFrame([(x, dt.date(2024, 1, 1)) for x in refs], "ref string, date date")
+    pending_df = spark.createDataFrame(pending, "key string, txn_id string")
+    nobody = spark.createDataFrame([], "name string, id string")
+    got = lc.settle(spark.createDataFrame(rows, FEED), refs_df, pending_df, t, nobody).cache()
+    want, want_refs, want_pending = model(rows, refs, pending, ledger)
+    assert {x["feed_ord"]: (x["branch"], x["changed"]) for x in got.collect()} == want
+    assert {x["ref"] for x in lc.next_refs(refs_df, got, F.lit("2024-01-10").cast("date")).collect()} == want_refs
+    left = {x["key"]: x["txn_id"] for x in lc.next_pending(pending_df, got).collect()}
+    assert set(left) == set(want_pending) and all(left[k] == v or v.startswith("new") or left[k].split("|")[0] == v for k, v in want_pending.items())
+
+
+def test_settling_an_empty_batch(spark):
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    t = none("id string, ord long, account long, date date, amount_cents long, payee_id string, payee_name string, notes string, financial_id string, cleared boolean, imported_payee string")
+    got = lc.settle(none(FEED), none("ref string, date date"), none("key string, txn_id string"), t, none("name string, id string"))
+    assert got.count() == 0 and lc.next_pending(none("key string, txn_id string"), got).count() == 0
+
+
+def test_actions_send_one_message_each(spark):
+    row = spark.createDataFrame([("t1", 1, "p", "n", " some note ", "c", False)], "id string, ord long, payee_id string, payee_name string, notes string, category string, cleared boolean").selectExpr("*", "'' AS imported_payee", "'a' AS account", "5L AS amount_cents")
+    acts = ({"field": "notes", "op": "append-notes", "value": "z"}, {"field": "category", "value": ""}, {"field": "cleared", "value": True}, {"field": "payee", "value": "p9"}, {"field": "notes", "op": "set", "value": ""})
+    out = ru.apply_rules(row, [ru.Rule("r", "and", (), acts), ru.Rule("never", "or", (), acts)], messages="messages")
+    sent = ru.action_messages(out, "id", "ord").orderBy("position").collect()
+    assert [(x["row"], x["column"], x["value"]) for x in sent] == [("t1", "notes", "S:some note z"), ("t1", "cleared", "N:1"), ("t1", "description", "S:p9"), ("t1", "notes", "S:")]
+    assert out.first()["notes"] == ""
 
 
 def _ledger(spark, rows):
