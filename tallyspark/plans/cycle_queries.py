@@ -241,16 +241,16 @@ def next_pending(spark, sf_dir):
     return lc.next_pending(_pending(spark, sf_dir), _settled(spark, sf_dir))
 
 
-def _colliding(spark, sf_dir):
+def colliding(spark, sf_dir):
     """Feed rows on few keys: every second has no reference, the others share one by tens; keys are shared by three accounts."""
     f = td.feed(spark, sf_dir)
     ref = F.when(F.col("feed_ord") % 2 == 0, "").otherwise(F.concat(F.lit("R"), F.floor(F.col("feed_ord") / 10)))
     return f.withColumns({"entry_ref": ref, "amount_cents": F.col("amount_cents") % 3, "account": F.col("feed_ord") % 3, "notes": F.concat(F.lit("n"), "feed_ord")})
 
 
-@query(
-    "batch_fold",
-    f"""
+def fold_sql(prior: bool) -> str:
+    """The branches of colliding rows, with or without known references and waiting rows before them."""
+    return f"""
 WITH feed AS ({td.FEED_SQL}), k AS (
   SELECT feed_ord, status, feed_ord % 3 AS account, CASE WHEN feed_ord % 2 = 0 THEN '' ELSE 'R' || (feed_ord // 10) END AS ref,
          CASE WHEN feed_ord % 2 = 0 THEN strftime(date, '%Y-%m-%d') || '|' || printf('%.2f', (amount_cents % 3) / 100.0) ELSE 'R' || (feed_ord // 10) END AS key FROM feed
@@ -259,8 +259,8 @@ WITH feed AS ({td.FEED_SQL}), k AS (
   FROM (SELECT key, ref, CASE WHEN ref = '' THEN 1 ELSE substr(ref, 2)::BIGINT END AS hash_key FROM k)
 ), rows_ AS (
   SELECT feed_ord, status, account, ref, key, false AS given FROM k
-  UNION ALL SELECT -2, 'BOOK', -1, ref, key, true FROM prior WHERE was_booked
-  UNION ALL SELECT -1, 'PDNG', waits_for, ref, key, true FROM prior WHERE was_waiting
+  UNION ALL SELECT -2, 'BOOK', -1, ref, key, true FROM prior WHERE was_booked AND {prior}
+  UNION ALL SELECT -1, 'PDNG', waits_for, ref, key, true FROM prior WHERE was_waiting AND {prior}
 ), b AS (
   SELECT *, coalesce(sum((status <> 'PDNG')::INT) OVER (PARTITION BY key ORDER BY feed_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS booked FROM rows_
 ), s AS (
@@ -271,11 +271,13 @@ WITH feed AS ({td.FEED_SQL}), k AS (
 SELECT feed_ord, CASE WHEN status = 'PDNG' THEN CASE WHEN open_for IS NOT NULL THEN 'pending_known' ELSE 'pending_new' END WHEN ref <> '' AND booked > 0 THEN 'ref_known'
                       WHEN open_for = account THEN 'confirmed' WHEN open_for IS NOT NULL THEN 'pending_gone' ELSE 'booked' END AS branch
 FROM o WHERE NOT given
-""",
-)
+"""
+
+
+@query("batch_fold", fold_sql(prior=True))
 def batch_fold(spark, sf_dir):
     """Keys that repeat in a batch and over accounts, on top of known references and waiting rows of five accounts."""
-    feed = _colliding(spark, sf_dir)
+    feed = colliding(spark, sf_dir)
     refs = feed.where("entry_ref <> ''").select("entry_ref", F.substring("entry_ref", 2, 20).cast("long").alias("k")).distinct()
     pending = refs.where("k % 3 = 0").select(F.col("entry_ref").alias("key"), F.concat(F.lit("W"), "k", F.lit("|2000-01-01")).alias("txn_id"), "k")
     nothing = td.ledger(spark, sf_dir).limit(0)

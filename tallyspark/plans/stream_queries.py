@@ -12,6 +12,7 @@ from ..operators import changelog as cl
 from ..sources import testdata as td
 from ..sources import wire
 from ..streaming import pipelines as sp
+from . import cycle_queries
 from .registry import query
 
 
@@ -26,33 +27,57 @@ def _folder(spark) -> str:
     return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _streamed(spark, df, folder: str):
-    df.write.parquet(f"{folder}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
-
-
-@query("stream_dedup", "SELECT count(DISTINCT user_id % 60) AS kept, count(DISTINCT user_id % 60) AS refs FROM events")
+def _streamed(spark, df, folder: str, files: int = 4):
+    """``df`` (with a column ord_) as a stream of ``files`` batches, in order of ord_."""
+    cut = df.approxQuantile("ord_", [k / files for k in range(1, files)], 0.001)
+    for low, high in zip([None, *cut], [*cut, None], strict=True):  # one after the other, as a file's time is its place
+        part = df.where((F.lit(low is None) | (F.col("ord_") > F.lit(low))) & (F.lit(high is None) | (F.col("ord_") <= F.lit(high))))
+        part.drop("ord_").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(df.drop("ord_").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+@query(
+    "stream_dedup",
+    """
+WITH RECURSIVE e AS (SELECT 'R' || (user_id % 60) AS entry_ref, ts::TIMESTAMP AS ts FROM events),
+k AS (SELECT entry_ref, min(ts) AS ts FROM e GROUP BY entry_ref UNION ALL
+      SELECT k.entry_ref, min(e.ts) FROM k JOIN e ON e.entry_ref = k.entry_ref AND e.ts > k.ts + INTERVAL 3 DAY GROUP BY k.entry_ref)
+SELECT entry_ref, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM k
+""",
+)
 def stream_dedup(spark, sf_dir):
     folder = _folder(spark)
-    e = td.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("R"), F.col("user_id") % 60).alias("entry_ref"))
-    out = sp.run_available(sp.dedup_refs(_streamed(spark, e, folder), days=60), f"dedup_{uuid.uuid4().hex}", f"{folder}/state")
-    return out.agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("entry_ref").alias("refs"))
+    e = td.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.concat(F.lit("R"), F.col("user_id") % 60).alias("entry_ref"))
+    e = e.withColumn("ord_", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
+    out = sp.run_available(sp.dedup_refs(_streamed(spark, e, folder), days=3), folder)
+    return out.select("entry_ref", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@query("stream_pending", f"WITH feed AS ({td.FEED_SQL}) SELECT count(*) AS n FROM feed")
+@query("stream_pending", cycle_queries.fold_sql(prior=False))
 def stream_pending(spark, sf_dir):
     folder = _folder(spark)
-    out = sp.run_available(sp.pending_to_booked(_streamed(spark, td.feed(spark, sf_dir), folder)), f"pending_{uuid.uuid4().hex}", f"{folder}/state")
-    return out.agg(F.count(F.lit(1)).alias("n"))
+    feed = cycle_queries.colliding(spark, sf_dir)
+    out = sp.run_available(sp.pending_to_booked(_streamed(spark, feed.withColumn("ord_", F.col("feed_ord").cast("double")), folder)), folder)
+    return out.select("feed_ord", "branch")
 
 
 @query("stream_merge", f'WITH m AS ({td.MESSAGES_SQL}), l AS (SELECT *, row_number() OVER (PARTITION BY dataset, "row", "column" ORDER BY ord DESC) AS k FROM m) SELECT dataset, "row", "column", value, ord FROM l WHERE k = 1')
 def stream_merge(spark, sf_dir):
     folder = _folder(spark)
-    q = sp.merge_messages(_streamed(spark, td.messages(spark, sf_dir).repartition(6), folder), f"{folder}/cells", f"{folder}/state").start()
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
-    return spark.read.parquet(f"{folder}/cells/batch={last}")
+    m = td.messages(spark, sf_dir).withColumn("ord_", F.col("ord").cast("double"))
+    sp.merge_messages(_streamed(spark, m, folder, 5), f"{folder}/cells", f"{folder}/state", compact_every=2).start().awaitTermination()
+    return sp.read_cells(spark, f"{folder}/cells")
+
+
+@query("stream_push", f'WITH m AS ({td.MESSAGES_SQL}) SELECT dataset, "row", "column", value, row_number() OVER (ORDER BY ord) - 1 AS counter, \'CLIENT\' AS client FROM m')
+def stream_push(spark, sf_dir):
+    folder = _folder(spark)
+    m = td.messages(spark, sf_dir).withColumn("ord_", F.col("ord").cast("double"))
+    sp.push_messages(_streamed(spark, m, folder, 3), f"{folder}/sent", f"{folder}/state", "file", "group", "CLIENT", a_request=500).start().awaitTermination()
+    sent = spark.read.parquet(*[f"{folder}/sent/batch={k}" for k in sp._written(spark, f"{folder}/sent", "batch")])
+    back = wire.response_messages(sent)
+    counter = F.conv(F.regexp_extract("timestamp", r"Z-([0-9A-F]+)-", 1), 16, 10).cast("long")
+    return back.select("dataset", "row", "column", "value", counter.alias("counter"), F.regexp_extract("timestamp", r"Z-[0-9A-F]+-(.*)$", 1).alias("client"))
 
 
 @query("wire_roundtrip", f'WITH m AS ({td.MESSAGES_SQL}) SELECT "row" AS batch, ord, dataset, "column", value FROM m')

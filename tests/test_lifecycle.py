@@ -12,6 +12,7 @@ from tallyspark.operators import lifecycle as lc
 from tallyspark.operators import reconcile as rc
 from tallyspark.operators import rules as ru
 from tallyspark.sources import feed, wire
+from tallyspark.streaming import pipelines as sp
 
 FEED = "feed_ord long, account long, status string, date date, amount_cents long, payee string, notes string, entry_ref string, cleared boolean"
 
@@ -165,30 +166,89 @@ def test_refs_expire_after_21_days(spark):
     assert [r["ref"] for r in st.prune_refs(refs, F.lit("2024-01-31").cast("date")).collect()] == ["a"]
 
 
-def test_streamed_fold_equals_the_batch(spark, tmp_path):
-    from tallyspark.streaming import pipelines as sp
-
+def test_streamed_states_equal_the_row_model(spark, tmp_path):
     r = random.Random(9)
-    rows = [(k, 1, r.choice(["PDNG", "BOOK"]), dt.date(2024, 1, 1), r.randint(0, 1), "p", "", r.choice(["", "A"]), False) for k in range(60)]
+    rows = [(k, r.randint(1, 3), r.choice(["PDNG", "BOOK"]), dt.date(2024, 1, r.randint(1, 2)), r.randint(0, 1), "p", f"n{k}", r.choice(["", "A", "B"]), False) for k in range(90)]
     df = spark.createDataFrame(rows, FEED)
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    out = sp.run_available(sp.pending_to_booked(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), "fold_test", f"{tmp_path}/state")
-    assert {x["feed_ord"]: x["outcome"] for x in out.collect()} == model(rows)
+    for low in (0, 30, 60):  # a batch each, in order; a batch's rows come in several pieces
+        df.where(f"feed_ord >= {low} AND feed_ord < {low + 30}").repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: sp.pending_to_booked(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(f"{tmp_path}/in"))
+    want = {k: b for k, (b, _) in model(rows)[0].items()}
+    branches = lambda out: {x["feed_ord"]: x["branch"] for x in out.collect()}
+    assert branches(sp.run_available(stream(), f"{tmp_path}/one")) == want
+    assert branches(sp.run_available(stream(), f"{tmp_path}/one")) == want  # nothing new: nothing is done again
+    assert branches(sp.run_available(stream(), f"{tmp_path}/two")) == want  # a new folder replays everything
+
+
+def _days(spark, rows):
+    return spark.createDataFrame([(k, ref, dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for k, (ref, d) in enumerate(rows)], "feed_ord long, entry_ref string, ts timestamp")
+
 
+def test_late_rows_are_judged_like_others(spark, tmp_path):
+    first = _days(spark, [("a", 100), (None, 1), ("", 2), (None, 1)])
+    late = _days(spark, [("b", 3), ("a", 5), ("a", 119), ("a", 122), ("b", 4), ("b", 60)])
+    for part in (first, late):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = sp.run_available(sp.dedup_refs(stream), str(tmp_path / "run")).collect()
+    kept = sorted(((x["entry_ref"], (x["ts"] - dt.datetime(2024, 1, 1)).days) for x in got), key=repr)
+    assert kept == sorted([("a", 100), (None, 1), ("", 2), (None, 1), ("b", 3), ("a", 122), ("b", 60)], key=repr)
 
-def test_rows_of_a_null_reference_are_kept(spark, tmp_path, monkeypatch):
+
+def test_null_references_are_kept_beside_known_ones(spark, monkeypatch):
     from tallyspark.plans import cycle_queries
-    from tallyspark.streaming import pipelines
 
-    rows = [(1, "BOOK", None), (2, "BOOK", None), (3, "BOOK", ""), (4, "BOOK", "a"), (5, "BOOK", "a"), (6, "PDNG", "a")]
-    feed = spark.createDataFrame(rows, "feed_ord long, status string, entry_ref string").selectExpr("*", "timestamp'2024-01-01' AS ts")
-    monkeypatch.setattr(cycle_queries.td, "feed", lambda *_: feed)
+    rows = [(1, "BOOK", None), (2, "BOOK", None), (3, "BOOK", ""), (4, "BOOK", "a"), (6, "PDNG", "a")]
+    monkeypatch.setattr(cycle_queries.td, "feed", lambda *_: spark.createDataFrame(rows, "feed_ord long, status string, entry_ref string"))
     monkeypatch.setattr(cycle_queries, "_refs", lambda *_: spark.createDataFrame([("a",)], "ref string"))
     assert sorted(x.feed_ord for x in cycle_queries.ref_anti_join(spark, "").collect()) == [1, 2, 3, 6]
-    feed.coalesce(1).write.parquet(f"{tmp_path}/feed")
-    stream = spark.readStream.schema(feed.schema).parquet(f"{tmp_path}/feed")
-    q = pipelines.dedup_refs(stream).writeStream.format("memory").queryName("null_refs").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    q.stop()
-    got = [x.feed_ord for x in spark.table("null_refs").collect()]
-    assert {1, 2, 3} <= set(got) and len(got) == 4
+
+
+MESSAGES = "dataset string, row string, column string, value string, ord long"
+
+
+def _stream_of(spark, tmp_path, batches):
+    for b in batches:
+        spark.createDataFrame(b, MESSAGES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    return spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+
+def test_merged_cells_survive_compaction_and_repeats(spark, tmp_path):
+    batches = [[("t", f"r{k % 3}", "c", f"S:{n}-{k}", 100 * n + k) for k in range(5)] for n in range(5)]
+    q = sp.merge_messages(_stream_of(spark, tmp_path, batches), f"{tmp_path}/cells", f"{tmp_path}/state", compact_every=2).start()
+    q.awaitTermination()
+    want = {("r0", "S:4-3"), ("r1", "S:4-4"), ("r2", "S:4-2")}
+    assert {(x["row"], x["value"]) for x in sp.read_cells(spark, f"{tmp_path}/cells").collect()} == want
+    assert sp._written(spark, f"{tmp_path}/cells", "base") == [3] and sp._written(spark, f"{tmp_path}/cells", "delta") == [4]
+    sp.merge_messages(spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), f"{tmp_path}/cells", f"{tmp_path}/again", compact_every=2).start().awaitTermination()
+    assert {(x["row"], x["value"]) for x in sp.read_cells(spark, f"{tmp_path}/cells").collect()} == want
+    assert sp.read_cells(spark, f"{tmp_path}/nothing").count() == 0
+
+
+def test_pushed_messages_count_on_and_need_a_group(spark, tmp_path):
+    batches = [[("t", "r", "c", f"S:{n}{k}", 10 * n + k) for k in range(4)] for n in range(2)]
+    stream = _stream_of(spark, tmp_path, batches)
+    sp.push_messages(stream, f"{tmp_path}/none", f"{tmp_path}/s0", "f", "", "C").start().awaitTermination()
+    assert sp._written(spark, f"{tmp_path}/none", "batch") == []
+    sp.push_messages(stream, f"{tmp_path}/sent", f"{tmp_path}/s1", "f", "g", "C", a_request=3).start().awaitTermination()
+    sent = [spark.read.parquet(f"{tmp_path}/sent/batch={n}").orderBy("request").collect() for n in sp._written(spark, f"{tmp_path}/sent", "batch")]
+    assert [len(b) for b in sent] == [2, 2]
+    back = [m for b in sent for x in b for m in wire.decode_response(bytes(x["body"]))[0]]
+    assert [m["value"] for m in back] == [f"S:{n}{k}" for n in range(2) for k in range(4)]
+    assert [m["timestamp"].split("Z-")[1] for m in back] == [f"{k:04X}-C" for k in range(8)]
+    assert spark.read.parquet(f"{tmp_path}/sent/clock=1").first()["counter"] == 8
+
+
+def test_forgetting_streams_start(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, "BOOK", dt.date(2024, 1, 1), 1, "p", "", "A", False)], FEED)
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    q = sp.pending_to_booked(stream, forget=True).writeStream.format("memory").queryName("forgetting").option("checkpointLocation", f"{tmp_path}/s").start()
+    try:
+        for _ in range(60):
+            if q.lastProgress and spark.table("forgetting").count():
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    assert [x["branch"] for x in spark.table("forgetting").collect()] == ["booked"]
