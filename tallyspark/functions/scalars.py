@@ -65,20 +65,30 @@ def int_to_date(n: C) -> Column:
 # Feed texts
 
 
-def remittance_items(raw: C) -> Column:
-    """Texts of remittance information that may be a JSON list or one text; other kinds in a list are left out."""
+def remittance_list(raw: C) -> Column:
+    """The entries of remittance information that is a JSON list; null if it is not one."""
     r = col(raw)
-    listed = F.from_json(r, "array<string>")
-    kinds = F.from_json(r, "array<variant>")
-    texts = F.transform(F.filter(F.arrays_zip(listed.alias("t"), kinds.alias("k")), lambda x: F.schema_of_variant(x["k"]) == "STRING"), lambda x: x["t"])
+    return F.when(r.rlike(r"^\s*\["), F.from_json(r, "array<variant>"))
+
+
+def _is_text(entry: Column) -> Column:
+    return F.schema_of_variant(entry) == "STRING"
+
+
+def remittance_items(raw: C, entries: C | None = None) -> Column:
+    """Texts of remittance information that may be a JSON list or one text; other kinds in a list are left out.
+
+    ``entries`` is ``remittance_list(raw)`` where that is at hand as a column."""
+    r, e = col(raw), remittance_list(raw) if entries is None else col(entries)
+    texts = F.transform(F.filter(e, _is_text), lambda x: F.variant_get(x, "$", "string"))
     return F.when(r.rlike(r"^\s*\["), texts).when(r.isNull() | (r == ""), F.array().cast("array<string>")).otherwise(F.array(r))
 
 
-def first_remittance(raw: C) -> Column:
+def first_remittance(raw: C, entries: C | None = None) -> Column:
     """The first entry if it is a text, else ''."""
-    r = col(raw)
-    head = F.get(F.from_json(r, "array<variant>"), F.lit(0))
-    text = F.when(F.schema_of_variant(head) == "STRING", F.get(F.from_json(r, "array<string>"), F.lit(0)))
+    r, e = col(raw), remittance_list(raw) if entries is None else col(entries)
+    head = F.get(e, F.lit(0))
+    text = F.when(_is_text(head), F.try_variant_get(head, "$", "string"))
     return F.coalesce(F.when(r.rlike(r"^\s*\["), text).otherwise(r), F.lit(""))
 
 
@@ -91,17 +101,17 @@ def own_names(csv: str) -> list[str]:
     return [n.strip().lower() for n in csv.split(",") if n.strip()]
 
 
-def payee_of(ind: C, creditor: C, creditor_name: C, debtor: C, debtor_name: C, remittance: C, own: list[str]) -> Column:
+def payee_of(ind: C, creditor: C, creditor_name: C, debtor: C, debtor_name: C, remittance: C, own: list[str], entries: C | None = None) -> Column:
     """Debits name the creditor, credits the debtor unless that is missing or oneself; then the first remittance text."""
-    said = first_remittance(remittance)
+    said = first_remittance(remittance, entries)
     outgoing = first_filled(creditor, creditor_name, said)
     who = first_filled(debtor, debtor_name)
     incoming = F.when((who == "") | is_own_name(who, own), said).otherwise(who)
     return first_filled(F.when(col(ind) == "DBIT", outgoing).otherwise(incoming), F.lit("Unknown"))
 
 
-def notes_of(unstructured: C, remittance: C) -> Column:
-    return F.when(first_filled(unstructured) != "", col(unstructured)).otherwise(F.array_join(remittance_items(remittance), " "))
+def notes_of(unstructured: C, remittance: C, entries: C | None = None) -> Column:
+    return F.when(first_filled(unstructured) != "", col(unstructured)).otherwise(F.array_join(remittance_items(remittance, entries), " "))
 
 
 def entry_ref(reference: C, transaction_id: C) -> Column:

@@ -22,21 +22,27 @@ def continuation(pages: DataFrame, page_col: str = "page") -> DataFrame:
     return pages.withColumn("continuation_key", fn.first_filled(F.from_json(F.col(page_col), FEED_PAGE)["continuation_key"]))
 
 
+def _once(df: DataFrame, name: str, value) -> DataFrame:
+    """``df`` with column ``name``, behind a generator, so that the optimiser never copies what makes it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def normalise_records(records: DataFrame, own_names: list[str] | None = None, record_col: str = "record") -> DataFrame:
     """Typed columns of every record; ``valid`` is false where date or amount cannot be read."""
-    r = F.col("__r")
-    parsed = records.withColumn("__r", F.from_json(F.col(record_col), FEED_JSON))
+    r, entries = F.col("__r"), F.col("__entries.list")
+    parsed = _once(records, "__r", F.from_json(F.col(record_col), FEED_JSON))
+    parsed = _once(parsed, "__entries", F.struct(fn.remittance_list(r["remittance_information"]).alias("list")))
     ind = fn.indicator(r["credit_debit_indicator"], r["credit_debit_indic"])
     out = parsed.withColumns(
         {
             "status": fn.status_or_booked(r["status"]),
             "date": fn.parse_date(r["transaction_date"], r["booking_date"], r["value_date"]),
             "amount_cents": fn.signed_cents(r["transaction_amount"]["amount"], ind),
-            "payee": fn.payee_of(ind, r["creditor"]["name"], r["creditor_name"], r["debtor"]["name"], r["debtor_name"], r["remittance_information"], own_names or []),
-            "notes": fn.notes_of(r["remittance_information_unstructured"], r["remittance_information"]),
+            "payee": fn.payee_of(ind, r["creditor"]["name"], r["creditor_name"], r["debtor"]["name"], r["debtor_name"], r["remittance_information"], own_names or [], entries),
+            "notes": fn.notes_of(r["remittance_information_unstructured"], r["remittance_information"], entries),
             "entry_ref": fn.entry_ref(r["entry_reference"], r["transaction_id"]),
         }
-    ).drop("__r")
+    ).drop("__r", "__entries")
     return out.withColumn("valid", F.col("date").isNotNull() & F.col("amount_cents").isNotNull())
 
 
