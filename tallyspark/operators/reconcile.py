@@ -4,9 +4,12 @@ feed: feed_ord, account, date, amount_cents, payee, notes, entry_ref, cleared
 ledger: id, ord, account, date, amount_cents, payee_id, payee_name, notes, financial_id, cleared, imported_payee
 """
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as fn
 
@@ -26,12 +29,21 @@ def _rank(payee: Column, name: Column, date: Column, target: Column) -> list[Col
     return [F.when(fn.same_fold(payee, name), 0).otherwise(1), F.abs(fn.date_to_int(date) - fn.date_to_int(target))]
 
 
+def _stretch(date: Column, days: int) -> Column:
+    """The number of the stretch of days + 1 days that holds ``date``; a window of ``days`` to both sides meets three at most."""
+    return F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / (days + 1)).cast("long")
+
+
 def window_candidates(feed: DataFrame, ledger: DataFrame, excluded: DataFrame | None = None, days: int = WINDOW_DAYS) -> DataFrame:
-    """All (feed row, ledger row) of equal account and amount within ``days``, with the rank of each."""
+    """All (feed row, ledger row) of equal account and amount within ``days``, with the rank of each.
+
+    The join goes by account, amount and stretch of days, so a common amount is dealt out over time and only rows of
+    neighbouring days meet."""
     free = ledger if excluded is None else ledger.join(excluded.select(F.col("ledger_id").alias("id")), "id", "left_anti")
-    l = free.select("account", "amount_cents", F.col("id").alias("ledger_id"), F.col("date").alias("l_date"), F.col("payee_name").alias("l_payee"), F.col("ord").alias("l_ord"))
-    f = feed.select("account", "amount_cents", "feed_ord", "date", "payee")
-    pairs = f.join(l, ["account", "amount_cents"]).where(F.col("l_date").between(F.date_sub("date", days), F.date_add("date", days)))
+    l = free.select("account", "amount_cents", F.col("id").alias("ledger_id"), F.col("date").alias("l_date"), F.col("payee_name").alias("l_payee"), F.col("ord").alias("l_ord"), _stretch(F.col("date"), days).alias("stretch"))
+    reach = F.sequence(_stretch(F.date_sub("date", days), days), _stretch(F.date_add("date", days), days))
+    f = feed.select("account", "amount_cents", "feed_ord", "date", "payee", F.explode(reach).alias("stretch"))
+    pairs = f.join(l, ["account", "amount_cents", "stretch"]).where(F.col("l_date").between(F.date_sub("date", days), F.date_add("date", days)))
     other_payee, distance = _rank(F.col("payee"), F.col("l_payee"), F.col("l_date"), F.col("date"))
     return pairs.withColumns({"other_payee": other_payee, "distance": distance})
 
@@ -43,22 +55,39 @@ def window_matches(feed: DataFrame, ledger: DataFrame, excluded: DataFrame | Non
     return best.select("feed_ord", "b.ledger_id", "b.distance", (F.col("b.other_payee") == 0).alias("same_payee"))
 
 
-def greedy_matches(feed: DataFrame, ledger: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
-    """One-to-one assignment in feed order: a ledger row taken by one feed row is gone for the later ones.
+_TAKEN = pa.schema([("feed_ord", pa.int64()), ("ledger_id", pa.string())])
 
-    Rows only compete inside one (account, amount), so each such group is settled alone, over its candidates.
-    """
-    pairs = window_candidates(feed, ledger, None, days).select("account", "amount_cents", "feed_ord", "ledger_id", "other_payee", "distance", "l_ord")
 
-    def settle(g: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for feed_ord, ledger_id in g.sort_values(["feed_ord", "other_payee", "distance", "l_ord", "ledger_id"])[["feed_ord", "ledger_id"]].itertuples(index=False):
-            if (not out or out[-1][0] != feed_ord) and ledger_id not in taken:
+def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First come, first served over candidates sorted by group, feed row and rank: what a group has taken is kept, no more."""
+    group, taken, served = None, set(), None
+    for batch in batches:
+        feed, ledger = [], []
+        for key, feed_ord, ledger_id in zip(zip(*(batch.column(c).to_pylist() for c in ("account", "amount_cents", "island")), strict=True), batch.column("feed_ord").to_pylist(), batch.column("ledger_id").to_pylist(), strict=True):
+            if key != group:
+                group, taken, served = key, set(), None
+            if feed_ord != served and ledger_id not in taken:
                 taken.add(ledger_id)
-                out.append((feed_ord, ledger_id))
-        return pd.DataFrame(out, columns=["feed_ord", "ledger_id"])
+                served = feed_ord
+                feed.append(feed_ord)
+                ledger.append(ledger_id)
+        yield pa.record_batch([pa.array(feed, pa.int64()), pa.array(ledger, pa.string())], schema=_TAKEN)
+
 
-    return pairs.groupBy("account", "amount_cents").applyInPandas(settle, "feed_ord bigint, ledger_id string")
+def greedy_matches(feed: DataFrame, ledger: DataFrame, excluded: DataFrame | None = None, days: int = WINDOW_DAYS) -> DataFrame:
+    """One-to-one assignment in feed order: a ledger row taken by one feed row is gone for the later ones.
+
+    Rows only compete inside one (account, amount), and there only along an unbroken run of stretches of days: each such
+    island is settled alone, as its sorted candidates stream by."""
+    pairs = window_candidates(feed, ledger, excluded, days).select("account", "amount_cents", "feed_ord", "ledger_id", "other_payee", "distance", "l_ord", "stretch")
+    # a pair's feed row may reach one stretch further than its ledger row, so only a gap of three parts two islands
+    held = pairs.select("account", "amount_cents", "stretch").distinct()
+    along = Window.partitionBy("account", "amount_cents").orderBy("stretch")
+    parted = (F.col("stretch") - F.lag("stretch").over(along) > 2).cast("long")
+    islands = held.withColumn("island", F.coalesce(F.sum(parted).over(along), F.lit(0)))
+    by = ["account", "amount_cents", "island"]
+    dealt = pairs.join(islands, ["account", "amount_cents", "stretch"]).repartition(*by).sortWithinPartitions(*by, "feed_ord", "other_payee", "distance", "l_ord", "ledger_id")
+    return dealt.select(*by, "feed_ord", "ledger_id").mapInArrow(_take, "feed_ord bigint, ledger_id string")
 
 
 def patch(feed: DataFrame, ledger: DataFrame, matches: DataFrame, payee_ids: DataFrame) -> DataFrame:
@@ -84,12 +113,14 @@ def patch(feed: DataFrame, ledger: DataFrame, matches: DataFrame, payee_ids: Dat
 
 
 def reconcile(feed: DataFrame, ledger: DataFrame, payee_ids: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Every feed row with its ledger row, how it was found (exact, window, created) and whether that changed anything."""
+    """Every feed row with its ledger row, how it was found (exact, window, created) and whether that changed anything.
+
+    Rows with a known reference take their ledger rows first; the others are matched by window one to one."""
     exact = exact_matches(feed, ledger).withColumn("how", F.lit("exact"))
     matched = exact
     if fuzzy:
         open_rows = feed.join(exact, "feed_ord", "left_anti")
-        matched = exact.unionByName(window_matches(open_rows, ledger, exact).select("feed_ord", "ledger_id").withColumn("how", F.lit("window")))
+        matched = exact.unionByName(greedy_matches(open_rows, ledger, exact).withColumn("how", F.lit("window")))
     patched = patch(feed, ledger, matched, payee_ids).select("feed_ord", "changed")
     return (
         feed.select("feed_ord", "account").join(matched, "feed_ord", "left").join(patched, "feed_ord", "left")

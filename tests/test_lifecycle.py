@@ -133,6 +133,39 @@ def test_greedy_takes_each_ledger_row_once(spark):
     assert got == {1: "a", 2: "b"}
 
 
+def greedy_model(feed, ledger):
+    """feed: (ord, account, date, cents, payee); ledger: (id, ord, account, date, cents, payee). First come, first served."""
+    number = lambda d: d.year * 10_000 + d.month * 100 + d.day
+    taken, out = set(), {}
+    for o, acct, day, cents, payee in sorted(feed):
+        near = [(payee.lower() != x[5].lower(), abs(number(x[3]) - number(day)), x[1], x[0]) for x in ledger if x[0] not in taken and x[2] == acct and x[4] == cents and abs((x[3] - day).days) <= 7]
+        if near:
+            out[o] = min(near)[3]
+            taken.add(out[o])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_equals_first_come_first_served(spark, seed):
+    r = random.Random(seed)
+    day = lambda: dt.date(2023, 11, 1) + dt.timedelta(days=r.randint(0, 150))
+    feed = [(k, r.randint(1, 2), day(), r.randint(1, 3), r.choice("AbC")) for k in range(150)]
+    ledger = [(f"L{k}", k, r.randint(1, 2), day(), r.randint(1, 3), r.choice("aBd")) for k in range(150)]
+    f = spark.createDataFrame([(o, a, "BOOK", d, c, p, "", "", True) for o, a, d, c, p in feed], FEED)
+    got = {x["feed_ord"]: x["ledger_id"] for x in rc.greedy_matches(f, _ledger(spark, ledger)).collect()}
+    assert got == greedy_model(feed, ledger)
+
+
+def test_reconcile_by_window_is_one_to_one(spark):
+    day = dt.date(2024, 2, 27)
+    rows = [(1, 1, "BOOK", day, 500, "Kiosk", "", "known", True), (2, 1, "BOOK", day, 500, "Kiosk", "", "", True), (3, 1, "BOOK", day, 500, "Kiosk", "", "", True), (4, 1, "BOOK", day, 500, "Kiosk", "", "", True)]
+    t = [("a", 1, 1, day, 500, "", "", "known", "", True, "x"), ("b", 2, 1, dt.date(2024, 3, 1), 500, "", "", "", "", False, "")]
+    table = spark.createDataFrame([(i, o, a, d, c, pi, pn, n, f, cl, im) for i, o, a, d, c, pi, pn, f, n, cl, im in t], "id string, ord long, account long, date date, amount_cents long, payee_id string, payee_name string, notes string, financial_id string, cleared boolean, imported_payee string")
+    nobody = spark.createDataFrame([], "name string, id string")
+    got = {x["feed_ord"]: (x["how"], x["ledger_id"], x["changed"]) for x in rc.reconcile(spark.createDataFrame(rows, FEED), table, nobody).collect()}
+    assert got == {1: ("exact", "a", False), 2: ("window", "b", True), 3: ("created", None, False), 4: ("created", None, False)}
+
+
 def test_feed_records(spark):
     good = [
         {"status": "PDNG", "value_date": "2023-11-30", "transaction_amount": {"amount": "7.05"}, "credit_debit_indic": "dbit", "creditor_name": "Night Tram", "remittance_information": ["Night Tram", "zone B"], "transaction_id": "T-81"},
