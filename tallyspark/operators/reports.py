@@ -79,6 +79,11 @@ def read_inventory(spark, path: str) -> DataFrame:
     return spark.read.schema(INVENTORY).json(path, multiLine=True).select(F.explode("components").alias("c")).select("c.*")
 
 
+def tag_names(pages: DataFrame, page_col: str = "page") -> DataFrame:
+    """The tags that pages of a registry's answer list; a page that cannot be read lists none."""
+    return pages.select(F.explode(F.from_json(page_col, "results array<struct<name:string>>")["results"]["name"]).alias("tag"))
+
+
 def newest_version(tags: DataFrame, tag: str = "tag") -> DataFrame:
     """The newest release tag."""
     return tags.where(fn.is_release_tag(tag)).agg(F.max_by(tag, fn.parse_version(tag)).alias("newest"))

@@ -1,7 +1,9 @@
 """Keyed tables: upsert, insert-ignore, get-or-create, updates and deletes as new DataFrames."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as fn
 
@@ -60,10 +62,6 @@ def name_to_id(dim: DataFrame, order: str = "ord") -> DataFrame:
     return live.groupBy("name").agg(F.max_by("id", order).alias("id"))
 
 
-def id_to_name(dim: DataFrame) -> DataFrame:
-    return dim.where("tombstone = 0").select("id", F.coalesce("name", F.lit("")).alias("name"))
-
-
 def get_or_create_payees(payees: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(name, id, created) for every distinct name, and the identity mapping rows of new payees."""
     wanted = names.select("name").where("name IS NOT NULL AND name <> ''").distinct()
@@ -102,6 +100,32 @@ def legacy_pending(state: DataFrame) -> DataFrame:
     return state.select(F.explode("pending_map").alias("key", "txn_id"))
 
 
+def import_legacy(state: DataFrame, accounts: DataFrame, settings: DataFrame, refs: DataFrame, pending: DataFrame) -> dict[str, DataFrame]:
+    """The four tables after a legacy state document: known refs and pending keys stay as they are, the last sync date
+    is put over the old one, and the session becomes the first account only where there is none."""
+    session = state.where("coalesce(session_id, '') <> '' AND coalesce(account_uid, '') <> ''")
+    none_yet = accounts.agg(F.count(F.lit(1)).alias("__n")).where("__n = 0")
+    own = {"session_id": F.col("session_id"), "account_uid": F.col("account_uid"), "session_expiry": F.coalesce("session_expiry", F.lit(""))}
+    first = session.join(none_yet).select(*[own.get(f.name, F.lit("" if f.dataType.typeName() == "string" else 1)).cast(f.dataType).alias(f.name) for f in accounts.schema])
+    date = state.where("coalesce(last_sync_date, '') <> ''").select(F.lit("last_sync_date").alias("key"), F.col("last_sync_date").alias("value"))
+    return {
+        "accounts": accounts.unionByName(first), "settings": upsert(settings, date, "key"),
+        "refs": insert_ignore(refs, legacy_refs(state), "ref"), "pending": insert_ignore(pending, legacy_pending(state), "key"),
+    }
+
+
+def append_log(path: str, runs: DataFrame, order: str = "ran_at") -> DataFrame:
+    """Append ``runs`` (a few rows) to the log at ``path``, with ids that go on from the last; returns the whole log."""
+    spark = runs.sparkSession
+    try:
+        last = spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
+    except AnalysisException:  # no log yet
+        last = 0
+    numbered = runs.withColumn("id", F.row_number().over(Window.orderBy(order)).cast("long") + last)  # one cycle's runs
+    numbered.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def as_map(pairs: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """One row with all pairs as a map: for small keyed tables that go back to a caller whole."""
     return pairs.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("entries"))

@@ -39,9 +39,9 @@ def feed_drop_malformed(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("records"), F.count_if(~F.col("valid")).alias("malformed"))
 
 
-@query("feed_pages", "SELECT count(*) AS pages, count(DISTINCT key) AS keys FROM (SELECT DISTINCT o_custkey % 50 AS a, o_orderkey // 50 AS key FROM orders JOIN customer ON o_custkey = c_custkey)")
+@query("feed_pages", "SELECT DISTINCT o_custkey % 50 AS account, o_orderkey // 50 AS page_no, (o_orderkey // 50)::VARCHAR AS continuation_key FROM orders JOIN customer ON o_custkey = c_custkey")
 def feed_pages(spark, sf_dir):
-    return feed_source.continuation(td.feed_pages(spark, sf_dir)).agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("continuation_key").alias("keys"))
+    return feed_source.continuation(td.feed_pages(spark, sf_dir)).select("account", "page_no", "continuation_key")
 
 
 @query(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import reports as rp
+from ..session import scratch
 from ..sources import testdata as td
 from .registry import query
 
@@ -96,10 +97,23 @@ def inventory_counts(spark, sf_dir):
     return rp.inventory_counts(_components(spark, sf_dir))
 
 
+@query("inventory_scan", f"SELECT {_KIND} AS kind, p_name AS name, p_partkey::VARCHAR AS version, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN 'MIT' ELSE p_brand END AS license FROM part")
+def inventory_scan(spark, sf_dir):
+    """The inventory as files of one JSON document each, read back whole."""
+    folder = scratch(spark, "inventory")
+    parts = _components(spark, sf_dir).withColumn("file", F.pmod(F.xxhash64("name"), F.lit(8)))
+    docs = parts.groupBy("file").agg(F.collect_list(F.struct("name", "version", "purl", "licenses")).alias("components"))
+    docs.repartition("file").select("file", F.to_json(F.struct("components")).alias("value")).write.partitionBy("file").text(folder)
+    return rp.inventory(rp.read_inventory(spark, folder))
+
+
 @query("version_max", "SELECT '1.' || (l_partkey % 30) || '.' || (l_suppkey % 20) || '.' || l_linenumber AS newest FROM lineitem WHERE l_orderkey % 7 <> 0 ORDER BY l_partkey % 30 DESC, l_suppkey % 20 DESC, l_linenumber DESC LIMIT 1")
 def version_max(spark, sf_dir):
+    """Tags as a registry lists them: JSON pages of names."""
     tag = F.concat(F.when(F.col("l_orderkey") % 7 == 0, "v1.").otherwise("1."), F.col("l_partkey") % 30, F.lit("."), F.col("l_suppkey") % 20, F.lit("."), "l_linenumber")
-    return rp.newest_version(td.table(spark, sf_dir, "lineitem").select(tag.alias("tag")))
+    tags = td.table(spark, sf_dir, "lineitem").select(tag.alias("name")).distinct().withColumn("page_no", F.pmod(F.xxhash64("name"), F.lit(100)))
+    pages = tags.groupBy("page_no").agg(F.to_json(F.struct(F.collect_list(F.struct("name")).alias("results"))).alias("page"))
+    return rp.newest_version(rp.tag_names(pages.select("page").union(spark.createDataFrame([("no page",)], "page string"))))
 
 
 @query("distinct_in_order", "SELECT r_name AS country, min(n_nationkey)::BIGINT AS first_seen FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name ORDER BY first_seen")

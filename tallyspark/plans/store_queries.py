@@ -1,20 +1,25 @@
 """Keyed tables, dimensions and change messages over whole test tables."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import changelog as cl
 from ..operators import store as st
+from ..schemas import LEGACY_STATE
+from ..session import scratch
+from ..sources import directory
 from ..sources import testdata as td
 from .registry import query
 
 _CUT = "DATE '2001-07-11'"
 
 
-@query("ledger_scan", f"WITH feed AS ({td.FEED_SQL}), ledger AS ({td.LEDGER_SQL}) SELECT id, account, date, amount_cents, coalesce(c_name, '') AS payee_name, notes, financial_id FROM ledger LEFT JOIN customer ON payee_name = c_name AND c_custkey % 3 <> 0 WHERE account < 25 ORDER BY date DESC, id", dates=('date',))
+@query("ledger_scan", f"WITH feed AS ({td.FEED_SQL}), ledger AS ({td.LEDGER_SQL}) SELECT id, account, date, amount_cents, coalesce(c_name, '') AS payee_name, notes, financial_id FROM ledger LEFT JOIN customer ON payee_name = c_name AND c_custkey % 3 <> 0 ORDER BY date DESC, id", dates=('date',))
 def ledger_scan(spark, sf_dir):
     payees = td.table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("P-"), "c_name").alias("payee_id"), "c_name")
-    rows = td.ledger(spark, sf_dir).where("account < 25").drop("payee_name").join(payees, "payee_id", "left")
+    rows = td.ledger(spark, sf_dir).drop("payee_name").join(payees, "payee_id", "left")
     return rows.select("id", "account", "date", "amount_cents", F.coalesce("c_name", F.lit("")).alias("payee_name"), "notes", "financial_id").orderBy(F.col("date").desc(), "id")
 
 
@@ -86,12 +91,23 @@ def account_delete_update(spark, sf_dir):
     return st.upsert(left, left.where("id % 3 = 0").select("id", F.concat(F.lit("NEW"), "id").alias("session_id")), "id")
 
 
-@query("new_transactions", f"WITH feed AS ({td.FEED_SQL}) SELECT account AS acct, strftime(date, '%Y%m%d')::INT AS date, amount_cents AS amount, notes, entry_ref AS financial_id, cleared::INT AS cleared, payee AS imported_description, count(*) AS n FROM feed GROUP BY ALL")
+@query(
+    "new_transactions",
+    f"""
+WITH feed AS ({td.FEED_SQL}), c AS (SELECT c_name, min('P' || c_custkey) AS pid FROM customer GROUP BY c_name)
+SELECT substr(sha256('txn' || chr(1) || account || chr(1) || entry_ref || chr(1) || strftime(date, '%Y-%m-%d') || chr(1) || amount_cents || chr(1) || feed_ord), 1, 32) AS id,
+       account AS acct, strftime(date, '%Y%m%d')::INT AS date, amount_cents AS amount,
+       CASE WHEN feed_ord % 5 = 0 THEN substr(sha256('payee' || chr(1) || 'Night Tram ' || account), 1, 32) ELSE pid END AS description,
+       CASE WHEN feed_ord % 7 <> 0 THEN notes END AS notes, entry_ref AS financial_id, cleared::INT AS cleared, CASE WHEN feed_ord % 5 = 0 THEN 'night  TRAM ' || account ELSE payee END AS imported_description
+FROM feed JOIN c ON c_name = payee
+""",
+)
 def new_transactions(spark, sf_dir):
     c = td.table(spark, sf_dir, "customer")
     payees = c.select(F.concat(F.lit("P"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(0).alias("tombstone"))
-    rows = st.new_transactions(td.feed(spark, sf_dir), payees)
-    return rows.groupBy("acct", "date", "amount", "notes", "financial_id", "cleared", "imported_description").agg(F.countDistinct("id").alias("n"))
+    k = F.col("feed_ord")
+    f = td.feed(spark, sf_dir).withColumns({"payee": F.when(k % 5 == 0, F.concat(F.lit("night  TRAM "), "account")).otherwise(F.col("payee")), "notes": F.when(k % 7 != 0, F.col("notes")).otherwise("")})
+    return st.new_transactions(f, payees)
 
 
 @query(
@@ -159,19 +175,79 @@ def ref_prune(spark, sf_dir):
     return st.prune_refs(refs, F.lit("2001-08-01").cast("date"))
 
 
-@query("legacy_import", "SELECT 'k' || n_nationkey AS key, n_name AS txn_id FROM nation")
-def legacy_import(spark, sf_dir):
+def _legacy(spark, sf_dir):
     n = td.table(spark, sf_dir, "nation")
-    state = n.select(F.map_from_entries(F.array(F.struct(F.concat(F.lit("k"), "n_nationkey"), "n_name"))).alias("pending_map"))
-    have = n.where("n_nationkey < 5").select(F.concat(F.lit("k"), "n_nationkey").alias("key"), F.col("n_name").alias("txn_id"))
-    return st.insert_ignore(have, st.legacy_pending(state), "key")
+    pairs = lambda *p: F.map_from_entries(F.sort_array(F.collect_list(F.struct(*p))))
+    doc = n.agg(pairs(F.concat(F.lit("k"), "n_nationkey"), "n_name").alias("pending_map"), pairs(F.concat(F.lit("REF"), "n_nationkey"), F.lit("2024-01-05")).alias("imported_refs"))
+    doc = doc.select(F.to_json(F.struct(F.lit("S1").alias("session_id"), F.lit("U1").alias("account_uid"), F.lit("2024-05-01").alias("last_sync_date"), "pending_map", "imported_refs")).alias("value"))
+    return doc.select(F.from_json("value", LEGACY_STATE).alias("s")).select("s.*")
 
 
-@query("clock_load", "SELECT 66::INT AS counter, 'ABCDEF1234567890' AS client, 0::INT AS fresh_counter, '0000000000000000' AS fresh_client")
+@query(
+    "legacy_import",
+    """
+SELECT 'pending' AS kind, 'k' || n_nationkey AS key, CASE WHEN n_nationkey < 5 THEN 'kept' ELSE n_name END AS value FROM nation
+UNION ALL SELECT 'refs', 'REF' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '2023-12-31' ELSE '2024-01-05' END FROM nation
+UNION ALL SELECT * FROM (VALUES ('settings', 'last_sync_date', '2024-05-01'), ('settings', 'other', 'x'), ('some accounts', 'S0', 'U0'), ('no accounts', 'S1', 'U1'))
+""",
+)
+def legacy_import(spark, sf_dir):
+    n, state = td.table(spark, sf_dir, "nation"), _legacy(spark, sf_dir)
+    some = spark.createDataFrame([("S0", "U0", "")], "session_id string, account_uid string, session_expiry string")
+    settings = spark.createDataFrame([("last_sync_date", "2023-01-01"), ("other", "x")], "key string, value string")
+    refs = n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("REF"), "n_nationkey").alias("ref"), F.lit("2023-12-31").alias("date"))
+    pending = n.where("n_nationkey < 5").select(F.concat(F.lit("k"), "n_nationkey").alias("key"), F.lit("kept").alias("txn_id"))
+    got, bare = st.import_legacy(state, some, settings, refs, pending), st.import_legacy(state, some.limit(0), settings, refs, pending)
+    parts = [("pending", got["pending"]), ("refs", got["refs"]), ("settings", got["settings"]), ("some accounts", got["accounts"]), ("no accounts", bare["accounts"])]
+    out = None
+    for kind, df in parts:
+        one = df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).alias("key"), F.col(df.columns[1]).alias("value"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(
+    "log_append",
+    """
+SELECT row_number() OVER (ORDER BY status) AS id, status, added, confirmed, seconds, message FROM (
+  SELECT o_orderstatus AS status, count(*) AS added, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS confirmed, (min(o_orderkey) / 2.0)::DOUBLE AS seconds, 'run ' || o_orderstatus AS message FROM orders GROUP BY o_orderstatus)
+""",
+)
+def log_append(spark, sf_dir):
+    """One append per status, each by itself: ids go on."""
+    o = td.table(spark, sf_dir, "orders")
+    runs = o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("added"), F.count_if(F.col("o_orderkey") % 2 == 0).alias("confirmed"), (F.min("o_orderkey") / 2.0).alias("seconds")).withColumn("message", F.concat(F.lit("run "), "status"))
+    folder = scratch(spark, "log")
+    for status in ("F", "O", "P"):
+        log = st.append_log(folder, runs.where(F.col("status") == status), "status")
+    return log
+
+
+@query(
+    "directory_cache",
+    """
+SELECT 'first' AS answer, n_name AS name, n_nationkey::BIGINT AS position FROM nation WHERE n_nationkey < 20
+UNION ALL SELECT 'after a day less a second', n_name, n_nationkey FROM nation WHERE n_nationkey < 20
+UNION ALL SELECT 'after a day', n_name, n_nationkey FROM nation WHERE n_nationkey >= 3
+""",
+)
+def directory_cache(spark, sf_dir):
+    """Each answer is written out at once, as a later one replaces the snapshot."""
+    n = td.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit("x").alias("country"), F.col("n_nationkey").cast("long").alias("position"))
+    folder, day = scratch(spark, "directory"), datetime(2024, 1, 1, 8)
+    calls = [("first", None, day, "position < 20"), ("after a day less a second", day, day + timedelta(days=1, seconds=-1), "position < 0"), ("after a day", day, day + timedelta(days=1), "position >= 3")]
+    for answer, taken, now, where in calls:
+        banks, _ = directory.bank_directory(spark, f"{folder}/snapshot", taken, now, lambda where=where: n.where(where))
+        banks.select(F.lit(answer).alias("answer"), "name", "position").write.mode("append").parquet(f"{folder}/answers")
+    return spark.read.parquet(f"{folder}/answers")
+
+
+@query("clock_load", "SELECT 10 + n_nationkey AS counter, 'C' || n_nationkey AS client, 0::INT AS fresh_counter, '0000000000000000' AS fresh_client FROM nation WHERE n_nationkey = 5")
 def clock_load(spark, sf_dir):
-    n = td.table(spark, sf_dir, "nation")
-    stored = n.where("n_nationkey = 0").select(F.lit('{"timestamp":"2024-03-15T10:30:45.123Z-0042-ABCDEF1234567890"}').alias("clock"))
-    broken = stored.select(F.lit('{"timestamp":"notavalid"}').alias("clock"))
+    n = td.table(spark, sf_dir, "nation").where("n_nationkey = 5")
+    clock = fn.format_clock(F.lit("2019-07-02 23:05:09").cast("timestamp"), F.col("n_nationkey") + 10, F.concat(F.lit("C"), "n_nationkey"))
+    stored = n.select(F.to_json(F.struct(clock.alias("timestamp"))).alias("clock"))
+    broken = stored.select(F.lit('{"timestamp":"no clock"}').alias("clock"))
     fresh = cl.load_clock(broken).select(F.col("counter").alias("fresh_counter"), F.col("client").alias("fresh_client"))
     return cl.load_clock(stored).select("counter", "client").join(fresh)  # one row each
 
@@ -183,11 +259,11 @@ def clock_save(spark, sf_dir):
     return st.upsert(clocks, st.latest(saves, "id", "ord"), "id")
 
 
-@query("pending_as_map", "SELECT count(*) AS keys, count(DISTINCT n_name) AS values_ FROM nation")
+@query("pending_as_map", "SELECT string_agg('k' || n_nationkey || '=' || n_name, ',' ORDER BY 'k' || n_nationkey) AS entries FROM nation")
 def pending_as_map(spark, sf_dir):
     n = td.table(spark, sf_dir, "nation")
     m = st.as_map(n.select(F.concat(F.lit("k"), "n_nationkey").alias("key"), F.col("n_name").alias("value")))
-    return m.select(F.size("entries").cast("long").alias("keys"), F.size(F.array_distinct(F.map_values("entries"))).cast("long").alias("values_"))
+    return m.select(F.array_join(F.transform(F.array_sort(F.map_entries("entries")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("entries"))
 
 
 @query("account_by_id", f"WITH a AS ({td.BANK_ACCOUNTS_SQL}) SELECT id, bank_name FROM a WHERE id = 7")

@@ -1,14 +1,10 @@
 """Streaming forms, driven over files that are there now, and the wire codecs."""
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import changelog as cl
+from ..session import scratch
 from ..sources import testdata as td
 from ..sources import wire
 from ..streaming import pipelines as sp
@@ -17,14 +13,7 @@ from .registry import query
 
 
 def _folder(spark) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one only in local mode where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="tallyspark-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def _streamed(spark, df, folder: str, files: int = 4):

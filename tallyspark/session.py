@@ -1,6 +1,10 @@
 """SparkSession defaults: UTC, ANSI, adaptive execution. Sizes are left to the cluster unless told."""
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +37,15 @@ def session(app: str = "tallyspark", master: str | None = None, **extra: str) ->
     for key, value in (DEFAULTS | extra).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared folder (``spark.checkpoint.dir``); a temporary one only in local mode where
+    none is set, and that is removed at exit."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tallyspark-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
