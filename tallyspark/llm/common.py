@@ -1,11 +1,14 @@
 """What the training-data operators share: tables in the shared folder, whole texts and row slices."""
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache, wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,43 @@ def whole_text(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Give memory that is free again back to the system: workers live on between tasks beside a full JVM."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def lean(f):
+    """An Arrow function that leaves nothing but its result behind."""
+
+    @wraps(f)
+    def run(*columns):
+        out = f(*columns)
+        release()
+        return out
+
+    return run
+
+
+def lean_rows(f):
+    """The same for a function over batches."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
 
 
 def sigmoid(z):

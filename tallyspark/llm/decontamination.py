@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 
@@ -130,7 +132,7 @@ def _scanner(sent, key: str, window: int, first: bool):
         rows = zip(so_far.to_pylist(), scanned(texts), texts.to_pylist(), strict=True)
         return pa.array([_merged(a, b, t) if b["spans"] else a for a, b, t in rows], _RESULT)
 
-    return F.arrow_udf(alone if first else onto, RESULT)
+    return F.arrow_udf(lean(alone if first else onto), RESULT)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, out: str = "contamination", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean_rows, materialize
 
 _LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -48,7 +48,7 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``links``: columns a and b (binary node ids). Returns (node, root) for every linked node but the roots; a root is its component's least id."""
-    e = materialize(links.select("a", "b").where("a <> b").mapInArrow(_contract, "a binary, b binary").distinct(), "components")
+    e = materialize(links.select("a", "b").where("a <> b").mapInArrow(lean_rows(_contract), "a binary, b binary").distinct(), "components")
     sign = None
     while True:
         e = materialize(_small_star(_large_star(e)), "components")

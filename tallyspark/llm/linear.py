@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_per_slice, sigmoid
+from .common import lean, lean_rows, rows_per_slice, sigmoid
 
 BITS = 18
 SLICE_BYTES = 2 << 20
@@ -216,7 +216,7 @@ def screened(rows: DataFrame, view: View, label: str) -> np.ndarray:
     wanted = np.zeros(1 << BITS, bool)
     if not n or share in (0.0, 1.0):
         return wanted
-    parts = known.select(F.col("text").cast("string").alias("text"), F.col(label).cast("double").alias("y")).mapInArrow(sums, "slot int, n bigint, x double, xx double, xy double")
+    parts = known.select(F.col("text").cast("string").alias("text"), F.col(label).cast("double").alias("y")).mapInArrow(lean_rows(sums), "slot int, n bigint, x double, xx double, xy double")
     total = parts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")])
     spread = F.sqrt(F.greatest(F.col("xx") - F.col("x") * F.col("x") / n, F.lit(1e-12)) * (share * (1 - share)))
     z = (F.col("xy") - F.col("x") * share) / spread
@@ -239,7 +239,7 @@ def collected_features(rows: DataFrame, view: View, wanted: np.ndarray) -> tuple
             found.extend({"slots": s[a:b].astype(np.int32), "values": v[a:b].astype(np.float32)} for a, b in zip(ends, ends[1:], strict=False))
         return pa.array(found, out)
 
-    got = rows.withColumn("f", F.arrow_udf(extract, kind)(F.col("text").cast("string"))).drop("text").select("*", "f.slots", "f.values").drop("f").toArrow()
+    got = rows.withColumn("f", F.arrow_udf(lean(extract), kind)(F.col("text").cast("string"))).drop("text").select("*", "f.slots", "f.values").drop("f").toArrow()
     values, slots_ = got.column("values").combine_chunks(), got.column("slots").combine_chunks()
     lengths = pc.list_value_length(slots_).to_numpy(zero_copy_only=False).astype(np.int64) if len(slots_) else np.zeros(0, np.int64)
     flat = lambda c, kind: c.flatten().to_numpy(zero_copy_only=False).astype(kind)

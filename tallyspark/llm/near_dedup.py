@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_per_slice
+from .common import lean, lean_rows, materialize, rows_per_slice
 from .graph import connected_components
 
 TREES, DEPTH = 32, 8
@@ -245,8 +245,8 @@ def _neighbours(least: int, sure: int):
 def neighbour_pairs(nodes: DataFrame, threshold: float, end: int, trees: int = TREES) -> DataFrame:
     """Pairs (a < b) of ``nodes`` (node, sig) that stand close together in the orders of the first ``end`` trees."""
     run, ddl = _tree_rows(end, trees)
-    rows = nodes.select("node", "sig").mapInArrow(run, ddl).repartitionByRange("row").sortWithinPartitions("row")
-    return rows.mapInArrow(_neighbours(_least_agreement(threshold), _sure_agreement(threshold)), _PAIRS_DDL).distinct()
+    rows = nodes.select("node", "sig").mapInArrow(lean_rows(run), ddl).repartitionByRange("row").sortWithinPartitions("row")
+    return rows.mapInArrow(lean_rows(_neighbours(_least_agreement(threshold), _sure_agreement(threshold))), _PAIRS_DDL).distinct()
 
 
 def _joinable(df: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def region_pairs(nodes: DataFrame, percent: int, trees: int = TREES) -> DataFram
     spots = spots.select("node", "own", F.concat(big_endian("region", 16), big_endian("least(own, other)", 8), big_endian("greatest(own, other)", 8)).alias("spot"))
     heavy = nodes.select("node", F.concat(big_endian("xxhash64(root)", 16)).alias("rh"), F.concat(big_endian("n", 16), "node", "odd").alias("rest"))
     rows = spots.join(heavy, "node").select(F.concat("spot", "rh", big_endian("own", 8), "rest").alias("row"))
-    return rows.repartition(F.substring("row", 1, _SPOT)).sortWithinPartitions("row").mapInArrow(_whole_regions(percent), _PAIRS_DDL).distinct()
+    return rows.repartition(F.substring("row", 1, _SPOT)).sortWithinPartitions("row").mapInArrow(lean_rows(_whole_regions(percent)), _PAIRS_DDL).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -376,7 +376,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
-    held = F.arrow_udf(similar, "boolean")
+    held = F.arrow_udf(lean(similar), "boolean")
     close = F.expr(f"100 * least(length(one), length(two)) >= {percent} * greatest(length(one), length(two))")
     return pairs.join(left, "a").join(right, "b").where(close).where(held("one", "two")).select("a", "b")
 
@@ -388,7 +388,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     repeated or null ids, that names one text of each component where kept does not."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     run, ddl = _signatures(width, trees)
-    signed = materialize(plain.select("id", "mark", "text").mapInArrow(run, ddl), "signatures")
+    signed = materialize(plain.select("id", "mark", "text").mapInArrow(lean_rows(run), ddl), "signatures")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least")
     nodes = materialize(signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.first("n").alias("n"), least), "nodes")
 
@@ -399,7 +399,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         wanted = _joinable(materialize(nodes.join(ends, "node", "left_semi").select(F.col("least.id").alias("want")).distinct(), "wanted"))
         run, ddl = _sets(width)
         texts = plain.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi")
-        sets = materialize(texts.select("text").mapInArrow(run, ddl).dropDuplicates(["node"]), "sets")
+        sets = materialize(texts.select("text").mapInArrow(lean_rows(run), ddl).dropDuplicates(["node"]), "sets")
         return materialize(_confirmed(pairs, sets, percent), "links")
 
     links = confirmed(neighbour_pairs(nodes, percent / 100, min(FIRST_TREES, trees), trees))

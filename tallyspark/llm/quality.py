@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sigmoid
+from .common import lean, sigmoid
 from .linear import Ordinal, View, calibrated, collected_features, fit_ordinal, screened, slices, smallest_by_hash
 
 MOST_LABELLED, MOST_UNLABELLED = 20_000, 5_000
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: CoTrained, out: str = "quality_score") -> Data
         return pa.array([dict(zip(("p_text", "p_meta", "score"), x, strict=True)) for x in zip(*(y.tolist() for y in m.combine(t, z)), strict=True)], _RESULT)
 
     columns = [F.col(c).cast(k) for c, k in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))]
-    return docs.withColumn(out, F.arrow_udf(scored, RESULT)(*columns))
+    return docs.withColumn(out, F.arrow_udf(lean(scored), RESULT)(*columns))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, lean_rows, materialize
 
 UNIT_WORDS = 4
 RUN_WORDS = 35
@@ -107,13 +107,13 @@ def _runs(least: int):
             out.append(found)
         return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
 
-    return F.arrow_udf(run, "array<struct<first:int,last:int>>")
+    return F.arrow_udf(lean(run), "array<struct<first:int,last:int>>")
 
 
 def repeated_runs(docs: DataFrame, least: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(place, runs): for each document with enough repeated words, the first and last unit of each passage (maybe none)."""
     plain = docs.select(F.col(text_col).cast("string").alias("text"), place_of(id_col, text_col).alias("place"))
-    found = materialize(plain.mapInArrow(_unit_rows, _UNITS_DDL), "units")
+    found = materialize(plain.mapInArrow(lean_rows(_unit_rows), _UNITS_DDL), "units")
     first = found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
     first = materialize(first, "repeated-units")
     # a digest of more than a ten-thousandth of all units: there cannot be more than MOST_HOT of them
@@ -150,7 +150,7 @@ def _cut():
     def edit(texts: pa.Array, runs: pa.Array) -> pa.Array:
         return pa.array([cut(t.as_py(), r.as_py()) if r.is_valid else None for t, r in zip(texts, runs, strict=True)], _EDITED)
 
-    return F.arrow_udf(edit, "struct<text:string,spans:array<struct<start:bigint,stop:bigint>>>")
+    return F.arrow_udf(lean(edit), "struct<text:string,spans:array<struct<start:bigint,stop:bigint>>>")
 
 
 def remove_repeats(docs: DataFrame, least: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text", text_out: str = "text", spans_out: str = "removed_spans") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import lean, materialize
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,12 +36,11 @@ def _encoding(path: str):
 def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
     """``docs`` with the encoded length of each whole text in column ``out``."""
 
-    @F.arrow_udf("long")
     def length(text: pa.Array) -> pa.Array:
         count = _encoding(vocabulary).encode_ordinary
         return pa.array([len(count(t)) if t else 0 for t in text.to_pylist()], pa.int64())
 
-    return docs.withColumn(out, length(F.col(text_col).cast("string")))
+    return docs.withColumn(out, F.arrow_udf(lean(length), "long")(F.col(text_col).cast("string")))
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .linear import Ordinal, View, collected_features, fit_ordinal, screened, slices, smallest_by_hash
 
 MOST_LABELLED = 40_000
@@ -93,7 +94,7 @@ def severity(docs: DataFrame, fitted: Severity, text_col: str = "text", out: str
             found.extend({"p": row, "expected": float(row.sum()), "toxic": bool(z >= cut)} for row, z in zip(m.at_least(scores), scores, strict=True))
         return pa.array(found, kind)
 
-    return docs.withColumn(out, F.arrow_udf(score, "struct<p:array<double>,expected:double,toxic:boolean>")(F.col(text_col).cast("string")))
+    return docs.withColumn(out, F.arrow_udf(lean(score), "struct<p:array<double>,expected:double,toxic:boolean>")(F.col(text_col).cast("string")))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
