@@ -26,16 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_per_slice
+from .common import lean, rows_per_slice
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-SLICE_BYTES = 2 << 20
-MOST_CACHED_WORDS = 250_000
+SLICE_BYTES = 4 << 20
+MOST_CACHED_WORDS = 100_000
 MOST_CACHED_PAIRS = 100_000
-TABLE_BITS, MAYBE_BITS = 20, 20
+TABLE_BITS, FEW = 20, (1 << 20) - 1
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -100,6 +100,9 @@ class Model:
         self.hashes, self.ids = hashes[order], normal[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
+        # where a hash's last bits lead into the sorted hashes: the first and one past the last of those with these bits
+        self.by_bits = np.argsort(self.hashes & np.uint64(FEW), kind="stable")
+        self.bits_from = np.searchsorted((self.hashes & np.uint64(FEW))[self.by_bits], np.arange(FEW + 2, dtype=np.uint64)).astype(np.int32)
         self.lengths = np.array([len(p) for p in self.pieces])
         self.unknown_score = float(self.scores[normal].min()) - 10.0
         self.raw = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k in (3, 5) else p.replace(SPACE, " ").encode() if k != UNKNOWN else " ⁇ ".encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
@@ -111,8 +114,6 @@ class Model:
         if self.model_type == BPE:
             self._merge_trees(normal)
         self.seen, self.seen_apart = np.full(1 << TABLE_BITS, -1), np.zeros(1 << TABLE_BITS, bool)
-        self.maybe = np.zeros(1 << MAYBE_BITS, bool)  # a piece's hash may end in these bits
-        self.maybe[(self.hashes & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)] = True
         self.words: dict[str, bytes] = {}  # ids as int32
         self.older: dict[str, bytes] = {}  # words of the generation before; those met again move up
 
@@ -173,12 +174,30 @@ class Model:
         out = np.full(len(x), len(self.pieces))
         with np.errstate(over="ignore"):
             h = self.hash_by_id[x] * self.step[np.minimum(self.lengths[y], self.longest)] + self.hash_by_id[y]
-        i = np.flatnonzero(self.maybe[(h & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)] & (self.lengths[x] + self.lengths[y] <= self.longest))
-        at = np.minimum(np.searchsorted(self.hashes, h[i]), len(self.hashes) - 1)
-        found = self.hashes[at] == h[i]
-        out[i[found]] = self.rank[self.ids[at[found]]]
+        i = np.flatnonzero(self._may_be(h) & (self.lengths[x] + self.lengths[y] <= self.longest))
+        found, ids = self._piece_of(h[i])
+        out[i[found]] = self.rank[ids[found]]
         return out
 
+    def _may_be(self, h: np.ndarray) -> np.ndarray:
+        """Whether any piece's hash ends like each of ``h``."""
+        bits = (h & np.uint64(FEW)).astype(np.int64)
+        return self.bits_from[bits] < self.bits_from[bits + 1]
+
+    def _piece_of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each of ``h``, which may be one, is a piece's hash, and that piece."""
+        bits = (h & np.uint64(FEW)).astype(np.int64)
+        at, stop = self.bits_from[bits], self.bits_from[bits + 1]
+        found, ids = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        i = np.arange(len(h))
+        while len(i):  # nearly always once
+            spot = self.by_bits[at[i]]
+            same = self.hashes[spot] == h[i]
+            found[i[same]], ids[i[same]] = True, self.ids[spot[same]]
+            at[i] += 1
+            i = i[~same & (at[i] < stop[i])]
+        return found, ids
+
     def _stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Verdicts on pairs of pieces whose merges go by rank. Going back in time, the later of the two parts beside the
         border is undone; had the two been one piece of a rank before what took them away, they would have merged."""
@@ -255,7 +274,7 @@ class Model:
         piece = np.zeros((n + 1, m), np.int64)  # last piece of the best path to each position; -1 - c: a character without a piece
         length = np.zeros((n + 1, m), np.int64)
         rolling = np.zeros((min(self.longest, n), m), np.uint64)  # rolling[k]: hash of the k + 1 characters that end here
-        low = np.uint64((1 << MAYBE_BITS) - 1)
+        single = self.model_type == BPE  # then a prefix has one last piece, and nothing else needs to be tried
         for end in range(1, n + 1):
             c = chars[end - 1].astype(np.uint64) + np.uint64(1)
             with np.errstate(over="ignore"):
@@ -263,14 +282,20 @@ class Model:
             rolling[0] = c
             for size in range(1, min(self.longest, end, len(rolling)) + 1):
                 start, h = end - size, rolling[size - 1]
-                i = np.flatnonzero(self.maybe[(h & low).astype(np.int64)] & (best[start] > -np.inf)) if size > 1 else np.flatnonzero(best[start] > -np.inf)
+                on = best[start] > -np.inf
+                if single:
+                    on &= best[end] == -np.inf
+                i = np.flatnonzero(on & self._may_be(h)) if size > 1 else np.flatnonzero(on)
                 if not len(i):
                     continue
-                at = np.minimum(np.searchsorted(self.hashes, h[i]), len(self.hashes) - 1)
-                found = self.hashes[at] == h[i]
-                ids = np.where(found, self.ids[at], -1 - chars[end - 1, i])
                 if size > 1:
+                    found, ids = self._piece_of(h[i])
                     i, ids = i[found], ids[found]
+                else:
+                    found, ids = np.zeros(len(i), bool), -1 - chars[end - 1, i]
+                    may = np.flatnonzero(self._may_be(h[i]))
+                    found, known = self._piece_of(h[i[may]])
+                    ids[may[found]] = known[found]
                 if self.model_type == BPE:
                     real = (ids < 0) | self.whole[ids]
                     i, ids = i[real], ids[real]
@@ -333,55 +358,109 @@ def normalize(model: Model, text: str) -> str:
     return ((" " if model.dummy_prefix else "") + text).replace(" ", SPACE)
 
 
-def encode_batch(model: Model, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each whole text; every distinct word is encoded once and remembered by the worker.
+def _known(model: Model, words: list[str]) -> list[bytes]:
+    """The ids of distinct words; those not remembered are encoded together.
 
     Two generations of about MOST_CACHED_WORDS words are kept, so what a worker holds does not grow with the corpus.
     """
-    cut = [_WORD.findall(normalize(model, t)) for t in texts]
-    known, distinct = model.words, {w for words in cut for w in words}
-    for w in distinct & model.older.keys():
-        known[w] = model.older.pop(w)
-    fresh = distinct - known.keys()
+    known, older = model.words, model.older
+    fresh = []
+    for w in words:
+        if w not in known:
+            if w in older:
+                known[w] = older.pop(w)
+            else:
+                fresh.append(w)
     if fresh:
         bare = {w: SPACE + w.lstrip(SPACE) for w in fresh if w[:2] == SPACE * 2}
-        blank = {w for w, c in bare.items() if c == SPACE} if model.model_type == BPE else set()
-        many = {w: c for w, c in bare.items() if w not in blank} if model.model_type == BPE else {}
-        plain = (fresh - blank - many.keys()) | set(many.values())
-        known.update(model.encode_words(list(plain)))
-        for w in blank:
-            known[w] = model.encode_unit(w, b"")
-        for w, c in many.items():
-            known[w] = model.encode_unit(w, known[c])
-    out = [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in cut]
+        if bare and model.model_type == BPE:
+            plain = {w for w in fresh if w not in bare} | {c for c in bare.values() if c != SPACE}
+            known.update(model.encode_words([w for w in plain if w not in known]))
+            for w, c in bare.items():
+                known[w] = model.encode_unit(w, known[c] if c != SPACE else b"")
+        else:
+            known.update(model.encode_words(fresh))
+    out = [known[w] for w in words]
     if len(known) > MOST_CACHED_WORDS:
         model.older, model.words = known, {}
     return out
 
 
+def _split(model: Model, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has."""
+    cut = [_WORD.findall(normalize(model, t)) for t in texts]
+    return pa.array([w for words in cut for w in words], pa.string()), np.array([len(words) for words in cut], np.int64)
+
+
+def _split_plain(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """As ``_split`` for texts with a leading blank to come and single blanks between words alone."""
+    listed = pc.split_pattern(texts, " ")
+    return pc.binary_join_element_wise(pa.scalar(SPACE), listed.flatten(), ""), pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def encode_batch(model: Model, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each whole text; every distinct word is encoded once and remembered by the worker."""
+    flat, ends = encode_flat(model, pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()).cast(pa.string(), safe=False))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def encode_flat(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all ``texts`` one after another, and where each text's ids end."""
+    texts = pc.fill_null(texts, "")
+    n = len(texts)
+    if model.dummy_prefix and not model.squeeze:
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.or_(pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")), pc.equal(texts, "")))
+        odd = odd.to_numpy(zero_copy_only=False)
+    else:
+        odd = np.ones(n, bool)
+    plain, other = np.flatnonzero(~odd), np.flatnonzero(odd)
+    parts = [_split_plain(texts.take(pa.array(plain))), _split(model, texts.take(pa.array(other)).to_pylist())]
+    counts = np.zeros(n, np.int64)
+    counts[plain], counts[other] = parts[0][1], parts[1][1]
+    words = pa.concat_arrays([parts[0][0].cast(pa.string()), parts[1][0]]).dictionary_encode()
+    ids = _known(model, words.dictionary.to_pylist())
+    pool = np.frombuffer(b"".join(ids), np.int32)
+    sizes = np.array([len(x) for x in ids], np.int64) // 4
+    starts = np.cumsum(sizes) - sizes
+    codes = words.indices.to_numpy()
+    # words stand plain texts first: back into the texts' order
+    first_word = np.zeros(n, np.int64)
+    order = np.concatenate([plain, other])
+    first_word[order] = np.cumsum(counts[order]) - counts[order]
+    place = np.repeat(first_word - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    codes = codes[place]
+    each = sizes[codes]
+    total = int(each.sum())
+    at = np.repeat(starts[codes] - (np.cumsum(each) - each), each) + np.arange(total)
+    of_text = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
+    return pool[at], of_text
+
+
 def decode_ids(model: Model, ids: np.ndarray) -> str:
     raw = model.raw
     text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
     return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
-def _lists(ids: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, pa.int32()))
+
+
+_NONE = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
 
 def _encoded(model: Model, texts: pa.Array):
-    """The ids of each text, slice by slice."""
+    """The ids of the texts (as ``encode_flat``), slice by slice."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     for s in rows_per_slice(lengths, SLICE_BYTES):
-        yield encode_batch(model, [t or "" for t in texts.slice(s.start, s.stop - s.start).to_pylist()])
+        yield encode_flat(model, texts.slice(s.start, s.stop - s.start))
 
 
 def _encoder(path: str):
     def encode(texts: pa.Array) -> pa.Array:
-        return pa.concat_arrays([_lists([]), *(_lists(ids) for ids in _encoded(load(path), texts))])
+        return pa.concat_arrays([_lists(*_NONE), *(_lists(*x) for x in _encoded(load(path), texts))])
 
-    return F.arrow_udf(encode, "array<int>")
+    return F.arrow_udf(lean(encode), "array<int>")
 
 
 def _decoder(path: str):
@@ -389,18 +468,18 @@ def _decoder(path: str):
         model = load(path)
         return pa.array([decode_ids(model, x.values.to_numpy()) if x.is_valid else "" for x in ids], pa.string())
 
-    return F.arrow_udf(decode, "string")
+    return F.arrow_udf(lean(decode), "string")
 
 
 def _both(path: str):
     def both(texts: pa.Array) -> pa.Array:
-        model, ids, decoded = load(path), [_lists([])], []
-        for part in _encoded(model, texts):
-            ids.append(_lists(part))
-            decoded.extend(decode_ids(model, x) for x in part)
-        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(decoded, pa.string())], ["ids", "decoded"])
+        model, ids, decoded = load(path), [_lists(*_NONE)], [pa.array([], pa.string())]
+        for flat, ends in _encoded(model, texts):
+            ids.append(_lists(flat, ends))
+            decoded.append(pa.array([decode_ids(model, x) for x in np.split(flat, ends[:-1])], pa.string()))
+        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(decoded)], ["ids", "decoded"])
 
-    return F.arrow_udf(both, "struct<ids:array<int>,decoded:string>")
+    return F.arrow_udf(lean(both), "struct<ids:array<int>,decoded:string>")
 
 
 def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
