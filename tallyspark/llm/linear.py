@@ -36,26 +36,39 @@ def shape(token: bytes) -> bytes:
 _SAME = slot(b"\x00=")
 
 
-def tokens_of(texts: list[str | None], words: bool, shapes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(texts: pa.Array, fold: bytes | None) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The row of every token and the tokens: what white space parts, after ``fold`` has mapped each byte."""
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1]
+    data = texts.buffers()[2]
+    data = data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if n and data is not None else b""
+    offsets = pa.py_buffer((offsets - offsets[0]).astype(np.int32)) if n else pa.py_buffer(np.zeros(1, np.int32))
+    folded = pa.Array.from_buffers(pa.string(), n, [None, offsets, pa.py_buffer(data.translate(fold) if fold else data)])
+    listed = pc.ascii_split_whitespace(folded)
+    flat = listed.flatten()
+    owner = np.repeat(np.arange(n), pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64))
+    some = pc.greater(pc.binary_length(flat), 0)
+    return owner[some.to_numpy(zero_copy_only=False)], flat.filter(some).dictionary_encode()
+
+
+def tokens_of(texts: pa.Array, words: bool, shapes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, slot) of every token and the number of tokens of each row. With ``shapes`` a token that repeats the one
     before it counts for a slot of its own as well."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    rows, slots = [], []
-    count = np.zeros(len(raw), np.int64)
+    texts = pc.fill_null(texts, "")
+    rows, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    count = np.zeros(len(texts), np.int64)
     for on, fold, name in ((words, _WORDS, lambda t: t), (shapes, None, lambda t: b"\x00" + shape(t))):
         if on:
-            split = [(b.translate(fold) if fold else b).split() for b in raw]
-            lengths = np.array([len(x) for x in split], np.int64)
-            flat = pa.array([x for y in split for x in y], pa.binary()).dictionary_encode()
-            of = np.array([slot(name(t)) for t in flat.dictionary.to_pylist()], np.int64)
-            owner, codes = np.repeat(np.arange(len(raw)), lengths), flat.indices.to_numpy()
+            owner, flat = _tokens(texts, fold)
+            of = np.array([slot(name(t)) for t in flat.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+            codes = flat.indices.to_numpy()
             rows.append(owner)
             slots.append(of[codes])
             if fold is None:
                 same = owner[1:][(codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])]
                 rows.append(same)
                 slots.append(np.full(len(same), _SAME))
-            count = np.maximum(count, lengths)
+            count = np.maximum(count, np.bincount(owner, minlength=len(texts)))
     return np.concatenate(rows), np.concatenate(slots), count
 
 
@@ -72,7 +85,7 @@ class View:
     shapes: bool = False
     share: bool = False
 
-    def features(self, texts: list[str | None], wanted: np.ndarray | None = None):
+    def features(self, texts: pa.Array, wanted: np.ndarray | None = None):
         """Sparse (row, slot, value); with ``wanted`` only slots where it is true."""
         rows, slots, count = tokens_of(texts, self.words, self.shapes)
         if wanted is not None:
@@ -186,7 +199,13 @@ def smallest_by_hash(ids: DataFrame, n: int) -> DataFrame:
 def slices(texts: pa.Array):
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     for s in rows_per_slice(lengths, SLICE_BYTES):
-        yield texts.slice(s.start, s.stop - s.start).to_pylist()
+        yield texts.slice(s.start, s.stop - s.start)
+
+
+def one_row_an_id(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id, that of the smallest text hash: what is fitted on stays bounded by the number of ids."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("r")).select("doc_id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 LEAST_Z, LEAST_DF = 3.0, 5

@@ -1,14 +1,19 @@
 """Quality by co-training: a text view and a metadata view teach each other.
 
 The text view weighs the share of words and of token shapes; the metadata view weighs source, language and size. In
-each round both are fitted on the labelled rows and on what the other view is confident about among unlabelled rows,
-each is calibrated on held-out labelled rows, and at the end the calibrated log-odds are added (less the prior, which
-both hold). The fit uses at most ``MOST_LABELLED`` labelled and ``MOST_UNLABELLED`` unlabelled rows, those whose ids
-hash lowest; every document is scored on its whole text.
+each round both are fitted on the labelled rows and on pseudo-labels from the other view, and each is calibrated on
+held-out labelled rows. Between rounds both views score every document on the executors; of the unlabelled ones that
+the other view is confident about, ``MOST_PSEUDO`` rows, spread evenly over sources, languages and labels, join the
+labelled rows of the next fit, so a source or wording without labels is learnt wherever it is in the corpus. Text slots
+are screened on labelled and pseudo-labelled rows together. At the end the calibrated log-odds are added (less the
+prior, which both hold) and every document is scored on its whole text.
+
+The fit uses at most ``MOST_LABELLED`` labelled rows, those whose ids hash lowest.
 
 Defined results: null and empty texts and null metadata are values like any other; null labels or ids are not used
-for fitting; an id labelled twice counts once, good if any row says so; with labels of one kind only every document
-gets the prior; repeated rows score alike; an empty table gives no rows; extra columns pass through.
+for fitting; an id labelled twice counts once, good if any row says so; of rows that share an id one is fitted on; with
+labels of one kind only every document gets the prior; repeated rows score alike; an empty table gives no rows; extra
+columns pass through, but a column named like the output is replaced by it.
 """
 
 import zlib
@@ -20,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, sigmoid
-from .linear import Ordinal, View, calibrated, collected_features, fit_ordinal, screened, slices, smallest_by_hash
+from .common import lean, materialize, sigmoid
+from .linear import Ordinal, View, calibrated, collected_features, fit_ordinal, one_row_an_id, screened, slices, smallest_by_hash
 
-MOST_LABELLED, MOST_UNLABELLED = 20_000, 5_000
+MOST_LABELLED, MOST_PSEUDO = 20_000, 10_000
 ROUNDS = 3
 CONFIDENT = 0.97
 PSEUDO_WEIGHT = 0.3
@@ -63,53 +68,77 @@ def _taken(x, keep: np.ndarray):
     return new[rows[on]], slots[on], values[on]
 
 
-def co_train(label: np.ndarray, text, meta, n_words: int, rounds: int = ROUNDS) -> CoTrained:
-    """label: 1 good, 0 bad, -1 unlabelled; text, meta: sparse features of the same rows."""
+def lent(p):
+    """The pseudo-labels of confident probabilities: 1 good, 0 bad, -1 none."""
+    return np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
+
+
+def fit_views(label: np.ndarray, lent_text: np.ndarray, lent_meta: np.ndarray, text, meta) -> CoTrained:
+    """label: 1 good, 0 bad, -1 unlabelled; lent_text, lent_meta: what each view got from the other; text, meta: sparse
+    features of the same rows."""
     n = len(label)
     known = label >= 0
     held = known & (np.arange(n) % 4 == 0)
     good, all_known = float((label == 1).sum()), float(known.sum())
     prior = float(np.log((good + 1) / (all_known - good + 1)))
-    views = {"text": (text, 1 << 18), "meta": (meta, META_SLOTS)}
-    lent = {k: np.full(n, -1) for k in views}  # pseudo-labels that a view got from the other
-    models: dict[str, Ordinal] = {}
-    fits: dict[str, tuple[float, float]] = {}
-    for _ in range(rounds):
-        chance = {}
-        for name, (x, size) in views.items():
-            y = np.where(known, label, lent[name])
-            rows = (y >= 0) & ~held
-            weight = np.where(known, 1.0, PSEUDO_WEIGHT)[rows]
-            r, s, v = _taken(x, rows)
-            models[name] = fit_ordinal(r, s, v, y[rows], 2, weight, size=size)
-            z = models[name].scores(*x, n) - models[name].thresholds[0]
-            fits[name] = calibrated(z[held], label[held])
-            fits[name] = (fits[name][0], fits[name][1] - fits[name][0] * float(models[name].thresholds[0]))
-            chance[name] = sigmoid(fits[name][0] * models[name].scores(*x, n) + fits[name][1])
-        for name, other in (("text", "meta"), ("meta", "text")):
-            p = chance[other]
-            lent[name] = np.where(known, -1, np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1)))
+    models, fits = [], []
+    for x, got, size in ((text, lent_text, 1 << 18), (meta, lent_meta, META_SLOTS)):
+        y = np.where(known, label, got)
+        rows = (y >= 0) & ~held
+        r, s, v = _taken(x, rows)
+        m = fit_ordinal(r, s, v, y[rows], 2, np.where(known, 1.0, PSEUDO_WEIGHT)[rows], size=size)
+        scores, cut = m.scores(*x, n), float(m.thresholds[0])
+        a, b = calibrated((scores - cut)[held], label[held])
+        models.append(m)
+        fits.append((a, b - a * cut))
     if len(set(label[known].tolist())) < 2:
-        return CoTrained(models["text"], models["meta"], (0.0, prior), (0.0, prior), prior)
-    return CoTrained(models["text"], models["meta"], fits["text"], fits["meta"], prior)
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = MOST_LABELLED, unlabelled: int = MOST_UNLABELLED) -> CoTrained:
-    wide = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+        fits = [(0.0, prior), (0.0, prior)]
+    return CoTrained(models[0], models[1], fits[0], fits[1], prior)
+
+
+def _fitted(told: DataFrame) -> CoTrained:
+    """``told``: doc_id, text, source, lang, n_chars, label, lent_text, lent_meta (-1: none), a bounded number of rows."""
+    seen = F.when(F.col("label") >= 0, F.col("label")).when(F.col("lent_text") >= 0, F.col("lent_text"))
+    rows, *text = collected_features(told, TEXT, screened(told.withColumn("seen", seen), TEXT, "seen"))
+    order = pd.util.hash_array(rows["doc_id"].to_numpy(np.int64)).argsort(kind="stable") if len(rows) else np.zeros(0, np.int64)
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    at, slots, values = text
+    rows = rows.iloc[order]
+    meta = meta_features(rows["source"], rows["lang"], rows["n_chars"].astype(object).where(rows["n_chars"].notna(), None))
+    return fit_views(*(rows[c].to_numpy(np.int64) for c in ("label", "lent_text", "lent_meta")), (place[at], slots, values), meta)
+
+
+def confident_rows(scored: DataFrame, told_ids: DataFrame, most: int) -> DataFrame:
+    """Of all scored documents (doc_id, source, lang, p_text, p_meta) without a label: those that a view is confident
+    about, ``most`` at most, with as many of each source, language and pair of labels as there are, up to an even share."""
+    label = lambda p: F.when(F.col(p) >= CONFIDENT, 1).when(F.col(p) <= 1 - CONFIDENT, 0).otherwise(-1)
+    x = scored.where("doc_id IS NOT NULL").join(told_ids, "doc_id", "left_anti").withColumns({"lent_text": label("p_meta"), "lent_meta": label("p_text")})
+    x = x.where("lent_text >= 0 OR lent_meta >= 0").withColumn("stratum", F.pmod(F.xxhash64("source", "lang", "lent_text", "lent_meta"), F.lit(most)))
+    counts = x.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))  # ``most`` rows at most
+    # an even share of the places, dealt by hash: no stratum is sorted or gathered
+    share = F.lit(most) / F.greatest(F.lit(1), F.lit(counts.count())) / F.col("n")
+    drawn = F.pmod(F.xxhash64(F.lit("drawn"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    kept = x.join(F.broadcast(counts), "stratum").where(drawn < share)
+    return smallest_by_hash(kept.select("doc_id", "lent_text", "lent_meta"), most).dropDuplicates(["doc_id"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = MOST_LABELLED, pseudo: int = MOST_PSEUDO, rounds: int = ROUNDS) -> CoTrained:
+    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
     told_ids = known.select("doc_id")
-    known = smallest_by_hash(known, labelled)
-    pool = smallest_by_hash(docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(told_ids, "doc_id", "left_anti"), unlabelled).withColumn("label", F.lit(-1))
-    sample = known.union(pool).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = wide.join(F.broadcast(sample), "doc_id")
-    told, *text = collected_features(rows, TEXT, screened(rows.withColumn("known", F.when(F.col("label") >= 0, F.col("label"))), TEXT, "known"))
-    order = pd.util.hash_array(told["doc_id"].to_numpy(np.int64)).argsort(kind="stable") if len(told) else np.zeros(0, np.int64)
-    place = np.empty(len(told), np.int64)
-    place[order] = np.arange(len(told))
-    rows, slots, values = text
-    told = told.iloc[order]
-    meta = meta_features(told["source"], told["lang"], told["n_chars"].astype(object).where(told["n_chars"].notna(), None))
-    return co_train(told["label"].to_numpy(np.int64), (place[rows], slots, values), meta, len(told))
+    picked = lambda sample, name: materialize(one_row_an_id(wide.join(F.broadcast(sample), "doc_id")), name)  # noqa: E731  a bounded sample is sent
+    none = F.lit(-1)
+    told = base = picked(smallest_by_hash(known, labelled), "labelled").withColumns({"lent_text": none, "lent_meta": none})
+    model = _fitted(told)
+    for _ in range(rounds - 1):
+        if model.text_fit[0] == model.meta_fit[0] == 0.0:
+            break  # labels of one kind, or none: there is nothing to teach
+        scored = materialize(score(wide, model, out="q").select("doc_id", "source", "lang", "q.p_text", "q.p_meta"), "scored")
+        more = picked(materialize(confident_rows(scored, told_ids, pseudo), "confident"), "pseudo-labelled").withColumn("label", none)
+        told = base.unionByName(more)
+        model = _fitted(told)
+    return model
 
 
 RESULT = "struct<p_text:double,p_meta:double,score:double>"

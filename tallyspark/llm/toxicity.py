@@ -8,8 +8,9 @@ uses at most ``MOST_LABELLED`` labelled rows, those whose ids
 hash lowest; every document is scored on its whole text.
 
 Defined results: null and empty texts score by the thresholds alone; null labels or ids are not used for fitting; an
-id labelled twice counts once, toxic if any row says so; with no toxic label every document gets the prior; repeated
-rows score alike; an empty table gives no rows; extra columns pass through.
+id labelled twice counts once, toxic if any row says so; of rows that share an id one is fitted on; with no toxic label
+every document gets the prior; repeated rows score alike; an empty table gives no rows; extra columns pass through, but
+a column named like the output is replaced by it.
 """
 
 from dataclasses import dataclass
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
-from .linear import Ordinal, View, collected_features, fit_ordinal, screened, slices, smallest_by_hash
+from .common import lean, materialize
+from .linear import Ordinal, View, collected_features, fit_ordinal, one_row_an_id, screened, slices, smallest_by_hash
 
 MOST_LABELLED = 40_000
 GRADES = 4
@@ -69,7 +70,7 @@ def best_cut(scores: np.ndarray, toxic: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Severity:
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = smallest_by_hash(known, most)
-    told = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    told = materialize(one_row_an_id(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")), "labelled")
     told, rows, slots, values = collected_features(told, VIEW, screened(told, VIEW, "toxic"))
     toxic = told["toxic"].to_numpy().astype(bool)
     model = fit_ordinal(rows, slots, values, grades_of(toxic, rows, slots, values), GRADES)

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import decontamination, linear, quality, queries, sentencepiece_codec, toxicity
 
@@ -208,16 +209,51 @@ def test_the_metadata_view_helps():
     text = np.where(good ^ (r.random(n) < 0.3), 1, 2)
     source = np.where(good ^ (r.random(n) < 0.1), "a", "b")
     meta = quality.meta_features(source.tolist(), ["x"] * n, [None] * n)
-    m = quality.co_train(label, (np.arange(n), text.astype(np.int64), np.ones(n)), meta, n)
+    words, none = (np.arange(n), text.astype(np.int64), np.ones(n)), np.full(n, -1)
+    given = (none, none)
+    for _ in range(3):  # each view labels the rows that it is sure about for the other
+        m = quality.fit_views(label, *given, words, meta)
+        p_text, p_meta, _ = m.combine(m.text.scores(*words, n), m.meta.scores(*meta, n))
+        given = (quality.lent(p_meta), quality.lent(p_text))
     t, s, both = m.combine(m.text.scores(np.arange(n), text, np.ones(n), n), m.meta.scores(*meta, n))
     right = lambda p: ((p >= 0.5) == good)[800:].mean()
     assert right(both) >= right(t) + 0.1 and right(both) >= right(s) - 0.01
 
 
-def test_quality_pool_holds_unlabelled_rows_only(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(quality, "co_train", lambda label, *a, **b: seen.append(label.tolist()))
-    rows = [(k, f"some words {k}") for k in range(60)]
-    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
-    quality.fit(docs(spark, rows), labels, labelled=30, unlabelled=15)
-    assert (seen[0].count(-1), len(seen[0])) == (15, 45)
+def test_pseudo_labels_come_from_all_unlabelled_rows(spark):
+    scored = [(k, f"s{k % 7}" if k < 4000 else "rare", "en", 0.99 if k % 2 else 0.5, 0.5 if k % 2 else 0.01) for k in range(4020)] + [(None, "s1", "en", 0.99, 0.99), (5000, "s1", "en", 0.5, 0.5)]
+    df = spark.createDataFrame(scored, "doc_id long, source string, lang string, p_text double, p_meta double")
+    told = spark.createDataFrame([(k,) for k in range(0, 4000, 10)], "doc_id long")
+    got = quality.confident_rows(df, told, 400).collect()
+    ids = {x["doc_id"] for x in got}
+    assert 300 < len(got) <= 400 and len(ids) == len(got) and not any(i % 10 == 0 and i < 4000 for i in ids) and not ids & {None, 5000}
+    assert ids >= set(range(4000, 4020))  # a rare source keeps all its rows
+    assert all((x["lent_text"], x["lent_meta"]) == ((-1, 1) if x["doc_id"] % 2 else (0, -1)) for x in got)
+
+
+def test_a_source_without_labels_is_learnt(spark):
+    """Labels cover one source only; another one's documents are told by their words, and a third, always bad, by metadata."""
+    r = random.Random(8)
+    rows, good = [], {}
+    for k in range(4500):
+        source = ("told", "untold", "junkyard")[k % 3]
+        good[k] = source != "junkyard" and r.random() < 0.7
+        w = [f"w{r.randint(0, 200)}" for _ in range(40)]
+        rows.append((k, " ".join(w if good[k] else [x + r.choice(["###", "%%%"]) for x in w]), "en", source, 100))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, int(good[k]), 0) for k in range(0, 3600, 3)], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels)
+    slot = lambda s: int(quality.meta_features([s], [None], [None])[1][0])
+    assert model.meta.weights[slot("junkyard")] < 0
+    got = {x["doc_id"]: x["quality_score"]["score"] for x in quality.score(df, model).collect()}
+    assert sum((got[k] >= 0.5) == good[k] for k in good) / len(good) > 0.98
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows, labels = corpus(200, 6)
+    twice = docs(spark, [*rows, *[(0, f"other text {k}") for k in range(50)]]).withColumn("severity", F.lit(1)).withColumn("quality_score", F.lit("x"))
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert linear.one_row_an_id(twice.select("doc_id", "text", "source")).count() == 200
+    out = toxicity.severity(twice, toxicity.fit(twice, told))
+    assert out.count() == 250 and out.schema["severity"].dataType.typeName() == "struct"
+    assert quality.score(twice, quality.fit(twice, told)).schema["quality_score"].dataType.typeName() == "struct"
