@@ -9,6 +9,7 @@ from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,21 @@ def lean_rows(f):
     return run
 
 
+def byte_tokens(texts: pa.Array, fold: bytes | None) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The row of every token and the tokens: what white space parts, after ``fold`` has mapped each byte."""
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1]
+    data = texts.buffers()[2]
+    data = data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if n and data is not None else b""
+    offsets = pa.py_buffer((offsets - offsets[0]).astype(np.int32)) if n else pa.py_buffer(np.zeros(1, np.int32))
+    folded = pa.Array.from_buffers(pa.string(), n, [None, offsets, pa.py_buffer(data.translate(fold) if fold else data)])
+    listed = pc.ascii_split_whitespace(folded)
+    flat = listed.flatten()
+    owner = np.repeat(np.arange(n), pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64))
+    some = pc.greater(pc.binary_length(flat), 0)
+    return owner[some.to_numpy(zero_copy_only=False)], flat.filter(some).dictionary_encode()
+
+
 def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0)))
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, lean_rows, rows_per_slice, sigmoid
+from .common import byte_tokens, lean, lean_rows, rows_per_slice, sigmoid
 
 BITS = 18
 SLICE_BYTES = 2 << 20
@@ -36,21 +36,6 @@ def shape(token: bytes) -> bytes:
 _SAME = slot(b"\x00=")
 
 
-def _tokens(texts: pa.Array, fold: bytes | None) -> tuple[np.ndarray, pa.DictionaryArray]:
-    """The row of every token and the tokens: what white space parts, after ``fold`` has mapped each byte."""
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1]
-    data = texts.buffers()[2]
-    data = data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if n and data is not None else b""
-    offsets = pa.py_buffer((offsets - offsets[0]).astype(np.int32)) if n else pa.py_buffer(np.zeros(1, np.int32))
-    folded = pa.Array.from_buffers(pa.string(), n, [None, offsets, pa.py_buffer(data.translate(fold) if fold else data)])
-    listed = pc.ascii_split_whitespace(folded)
-    flat = listed.flatten()
-    owner = np.repeat(np.arange(n), pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64))
-    some = pc.greater(pc.binary_length(flat), 0)
-    return owner[some.to_numpy(zero_copy_only=False)], flat.filter(some).dictionary_encode()
-
-
 def tokens_of(texts: pa.Array, words: bool, shapes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, slot) of every token and the number of tokens of each row. With ``shapes`` a token that repeats the one
     before it counts for a slot of its own as well."""
@@ -59,7 +44,7 @@ def tokens_of(texts: pa.Array, words: bool, shapes: bool) -> tuple[np.ndarray, n
     count = np.zeros(len(texts), np.int64)
     for on, fold, name in ((words, _WORDS, lambda t: t), (shapes, None, lambda t: b"\x00" + shape(t))):
         if on:
-            owner, flat = _tokens(texts, fold)
+            owner, flat = byte_tokens(texts, fold)
             of = np.array([slot(name(t)) for t in flat.dictionary.cast(pa.binary()).to_pylist()], np.int64)
             codes = flat.indices.to_numpy()
             rows.append(owner)

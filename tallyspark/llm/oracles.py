@@ -43,11 +43,13 @@ SELECT t.doc_id, coalesce(r.n, 0)::BIGINT AS n_removed, coalesce(r.chars, 0)::BI
 FROM kept t LEFT JOIN removed r ON r.doc_id = t.doc_id
 """
 
+_WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+
 DECONTAMINATION = f"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_WORD}) AS w, string_split_regex(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_WORD}) AS gap FROM documents
 ), i AS (
-  SELECT item_id, regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+  SELECT item_id, regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), {_WORD}) AS w FROM benchmark
 ), windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS win
   FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS k FROM i WHERE len(w) > 0)
@@ -59,14 +61,25 @@ WITH d AS (
 ), hits AS (
   SELECT g.doc_id, g.k, g.n, x.item_id FROM grams g JOIN windows x ON g.n = x.n AND g.win = x.win
 ), covered AS (
-  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY doc_id
+  SELECT DISTINCT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits
+), placed AS (
+  SELECT doc_id, p, sum(g + before) OVER (PARTITION BY doc_id ORDER BY p) AS start, size
+  FROM (SELECT doc_id, p, length(gap[p]) AS g, CASE WHEN p > 1 THEN length(w[p - 1]) ELSE 0 END AS before, length(w[p]) AS size
+        FROM (SELECT doc_id, w, gap, unnest(generate_series(1, len(w))) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM hits)))
+), runs AS (
+  SELECT c.doc_id, min(start)::BIGINT AS start, max(start + size)::BIGINT AS stop
+  FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM covered) c JOIN placed USING (doc_id, p) GROUP BY c.doc_id, run
+), spans AS (
+  SELECT doc_id, string_agg(start || '-' || stop, ',' ORDER BY start) AS spans FROM runs GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+), totals AS (
+  SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items t USING (doc_id)
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated, coalesce(s.spans, '') AS spans
+FROM d LEFT JOIN totals c USING (doc_id) LEFT JOIN items t USING (doc_id) LEFT JOIN spans s USING (doc_id)
 """
 
 NEAR_DEDUP = f"""

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,15 +33,15 @@ def hit_model(text, items, size):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 40])
-def test_contamination_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_nodes", [decontamination.BLOCK_NODES, 60])
+def test_contamination_equals_brute_force(spark, block_nodes):
     r = random.Random(3)
     word = lambda: r.choice(["a", "B", "cé", "dd", "日本"])
     items = [(k, r.choice([" ", "-"]).join(word() for _ in range(r.randint(1, 7)))) for k in range(12)] + [(3, "a b a"), (99, None), (None, "a"), (100, "?!")]
     rows = [(k, r.choice([" ", ", ", "_"]).join(word() for _ in range(r.randint(0, 40)))) for k in range(60)] + [(60, None), (61, ""), (62, "a " * 20_000), (None, "a b")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     live = [(i, t) for i, t in items if i is not None and t is not None]
-    for x in decontamination.find_contamination(docs(spark, rows), bench, window=4, block_bytes=block_bytes).where("doc_id < 62 OR doc_id IS NULL").collect():
+    for x in decontamination.find_contamination(docs(spark, rows), bench, window=4, block_nodes=block_nodes).where("doc_id < 62 OR doc_id IS NULL").collect():
         text, c = x["text"], x["contamination"]
         want = hit_model(text, live, 4)
         assert (c["n_words"], c["n_hit"], c["items"]) == want
@@ -48,6 +49,26 @@ def test_contamination_equals_brute_force(spark, block_bytes):
         assert all(decontamination.words(text[s["start"] : s["end"]]) for s in c["spans"])
 
 
+def test_pieces_of_long_texts_overlap(monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 7)
+    r = random.Random(12)
+    word = lambda: r.choice(["a", "b", "c"])
+    items = [(str(k), " ".join(word() for _ in range(r.randint(1, 12)))) for k in range(25)]
+    texts = [" ".join(word() for _ in range(r.randint(0, 60))) for _ in range(80)] + [None, "?!"]
+    a = decontamination.Automaton(items, 6)
+    for t, x in zip(texts, decontamination.scan(pa.array(texts, pa.string()), a), strict=True):
+        assert (x["n_words"], x["n_hit"], x["items"]) == hit_model(t, items, 6), t
+
+
+def test_an_automaton_takes_17_bytes_a_node():
+    r = random.Random(13)
+    items = [(str(k), " ".join(f"word{r.randrange(5000)}" for _ in range(400))) for k in range(200)]
+    a = decontamination.Automaton(items, 10)
+    arrays = a.keys.nbytes + a.fail.nbytes + a.cover.nbytes + a.link.nbytes
+    text = sum(len(t) for _, t in items)
+    assert len(a.keys) <= 10 * 200 * 400 and arrays <= 18 * (len(a.keys) + 1) and arrays < 25 * text
+
+
 def test_empty_benchmark_and_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_contamination(docs(spark, [(1, "a b")]), none).first()["contamination"]["n_hit"] == 0
