@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from .common import materialize, whole_text
 
 MOST_BROADCAST_KEYS = 1_000_000
-MOST_BLOCKS = 65_536
+MOST_BLOCKS = 4096
 ROWS_A_BLOCK = 1024
 SPACES = r"(?U)\s+"
 
@@ -72,14 +72,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """``docs`` with struct ``next``: ``columns`` of the row with the next id (after the last, the first).
 
-    Ids are cut by value into at most MOST_BLOCKS ranges of about ROWS_A_BLOCK rows. A window works inside a range; the
-    first row of each range is looked up, by its id alone, for the last row of the range before it.
+    Ids are cut at quantiles into at most MOST_BLOCKS ranges, of about ROWS_A_BLOCK rows while that suffices, wherever
+    the ids lie. A window works inside a range; the first row of each range is looked up, by its id alone, for the last
+    row of the range before it.
     """
-    ids = docs.agg(F.min(id_col).alias("a"), F.max(id_col).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    low, high, n = ids["a"] or 0, ids["b"] or 0, ids["n"]
+    n = docs.count()
     blocks = max(1, min(MOST_BLOCKS, n // ROWS_A_BLOCK))
-    width = max(1, -(-(high - low + 1) // blocks))
-    block = F.when(F.col(id_col).isNull(), -1).otherwise(F.floor((F.col(id_col) - low) / F.lit(width))).cast("long")
+    cut = F.percentile_approx(F.col(id_col).cast("long"), [k / blocks for k in range(1, blocks)], 10 * MOST_BLOCKS).alias("cuts")
+    cuts = sorted(set(docs.agg(cut).first()["cuts"] or [])) if blocks > 1 else []
+    at = F.lit(0)  # how many cuts are at or below the id, found by halves
+    if cuts:
+        listed = F.lit(cuts)
+        jumps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+        found = lambda lo, jump: F.coalesce((lo + jump <= len(cuts)) & (F.get(listed, lo + jump - 1) <= F.col(id_col)), F.lit(False))
+        at = F.aggregate(F.lit(jumps), F.lit(0), lambda lo, jump: F.when(found(lo, jump), lo + jump).otherwise(lo))
+    block = F.when(F.col(id_col).isNull(), -1).otherwise(at).cast("long")
     row = F.struct(*columns)
     inside = docs.withColumn("block", block).withColumn("next", F.lead(row).over(Window.partitionBy("block").orderBy(id_col, *columns)))
     over_all = Window.partitionBy(F.lit(0)).orderBy("of")
@@ -111,7 +118,9 @@ def edited_fingerprints(docs: DataFrame, hash_of: Callable[[Column], Column] = w
 
     again, n = repeated_hashes(hashed.select(F.col("own").alias("hash")).union(hashed.select(F.col("edit").alias("hash"))))
     again = _small(again, n)
-    own = docs.select(canonical(F.col("text")).alias("canon")).withColumn("hash", hash_of(F.col("canon"))).join(again, "hash", "left_semi")
+    own_ids = materialize(hashed.select("doc_id", F.col("own").alias("hash")).join(again, "hash", "left_semi").select(F.col("doc_id").alias("want")).distinct(), "own-again")
+    texts = docs.join(_small(own_ids, own_ids.count()), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
+    own = texts.select(canonical(F.col("text")).alias("canon")).withColumn("hash", hash_of(F.col("canon"))).join(again, "hash", "left_semi")
     twice = materialize(hashed.select("doc_id", "next_id", F.col("edit").alias("hash")).join(again, "hash", "left_semi"), "edited-again")
     ends = twice.select("doc_id").union(twice.select("next_id")).distinct()
     texts = docs.join(_small(ends.withColumnRenamed("doc_id", "want"), 2 * twice.count()), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")

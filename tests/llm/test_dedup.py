@@ -281,6 +281,18 @@ def test_edited_texts_with_odd_ids(spark):
     assert fingerprints.edited_fingerprints(docs(spark, rows)).count() == 5
 
 
+def test_ids_from_end_to_end_are_cut_evenly(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_A_BLOCK", 4)
+    rows = [(-(2**63), "first of all"), *[(k, f"text number {k}") for k in range(40)], (2**62, "an outlier"), (2**63 - 1, "last of all")]
+    want = edit_model(rows)
+    df = fingerprints.with_next(docs(spark, rows).select("doc_id", "text"), "doc_id", ["doc_id", "text"])
+    after = {x["doc_id"]: x["next"]["doc_id"] for x in df.collect()}
+    ids = [i for i, _ in rows]
+    assert after == dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    got = {x["doc_id"]: x["edited_sha256"] for x in fingerprints.edited_fingerprints(docs(spark, rows)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
 @pytest.mark.parametrize(("crowd_size", "block"), [(512, 4096), (24, 4096), (8, 16)])
 def test_near_duplicates_in_a_crowded_region(spark, monkeypatch, crowd_size, block):
     monkeypatch.setattr(near_dedup, "CROWD", crowd_size)
