@@ -118,10 +118,15 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write each document into its shard's folder, in slot order within a file."""
-    wide = docs.join(assigned.select(id_col, "shard", "slot"), id_col)
-    wide.repartition("shard", F.floor(F.col("slot") / 10_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write each document into its shard's folder, by id within a file. A row finds its shard by id, size and checksum,
+    so repeated ids and repeated rows stay as many as they are."""
+    text = whole_text(text_col)
+    where = assigned.select(F.col(id_col).alias("__ts_id"), F.col("size").alias("__ts_size"), F.col("text_crc32").alias("__ts_crc"), "shard").distinct()
+    own = docs.drop("shard").withColumns({"__ts_n": (F.octet_length(text) + 1).cast("long"), "__ts_c": F.crc32(F.encode(text, "UTF-8"))})
+    same = F.col(id_col).eqNullSafe(F.col("__ts_id")) & (F.col("__ts_n") == F.col("__ts_size")) & (F.col("__ts_c") == F.col("__ts_crc"))
+    wide = own.join(where, same).drop("__ts_id", "__ts_size", "__ts_crc", "__ts_n", "__ts_c")
+    wide.repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(16))).sortWithinPartitions("shard", id_col).write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
