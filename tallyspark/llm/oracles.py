@@ -105,7 +105,7 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, t.component_id, t.doc_i
 FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) t LEFT JOIN n ON n.doc_id = t.doc_id
 """
 
-_ESCAPED = "'\\\\|\"|</?(?:turn|image|audio|document)\\b'"
+_ESCAPED = "'\\\\|\"|</?(?:turn|image|audio|document|unknown)\\b'"
 _PROBE = "'\\### Assistant: </turn> ok'"
 
 CHAT = f"""

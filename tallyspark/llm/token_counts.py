@@ -25,7 +25,7 @@ BLOCK = 64
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def encoding(path: str):
     import tiktoken
 
     with open(path, "rb") as f:
@@ -37,7 +37,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = V
     """``docs`` with the encoded length of each whole text in column ``out``."""
 
     def length(text: pa.Array) -> pa.Array:
-        count = _encoding(vocabulary).encode_ordinary
+        count = encoding(vocabulary).encode_ordinary
         return pa.array([len(count(t)) if t else 0 for t in text.to_pylist()], pa.int64())
 
     return docs.withColumn(out, F.arrow_udf(lean(length), "long")(F.col(text_col).cast("string")))

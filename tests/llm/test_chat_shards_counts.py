@@ -39,9 +39,22 @@ def test_parts_become_placeholders_in_order():
     one = chat.format_turn("user", parts)
     assert "see<image 0/><audio 1/><document 2/>\\<image 0/>" in one["formatted"]
     assert [(a["kind"], a["ref"], a["tokens"]) for a in one["attachments"]] == [("image", "i.png", 4), ("audio", "", 38), ("document", "d", 512)]
-    assert one["tokens"] == 1 + 4 + 38 + 512 + 2 and one["loss_start"] == one["loss_end"]
-    with pytest.raises(ValueError):
-        chat.format_turn("user", [{"type": "video"}])
+    count = lambda t: len(token_counts.encoding(token_counts.VOCABULARY).encode_ordinary(t))
+    assert one["tokens"] == count("see") + 4 + 38 + 512 + count("<image 0/>") and one["loss_start"] == one["loss_end"]
+    odd = chat.format_turn("user", [{"type": "video", "ref": "v"}, {"type": "text", "text": "<unknown 0/>"}])
+    assert "<unknown 0/>\\<unknown 0/>" in odd["formatted"] and odd["attachments"] == [{"kind": "unknown", "ref": "v", "tokens": 0}]
+
+
+def test_typed_parts_in_spark(spark):
+    parts = [("text", "look:", None, None, None, None, None), ("image", None, "a.png", 28, 28, None, None), ("audio", None, "b.wav", None, None, 2.0, None), ("document", None, "c.pdf", None, None, None, 3), ("hologram", None, "d", None, None, None, None)]
+    rows = [(1, 1, "assistant", [parts[0]]), (1, 0, "user", parts), (2, 0, "user", None)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = {(r["conv"], r["turn"]): r for r in chat.format_conversations(df, parts=F.col("parts")).collect()}
+    first = got[1, 0]
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in first["attachments"]] == [("image", "a.png", 4), ("audio", "b.wav", 50), ("document", "c.pdf", 768), ("unknown", "d", 0)]
+    assert "look:<image 0/><audio 1/><document 2/><unknown 3/>" in first["formatted"] and first["tokens"] >= 823
+    assert got[1, 1]["offset"] == len(first["formatted"]) and got[1, 1]["loss_end"] - got[1, 1]["loss_start"] == 5
+    assert got[2, 0]["tokens"] == 0 and got[2, 0]["attachments"] == []
 
 
 def test_conversation_digests(spark):
@@ -93,6 +106,43 @@ def test_shards_are_level_whole_and_gapless(spark):
     assert sharding.assign_shards(docs(spark, []), 4).count() == 0
 
 
+def plain_lpt(sizes, n):
+    heap = [(0, k) for k in range(n)]
+    for s in sorted(sizes, reverse=True):
+        x, k = heap[0]
+        heapq.heapreplace(heap, (x + s, k))
+    return sorted(x for x, _ in heap)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_classes_of_large_sizes_stay_near_plain_scheduling(seed):
+    """Sizes over 65,536 are scheduled as their class's mean: loads differ by the class's width, 2**-12 of a size, for
+    each group of such a class at most, and in sum by far less than one large group."""
+    r = random.Random(seed)
+    sizes = [int(65_536 * r.paretovariate(0.8)) for _ in range(600)] + [r.randint(1, 9000) for _ in range(4000)]
+    classes = {}
+    for s in sizes:
+        cut = max(0, s.bit_length() - 13)
+        classes.setdefault(s if s < 65_536 else s >> cut << cut, []).append(s)
+    load = [0] * 8
+    for key, upto in sharding.schedule([(k, len(v), sum(v)) for k, v in classes.items()], 8):
+        groups, low = sorted(classes[key]), 0
+        for k, high in enumerate(upto):
+            load[k] += sum(groups[low:high])
+            low = high
+    want = plain_lpt(sizes, 8)
+    assert sum(load) == sum(sizes) and max(load) <= want[-1] * (1 + 2**-10)
+
+
+def test_written_shards_keep_every_row(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (2, None), (3, "é" * 50), *[(k, f"text {k}") for k in range(10, 60)]]
+    df = spark.createDataFrame([(i, t, "kept", 7) for i, t in rows], "doc_id long, text string, other string, shard int")
+    sharding.write_shards(df, sharding.assign_shards(df, 3), f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert Counter((x["doc_id"], x["text"], x["other"]) for x in back.collect()) == Counter((i, t, "kept") for i, t in rows)
+    assert set(x["shard"] for x in back.collect()) <= {0, 1, 2} and back.groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+
+
 def test_large_sizes_share_bounded_classes(spark):
     sizes = [1, 65_535, 65_536, 70_001, (1 << 40) + 12345]
     got = [r["c"] for r in spark.createDataFrame([(s,) for s in sizes], "size long").select(sharding._size_class("size").alias("c")).collect()]
@@ -138,7 +188,7 @@ def test_texts_are_encoded_once(spark):
 
 def test_encoded_lengths(spark):
     texts = [None, "", "hello world", "a" * 5000, "hello world", "é🙂 <|endoftext|>"]
-    enc = token_counts._encoding(token_counts.VOCABULARY)
+    enc = token_counts.encoding(token_counts.VOCABULARY)
     got = token_counts.encoded_lengths(docs(spark, texts)).orderBy("doc_id").collect()
     assert [r["n_tokens"] for r in got] == [len(enc.encode_ordinary(t or "")) for t in texts]
     assert token_counts.limit_table(token_counts.length_histogram(docs(spark, []))).count() == 0
