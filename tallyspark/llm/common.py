@@ -33,15 +33,57 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: it cuts the lineage and outlives any executor.
+_SCOPES: list = []
+
+
+class Scope:
+    """Tables written inside a ``with`` block go at its end, but for those kept: what is still read lazily afterwards.
+
+    A kept table belongs to the block around it, if there is one, and else to the cluster's shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scope":
+        _SCOPES.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = df._tallyspark_path
+        if path in self.paths:
+            self.paths.remove(path)
+            if len(_SCOPES) > 1:
+                _SCOPES[_SCOPES.index(self) - 1].paths.append(path)
+        return df
 
-    The folder belongs to the run and is removed with it; nothing here deletes it, as the result is read lazily.
-    """
+    def __exit__(self, *failure) -> None:
+        _SCOPES.remove(self)
+        for path in self.paths:
+            _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more; other DataFrames stay as they are."""
+    path = getattr(df, "_tallyspark_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: it cuts the lineage and outlives any executor."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tallyspark_path = path
+    return out
 
 
 def whole_text(col: str) -> Column:

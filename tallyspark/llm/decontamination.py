@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_tokens, lean, materialize, rows_per_slice
+from .common import Scope, byte_tokens, lean, materialize, rows_per_slice
 
 WINDOW = 10
 BLOCK_NODES = 4_000_000
@@ -252,16 +252,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     if more is None:
         return docs.withColumn(out, scanner(block)[0](text))
     own = [F.xxhash64(text).alias("__ts_h1"), F.xxhash64(F.lit("second"), text).alias("__ts_h2")]
-    found = None
-    while block is not None:  # block by block: each leaves a table of the texts it hits
-        udf, sent = scanner(block)
-        hits = docs.select(*own, udf(text).alias("c")).where("c.n_hit > 0").select("__ts_h1", "__ts_h2", "c.items", "c.spans").dropDuplicates(["__ts_h1", "__ts_h2"])
-        hits = materialize(hits, "block-hits")
-        sent.destroy()
-        found = hits if found is None else found.union(hits)
-        block, more = more, next(blocks, None)
-    both = found.groupBy("__ts_h1", "__ts_h2").agg(F.flatten(F.collect_list("items")).alias("__ts_items"), F.flatten(F.collect_list("spans")).alias("__ts_spans"))  # an entry a block
-    hashed = docs.withColumns({"__ts_h1": own[0], "__ts_h2": own[1]}).join(materialize(both, "hits"), ["__ts_h1", "__ts_h2"], "left")
+    with Scope(docs.sparkSession) as scope:
+        found = None
+        while block is not None:  # block by block: each leaves a table of the texts it hits
+            udf, sent = scanner(block)
+            hits = docs.select(*own, udf(text).alias("c")).where("c.n_hit > 0").select("__ts_h1", "__ts_h2", "c.items", "c.spans").dropDuplicates(["__ts_h1", "__ts_h2"])
+            hits = materialize(hits, "block-hits")
+            sent.destroy()
+            found = hits if found is None else found.union(hits)
+            block, more = more, next(blocks, None)
+        both = found.groupBy("__ts_h1", "__ts_h2").agg(F.flatten(F.collect_list("items")).alias("__ts_items"), F.flatten(F.collect_list("spans")).alias("__ts_spans"))  # an entry a block
+        both = scope.keep(materialize(both, "hits"))
+    hashed = docs.withColumns({"__ts_h1": own[0], "__ts_h2": own[1]}).join(both, ["__ts_h1", "__ts_h2"], "left")
     return hashed.withColumn(out, _merger()(text, "__ts_items", "__ts_spans")).drop("__ts_h1", "__ts_h2", "__ts_items", "__ts_spans")
 
 

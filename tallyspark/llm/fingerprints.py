@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, whole_text
+from .common import Scope, materialize, whole_text
 
 MOST_BROADCAST_KEYS = 1_000_000
 MOST_BLOCKS = 4096
@@ -114,23 +114,24 @@ def edited_fingerprints(docs: DataFrame, hash_of: Callable[[Column], Column] = w
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("new", "UTF-8"), 256).alias("edited_sha256"),
         "own", digest(F.col("new")).alias("edit"), F.col("next.own").alias("near"), F.col("next.doc_id").alias("next_id"),
     )
-    hashed = materialize(hashed, "digests")
-
-    again, n = repeated_hashes(hashed.select(F.col("own").alias("hash")).union(hashed.select(F.col("edit").alias("hash"))))
-    again = _small(again, n)
-    own_ids = materialize(hashed.select("doc_id", F.col("own").alias("hash")).join(again, "hash", "left_semi").select(F.col("doc_id").alias("want")).distinct(), "own-again")
-    texts = docs.join(_small(own_ids, own_ids.count()), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
-    own = texts.select(canonical(F.col("text")).alias("canon")).withColumn("hash", hash_of(F.col("canon"))).join(again, "hash", "left_semi")
-    twice = materialize(hashed.select("doc_id", "next_id", F.col("edit").alias("hash")).join(again, "hash", "left_semi"), "edited-again")
-    ends = twice.select("doc_id").union(twice.select("next_id")).distinct()
-    texts = docs.join(_small(ends.withColumnRenamed("doc_id", "want"), 2 * twice.count()), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
-    one, two = texts.select(F.col("doc_id").alias("d1"), F.col("text").alias("t1")), texts.select(F.col("doc_id").alias("d2"), F.col("text").alias("t2"))
-    new = (
-        twice.join(one, F.col("doc_id").eqNullSafe(F.col("d1"))).join(two, F.col("next_id").eqNullSafe(F.col("d2")))
-        .select("hash", canonical(edited(F.col("t1"), F.col("t2"))).alias("canon"))
-        .where(hash_of(F.col("canon")) == F.col("hash"))
-    )
-    odd = materialize(split_buckets(own.select("hash", "canon").union(new.select("hash", "canon"))), "mixed")
+    with Scope(docs.sparkSession) as scope:
+        hashed = scope.keep(materialize(hashed, "digests"))
+
+        again, n = repeated_hashes(hashed.select(F.col("own").alias("hash")).union(hashed.select(F.col("edit").alias("hash"))))
+        again = _small(again, n)
+        own_ids = materialize(hashed.select("doc_id", F.col("own").alias("hash")).join(again, "hash", "left_semi").select(F.col("doc_id").alias("want")).distinct(), "own-again")
+        texts = docs.join(_small(own_ids, own_ids.count()), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
+        own = texts.select(canonical(F.col("text")).alias("canon")).withColumn("hash", hash_of(F.col("canon"))).join(again, "hash", "left_semi")
+        twice = materialize(hashed.select("doc_id", "next_id", F.col("edit").alias("hash")).join(again, "hash", "left_semi"), "edited-again")
+        ends = twice.select("doc_id").union(twice.select("next_id")).distinct()
+        texts = docs.join(_small(ends.withColumnRenamed("doc_id", "want"), 2 * twice.count()), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
+        one, two = texts.select(F.col("doc_id").alias("d1"), F.col("text").alias("t1")), texts.select(F.col("doc_id").alias("d2"), F.col("text").alias("t2"))
+        new = (
+            twice.join(one, F.col("doc_id").eqNullSafe(F.col("d1"))).join(two, F.col("next_id").eqNullSafe(F.col("d2")))
+            .select("hash", canonical(edited(F.col("t1"), F.col("t2"))).alias("canon"))
+            .where(hash_of(F.col("canon")) == F.col("hash"))
+        )
+        odd = scope.keep(materialize(split_buckets(own.select("hash", "canon").union(new.select("hash", "canon"))), "mixed"))
     if odd.isEmpty():
         told = hashed.select("doc_id", "n_chars", "edited_sha256", *[_hex(F.col(c)).alias(c) for c in ("own", "edit", "near")])
     else:  # different texts with one hash: each side is told apart by its bytes

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, lean_rows, materialize, rows_per_slice
+from .common import Scope, lean, lean_rows, materialize, rows_per_slice
 from .graph import connected_components
 
 TREES, DEPTH = 32, 8
@@ -388,30 +388,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     repeated or null ids, that names one text of each component where kept does not."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     run, ddl = _signatures(width, trees)
-    signed = materialize(plain.select("id", "mark", "text").mapInArrow(lean_rows(run), ddl), "signatures")
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least")
-    nodes = materialize(signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.first("n").alias("n"), least), "nodes")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "candidates")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        # a node's document is that of its smallest id; ids alone go along, its text is read where it lies
-        wanted = _joinable(materialize(nodes.join(ends, "node", "left_semi").select(F.col("least.id").alias("want")).distinct(), "wanted"))
-        run, ddl = _sets(width)
-        texts = plain.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi")
-        sets = materialize(texts.select("text").mapInArrow(lean_rows(run), ddl).dropDuplicates(["node"]), "sets")
-        return materialize(_confirmed(pairs, sets, percent), "links")
-
-    links = confirmed(neighbour_pairs(nodes, percent / 100, min(FIRST_TREES, trees), trees))
-    rooted = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = connected_components(links.union(confirmed(region_pairs(rooted, percent, trees))))
-
-    # component by node first, so that rows of one text or one component are not gathered by it
-    linked = roots.union(roots.select("root", "root").distinct())
-    of_root = nodes.select("node", "least").join(linked, "node").groupBy("root").agg(F.min("least").alias("whole"))
-    of_node = linked.join(_joinable(materialize(of_root, "component-ids")), "root").select("node", "whole")
-    of_node = nodes.select("node", "least").join(of_node, "node", "left").select("node", F.coalesce("whole", "least").alias("least"))
-    of_node = materialize(of_node, "node-ids")  # read back, the next join stands alone and a text of many rows can be split
+    with Scope(docs.sparkSession) as scope:
+        signed = scope.keep(materialize(plain.select("id", "mark", "text").mapInArrow(lean_rows(run), ddl), "signatures"))
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least")
+        nodes = materialize(signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.first("n").alias("n"), least), "nodes")
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            pairs = materialize(pairs, "candidates")
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+            # a node's document is that of its smallest id; ids alone go along, its text is read where it lies
+            wanted = _joinable(materialize(nodes.join(ends, "node", "left_semi").select(F.col("least.id").alias("want")).distinct(), "wanted"))
+            run, ddl = _sets(width)
+            texts = plain.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi")
+            sets = materialize(texts.select("text").mapInArrow(lean_rows(run), ddl).dropDuplicates(["node"]), "sets")
+            return materialize(_confirmed(pairs, sets, percent), "links")
+
+        links = confirmed(neighbour_pairs(nodes, percent / 100, min(FIRST_TREES, trees), trees))
+        rooted = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = connected_components(links.union(confirmed(region_pairs(rooted, percent, trees))))
+
+        # component by node first, so that rows of one text or one component are not gathered by it
+        linked = roots.union(roots.select("root", "root").distinct())
+        of_root = nodes.select("node", "least").join(linked, "node").groupBy("root").agg(F.min("least").alias("whole"))
+        of_node = linked.join(_joinable(materialize(of_root, "component-ids")), "root").select("node", "whole")
+        of_node = nodes.select("node", "least").join(of_node, "node", "left").select("node", F.coalesce("whole", "least").alias("least"))
+        of_node = scope.keep(materialize(of_node, "node-ids"))  # read back, the next join stands alone and a text of many rows can be split
     told = signed.select("id", "mark", "n", "node").join(of_node, "node", "left").withColumn("found", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least.id")))
     first = F.col("node").isNull() | F.col("id").eqNullSafe(F.col("least.id")) & F.col("mark").eqNullSafe(F.col("least.mark"))
     kept = F.col("id").eqNullSafe(F.col("found")).alias("kept")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, sigmoid
+from .common import Scope, lean, materialize, sigmoid
 from .linear import Ordinal, View, calibrated, collected_features, fit_ordinal, one_row_an_id, screened, slices, smallest_by_hash
 
 MOST_LABELLED, MOST_PSEUDO = 20_000, 10_000
@@ -125,19 +125,20 @@ def confident_rows(scored: DataFrame, told_ids: DataFrame, most: int) -> DataFra
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = MOST_LABELLED, pseudo: int = MOST_PSEUDO, rounds: int = ROUNDS) -> CoTrained:
     wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
-    told_ids = known.select("doc_id")
-    picked = lambda sample, name: materialize(one_row_an_id(wide.join(F.broadcast(sample), "doc_id")), name)  # noqa: E731  a bounded sample is sent
-    none = F.lit(-1)
-    told = base = picked(smallest_by_hash(known, labelled), "labelled").withColumns({"lent_text": none, "lent_meta": none})
-    model = _fitted(told)
-    for _ in range(rounds - 1):
-        if model.text_fit[0] == model.meta_fit[0] == 0.0:
-            break  # labels of one kind, or none: there is nothing to teach
-        scored = materialize(score(wide, model, out="q").select("doc_id", "source", "lang", "q.p_text", "q.p_meta"), "scored")
-        more = picked(materialize(confident_rows(scored, told_ids, pseudo), "confident"), "pseudo-labelled").withColumn("label", none)
-        told = base.unionByName(more)
+    with Scope(docs.sparkSession):
+        known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
+        told_ids = known.select("doc_id")
+        picked = lambda sample, name: materialize(one_row_an_id(wide.join(F.broadcast(sample), "doc_id")), name)  # noqa: E731  a bounded sample is sent
+        none = F.lit(-1)
+        told = base = picked(smallest_by_hash(known, labelled), "labelled").withColumns({"lent_text": none, "lent_meta": none})
         model = _fitted(told)
+        for _ in range(rounds - 1):
+            if model.text_fit[0] == model.meta_fit[0] == 0.0:
+                break  # labels of one kind, or none: there is nothing to teach
+            scored = materialize(score(wide, model, out="q").select("doc_id", "source", "lang", "q.p_text", "q.p_meta"), "scored")
+            more = picked(materialize(confident_rows(scored, told_ids, pseudo), "confident"), "pseudo-labelled").withColumn("label", none)
+            told = base.unionByName(more)
+            model = _fitted(told)
     return model
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, whole_text
+from .common import Scope, materialize, whole_text
 
 EXACT_BELOW = 1 << 16
 SUB_BUCKETS = 256
@@ -81,34 +81,36 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
         raise ValueError("n_shards must be at least 1")
     spark = docs.sparkSession
     text = whole_text(text_col)
-    keyed = materialize(
-        docs.select(
-            F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"),
-            F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"),
-        ),
-        "shard-keys",
-    )
-    key = ["h1", "h2", "size", "crc"]
-    groups = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).withColumn("bytes", F.col("size") * F.col("copies"))
-    groups = materialize(groups.withColumn("class", _size_class("bytes")).withColumn("sub", F.pmod("h1", F.lit(SUB_BUCKETS))), "shard-groups")
-    totals = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.sum("copies").alias("rows")).collect()
-    n_rows = sum(r["rows"] for r in totals)
-    plan = schedule([(r["class"], r["n"], r["b"]) for r in totals], n_shards)
-    kind = T.StructType([T.StructField("class", T.LongType()), T.StructField("upto", T.ArrayType(T.LongType()))])
-    plan_df = spark.createDataFrame(pd.DataFrame(plan, columns=["class", "upto"]) if plan else [], kind)
-    before = _offsets(groups.groupBy("class", "sub").count(), ["class"], "sub")
-    in_sub = Window.partitionBy("class", "sub").orderBy(*key)
-    placed = (
-        groups.withColumn("nth", F.row_number().over(in_sub) - 1)
-        .join(before, ["class", "sub"])
-        .join(F.broadcast(plan_df), "class")  # at most 65,536 + 4,096 * 48 rows of n_shards numbers
-        .withColumn("nth", F.col("nth") + F.col("before"))
-        .select(*key, F.size(F.filter("upto", lambda x: x <= F.col("nth"))).alias("shard"))
-    )
-    buckets = max(1, -(-n_rows // (n_shards * ROWS_A_SLOT_BUCKET)))
-    dealt = materialize(
-        keyed.join(placed, key).withColumn("part", F.pmod(F.xxhash64("id", "h1"), F.lit(16 * buckets))).select("id", "size", "crc", "shard", "part"), "shard-rows"
-    )
+    with Scope(spark) as scope:
+        keyed = materialize(
+            docs.select(
+                F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"),
+                F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"),
+            ),
+            "shard-keys",
+        )
+        key = ["h1", "h2", "size", "crc"]
+        groups = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).withColumn("bytes", F.col("size") * F.col("copies"))
+        groups = materialize(groups.withColumn("class", _size_class("bytes")).withColumn("sub", F.pmod("h1", F.lit(SUB_BUCKETS))), "shard-groups")
+        totals = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.sum("copies").alias("rows")).collect()
+        n_rows = sum(r["rows"] for r in totals)
+        plan = schedule([(r["class"], r["n"], r["b"]) for r in totals], n_shards)
+        kind = T.StructType([T.StructField("class", T.LongType()), T.StructField("upto", T.ArrayType(T.LongType()))])
+        plan_df = spark.createDataFrame(pd.DataFrame(plan, columns=["class", "upto"]) if plan else [], kind)
+        before = _offsets(groups.groupBy("class", "sub").count(), ["class"], "sub")
+        in_sub = Window.partitionBy("class", "sub").orderBy(*key)
+        placed = (
+            groups.withColumn("nth", F.row_number().over(in_sub) - 1)
+            .join(before, ["class", "sub"])
+            .join(F.broadcast(plan_df), "class")  # at most 65,536 + 4,096 * 48 rows of n_shards numbers
+            .withColumn("nth", F.col("nth") + F.col("before"))
+            .select(*key, F.size(F.filter("upto", lambda x: x <= F.col("nth"))).alias("shard"))
+        )
+        buckets = max(1, -(-n_rows // (n_shards * ROWS_A_SLOT_BUCKET)))
+        dealt = materialize(
+            keyed.join(placed, key).withColumn("part", F.pmod(F.xxhash64("id", "h1"), F.lit(16 * buckets))).select("id", "size", "crc", "shard", "part"), "shard-rows"
+        )
+        scope.keep(dealt)
     starts = _offsets(dealt.groupBy("shard", "part").count(), ["shard"], "part")
     nth = Window.partitionBy("shard", "part").orderBy("id", "size", "crc")
     return (

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, lean_rows, materialize
+from .common import Scope, lean, lean_rows, materialize
 
 UNIT_WORDS = 4
 RUN_WORDS = 35
@@ -155,7 +155,9 @@ def _cut():
 
 def remove_repeats(docs: DataFrame, least: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text", text_out: str = "text", spans_out: str = "removed_spans") -> DataFrame:
     """``docs`` with repeated passages removed from ``text_out`` and the removed spans (null: none) in ``spans_out``."""
-    runs = repeated_runs(docs, least, id_col, text_col).select(F.col("place").alias("__ts_key"), F.col("runs").alias("__ts_runs"))
+    with Scope(docs.sparkSession) as scope:
+        runs = scope.keep(materialize(repeated_runs(docs, least, id_col, text_col), "runs"))
+    runs = runs.select(F.col("place").alias("__ts_key"), F.col("runs").alias("__ts_runs"))
     edited = docs.withColumn("__ts_own", place_of(id_col, text_col)).join(runs, F.col("__ts_own") == F.col("__ts_key"), "left")
     text = F.col(text_col).cast("string")
     # one Python call gives text and spans; a document without runs keeps its text in the JVM

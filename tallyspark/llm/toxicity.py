@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize
+from .common import Scope, lean, materialize
 from .linear import Ordinal, View, collected_features, fit_ordinal, one_row_an_id, screened, slices, smallest_by_hash
 
 MOST_LABELLED = 40_000
@@ -68,12 +68,13 @@ def best_cut(scores: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Severity:
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = smallest_by_hash(known, most)
-    told = materialize(one_row_an_id(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")), "labelled")
-    told, rows, slots, values = collected_features(told, VIEW, screened(told, VIEW, "toxic"))
-    toxic = told["toxic"].to_numpy().astype(bool)
-    model = fit_ordinal(rows, slots, values, grades_of(toxic, rows, slots, values), GRADES)
+    with Scope(docs.sparkSession):
+        known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        sample = smallest_by_hash(known, most)
+        told = materialize(one_row_an_id(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")), "labelled")
+        told, rows, slots, values = collected_features(told, VIEW, screened(told, VIEW, "toxic"))
+        toxic = told["toxic"].to_numpy().astype(bool)
+        model = fit_ordinal(rows, slots, values, grades_of(toxic, rows, slots, values), GRADES)
     return Severity(model, best_cut(model.scores(rows, slots, values, len(toxic)), toxic))
 
 

@@ -7,7 +7,7 @@ import pytest
 from tests import oracle
 
 import corpus_pipeline
-from tallyspark.llm import quality, queries, sentencepiece_codec
+from tallyspark.llm import common, quality, queries, sentencepiece_codec
 from tests.llm.test_dedup import cut_model, near_model
 from tests.llm.test_text_models import hit_model
 
@@ -63,6 +63,13 @@ def test_pipeline_equals_brute_force(spark, folder):
     assert 0 < len(want) < len(rows)
 
 
+def test_tables_of_the_way_are_removed(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_dir", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    left = sorted(x.name.rsplit("-", 1)[0] for x in (tmp_path / "tallyspark").iterdir())
+    assert left == ["stage-decontamination"], left
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
