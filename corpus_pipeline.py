@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontamination, near_dedup, quality, sentencepiece_codec, substring_dedup
-from tallyspark.llm.common import materialize, table
+from tallyspark.llm.common import Scope, discard, materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with Scope(spark) as scope:  # what a stage wrote on its way goes with its predecessor's table
+            kept = scope.keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
