@@ -83,7 +83,9 @@ def test_shingles_are_exact():
     assert sets[1][0] in sets[0] and sets[2][0] in sets[0]
 
 
-def test_components_of_long_chains_and_stars(spark):
+@pytest.mark.parametrize("hot", [10_000, 5])
+def test_components_of_long_chains_and_stars(spark, monkeypatch, hot):
+    monkeypatch.setattr(graph, "MOST_HOT", hot)
     r = random.Random(1)
     name = lambda k: f"{k * 7919 % 10007:05d}".encode()
     links = [(name(k), name(k + 1)) for k in range(300)] + [(name(1000), name(1001 + k)) for k in range(300)] + [(name(5000), name(5001))]
