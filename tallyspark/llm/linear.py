@@ -4,9 +4,8 @@ Models are fitted on the driver from a bounded sample of labelled rows; with two
 regression. Scoring reads whole texts on the executors.
 """
 
-import re
-import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,46 +14,111 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_tokens, lean, lean_rows, rows_per_slice, sigmoid
+from .common import lean, lean_rows, rows_per_slice, sigmoid
 
 BITS = 18
-SLICE_BYTES = 2 << 20
-_LETTERS = bytes(97 if chr(c).isalpha() and c < 128 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
-_WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
-_RUN = re.compile(rb"(.)\1+", re.DOTALL)
-
-
-def slot(name: bytes) -> int:
-    return zlib.crc32(name) & ((1 << BITS) - 1)
-
-
-def shape(token: bytes) -> bytes:
-    """Letters as a, digits as 0, everything else as it is, runs folded."""
-    return _RUN.sub(rb"\1", token.translate(_LETTERS))
-
-
-_SAME = slot(b"\x00=")
+SLICE_BYTES = 4 << 20
+#: Bytes as shapes draw them, and as words fold them (32: no part of a word).
+_DRAWN = np.array([97 if c >= 128 or chr(c).isalpha() else 48 if 48 <= c <= 57 else c for c in range(256)], np.uint8)
+_FOLDED = np.array([c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256)], np.uint8)
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+PIECE = 1 << 20
+_SAME = (1 << BITS) - 1
+
+
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> np.ndarray:
+    out = np.full(1 << bits, 0x9E3779B97F4A7C15, np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+def _hashes(values: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the byte strings that start at ``first`` in ``values``, one after another."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
+    with np.errstate(over="ignore"):
+        h = np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * _powers(max(12, int(place.max()).bit_length()))[place], first)
+        h = (h ^ (h >> np.uint64(29)) ^ np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def _pieces(data: np.ndarray, ends: np.ndarray):
+    """(from, to) of pieces of the bytes that part no token: they end behind white space or with a text."""
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + PIECE)
+        if to < len(data):
+            stop = int(ends[np.searchsorted(ends, to)])
+            blank = np.flatnonzero(_WHITE[data[to:stop]][: 1 << 16])
+            if not len(blank):
+                blank = np.flatnonzero(_WHITE[data[to:stop]])
+            to = to + int(blank[0]) + 1 if len(blank) else stop
+        yield at, to
+        at = to
+
+
+def _starts(token: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Which bytes start a token: the first of each run of token bytes, where a text's first byte starts anew."""
+    before = np.concatenate(([False], token[:-1]))
+    return token & (~before | fresh)
 
 
 def tokens_of(texts: pa.Array, words: bool, shapes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot) of every token and the number of tokens of each row. With ``shapes`` a token that repeats the one
-    before it counts for a slot of its own as well."""
-    texts = pc.fill_null(texts, "")
+    """(row, slot) of every token and the number of tokens of each row; all bytes of a piece are worked on at once.
+
+    Words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII bytes. The shape of what stands between
+    white space has a for letters and non-ASCII bytes, 0 for digits and every other byte as it is, with runs folded; a
+    token that repeats the one before it counts for a slot of its own as well."""
+    texts, n = pc.fill_null(texts, ""), len(texts)
+    count = np.zeros(n, np.int64)
     rows, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    count = np.zeros(len(texts), np.int64)
-    for on, fold, name in ((words, _WORDS, lambda t: t), (shapes, None, lambda t: b"\x00" + shape(t))):
-        if on:
-            owner, flat = byte_tokens(texts, fold)
-            of = np.array([slot(name(t)) for t in flat.dictionary.cast(pa.binary()).to_pylist()], np.int64)
-            codes = flat.indices.to_numpy()
+    if not n:
+        return rows[0], slots[0], count
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+    ends = offsets[1:] - offsets[0]
+    by = {"words": np.zeros(n, np.int64), "shapes": np.zeros(n, np.int64)}
+    last = (-1, np.uint64(0))  # owner and hash of the last token of the piece before
+    for low, high in _pieces(data, ends):
+        piece = data[low:high]
+        fresh = np.zeros(len(piece), bool)
+        begins = offsets[:-1] - offsets[0]
+        begins = begins[np.searchsorted(begins, low) : np.searchsorted(begins, high)] - low
+        fresh[begins] = True
+        if words:
+            folded = _FOLDED[piece]
+            token = folded != 32
+            start = _starts(token, fresh)
+            owner = np.searchsorted(ends, low + np.flatnonzero(start), side="right")
+            rows.append(owner)
+            slots.append(_slots(_hashes(folded[token], np.flatnonzero(start[token]), 1)))
+            by["words"] += np.bincount(owner, minlength=n)
+        if shapes:
+            token = ~_WHITE[piece]
+            start = _starts(token, fresh)
+            owner = np.searchsorted(ends, low + np.flatnonzero(start), side="right")
+            start = start[token]
+            raw, drawn = piece[token], _DRAWN[piece[token]]
+            kept = start | (drawn != np.concatenate((drawn[:1], drawn[:-1])))
             rows.append(owner)
-            slots.append(of[codes])
-            if fold is None:
-                same = owner[1:][(codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])]
-                rows.append(same)
-                slots.append(np.full(len(same), _SAME))
-            count = np.maximum(count, np.bincount(owner, minlength=len(texts)))
-    return np.concatenate(rows), np.concatenate(slots), count
+            slots.append(_slots(_hashes(drawn[kept], np.flatnonzero(start[kept]), 2)))
+            by["shapes"] += np.bincount(owner, minlength=n)
+            if len(owner):
+                told = _hashes(raw, np.flatnonzero(start), 3)
+                same = (told == np.concatenate(([last[1]], told[:-1]))) & (owner == np.concatenate(([last[0]], owner[:-1])))
+                rows.append(owner[same])
+                slots.append(np.full(int(same.sum()), _SAME))
+                last = int(owner[-1]), told[-1]
+    return np.concatenate(rows), np.concatenate(slots), np.maximum(by["words"], by["shapes"])
 
 
 def counted(rows: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

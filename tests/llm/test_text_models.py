@@ -164,6 +164,33 @@ def test_cumulative_link_model_learns_an_order():
     assert abs(p[:, 0].mean() - (y >= 1).mean()) < 0.05
 
 
+def tokens_model(text):
+    """Words and shapes of a text, byte by byte."""
+    raw = (text or "").encode()
+    word = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in raw).split()
+    split = raw.split()
+    drawn = []
+    for t in split:
+        kinds = [97 if c >= 128 or chr(c).isalpha() else 48 if 48 <= c <= 57 else c for c in t]
+        drawn.append(bytes(k for i, k in enumerate(kinds) if not i or k != kinds[i - 1]))
+    return word, drawn, sum(a == b for a, b in zip(split, split[1:], strict=False))
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 16])
+def test_tokens_equal_a_plain_split(monkeypatch, piece):
+    monkeypatch.setattr(linear, "PIECE", piece)
+    r = random.Random(4)
+    bits = ["Ab", "é", "12", "##", " ", "  ", "\n", "x-y", "日本", ".", "aa", "the the", "the"]
+    texts = [None, "", " ", "a" * 300, *["".join(r.choices(bits, k=r.randint(0, 40))) for _ in range(200)]]
+    one = lambda raw, seed: int(linear._slots(linear._hashes(np.frombuffer(raw, np.uint8), np.array([0]), seed))[0])
+    array = pa.concat_arrays([pa.array(["skipped"]), pa.array(texts, pa.string())]).slice(1)
+    rows, slots, count = linear.tokens_of(array, True, True)
+    for k, t in enumerate(texts):
+        word, drawn, same = tokens_model(t)
+        want = [one(w, 1) for w in word] + [one(d, 2) for d in drawn] + [linear._SAME] * same
+        assert sorted(slots[rows == k].tolist()) == sorted(want) and count[k] == max(len(word), len(drawn)), t
+
+
 def corpus(n, seed):
     r = random.Random(seed)
     rows, labels = [], []
