@@ -24,6 +24,7 @@ _FOLDED = np.array([c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() e
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 PIECE = 1 << 20
 _SAME = (1 << BITS) - 1
+SETTLED = 2e-4  # a fit ends when a step moves no weight by this share of the largest
 
 
 @lru_cache(maxsize=1)
@@ -211,11 +212,15 @@ def _fit(rows, slots, values, grades, n_grades, weight, size, steps, shrink, lea
         new = np.sign(new) * np.maximum(np.abs(new) - cut, 0)
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = new + (t - 1) / t_next * (new - v)
+        moved = np.abs(new - v).max() / max(1.0, np.abs(new).max())
         v, t = new, t_next
+        was = theta.copy()
         for j in range(k):
             rise = (w * ((grades == j) * down * (1 - down) - (grades == j + 1) * up * (1 - up)) / chance).sum() / total
             theta[j] += 2.0 * rise
         theta = np.maximum.accumulate(theta + 1e-6 * np.arange(k))
+        if max(moved, np.abs(theta - was).max()) < SETTLED:
+            break
     out[used] = v
     return Ordinal(out, theta)
 

@@ -134,6 +134,18 @@ def test_classes_of_large_sizes_stay_near_plain_scheduling(seed):
     assert sum(load) == sum(sizes) and max(load) <= want[-1] * (1 + 2**-10)
 
 
+def test_shards_equal_plain_scheduling(spark):
+    """Groups of equal texts, largest first, each to the least-loaded shard: the loads are those of the plain heap."""
+    r = random.Random(7)
+    texts = [chr(97 + k % 26) * r.randint(0, 2000) for k in range(300) for _ in range(r.choice([1, 1, 1, 2, 5]))]
+    groups = Counter(texts)
+    want = plain_lpt([(len(t) + 1) * n for t, n in groups.items()], 5)
+    load = Counter()
+    for row in sharding.assign_shards(docs(spark, texts), 5).collect():
+        load[row["shard"]] += row["size"]
+    assert sorted(load.values()) == want
+
+
 def test_written_shards_keep_every_row(spark, tmp_path):
     rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (2, None), (3, "é" * 50), *[(k, f"text {k}") for k in range(10, 60)]]
     df = spark.createDataFrame([(i, t, "kept", 7) for i, t in rows], "doc_id long, text string, other string, shard int")

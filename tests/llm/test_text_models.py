@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -243,6 +245,35 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score(docs(spark, []), model).count() == 0
 
 
+def plain_features(text, words, shapes, share):
+    """slot: value of one text, token by token."""
+    one = lambda raw, seed: int(linear._slots(linear._hashes(np.frombuffer(raw, np.uint8), np.array([0]), seed))[0])
+    word, drawn, same = tokens_model(text)
+    n = Counter(([one(w, 1) for w in word] if words else []) + ([one(d, 2) for d in drawn] + [linear._SAME] * same if shapes else []))
+    total = max(len(word) if words else 0, len(drawn) if shapes else 0, 1)
+    return {k: math.sqrt(c / total) if share else math.log1p(c) for k, c in n.items()}
+
+
+def test_scores_equal_a_plain_sum(spark):
+    """Whole queries' scores, one document at a time from the fitted weights."""
+    rows, labels = corpus(600, 5)
+    rows += [(9000, None), (9001, ""), (9002, "vile " * 3000 + "ok"), (None, rows[0][1])]
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = docs(spark, rows)
+    logistic = lambda z: 1 / (1 + math.exp(-z))
+    model = toxicity.fit(df, told)
+    for x in toxicity.severity(df, model).collect():
+        z = sum(model.model.weights[k] * v for k, v in plain_features(x["text"], True, False, False).items())
+        want = [logistic(z - t) for t in model.model.thresholds]
+        assert np.allclose(x["severity"]["p"], want) and math.isclose(x["severity"]["expected"], sum(want)) and x["severity"]["toxic"] == (z >= model.cut)
+    q = quality.fit(df, told)
+    for x in quality.score(df, q).collect():
+        t = sum(q.text.weights[k] * v for k, v in plain_features(x["text"], True, True, True).items())
+        _, slots, _ = quality.meta_features([x["source"]], [x["lang"]], [x["n_chars"]])
+        a, b = q.text_fit[0] * t + q.text_fit[1], q.meta_fit[0] * sum(q.meta.weights[k] for k in slots) + q.meta_fit[1]
+        assert np.allclose(tuple(x["quality_score"]), (logistic(a), logistic(b), logistic(a + b - q.prior)), atol=1e-9)
+
+
 def test_quality_without_labels(spark):
     rows, _ = corpus(30, 4)
     model = quality.fit(docs(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
