@@ -19,6 +19,7 @@ from .common import Scope, materialize, whole_text
 
 MOST_BROADCAST_KEYS = 1_000_000
 MOST_BLOCKS = 4096
+IDS_A_BLOCK = 10
 ROWS_A_BLOCK = 1024
 SPACES = r"(?U)\s+"
 
@@ -43,8 +44,9 @@ def _hex(h: Column) -> Column:
 def split_buckets(members: DataFrame, key: str = "hash", text: str = "canon") -> DataFrame:
     """Compare the bytes inside each bucket of ``members`` (hash, canonical text). Returns (hash, text, ordinal) for the
     texts of buckets that hold different ones; a partial minimum and maximum decide, so a hot bucket is never gathered."""
-    ends = members.groupBy(key).agg(F.min(text).alias("least"), F.max(text).alias("most")).where("least <> most").select(key)
-    mixed = members.join(ends, key, "left_semi").select(key, text).distinct()
+    ends = materialize(members.groupBy(key).agg(F.min(text).alias("least"), F.max(text).alias("most")).where("least <> most").select(key), "mixed-buckets")
+    n = ends.count()  # none, unless hashes of 128 bits collide: then nothing is dealt by bucket at all
+    mixed = (members.join(_small(ends, n), key, "left_semi") if n else members.limit(0)).select(key, text).distinct()
     return mixed.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy(text)))
 
 
@@ -72,14 +74,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """``docs`` with struct ``next``: ``columns`` of the row with the next id (after the last, the first).
 
-    Ids are cut at quantiles into at most MOST_BLOCKS ranges, of about ROWS_A_BLOCK rows while that suffices, wherever
-    the ids lie. A window works inside a range; the first row of each range is looked up, by its id alone, for the last
+    Ids are cut at quantiles of a sample (IDS_A_BLOCK ids a range) into at most MOST_BLOCKS ranges, of about ROWS_A_BLOCK
+    rows while that suffices, wherever the ids lie. A window works inside a range; the first row of each range is looked up, by its id alone, for the last
     row of the range before it.
     """
     n = docs.count()
     blocks = max(1, min(MOST_BLOCKS, n // ROWS_A_BLOCK))
-    cut = F.percentile_approx(F.col(id_col).cast("long"), [k / blocks for k in range(1, blocks)], 10 * MOST_BLOCKS).alias("cuts")
-    cuts = sorted(set(docs.agg(cut).first()["cuts"] or [])) if blocks > 1 else []
+    some = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").sample(min(1.0, IDS_A_BLOCK * blocks / max(1, n)), seed=7)
+    ids = sorted(r["id"] for r in some.limit(2 * IDS_A_BLOCK * MOST_BLOCKS).collect()) if blocks > 1 else []  # only where ranges are cut
+    cuts = sorted({ids[len(ids) * k // blocks] for k in range(1, blocks)}) if ids else []
     at = F.lit(0)  # how many cuts are at or below the id, found by halves
     if cuts:
         listed = F.lit(cuts)
