@@ -159,6 +159,20 @@ def next_pending(pending: DataFrame, settled: DataFrame) -> DataFrame:
     return kept.unionByName(moved.where("last.sets_pending").select("key", F.col("last.value").alias("txn_id")))
 
 
+def next_ledger(ledger: DataFrame, settled: DataFrame) -> DataFrame:
+    """Ledger rows after the cycle: known ones with the values of the last feed row that met them, then the created ones,
+    whose ``ord`` is behind all others' in feed order."""
+    values = ("notes", "payee_id", "payee_name", "cleared", "imported_payee")
+    met = settled.where("ledger_id IS NOT NULL").groupBy(F.col("ledger_id").alias("__id")).agg(
+        F.max_by(F.struct(*values), "feed_ord").alias("__now"), F.min_by(F.struct("account", "date", "amount_cents", "entry_ref", "how", "feed_ord"), "feed_ord").alias("__first")
+    )
+    old = ledger.join(met, F.col("id") == F.col("__id"), "left").select(*[F.when(F.col("__id").isNotNull(), F.col(f"__now.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in ledger.columns])
+    last = ledger.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("__last"))
+    made = met.where("__first.how = 'created'").join(F.broadcast(last))  # one row is sent
+    own = {"id": F.col("__id"), "ord": F.col("__last") + 1 + F.col("__first.feed_ord"), "financial_id": F.col("__first.entry_ref"), **{c: F.col(f"__first.{c}") for c in ("account", "date", "amount_cents")}, **{c: F.col(f"__now.{c}") for c in values}}
+    return old.unionByName(made.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ledger.schema]))
+
+
 def fetch_window(accounts: DataFrame, pending: DataFrame, last_sync: str | None, as_of: Column) -> DataFrame:
     """Each account's first day to fetch: its start date, else the last sync, else 30 days back; not after the earliest pending day."""
     earliest = pending.agg(F.min(fn.parse_date(fn.split_pending("txn_id")["date"])).alias("earliest"))

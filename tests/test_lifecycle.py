@@ -84,6 +84,26 @@ def test_settling_equals_the_row_model(spark, seed):
     assert set(left) == set(want_pending) and all(left[k] == v or v.startswith("new") or left[k].split("|")[0] == v for k, v in want_pending.items())
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_cycles_in_a_row_equal_one(spark, seed):
+    """Three cycles, each on the state that the one before it left and with some of its rows fetched again."""
+    r = random.Random(seed)
+    names = ["", *(f"R{k}" for k in range(20))]
+    rows = [(k, r.randint(1, 3), r.choice(["PDNG", "BOOK"]), dt.date(2024, 1, r.randint(1, 9)), r.randint(0, 4), "shop", r.choice(["", "x", "y"]), r.choice(names), False) for k in range(120)]
+    again = lambda part, at: [(at + k, *x[1:]) for k, x in enumerate(part)]
+    cycles = [rows[:40], again(rows[30:40], 1000) + again(rows[40:80], 1100), again(rows[70:80], 2000) + again(rows[80:], 2100)]
+    ledger = spark.createDataFrame([], "id string, ord long, account long, date date, amount_cents long, payee_id string, payee_name string, notes string, financial_id string, cleared boolean, imported_payee string")
+    refs, pending, nobody = (spark.createDataFrame([], x) for x in ("ref string, date date", "key string, txn_id string", "name string, id string"))
+    got = {}
+    for batch in cycles:
+        done = lc.settle(spark.createDataFrame(batch, FEED), refs, pending, ledger, nobody).cache()
+        got |= {x["feed_ord"]: (x["branch"], x["changed"]) for x in done.collect()}
+        refs, pending, ledger = (spark.createDataFrame(x.collect(), x.schema) for x in (lc.next_refs(refs, done, F.lit("2024-01-10").cast("date")), lc.next_pending(pending, done), lc.next_ledger(ledger, done)))
+    want, want_refs, want_pending = model([x for b in cycles for x in b])
+    assert got == want and {x["ref"] for x in refs.collect()} == want_refs and {x["key"] for x in pending.collect()} == set(want_pending)
+    assert ledger.count() == ledger.select("id").distinct().count()
+
+
 def test_settling_an_empty_batch(spark):
     none = lambda ddl: spark.createDataFrame([], ddl)
     t = none("id string, ord long, account long, date date, amount_cents long, payee_id string, payee_name string, notes string, financial_id string, cleared boolean, imported_payee string")
