@@ -23,3 +23,24 @@ def test_every_oracle_has_a_query():
 
 def test_flagship_has_rows(spark):
     assert registry.flagship(spark, f"{oracle.ROOT}/{SF}").count() == 50
+
+
+def plan(spark, name):
+    return QUERIES[name](spark, f"{oracle.ROOT}/{SF}")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_record_is_parsed_once(spark):
+    """One parse of the page, one of the record and one of its remittance list."""
+    for name in ("feed_normalize", "sync_cycle"):
+        assert plan(spark, name).count("from_json(") <= 3, name
+
+
+def test_a_cycle_is_planned_without_repeats(spark):
+    for name in ("lifecycle_counts", "sync_cycle"):
+        p = plan(spark, name)
+        assert p.count("MapInArrow") <= 2 and p.count("SortMergeJoin") <= 6 and p.count("Exchange ") <= 24, (name, p.count("SortMergeJoin"), p.count("Exchange "))
+
+
+def test_matching_joins_by_stretch_of_days(spark):
+    for name in ("interval_match", "greedy_assignment"):
+        assert any("Join" in line and "stretch" in line for line in plan(spark, name).splitlines()), name
