@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tests import oracle
 
 import corpus_pipeline
@@ -88,6 +89,25 @@ def test_near_dedup_stage_with_null_and_repeated_ids(spark, folder):
     assert left == sorted([(1, long), (None, "quite another text of no id"), (2, "b c d e f g"), (2, "h i j k l m"), (4, None), (None, ""), (5, "n o p q r s")], key=repr)
 
 
+def test_pipeline_takes_odd_rows_and_clashing_columns(spark, folder, tmp_path):
+    """Null, repeated and extreme ids, nulls in every column, and columns named like what the stages make."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "no id here at all", "en", None, 17), (3, "one more text of this id", None, "s1", 24), (2**63 - 1, "last", "en", "s1", 4), (-(2**63), "first", "en", "s1", 5)], docs.schema)
+    wide = docs.unionByName(odd)
+    for k, name in enumerate(("ids", "decoded", "n_tokens", "label", "mark", "node", "first", "place", "quality_score", "contamination", "removed_spans", "slot", "k")):
+        wide = wide.withColumn(name, F.lit(k))
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, str(tmp_path))
+        assert after.columns == before.columns and after.where("ids <> 0 OR k <> 12").count() == 0, name
+        before = after
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and all(x["round_trip"] for x in got) and {None, 2**63 - 1, -(2**63)} <= {x["doc_id"] for x in got}
+
+
 def test_substring_stage_counts_what_is_left(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for x in corpus_pipeline.substring_dedup_stage(spark, docs, folder).collect():
