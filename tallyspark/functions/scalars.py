@@ -290,10 +290,3 @@ def percent_encode(text: C) -> Column:
     digits = lambda x: F.hex(code(x))
     one = lambda x: F.when(x.rlike(r"^[A-Za-z0-9\-._~]$"), x).otherwise(F.concat(F.lit("%"), F.when(F.length(digits(x)) < 2, F.lpad(digits(x), 2, "0")).otherwise(digits(x))))
     return F.array_join(F.transform(F.filter(F.split(col(text), ""), lambda x: x != ""), one), "")
-
-
-def base_url(forwarded_proto: C, forwarded_host: C, request_host: C, secure: C, stored: C, default: str) -> Column:
-    """Where the service is reached: forwarded, then request, then stored address."""
-    proto = F.when(first_filled(forwarded_proto) != "", col(forwarded_proto)).when(col(secure), "https").otherwise("http")
-    host = first_filled(forwarded_host, request_host)
-    return F.when(host != "", F.concat(proto, F.lit("://"), host)).otherwise(first_filled(stored, F.lit(default)))

@@ -1,7 +1,6 @@
 """SparkSession defaults: UTC, ANSI, adaptive execution. Sizes are left to the cluster unless told."""
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -17,19 +16,6 @@ DEFAULTS = {
 }
 
 
-def env_or(name: str, default: str) -> str:
-    """An environment setting, or the default when unset or empty."""
-    return os.environ.get(name) or default
-
-
-def env_int(name: str, default: int) -> int:
-    """An integer setting, or the default when unset or not an integer."""
-    try:
-        return int(os.environ.get(name, ""))
-    except ValueError:
-        return default
-
-
 def session(app: str = "tallyspark", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

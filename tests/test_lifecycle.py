@@ -197,6 +197,15 @@ def test_feed_records(spark):
     assert [tuple(r)[1:] for r in rows] == [("PDNG", dt.date(2023, 11, 30), -705, "Night Tram", "Night Tram zone B", "T-81"), ("BOOK", dt.date(2023, 12, 2), 31000, "Mill & Barn", "wheat, 3 sacks", "E-5")]
 
 
+def test_landed_page_files_are_read_whole(spark, tmp_path):
+    record = {"value_date": "2023-11-30", "transaction_amount": {"amount": "1"}, "remittance_information": ["a\nb", 7, "c"]}
+    for k in range(3):
+        (tmp_path / f"{k}.json").write_text(json.dumps({"transactions": [record] * k, "continuation_key": str(k)}, indent=1))
+    pages = feed.read_pages(spark, str(tmp_path))
+    assert sorted(x["continuation_key"] for x in feed.continuation(pages).collect()) == ["0", "1", "2"]
+    assert [(x["payee"], x["notes"]) for x in feed.feed_scan(pages).collect()] == [("a\nb", "a\nb c")] * 3
+
+
 def test_messages_merge_by_arrival_and_skip_prefs(spark):
     rows = [("payees", "p", "name", "S:a", 1), ("payees", "p", "name", "0:", 3), ("payees", "p", "name", "S:b", 2), ("prefs", "x", "name", "S:c", 4), ("payees", "p", "bad-col", "S:d", 5)]
     m = spark.createDataFrame(rows, "dataset string, row string, column string, value string, ord long")
