@@ -1,7 +1,7 @@
 """Near-duplicates by an LSH forest over MinHash signatures of word shingles.
 
 Every document becomes a set of 64-bit shingle hashes; documents with equal sets are one node. A node's signature has
-``TREES`` sequences of ``DEPTH`` min-hash labels, a tree each. Candidates are the nodes with the longest common prefixes
+``TREES`` sequences of ``DEPTH`` min-hash labels of 16 bits, a tree each. Candidates are the nodes with the longest common prefixes
 in a tree, in two steps; all are confirmed on their full sets, and links that hold become components.
 
 1. Neighbours. The first trees' orders are sorted over all partitions and rows that stand close together and share a
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scope, lean, lean_rows, materialize, rows_per_slice
 from .graph import connected_components
 
-TREES, DEPTH = 32, 8
+TREES, DEPTH, LABEL = 32, 8, 2  # a label has two bytes, so unlike nodes share no prefix of 4 by chance, however many they are
 DEPTHS = (4, 6, 8)
 CROWD, BLOCK = 512, 4096
 SKETCH_BYTES, ODD_BYTES = 24, 256
@@ -42,7 +42,7 @@ LEAST_PREFIX = 2
 FIRST_TREES = 4
 SLICE_BYTES = 2 << 20
 MOST_BROADCAST_ROWS = 1_000_000
-NODE, KEY = 16, 1 + DEPTH
+NODE, KEY = 16, 1 + DEPTH * LABEL
 ROW = KEY + NODE + SKETCH_BYTES
 NAMED = 50_000
 
@@ -88,7 +88,7 @@ def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray, trees: int = TREES) -> bytes:
-    """``trees`` sequences of DEPTH min-hash bytes, then the bit sketch."""
+    """``trees`` sequences of DEPTH min-hash labels, then the bit sketch."""
     a, b = _factors(trees * DEPTH)
     x = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
     least = np.full(len(a), 0xFFFFFFFF, np.uint32)
@@ -100,8 +100,8 @@ def signature(shingles: np.ndarray, trees: int = TREES) -> bytes:
         mixed = least * np.uint32(0x9E3779B1)
         mixed ^= mixed >> np.uint32(15)
         mixed *= np.uint32(0x85EBCA77)
-    bits = np.packbits(((mixed >> np.uint32(20)) & np.uint32(1)).astype(np.uint8)[: SKETCH_BYTES * 8])
-    return (mixed >> np.uint32(24)).astype(np.uint8).tobytes() + bits.tobytes()
+    bits = np.packbits(((mixed >> np.uint32(8)) & np.uint32(1)).astype(np.uint8)[: SKETCH_BYTES * 8])
+    return (mixed >> np.uint32(16)).astype(">u2").tobytes() + bits.tobytes()
 
 
 def odd_sketch(shingles: np.ndarray) -> bytes:
@@ -161,11 +161,11 @@ def _tree_rows(end: int, trees: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                sig, node = _matrix(part.column("sig"), trees * DEPTH + SKETCH_BYTES), _matrix(part.column("node"), NODE)
+                sig, node = _matrix(part.column("sig"), trees * DEPTH * LABEL + SKETCH_BYTES), _matrix(part.column("node"), NODE)
                 out = np.empty((len(sig), end, ROW), np.uint8)
                 out[:, :, 0] = np.arange(end)
-                out[:, :, 1:KEY] = sig[:, : end * DEPTH].reshape(len(sig), end, DEPTH)
-                out[:, :, KEY:] = np.concatenate([node, sig[:, trees * DEPTH :]], axis=1)[:, None]
+                out[:, :, 1:KEY] = sig[:, : end * DEPTH * LABEL].reshape(len(sig), end, DEPTH * LABEL)
+                out[:, :, KEY:] = np.concatenate([node, sig[:, trees * DEPTH * LABEL :]], axis=1)[:, None]
                 yield pa.record_batch([_binary(out.reshape(-1, ROW))], schema=schema)
 
     return run, "row binary"
@@ -216,7 +216,7 @@ def _candidates(m: np.ndarray, first: int, least: int, sure: int) -> np.ndarray:
         if n <= step:
             break
         one, two = m[:-step], m[step:]
-        i = np.flatnonzero((one[:, : 1 + LEAST_PREFIX] == two[:, : 1 + LEAST_PREFIX]).all(axis=1))
+        i = np.flatnonzero((one[:, : 1 + LEAST_PREFIX * LABEL] == two[:, : 1 + LEAST_PREFIX * LABEL]).all(axis=1))
         agree = SKETCH_BYTES * 8 - np.bitwise_count(one[i, KEY + NODE :] ^ two[i, KEY + NODE :]).sum(axis=1, dtype=np.int64)
         if step == 1:
             chain[i[agree >= sure] + 1] = True
@@ -257,7 +257,7 @@ def _joinable(df: DataFrame) -> DataFrame:
 def regions(nodes: DataFrame, trees: int = TREES) -> DataFrame:
     """``nodes``: node, sig, root. (region, n, node) of the nodes of every region that holds several roots, each as deep
     as its crowd wants. Counts have partial sums, so a crowded region is never gathered here."""
-    keys = ", ".join(f"'k{d}', xxhash64(t, substring(sig, t * {DEPTH} + 1, {d}))" for d in DEPTHS)
+    keys = ", ".join(f"'k{d}', xxhash64(t, substring(sig, t * {DEPTH * LABEL} + 1, {d * LABEL}))" for d in DEPTHS)
     each = F.explode(F.expr(f"transform(sequence(0, {trees - 1}), t -> named_struct({keys}))"))
     live = nodes.select("node", F.xxhash64("root").alias("rh"), each.alias("k")).select("node", "rh", "k.*")
     found = None

@@ -96,7 +96,7 @@ def test_components_of_long_chains_and_stars(spark, monkeypatch, hot):
 
 
 def test_neighbours_over_batches_and_sure_chains():
-    row = lambda k: bytes([0]) + bytes(near_dedup.DEPTH) + bytes([k]) * 16 + bytes(24)
+    row = lambda k: bytes([0]) + bytes(near_dedup.KEY - 1) + bytes([k]) * 16 + bytes(24)
     m = np.frombuffer(b"".join(row(k) for k in range(4)), np.uint8).reshape(-1, near_dedup.ROW)
     assert near_dedup._candidates(m, 3, 154, 185).tolist() == [[2, 3]]  # sure chains stand for longer steps
     far = near_dedup._candidates(m, 3, 154, 193)
