@@ -4,6 +4,7 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
 from functools import lru_cache, wraps
 
@@ -33,7 +34,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-_SCOPES: list = []
+_HELD = threading.local()
+
+
+def _scopes() -> list:
+    """The open scopes of this thread, the innermost last."""
+    return _HELD.__dict__.setdefault("scopes", [])
 
 
 class Scope:
@@ -45,19 +51,19 @@ class Scope:
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> "Scope":
-        _SCOPES.append(self)
+        _scopes().append(self)
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = df._tallyspark_path
         if path in self.paths:
             self.paths.remove(path)
-            if len(_SCOPES) > 1:
-                _SCOPES[_SCOPES.index(self) - 1].paths.append(path)
+            if len(_scopes()) > 1:
+                _scopes()[_scopes().index(self) - 1].paths.append(path)
         return df
 
     def __exit__(self, *failure) -> None:
-        _SCOPES.remove(self)
+        _scopes().remove(self)
         for path in self.paths:
             _delete(self.spark, path)
 
@@ -79,8 +85,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].paths.append(path)
+    if _scopes():
+        _scopes()[-1].paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyspark_path = path
     return out
