@@ -9,7 +9,7 @@ in a tree, in two steps; all are confirmed on their full sets, and links that ho
 2. Regions. In every tree, nodes of different components whose labels agree to ``DEPTHS[0]`` stand in one region; a
    region of more than ``CROWD`` nodes is parted by the next labels, down to ``DEPTHS[-1]``, so the depth follows how
    crowded it is. In the regions at the end all nodes of different components are compared, however many they are:
-   beyond ``BLOCK`` nodes by pairs of blocks, each a task's work of its own. A pair is named unless its set sizes or its
+   beyond ``BLOCK`` nodes by pairs of blocks, each a task's work of its own (see ``spots``). A pair is named unless its set sizes or its
    odd sketches (parities of shingles by hash) show that it differs in too many shingles; parities never show more
    differences than there are, so for sets of ordinary size this drops no link at all.
 
@@ -35,7 +35,7 @@ from .graph import connected_components
 
 TREES, DEPTH, LABEL = 32, 8, 2  # a label has two bytes, so unlike nodes share no prefix of 4 by chance, however many they are
 DEPTHS = (4, 6, 8)
-CROWD, BLOCK = 512, 4096
+CROWD, BLOCK, MAIN = 512, 4096, 1 << 30
 SKETCH_BYTES, ODD_BYTES = 24, 256
 NEIGHBOURS = 8
 LEAST_PREFIX = 2
@@ -254,23 +254,24 @@ def _joinable(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST_ROWS else df
 
 
-def regions(nodes: DataFrame, trees: int = TREES) -> DataFrame:
-    """``nodes``: node, sig, root. (region, n, node) of the nodes of every region that holds several roots, each as deep
-    as its crowd wants. Counts have partial sums, so a crowded region is never gathered here."""
+def regions(nodes: DataFrame, trees: int = TREES) -> tuple[DataFrame, bool]:
+    """``nodes``: node, sig, root. (region, n, node, rh: the root's hash) of the nodes of every region that holds several
+    roots, each as deep as its crowd wants, and whether any has more than BLOCK nodes. Counts have partial sums, so a crowded region is never gathered here."""
     keys = ", ".join(f"'k{d}', xxhash64(t, substring(sig, t * {DEPTH * LABEL} + 1, {d * LABEL}))" for d in DEPTHS)
     each = F.explode(F.expr(f"transform(sequence(0, {trees - 1}), t -> named_struct({keys}))"))
     live = nodes.select("node", F.xxhash64("root").alias("rh"), each.alias("k")).select("node", "rh", "k.*")
-    found = None
+    found, large = None, False
     for d in DEPTHS:
         key = f"k{d}"
         mixed = live.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("rh").alias("low"), F.max("rh").alias("high")).where("low < high").select(key, "n")
         mixed = materialize(mixed, "regions")
         last = d == DEPTHS[-1]
         ready, crowded = (mixed, None) if last else (mixed.where(F.col("n") <= CROWD), mixed.where(F.col("n") > CROWD).select(key))
-        members = live.join(_joinable(ready), key).select(F.col(key).alias("region"), "n", "node")
+        members = live.join(_joinable(ready), key).select(F.col(key).alias("region"), "n", "node", "rh")
         found = members if found is None else found.union(members)
+        large = large or (last or CROWD > BLOCK) and not ready.where(F.col("n") > BLOCK).isEmpty()
         if last or crowded.isEmpty():
-            return found
+            return found, large
         live = materialize(live.join(_joinable(crowded), key, "left_semi"), "crowded")
 
 
@@ -351,15 +352,38 @@ def _whole_regions(percent: int):
     return run
 
 
+def spots(members: DataFrame, large: bool = True) -> DataFrame:
+    """(region, node, own, first, second): where the nodes of each region meet.
+
+    A region of up to BLOCK nodes is one spot. In a larger one the root with most nodes is its main root. Nodes of the
+    main root need not meet each other: each stands in one block of them, and meets every block of the other nodes;
+    these meet each other by pairs of blocks. With few others a row of the main root is there once, however many
+    there are. Without ``large`` no region has more nodes. ``own`` tells the blocks of a spot apart; in a spot of two blocks only nodes of different ones are paired.
+    """
+    one = members.where(F.col("n") <= BLOCK).select("region", "node", F.lit(0).alias("own"), F.lit(0).alias("first"), F.lit(0).alias("second"))
+    if not large:
+        return one
+    more = members.where(F.col("n") > BLOCK)
+    counts = more.groupBy("region", "rh").agg(F.count(F.lit(1)).alias("of_root"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
+    main = counts.groupBy("region").agg(F.max_by("rh", F.struct("of_root", "rh")).alias("main"), blocks(F.max("of_root")).alias("mains"), blocks(F.sum("of_root") - F.max("of_root")).alias("others"))
+    x = more.join(_joinable(materialize(main, "large-regions")), "region").withColumn("is_main", F.col("rh") == F.col("main"))
+    x = x.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spot = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("second"))
+    with_mains = F.transform(F.when(F.col("is_main"), each("others")).otherwise(each("mains")), lambda k: F.when(F.col("is_main"), spot(MAIN + F.col("block"), k)).otherwise(spot(MAIN + k, F.col("block"))))
+    among_others = F.transform(each("others"), lambda k: spot(F.least("block", k), F.greatest("block", k)))
+    at = F.explode(F.when(F.col("is_main"), with_mains).otherwise(F.concat(with_mains, among_others)))
+    x = x.select("region", "node", F.when(F.col("is_main"), MAIN + F.col("block")).otherwise(F.col("block")).alias("own"), at.alias("at"))
+    return one.union(x.select("region", "node", "own", "at.first", "at.second"))
+
+
 def region_pairs(nodes: DataFrame, percent: int, trees: int = TREES) -> DataFrame:
     """``nodes``: node, sig, root, n, odd. Pairs (a < b) of different roots that share a region and may be similar."""
-    members = regions(nodes, trees).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spots = members.select("region", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     big_endian = lambda c, kind: F.expr(f"unhex(lpad(hex(cast({c} AS bigint)), {kind}, '0'))")
-    spots = spots.select("node", "own", F.concat(big_endian("region", 16), big_endian("least(own, other)", 8), big_endian("greatest(own, other)", 8)).alias("spot"))
+    where = spots(*regions(nodes, trees)).select("node", "own", F.concat(big_endian("region", 16), big_endian("first", 8), big_endian("second", 8)).alias("spot"))
     heavy = nodes.select("node", F.concat(big_endian("xxhash64(root)", 16)).alias("rh"), F.concat(big_endian("n", 16), "node", "odd").alias("rest"))
-    rows = spots.join(heavy, "node").select(F.concat("spot", "rh", big_endian("own", 8), "rest").alias("row"))
+    rows = where.join(heavy, "node").select(F.concat("spot", "rh", big_endian("own", 8), "rest").alias("row"))
     return rows.repartition(F.substring("row", 1, _SPOT)).sortWithinPartitions("row").mapInArrow(lean_rows(_whole_regions(percent)), _PAIRS_DDL).distinct()
 
 

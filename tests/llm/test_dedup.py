@@ -295,6 +295,28 @@ def test_ids_from_end_to_end_are_cut_evenly(spark, monkeypatch):
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
 
 
+def test_every_two_roots_of_a_large_region_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    r = random.Random(3)
+    rows = []
+    for region, (mains, others) in enumerate([(4, 3), (300, 1), (200, 35), (12, 60)]):
+        n = mains + others
+        rows += [(region, n, f"{region}-{k}".encode(), 7 if k < mains else 100 + r.randint(0, others)) for k in range(n)]
+    at = near_dedup.spots(spark.createDataFrame([(a, b, bytearray(c), d) for a, b, c, d in rows], "region long, n long, node binary, rh long")).collect()
+    root = {c: d for _, _, c, d in rows}
+    held, met = {}, Counter()
+    for x in at:
+        held.setdefault((x["region"], x["first"], x["second"]), []).append((bytes(x["node"]), x["own"]))
+    for (_, first, second), nodes in held.items():
+        for i, (a, own_a) in enumerate(nodes):
+            for b, own_b in nodes[:i]:
+                if root[a] != root[b] and (first == second or own_a != own_b):
+                    met[min(a, b), max(a, b)] += 1
+    want = {(min(a, b), max(a, b)) for i, (ra, _, a, da) in enumerate(rows) for rb, _, b, db in rows[:i] if ra == rb and da != db}
+    assert set(met) == want and set(met.values()) == {1}
+    assert sum(x["region"] == 1 for x in at) <= 300 + 1 + 31  # the main root's rows are there once
+
+
 @pytest.mark.parametrize(("crowd_size", "block"), [(512, 4096), (24, 4096), (8, 16)])
 def test_near_duplicates_in_a_crowded_region(spark, monkeypatch, crowd_size, block):
     monkeypatch.setattr(near_dedup, "CROWD", crowd_size)
