@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scope, lean, materialize, sigmoid
+from .common import Scope, lean, materialize, release, sigmoid
 from .linear import Ordinal, View, calibrated, collected_features, fit_ordinal, one_row_an_id, screened, slices, smallest_by_hash
 
 MOST_LABELLED, MOST_PSEUDO = 20_000, 10_000
@@ -132,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = MOST_LABELLED, pseud
         none = F.lit(-1)
         told = base = picked(smallest_by_hash(known, labelled), "labelled").withColumns({"lent_text": none, "lent_meta": none})
         model = _fitted(told)
+        release()
         for _ in range(rounds - 1):
             if model.text_fit[0] == model.meta_fit[0] == 0.0:
                 break  # labels of one kind, or none: there is nothing to teach
@@ -139,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = MOST_LABELLED, pseud
             more = picked(materialize(confident_rows(scored, told_ids, pseudo), "confident"), "pseudo-labelled").withColumn("label", none)
             told = base.unionByName(more)
             model = _fitted(told)
+            release()  # the features of a fit leave the driver before the next
     return model
 
 
