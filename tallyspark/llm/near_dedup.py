@@ -35,7 +35,7 @@ from .graph import connected_components
 
 TREES, DEPTH, LABEL = 32, 8, 2  # a label has two bytes, so unlike nodes share no prefix of 4 by chance, however many they are
 DEPTHS = (4, 6, 8)
-CROWD, BLOCK, MAIN = 512, 4096, 1 << 30
+CROWD, BLOCK, MAIN = 512, 1024, 1 << 30
 SKETCH_BYTES, ODD_BYTES = 24, 256
 NEIGHBOURS = 8
 LEAST_PREFIX = 2
@@ -428,7 +428,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             return materialize(_confirmed(pairs, sets, percent), "links")
 
         links = confirmed(neighbour_pairs(nodes, percent / 100, min(FIRST_TREES, trees), trees))
-        rooted = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = nodes.join(_joinable(connected_components(links)), "node", "left").withColumn("root", F.coalesce("root", "node"))
         roots = connected_components(links.union(confirmed(region_pairs(rooted, percent, trees))))
 
         # component by node first, so that rows of one text or one component are not gathered by it

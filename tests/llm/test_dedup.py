@@ -317,7 +317,7 @@ def test_every_two_roots_of_a_large_region_meet_once(spark, monkeypatch):
     assert sum(x["region"] == 1 for x in at) <= 300 + 1 + 31  # the main root's rows are there once
 
 
-@pytest.mark.parametrize(("crowd_size", "block"), [(512, 4096), (24, 4096), (8, 16)])
+@pytest.mark.parametrize(("crowd_size", "block"), [(512, 1024), (24, 1024), (8, 16)])
 def test_near_duplicates_in_a_crowded_region(spark, monkeypatch, crowd_size, block):
     monkeypatch.setattr(near_dedup, "CROWD", crowd_size)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
