@@ -157,7 +157,7 @@ def remove_repeats(docs: DataFrame, least: int = RUN_WORDS, id_col: str = "doc_i
     """``docs`` with repeated passages removed from ``text_out`` and the removed spans (null: none) in ``spans_out``."""
     with Scope(docs.sparkSession) as scope:
         runs = scope.keep(materialize(repeated_runs(docs, least, id_col, text_col), "runs"))
-    runs = runs.select(F.col("place").alias("__ts_key"), F.col("runs").alias("__ts_runs"))
+    runs = runs.select(F.col("place").alias("__ts_key"), F.col("runs").alias("__ts_runs")).hint("merge")  # as many as edited documents: one plan at every size
     edited = docs.withColumn("__ts_own", place_of(id_col, text_col)).join(runs, F.col("__ts_own") == F.col("__ts_key"), "left")
     text = F.col(text_col).cast("string")
     # one Python call gives text and spans; a document without runs keeps its text in the JVM
