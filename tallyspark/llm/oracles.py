@@ -120,4 +120,37 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op3_near_dedup": NEAR_DEDUP, "op4_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRING_DEDUP, "op8_chat": CHAT}
+# DuckDB has no crc32: its eight steps a byte are written out
+
+
+def _crc(digits: str) -> str:
+    steps = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v // 2, 3988292384 * (v % 2)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({digits}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {steps}), 4294967295)"
+
+
+_SIX_HOURS = "21600000000"
+
+ASOF = f"""
+WITH c0 AS (
+  SELECT DISTINCT click_id, client_id, epoch_us(ts) AS t, {_crc("click_id::VARCHAR")} AS h FROM clicks
+), c AS (
+  SELECT click_id, client_id, CASE WHEN h % 2 = 1 THEN t - t % {_SIX_HOURS} ELSE t END AS ts_us FROM c0
+), s0 AS (
+  SELECT sale_id, client_id, epoch_us(sold_at) AS t, floor(100 * total + 0.5)::BIGINT AS total_cents, priority, {_crc("sale_id::VARCHAR")} AS h FROM sales
+), s1 AS (
+  SELECT sale_id, client_id, CASE WHEN h % 2 = 1 THEN t - t % {_SIX_HOURS} ELSE t END AS sold_us, total_cents, priority, h FROM s0
+), s AS (
+  SELECT * FROM s1 UNION ALL SELECT -1 - sale_id, client_id, sold_us, total_cents, 6 - priority, h FROM s1 WHERE h % 3 <> 0
+), best AS (
+  SELECT client_id, sold_us, count(*) AS n_tied, arg_max(o, (o.total_cents IS NOT NULL, coalesce(o.total_cents, 0), o.sale_id IS NOT NULL, coalesce(o.sale_id, 0))) AS o
+  FROM (SELECT client_id, sold_us, {{'total_cents': total_cents, 'sale_id': sale_id, 'priority': priority}} AS o FROM s WHERE client_id IS NOT NULL AND sold_us IS NOT NULL)
+  GROUP BY client_id, sold_us
+), found AS (
+  SELECT c.click_id, c.client_id, c.ts_us, b.sold_us, b.o, b.n_tied FROM c ASOF LEFT JOIN best b ON c.client_id = b.client_id AND c.ts_us >= b.sold_us
+)
+SELECT click_id, client_id, ts_us, CASE WHEN near THEN o.sale_id END AS sale_id, CASE WHEN near THEN ts_us - sold_us END AS lag_us,
+       CASE WHEN near THEN o.total_cents END AS total_cents, CASE WHEN near THEN n_tied ELSE 0 END AS n_tied, CASE WHEN near THEN o.priority END AS priority
+FROM (SELECT *, coalesce(ts_us - sold_us <= 720 * 3600000000, false) AS near FROM found)
+"""
+
+ORACLES: dict[str, str] = {"op3_near_dedup": NEAR_DEDUP, "op4_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRING_DEDUP, "op8_chat": CHAT, "op12_asof_join": ASOF}

@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their oracles."""
 
-from . import chat, decontamination, fingerprints, near_dedup, quality, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
+from . import asof, chat, decontamination, fingerprints, near_dedup, quality, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
 from .oracles import ORACLES
 
 
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op8_chat": chat.op8_chat,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_quality": quality.op10_quality,
+        "op12_asof_join": asof.op12_asof_join,
     }
 
 
