@@ -153,4 +153,28 @@ SELECT click_id, client_id, ts_us, CASE WHEN near THEN o.sale_id END AS sale_id,
 FROM (SELECT *, coalesce(ts_us - sold_us <= 720 * 3600000000, false) AS near FROM found)
 """
 
-ORACLES: dict[str, str] = {"op3_near_dedup": NEAR_DEDUP, "op4_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRING_DEDUP, "op8_chat": CHAT, "op12_asof_join": ASOF}
+_TERM = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+
+LEXICAL_SEARCH = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), {_TERM}) AS w FROM documents
+), lengths AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0
+), total AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), {_TERM})) AS term FROM benchmark
+), occurs AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM occurs, total GROUP BY term, n_docs
+), scored AS (
+  SELECT a.item_id, l.r, l.doc_id, sum(w.weight * ((1000000000 * o.tf) // (1000 * o.tf + 20 * (50 + (50 * l.n * t.n_docs) // t.n_terms))))::BIGINT AS score
+  FROM asked a JOIN occurs o USING (term) JOIN weights w USING (term) JOIN lengths l USING (r), total t GROUP BY a.item_id, l.r, l.doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op3_near_dedup": NEAR_DEDUP, "op4_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRING_DEDUP, "op8_chat": CHAT, "op12_asof_join": ASOF, "op13_lexical_search": LEXICAL_SEARCH}

@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their oracles."""
 
-from . import asof, chat, decontamination, fingerprints, language_id, near_dedup, quality, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
+from . import asof, chat, decontamination, fingerprints, language_id, lexical_search, near_dedup, quality, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
 from .oracles import ORACLES
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op10_quality": quality.op10_quality,
         "op11_language_id": language_id.op11_language_id,
         "op12_asof_join": asof.op12_asof_join,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
 
