@@ -1,5 +1,8 @@
 """Scalar functions as Column expressions. The empty string stands for a missing text, as in the ledger."""
 
+import sys
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +34,10 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def decimal_to_cents(amount: C) -> Column:
-    """Decimal text to cents, half away from zero in double; null if it is no number."""
+    """Decimal text to cents, half away from zero in double; null if it is no number or its cents are beyond 64 bits."""
     a = col(amount)
-    return F.when(a.rlike(_NUMBER), F.round(a.try_cast("double") * 100).cast("long"))
+    cents = F.round(a.try_cast("double") * 100)
+    return F.when(a.rlike(_NUMBER) & (F.abs(cents) < 2.0**63), cents.try_cast("long"))
 
 
 def signed_cents(amount: C, indicator: C) -> Column:
@@ -130,12 +134,38 @@ def title_case(text: C) -> Column:
     return F.initcap(F.trim(F.regexp_replace(col(text), r"\s+", " ")))
 
 
+#: Code points whose own lower case is not what a whole text's lower case makes of them.
+LOWER_ALONE = {"\u0130": "i", "\u03a3": "\u03c3"}
+
+
+def _mapped(c: Column, pairs: dict[str, str]) -> Column:
+    return F.translate(c, "".join(pairs), "".join(pairs.values()))
+
+
 def normalise(text: C) -> Column:
-    return F.lower(col(text))
+    """Lower case code point by code point: a letter's place in its word does not count, and none becomes two."""
+    return F.lower(_mapped(col(text), LOWER_ALONE))
+
+
+@lru_cache(maxsize=1)
+def _folded_alone() -> dict[str, str]:
+    """Lower-case letters that share their capital with another one, and that one (simple folding): long s and s."""
+    out = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        big = c.upper()
+        if c == c.lower() and len(big) == 1 and big != c and big.lower() != c and len(big.lower()) == 1 and ord(big) > 0x7F or c == "\u017f":
+            out[c] = big.lower()
+    return out
+
+
+def folded(text: C) -> Column:
+    """Equal for texts that are equal under simple case folding, code point by code point; the dotted capital I, which
+    folds to nothing but itself, stays apart."""
+    return _mapped(F.lower(_mapped(col(text), {"\u03a3": "\u03c3", "\u0130": "\uffff"})), _folded_alone())
 
 
 def same_fold(a: C, b: C) -> Column:
-    return F.lower(col(a)) == F.lower(col(b))
+    return folded(a) == folded(b)
 
 
 def number_prefix(text: C) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions.patterns import matches_pattern
 
 #: Which column each condition field reads; other fields read ''.
 FIELDS = {
@@ -92,69 +93,22 @@ def number_of(v: Any) -> float:
     return float(m[0]) if m else 0.0
 
 
+def lowered(text: str) -> str:
+    """The text in lower case code point by code point, as ``normalise`` has it."""
+    return "".join(fn.LOWER_ALONE.get(c) or c.lower() for c in text)
+
+
 def truth_of(v: Any) -> bool:
     if isinstance(v, bool):
         return v
     return v != 0 if isinstance(v, int | float) else isinstance(v, str) and v not in ("", "0", "false")
 
 
-# Patterns
-
-
-def java_pattern(pattern: str) -> str | None:
-    """An RE2-style pattern, lower-cased, as a Java one; None if it is not valid (then nothing matches)."""
-    p = pattern.lower()
-    if re.search(r"\(\?(?:[=!]|<[=!])|(?<!\\)(?:\\\\)*\\[1-9]", p):
-        return None
-    out, at, inside = [], 0, False
-    while at < len(p):
-        c = p[at]
-        if c == "\\":
-            nxt = p[at + 1 : at + 2]
-            if not nxt:
-                return None
-            out.append({"s": r"\t\n\f\r " if inside else r"[\t\n\f\r ]", "z": r"\z"}.get(nxt, c + nxt))
-            at += 2
-            continue
-        if c == "[" and not inside:
-            inside = True
-            at += 1
-            out.append("[")
-            if p[at : at + 1] == "^":
-                out.append("^")
-                at += 1
-            if p[at : at + 1] == "]":
-                out.append("\\]")
-                at += 1
-            continue
-        if c == "]" and inside:
-            inside = False
-        elif inside and c in "[&":
-            out.append("\\")
-        elif c == "$" and not inside:
-            out.append(r"\z")
-            at += 1
-            continue
-        elif p.startswith("(?p<", at):
-            out.append("(?<")
-            at += 4
-            continue
-        out.append(c)
-        at += 1
-    if inside:
-        return None
-    try:  # a driver-side check of what both engines reject alike
-        re.compile("".join(out).replace(r"\z", r"\Z").replace("(?<", "(?P<"))
-    except re.error:
-        return None
-    return "".join(out)
-
-
 # Conditions
 
 
 def string_match(field: Column, op: str, value: str) -> Column:
-    f, v = F.lower(field), F.lit(value.lower())
+    f, v = fn.normalise(field), F.lit(lowered(value))
     if op in ("is", "oneOf"):
         return f == v
     if op in ("isNot", "notOneOf"):
@@ -164,16 +118,15 @@ def string_match(field: Column, op: str, value: str) -> Column:
     if op == "doesNotContain":
         return ~F.contains(f, v)
     if op == "matches":
-        pattern = java_pattern(value)
-        return f.rlike(pattern) if pattern is not None else F.lit(False)
+        return matches_pattern(f, lowered(value))
     return F.lit(False)
 
 
 def list_match(field: Column, op: str, values: list) -> Column:
     if op not in ("oneOf", "notOneOf"):
         return F.lit(False)
-    names = [text_of(v).lower() for v in values]
-    member = F.lower(field).isin(names) if names else F.lit(False)
+    names = [lowered(text_of(v)) for v in values]
+    member = fn.normalise(field).isin(names) if names else F.lit(False)
     return member if op == "oneOf" else ~member
 
 

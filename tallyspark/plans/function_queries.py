@@ -33,9 +33,13 @@ def feed_normalize(spark, sf_dir):
     return feed_source.feed_scan(td.feed_pages(spark, sf_dir), ["own name"]).drop("position")
 
 
-@query("feed_drop_malformed", "SELECT count(*) AS records, count(*) FILTER (WHERE o_orderkey % 17 = 0) AS malformed FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("feed_drop_malformed", "SELECT count(*) AS records, count(*) FILTER (WHERE o_orderkey % 17 = 0 OR o_orderkey % 19 = 0) AS malformed FROM orders JOIN customer ON o_custkey = c_custkey")
 def feed_drop_malformed(spark, sf_dir):
-    rows = feed_source.normalise_records(feed_source.page_records(td.feed_pages(spark, sf_dir)))
+    """Records without a date, and every 19th with an amount that no number of cents holds."""
+    records = feed_source.page_records(td.feed_pages(spark, sf_dir))
+    huge = F.regexp_extract("record", r'"line (\d+)"', 1).cast("long") % 19 == 0
+    records = records.withColumn("record", F.when(huge, F.regexp_replace("record", r'"amount":"[^"]*"', '"amount":"1e30"')).otherwise(F.col("record")))
+    rows = feed_source.normalise_records(records)
     return rows.agg(F.count(F.lit(1)).alias("records"), F.count_if(~F.col("valid")).alias("malformed"))
 
 

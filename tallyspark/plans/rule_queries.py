@@ -113,18 +113,19 @@ def rule_list_ops(spark, sf_dir):
     )
 
 
-@query(
-    "rule_regex",
-    r"""
-SELECT doc_id, regexp_matches(lower(text), '^th') AS begins, regexp_matches(lower(text), '[a-z]+ing\.$') AS ends, regexp_matches(lower(text), 'the\s+of|on\s+the') AS words,
-       regexp_matches(lower(text), '[ab qz]') AS listed, false AS broken, false AS ahead
-FROM documents
-""",
-)
+#: name: (pattern as a rule says it, as SQL says it; None: not valid, so it never matches)
+PATTERNS = {
+    "begins": ("^TH", "^th"), "ends": (r"[A-Z]+ing\.$", r"[a-z]+ing\.$"), "words": (r"the\sof|on\s+the", r"the\s+of|on\s+the".replace(r"\s+of", r"\sof")), "listed": (["ab", "qz"], "[ab qz]"),
+    "braces": ("e{x}|{,3}|}", r"e\{x\}|\{,3\}|\}"), "posix": ("[[:digit:]]{2,}[^[:Alnum:]]", "[0-9]{2}[^0-9a-z]"), "inline": ("of (?i)THE", "of the"), "named": ("(?<w>on|of) (?:the)", "(on|of) the"),
+    "greek": (r"\p{LATIN}\.\n", r"[a-zà-öø-ÿ]\.\n"), "lone": ("a{1|the{", r"a\{1|the\{"), "nothing": ("", ""), "octal": (r"\056\x20t", r"\. t"), "edge": (r"\bth\b", r"\bth\b"), "lines": ("(?m)^the .*on$", r"(^|\n)the [^\n]*on(\n|$)"),
+    "broken": ("[invalid", None), "ahead": ("a(?=b)", None), "possessive": ("b++", None), "atomic": ("(?>th)", None), "too_many": ("e{1,1001}", None), "named_p": ("(?P<n>e)", None), "comment": ("(?#c)e", None), "back": (r"(e)\1", None), "twice": ("e**", None), "not_white": (r"\Q.\E", None),
+}
+
+
+@query("rule_regex", "SELECT doc_id, " + ", ".join("false AS " + k if sql is None else f"regexp_matches(lower(text), '{sql}') AS {k}" for k, (_, sql) in PATTERNS.items()) + " FROM documents")
 def rule_regex(spark, sf_dir):
     d = _as_fields(td.table(spark, sf_dir, "documents"), "text")
-    m = lambda p: _c("string", "notes", "matches", p)
-    return _marks(d, "doc_id", begins=m("^TH"), ends=m(r"[A-Z]+ing\.$"), words=m(r"the\S+of|on\s+the".replace(r"\S", r"\s")), listed=m(["ab", "qz"]), broken=m("[invalid"), ahead=m("a(?=b)"))
+    return _marks(d, "doc_id", **{k: _c("string", "notes", "matches", said) for k, (said, _) in PATTERNS.items()})
 
 
 @query(
