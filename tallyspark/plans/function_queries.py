@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..operators import reports as rp
 from ..sources import feed as feed_source
 from ..sources import testdata as td
 from .registry import query
@@ -48,6 +49,32 @@ def feed_pages(spark, sf_dir):
     return feed_source.continuation(td.feed_pages(spark, sf_dir)).select("account", "page_no", "continuation_key")
 
 
+SCAN_SQL = """
+WITH f AS (
+  SELECT o_orderkey AS k, o_custkey % 50 AS account, o_orderkey // 50 AS page_no, o_orderkey % 17 <> 0 AS valid,
+         CASE WHEN o_orderkey % 3 <> 0 THEN -1 ELSE 1 END * round(round(o_totalprice, 2)::DECIMAL(18,2)::VARCHAR::DOUBLE * 100)::BIGINT AS cents
+  FROM orders JOIN customer ON o_custkey = c_custkey
+), a AS (
+  SELECT account, count(DISTINCT page_no) AS pages, count(*) FILTER (WHERE valid) AS n, sum(cents) FILTER (WHERE valid) AS cents FROM f GROUP BY account
+), s AS (
+  SELECT *, CASE WHEN pages = 1 THEN NULL ELSE CASE account % 10 WHEN 3 THEN 'page 1: cannot be decoded' WHEN 5 THEN 'page 1: status 503' WHEN 7 THEN 'page 1 is missing' WHEN 9 THEN 'page 1 does not continue the one before it' END END AS error FROM a
+)
+"""
+
+
+@query("feed_scan_status", SCAN_SQL + "SELECT account, error, CASE WHEN error IS NULL THEN pages ELSE 0 END AS pages, CASE WHEN error IS NULL THEN n ELSE 0 END AS n, CASE WHEN error IS NULL THEN cents ELSE 0 END::BIGINT AS cents FROM s")
+def feed_scan_status(spark, sf_dir):
+    rows, status = feed_source.scan_accounts(td.landed_pages(spark, sf_dir), ["own name"])
+    sums = rows.groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("cents"))
+    return status.join(sums, "account", "left").select("account", "error", "pages", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cents", F.lit(0)).alias("cents"))
+
+
+@query("feed_scan_outcome", SCAN_SQL + "SELECT CASE WHEN count(*) = count(error) THEN 'fetch_error' ELSE 'success' END AS status, count(error) AS failed, coalesce(string_agg(account || ': ' || error, '; ' ORDER BY account) FILTER (WHERE error IS NOT NULL), '') AS errors FROM s")
+def feed_scan_outcome(spark, sf_dir):
+    """What a run reports of its scans: the errors by account, and fetch_error if none was read."""
+    return rp.fetch_outcome(feed_source.scan_accounts(td.landed_pages(spark, sf_dir))[1])
+
+
 @query(
     "cents_decimal",
     """

@@ -1,4 +1,9 @@
-"""Landed feed pages (JSON, one page a record) to normalised transactions."""
+"""Landed feed pages (JSON, one page a record) to normalised transactions.
+
+A scan of an account is a chain of pages: the first is asked for without a key, every other one with the continuation
+key of the page before it, and the last has none. ``scan_accounts`` reads chains whole: a page that is missing, was
+refused or cannot be decoded fails its account's scan, which then gives no rows but says why; the others go on.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,3 +59,68 @@ def feed_scan(pages: DataFrame, own_names: list[str] | None = None, page_col: st
 def read_pages(spark, path: str) -> DataFrame:
     """Landed pages, one JSON document a file."""
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "page")
+
+
+# Scans with their faults
+
+_PAGE = "transactions array<string>, continuation_key variant, __bad string"
+_KEPT = ("account", "page_no", "request_key", "status", "page")
+
+
+def decode_pages(pages: DataFrame) -> DataFrame:
+    """Pages with ``records`` (raw JSON), ``continuation_key`` ('' on the last) and ``fault``: null, or why the page
+    cannot be read. A page is a JSON object; its transactions are a list of objects, its key is a text; both may be
+    null or missing, and so may be the whole object."""
+    parsed = _once(pages, "__p", F.from_json("page", _PAGE, {"columnNameOfCorruptRecord": "__bad"}))
+    p, text = F.col("__p"), F.coalesce(F.col("page"), F.lit(""))
+    null = text.rlike(r"^\s*null\s*$")
+    object_ = text.rlike(r"^\s*\{[\s\S]*\}\s*$")
+    kind = F.coalesce(F.schema_of_variant(p["continuation_key"]), F.lit("VOID"))
+    listed = F.coalesce(F.forall(p["transactions"], lambda r: F.coalesce(r.rlike(r"^\s*\{"), F.lit(True))), F.lit(True))
+    good = null | (object_ & p.isNotNull() & p["__bad"].isNull() & kind.isin("STRING", "VOID") & listed)
+    fault = F.when(F.coalesce("status", F.lit(200)) != 200, F.concat(F.lit("status "), "status")).when(~good, "cannot be decoded")
+    records = F.filter(F.coalesce(p["transactions"], F.array().cast("array<string>")), lambda r: r.isNotNull())
+    key = F.coalesce(F.when(kind == "STRING", F.try_variant_get(p["continuation_key"], "$", "string")), F.lit(""))
+    return parsed.withColumns({"fault": fault, "records": F.when(fault.isNull(), records), "continuation_key": F.when(fault.isNull(), key)}).drop("__p")
+
+
+def scan_status(decoded: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """(account, pages, error) of each account's scan; error is null where the whole chain was read.
+
+    Every page meets the one before it under their account and number, so an account of any number of pages is no task
+    of its own. ``accounts`` (account) names those that should have been scanned; one without pages has failed."""
+    own = F.struct(F.col("page_no").alias("at"), F.struct(F.coalesce("request_key", F.lit("")).alias("asked"), "continuation_key", "fault").alias("own"), F.lit(None).cast("string").alias("before"))
+    next_ = F.struct((F.col("page_no") + 1).alias("at"), F.lit(None).cast(decoded.select(own["own"]).schema[0].dataType).alias("own"), F.coalesce("continuation_key", F.lit("")).alias("before"))
+    met = decoded.select("account", F.explode(F.array(own, next_)).alias("x")).groupBy("account", F.col("x.at").alias("at"))
+    met = met.agg(F.count("x.own").alias("landed"), F.min("x.own").alias("own"), F.max("x.before").alias("before"))
+    name = F.concat(F.lit("page "), "at")
+    asked = F.coalesce("before", F.lit(""))
+    fault = (
+        F.when(F.col("landed") > 1, F.concat(name, F.lit(" was landed more than once")))
+        .when((F.col("landed") == 0) & (asked != ""), F.concat(name, F.lit(" is missing")))
+        .when(F.col("own.fault").isNotNull(), F.concat(name, F.lit(": "), "own.fault"))
+        .when((F.col("landed") == 1) & (F.col("own.asked") != asked), F.concat(name, F.lit(" does not continue the one before it")))
+    )
+    ends = (F.col("landed") == 1) & (F.col("own.continuation_key") == "")
+    told = met.withColumn("fault", fault).groupBy("account").agg(
+        F.min(F.when(F.col("fault").isNotNull(), F.struct("at", "fault"))).alias("bad"), F.min(F.when(ends & F.col("fault").isNull(), F.col("at"))).alias("end"),
+        F.min(F.when(F.col("landed") > 0, F.col("at"))).alias("first"), F.count_if(F.col("landed") > 0).alias("landed"),
+    )
+    failed = F.when(F.coalesce("first", F.lit(-1)) != 0, "page 0 is missing").when(F.col("end").isNull() | (F.col("bad.at") < F.col("end")), F.coalesce("bad.fault", F.lit("the last page is missing")))
+    out = told.select("account", F.when(failed.isNull(), F.col("end") + 1).otherwise(F.lit(0)).cast("long").alias("pages"), failed.alias("error"))
+    if accounts is None:
+        return out
+    return accounts.select("account").distinct().join(out, "account", "left").select("account", F.coalesce("pages", F.lit(0)).alias("pages"), F.when(F.col("pages").isNull(), "page 0 is missing").otherwise(F.col("error")).alias("error"))
+
+
+def scan_accounts(pages: DataFrame, own_names: list[str] | None = None, accounts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the accounts whose scan was whole, and the status of every account's scan.
+
+    pages: account, page_no (from 0), request_key, status (null: 200), page. Malformed records inside a page are
+    dropped; pages behind an account's last one are not part of its scan."""
+    decoded = decode_pages(pages.select(*_KEPT))
+    status = scan_status(decoded, accounts)
+    whole = status.where("error IS NULL").select("account", F.col("pages").alias("__pages"))
+    read = decoded.join(whole, "account").where(F.col("page_no") < F.col("__pages"))
+    records = read.select("account", "page_no", F.posexplode("records").alias("position", "record"))
+    return normalise_records(records, own_names).where("valid").drop("valid", "record"), status

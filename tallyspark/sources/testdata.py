@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ACCOUNTS = 50
 
@@ -69,6 +70,18 @@ def feed_pages(spark: SparkSession, sf_dir: str, a_page: int = 50) -> DataFrame:
     return pages.select("account", "page_no", body.alias("page"))
 
 
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed's pages as chains by account. Of every ten accounts one has a page that is no JSON, one a refused page,
+    one a page that never came, one a page asked for with another key; each is the account's second page."""
+    along = Window.partitionBy("account").orderBy("page_no")  # a few pages an account
+    p = feed_pages(spark, sf_dir).withColumn("nth", F.row_number().over(along) - 1)
+    p = p.withColumns({"before": F.coalesce(F.lag("page_no").over(along).cast("string"), F.lit("")), "last": F.lead("page_no").over(along).isNull()})
+    bad = lambda k: (F.col("account") % 10 == k) & (F.col("nth") == 1)
+    page = F.when(bad(3), "<html>busy</html>").when(bad(5), "").when(F.col("last"), F.regexp_replace("page", r'"continuation_key":"\d+"\}$', '"continuation_key":""}')).otherwise(F.col("page"))
+    landed = p.where(~bad(7)).select("account", F.col("nth").alias("page_no"), F.when(bad(9), "other").otherwise(F.col("before")).alias("request_key"), F.when(bad(5), 503).otherwise(200).alias("status"), page.alias("page"))
+    return landed
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as cell messages; every eleventh sets null, and pings are skipped as a dataset."""
     e = table(spark, sf_dir, "events")
