@@ -6,12 +6,15 @@ ledger: id, ord, account, date, amount_cents, payee_id, payee_name, notes, finan
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as fn
+from ..session import scratch
 
 WINDOW_DAYS = 7
 
@@ -55,39 +58,79 @@ def window_matches(feed: DataFrame, ledger: DataFrame, excluded: DataFrame | Non
     return best.select("feed_ord", "b.ledger_id", "b.distance", (F.col("b.other_payee") == 0).alias("same_payee"))
 
 
-_TAKEN = pa.schema([("feed_ord", pa.int64()), ("ledger_id", pa.string())])
+_PAIR = ("account", "amount_cents", "island", "part", "nth", "feed_ord", "ledger_id")
 
 
-def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First come, first served over candidates sorted by group, feed row and rank: what a group has taken is kept, no more."""
-    group, taken, served = None, set(), None
+def _serve(batches: Iterator[pa.RecordBatch], wait: bool, group: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """First come, first served over candidates sorted by group, feed row and rank: what a group has taken is kept, no more.
+
+    With ``wait`` the first island of a bucket that is not the first bucket is passed on as it is, with ``taken`` false:
+    earlier buckets may hold rows of it."""
+    part = TaskContext.get().partitionId()
+    now, taken, served, nth, waits = None, set(), None, 0, wait and part > 0
     for batch in batches:
-        feed, ledger = [], []
-        for key, feed_ord, ledger_id in zip(zip(*(batch.column(c).to_pylist() for c in ("account", "amount_cents", "island")), strict=True), batch.column("feed_ord").to_pylist(), batch.column("ledger_id").to_pylist(), strict=True):
-            if key != group:
-                group, taken, served = key, set(), None
-            if feed_ord != served and ledger_id not in taken:
+        columns = {c: batch.column(c).to_pylist() for c in (*group, "feed_ord", "ledger_id")}
+        keep, done = [], []
+        for k, (key, feed_ord, ledger_id) in enumerate(zip(zip(*(columns[c] for c in group), strict=True), columns["feed_ord"], columns["ledger_id"], strict=True)):
+            if key != now:
+                waits = waits and now is None
+                now, taken, served = key, set(), None
+            if waits:
+                keep.append(k)
+                done.append(False)
+            elif feed_ord != served and ledger_id not in taken:
                 taken.add(ledger_id)
                 served = feed_ord
-                feed.append(feed_ord)
-                ledger.append(ledger_id)
-        yield pa.record_batch([pa.array(feed, pa.int64()), pa.array(ledger, pa.string())], schema=_TAKEN)
+                keep.append(k)
+                done.append(True)
+        if keep:
+            rows = batch.take(pa.array(keep))
+            own = {"part": pa.array(np.full(len(keep), part, np.int32)), "nth": pa.array(nth + np.array(keep)), "taken": pa.array(done)}
+            yield pa.record_batch([rows.column(c) if c in rows.schema.names else own[c] for c in (*_PAIR, "taken")], names=[*_PAIR, "taken"])
+        nth += batch.num_rows
 
 
 def greedy_matches(feed: DataFrame, ledger: DataFrame, excluded: DataFrame | None = None, days: int = WINDOW_DAYS) -> DataFrame:
     """One-to-one assignment in feed order: a ledger row taken by one feed row is gone for the later ones.
 
-    Rows only compete inside one (account, amount), and there only along an unbroken run of stretches of days: each such
-    island is settled alone, as its sorted candidates stream by."""
+    Rows only compete inside one (account, amount), and there only along an unbroken run of stretches of days, an
+    island. Candidates are dealt by range of island and feed row, so a bucket holds about as many as any other, however
+    large an island is. A bucket serves its islands one after another, but for the one it begins with, which may have
+    begun in an earlier bucket; of these, every round serves the next bucket of each island, without the ledger rows
+    that its earlier buckets took. There are as many rounds as the longest island spans buckets, most often one or none."""
+    spark = feed.sparkSession
     pairs = window_candidates(feed, ledger, excluded, days).select("account", "amount_cents", "feed_ord", "ledger_id", "other_payee", "distance", "l_ord", "stretch")
     # a pair's feed row may reach one stretch further than its ledger row, so only a gap of three parts two islands
     held = pairs.select("account", "amount_cents", "stretch").distinct()
     along = Window.partitionBy("account", "amount_cents").orderBy("stretch")
     parted = (F.col("stretch") - F.lag("stretch").over(along) > 2).cast("long")
     islands = held.withColumn("island", F.coalesce(F.sum(parted).over(along), F.lit(0)))
-    by = ["account", "amount_cents", "island"]
-    dealt = pairs.join(islands, ["account", "amount_cents", "stretch"]).repartition(*by).sortWithinPartitions(*by, "feed_ord", "other_payee", "distance", "l_ord", "ledger_id")
-    return dealt.select(*by, "feed_ord", "ledger_id").mapInArrow(_take, "feed_ord bigint, ledger_id string")
+    by = ("account", "amount_cents", "island")
+    placed = pairs.join(islands, ["account", "amount_cents", "stretch"])
+    dealt = placed.repartitionByRange(*by, "feed_ord").sortWithinPartitions(*by, "feed_ord", "other_payee", "distance", "l_ord", "ledger_id").select(*by, "feed_ord", "ledger_id")
+    types = dict(dealt.dtypes) | {"part": "int", "nth": "bigint"}
+    kind = ", ".join(f"{c} {types[c]}" for c in _PAIR) + ", taken boolean"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    served = written(dealt.mapInArrow(lambda x: _serve(x, True, by), kind), "served")
+    out, waiting = served.where("taken"), served.where("NOT taken")
+    # one island a bucket waits: no more rows than there are buckets
+    spans = waiting.select(*by, "part").distinct().withColumn("round", F.row_number().over(Window.partitionBy(*by).orderBy("part")))
+    rounds = spans.agg(F.max("round")).first()[0]
+    if rounds is None:
+        return out.select("feed_ord", "ledger_id")
+    waiting = waiting.join(F.broadcast(spans), [*by, "part"])
+    gone = out.join(F.broadcast(spans.select(*by).distinct()), list(by), "left_semi").select(*by, "ledger_id")
+    for k in range(1, rounds + 1):
+        free = waiting.where(F.col("round") == k).join(gone, [*by, "ledger_id"], "left_anti").select(*_PAIR)
+        now = written(free.repartition(*by).sortWithinPartitions(*by, "nth").mapInArrow(lambda x: _serve(x, False, by), kind), "served")
+        gone = gone.unionByName(now.select(*by, "ledger_id"))
+        out = out.unionByName(now)
+    return out.select("feed_ord", "ledger_id")
 
 
 def patch(feed: DataFrame, ledger: DataFrame, matches: DataFrame, payee_ids: DataFrame) -> DataFrame:

@@ -158,7 +158,22 @@ def interval_match(spark, sf_dir):
     return rc.window_matches(_coarse(spark, sf_dir, 1), _coarse(spark, sf_dir, 0))
 
 
-@query("greedy_assignment")
+@query(
+    "greedy_assignment",
+    COARSE_SQL.replace("WITH c AS", "WITH RECURSIVE c AS")
+    + """, wants AS (
+  SELECT f.account, f.cents, p.feed_ord, list(p.ledger_id ORDER BY CASE WHEN p.same_payee THEN 0 ELSE 1 END, p.distance, p.l_ord) AS wanted FROM p JOIN c f ON f.k = p.feed_ord GROUP BY ALL
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY account, cents ORDER BY feed_ord) AS turn FROM wants
+), served AS (
+  SELECT DISTINCT account, cents, 0::BIGINT AS turn, 0::BIGINT AS feed_ord, ''::VARCHAR AS ledger_id, []::VARCHAR[] AS taken FROM turns
+  UNION ALL
+  SELECT account, cents, turn, feed_ord, free[1], CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END
+  FROM (SELECT t.account, t.cents, t.turn, t.feed_ord, s.taken, list_filter(t.wanted, lambda x: NOT list_contains(s.taken, x)) AS free FROM served s JOIN turns t ON t.account = s.account AND t.cents = s.cents AND t.turn = s.turn + 1)
+)
+SELECT feed_ord, ledger_id FROM served WHERE turn > 0 AND ledger_id IS NOT NULL
+""",
+)
 def greedy_assignment(spark, sf_dir):
     return rc.greedy_matches(_coarse(spark, sf_dir, 1), _coarse(spark, sf_dir, 0))
 

@@ -117,7 +117,7 @@ def rule_list_ops(spark, sf_dir):
 PATTERNS = {
     "begins": ("^TH", "^th"), "ends": (r"[A-Z]+ing\.$", r"[a-z]+ing\.$"), "words": (r"the\sof|on\s+the", r"the\s+of|on\s+the".replace(r"\s+of", r"\sof")), "listed": (["ab", "qz"], "[ab qz]"),
     "braces": ("e{x}|{,3}|}", r"e\{x\}|\{,3\}|\}"), "posix": ("[[:digit:]]{2,}[^[:Alnum:]]", "[0-9]{2}[^0-9a-z]"), "inline": ("of (?i)THE", "of the"), "named": ("(?<w>on|of) (?:the)", "(on|of) the"),
-    "greek": (r"\p{LATIN}\.\n", r"[a-zà-öø-ÿ]\.\n"), "lone": ("a{1|the{", r"a\{1|the\{"), "nothing": ("", ""), "octal": (r"\056\x20t", r"\. t"), "edge": (r"\bth\b", r"\bth\b"), "lines": ("(?m)^the .*on$", r"(^|\n)the [^\n]*on(\n|$)"),
+    "greek": (r"\p{LATIN}\.\n", r"\p{Latin}\.\n"), "lone": ("a{1|the{", r"a\{1|the\{"), "nothing": ("", ""), "octal": (r"\056\x20t", r"\. t"), "edge": (r"\bth\b", r"\bth\b"), "lines": ("(?m)^the .*on$", r"(^|\n)the [^\n]*on(\n|$)"),
     "broken": ("[invalid", None), "ahead": ("a(?=b)", None), "possessive": ("b++", None), "atomic": ("(?>th)", None), "too_many": ("e{1,1001}", None), "named_p": ("(?P<n>e)", None), "comment": ("(?#c)e", None), "back": (r"(e)\1", None), "twice": ("e**", None), "not_white": (r"\Q.\E", None),
 }
 

@@ -176,6 +176,27 @@ def test_greedy_equals_first_come_first_served(spark, seed):
     assert got == greedy_model(feed, ledger)
 
 
+@pytest.mark.parametrize(("seed", "buckets", "batch"), [(1, 9, 3), (2, 40, 7), (3, 3, 10_000)])
+def test_an_island_over_many_buckets_is_served_in_rounds(spark, seed, buckets, batch):
+    """One island, or a few, whose candidates fill many buckets: no task reads an island, and all is as before."""
+    r = random.Random(seed)
+    day = lambda: dt.date(2024, 1, 1) + dt.timedelta(days=r.randrange(60))
+    accounts = [1, 1, 1, 1, 2] if seed < 3 else [1, 2, 3]
+    feed = [(k, r.choice(accounts), day(), 500, r.choice(["x", "y", ""])) for k in range(1, 181)]
+    ledger = [(f"L{k}", k, r.choice(accounts), day(), 500, r.choice(["x", "Y", "z"])) for k in range(1, 141)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(keep, (str(buckets), "false", str(batch)), strict=True):
+            spark.conf.set(k, v)
+        f = spark.createDataFrame(feed, "feed_ord long, account long, date date, amount_cents long, payee string")
+        got = {x["feed_ord"]: x["ledger_id"] for x in rc.greedy_matches(f, _ledger(spark, ledger)).collect()}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    want = greedy_model(feed, ledger)
+    assert got == want and len(want) > 60
+
+
 def test_reconcile_by_window_is_one_to_one(spark):
     day = dt.date(2024, 2, 27)
     rows = [(1, 1, "BOOK", day, 500, "Kiosk", "", "known", True), (2, 1, "BOOK", day, 500, "Kiosk", "", "", True), (3, 1, "BOOK", day, 500, "Kiosk", "", "", True), (4, 1, "BOOK", day, 500, "Kiosk", "", "", True)]
