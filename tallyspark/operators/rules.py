@@ -31,22 +31,23 @@ class Rule:
 
 
 def load_rules(rows: list[dict]) -> list[Rule]:
-    """Rules from ledger rows (id, conditions_op, conditions, actions, tombstone); deleted rows and bad JSON are left out."""
+    """Rules from ledger rows (id, conditions_op, conditions, actions, tombstone); deleted rows are left out, and those
+    whose JSON is bad or is no list of objects with texts as field, op and type."""
     out = []
     for r in rows:
         if r.get("tombstone"):
             continue
         try:
             conditions, actions = json.loads(r["conditions"]), json.loads(r["actions"])
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             continue
-        if isinstance(conditions, list) and isinstance(actions, list):
-            out.append(Rule(r["id"], r.get("conditions_op") or "and", tuple(map(_frozen, conditions)), tuple(map(_frozen, actions))))
+        if all(isinstance(x, list) and all(map(_is_part, x)) for x in (conditions, actions)):
+            out.append(Rule(r["id"], r.get("conditions_op") or "and", *(tuple(p or {} for p in x) for x in (conditions, actions))))
     return out
 
 
-def _frozen(x: Any):
-    return x if isinstance(x, dict) else {}
+def _is_part(x: Any) -> bool:
+    return x is None or isinstance(x, dict) and all(x.get(k) is None or isinstance(x[k], str) for k in ("field", "op", "type"))
 
 
 def load_rules_df(rules: DataFrame) -> DataFrame:
@@ -130,21 +131,32 @@ def list_match(field: Column, op: str, values: list) -> Column:
     return member if op == "oneOf" else ~member
 
 
-def number_match(cents: Column, op: str, value: Any) -> Column:
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def interval(op: str, value: Any) -> tuple[int, int] | None:
+    """The least and the greatest amount that an amount condition holds for; None if it never holds."""
     if op == "isbetween":
         if not isinstance(value, dict):
-            return F.lit(False)
-        low, high = sorted(round_half_away(number_of(value.get(k))) for k in ("num1", "num2"))
-        return cents.between(low, high)
+            return None
+        return tuple(sorted(round_half_away(number_of(value.get(k))) for k in ("num1", "num2")))
     t = round_half_away(number_of(value))
-    if op == "isapprox":
-        return F.abs(cents - t) <= round_half_away(abs(t) * 0.075)
-    compare = {"is": cents == t, "gt": cents > t, "gte": cents >= t, "lt": cents < t, "lte": cents <= t}
-    return compare.get(op, F.lit(False))
+    near = round_half_away(abs(t) * 0.075)
+    low, high = {"is": (t, t), "gt": (t + 1, MOST), "gte": (t, MOST), "lt": (LEAST, t - 1), "lte": (LEAST, t), "isapprox": (max(LEAST, t - near), min(MOST, t + near))}.get(op, (1, 0))
+    return (low, high) if low <= high else None
+
+
+def number_match(cents: Column, op: str, value: Any) -> Column:
+    found = interval(op, value)
+    return cents.between(*found) if found else F.lit(False)
 
 
 def round_half_away(x: float) -> int:
-    return int(abs(x) + 0.5) * (1 if x >= 0 else -1)
+    """Within 64 bits; what is no number counts as 0."""
+    if x != x:
+        return 0
+    size = int(abs(x) + 0.5) if abs(x) < 2.0**63 else MOST
+    return size if x >= 0 else -size
 
 
 def bool_match(field: Column, op: str, value: Any) -> Column:
