@@ -26,7 +26,7 @@ def _dates_as_text(df: DataFrame, dates: tuple[str, ...]) -> DataFrame:
 
 
 def _load() -> None:
-    from . import cycle_queries, function_queries, report_queries, rule_queries, store_queries, stream_queries  # noqa: F401
+    from . import cycle_queries, function_queries, report_queries, rule_queries, rule_table_queries, store_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
