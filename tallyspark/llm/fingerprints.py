@@ -6,7 +6,8 @@ canonical bytes are compared. Should a bucket hold different texts, each of them
 fingerprints always mean equal canonical texts.
 
 Defined results: null and empty texts have the fingerprint of the empty text; repeated rows have equal fingerprints;
-extra columns are not read; an empty table gives no rows.
+rows of one id follow each other by a hash of the row, and rows without an id come first, by a hash as well; extra
+columns are not read; an empty table gives no rows.
 """
 
 from collections.abc import Callable
@@ -72,13 +73,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return told.select(F.col("id").alias(id_col), F.concat_ws("-", _hex(F.col("hash")), F.col("ordinal")).alias("fingerprint"))
 
 
+def _mark(*columns: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.struct(F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit("tallyspark"), *columns).alias("h2"))
+
+
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """``docs`` with struct ``next``: ``columns`` of the row with the next id (after the last, the first).
+    """``docs`` with ``mark``, a hash of id and text, and struct ``next``: ``columns`` and mark of the row that follows by
+    id and mark (after the last, the first).
 
     Ids are cut at quantiles of a sample (IDS_A_BLOCK ids a range) into at most MOST_BLOCKS ranges, of about ROWS_A_BLOCK
-    rows while that suffices, wherever the ids lie. A window works inside a range; the first row of each range is looked up, by its id alone, for the last
-    row of the range before it.
+    rows while that suffices, wherever the ids lie; rows without an id are cut into as many ranges by their marks. A
+    window works inside a range; the first row of each range is looked up, by its id and mark, for the last row of the
+    range before it.
     """
+    docs = docs.withColumn("mark", _mark(*[c for c in columns if c in (id_col, "text")]))
+    columns = [*columns, "mark"]
     n = docs.count()
     blocks = max(1, min(MOST_BLOCKS, n // ROWS_A_BLOCK))
     some = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").sample(min(1.0, IDS_A_BLOCK * blocks / max(1, n)), seed=7)
@@ -90,13 +100,14 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
         jumps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
         found = lambda lo, jump: F.coalesce((lo + jump <= len(cuts)) & (F.get(listed, lo + jump - 1) <= F.col(id_col)), F.lit(False))
         at = F.aggregate(F.lit(jumps), F.lit(0), lambda lo, jump: F.when(found(lo, jump), lo + jump).otherwise(lo))
-    block = F.when(F.col(id_col).isNull(), -1).otherwise(at).cast("long")
+    block = F.when(F.col(id_col).isNull(), -1 - F.pmod("mark.h1", F.lit(blocks))).otherwise(at).cast("long")
     row = F.struct(*columns)
-    inside = docs.withColumn("block", block).withColumn("next", F.lead(row).over(Window.partitionBy("block").orderBy(id_col, *columns)))
+    inside = docs.withColumn("block", block).withColumn("next", F.lead(row).over(Window.partitionBy("block").orderBy(id_col, "mark")))
     over_all = Window.partitionBy(F.lit(0)).orderBy("of")
-    ring = docs.select(block.alias("of"), id_col).groupBy("of").agg(F.min(id_col).alias("first"))  # at most MOST_BLOCKS + 2 rows
+    ring = docs.select(block.alias("of"), F.struct(id_col, "mark").alias("first")).groupBy("of").agg(F.min("first").alias("first"))  # at most 2 * MOST_BLOCKS rows
     ring = ring.select("of", F.when(F.lead("of").over(over_all).isNull(), F.first("first").over(over_all)).otherwise(F.lead("first").over(over_all)).alias("follows"))
-    after = docs.join(F.broadcast(ring), F.col(id_col).eqNullSafe(F.col("follows"))).groupBy("of").agg(F.min(row).alias("after"))
+    first = F.col(id_col).eqNullSafe(F.col(f"follows.{id_col}")) & (F.col("mark") == F.col("follows.mark"))
+    after = docs.join(F.broadcast(ring), first).groupBy("of").agg(F.min(row).alias("after"))
     out = inside.join(after, (F.col("block") == F.col("of")) & F.col("next").isNull(), "left")
     return out.withColumn("next", F.coalesce("next", "after")).drop("after", "of", "block")
 
@@ -116,7 +127,7 @@ def edited_fingerprints(docs: DataFrame, hash_of: Callable[[Column], Column] = w
     pairs = pairs.withColumn("new", edited(F.col("text"), F.col("next.text")))
     hashed = pairs.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("new", "UTF-8"), 256).alias("edited_sha256"),
-        "own", digest(F.col("new")).alias("edit"), F.col("next.own").alias("near"), F.col("next.doc_id").alias("next_id"),
+        "own", digest(F.col("new")).alias("edit"), F.col("next.own").alias("near"), "mark", F.col("next.doc_id").alias("next_id"), F.col("next.mark").alias("next_mark"),
     )
     with Scope(docs.sparkSession) as scope:
         hashed = scope.keep(materialize(hashed, "digests"))
@@ -126,12 +137,13 @@ def edited_fingerprints(docs: DataFrame, hash_of: Callable[[Column], Column] = w
         own_ids = materialize(hashed.select("doc_id", F.col("own").alias("hash")).join(again, "hash", "left_semi").select(F.col("doc_id").alias("want")).distinct(), "own-again")
         texts = docs.join(_small(own_ids, own_ids.count()), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
         own = texts.select(canonical(F.col("text")).alias("canon")).withColumn("hash", hash_of(F.col("canon"))).join(again, "hash", "left_semi")
-        twice = materialize(hashed.select("doc_id", "next_id", F.col("edit").alias("hash")).join(again, "hash", "left_semi"), "edited-again")
-        ends = twice.select("doc_id").union(twice.select("next_id")).distinct()
-        texts = docs.join(_small(ends.withColumnRenamed("doc_id", "want"), 2 * twice.count()), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
-        one, two = texts.select(F.col("doc_id").alias("d1"), F.col("text").alias("t1")), texts.select(F.col("doc_id").alias("d2"), F.col("text").alias("t2"))
+        twice = materialize(hashed.select("doc_id", "mark", "next_id", "next_mark", F.col("edit").alias("hash")).join(again, "hash", "left_semi").distinct(), "edited-again")
+        ends = twice.select("doc_id", "mark").union(twice.select("next_id", "next_mark")).distinct().select(F.col("doc_id").alias("want"), F.col("mark").alias("want_mark"))
+        texts = docs.withColumn("mark", _mark("doc_id", "text")).join(_small(ends, 2 * twice.count()), F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("mark") == F.col("want_mark")), "left_semi")
+        texts = texts.select("doc_id", "mark", "text").distinct()  # rows that are equal are one from here on
+        one, two = texts.select(F.col("doc_id").alias("d1"), F.col("mark").alias("m1"), F.col("text").alias("t1")), texts.select(F.col("doc_id").alias("d2"), F.col("mark").alias("m2"), F.col("text").alias("t2"))
         new = (
-            twice.join(one, F.col("doc_id").eqNullSafe(F.col("d1"))).join(two, F.col("next_id").eqNullSafe(F.col("d2")))
+            twice.join(one, F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("mark") == F.col("m1"))).join(two, F.col("next_id").eqNullSafe(F.col("d2")) & (F.col("next_mark") == F.col("m2")))
             .select("hash", canonical(edited(F.col("t1"), F.col("t2"))).alias("canon"))
             .where(hash_of(F.col("canon")) == F.col("hash"))
         )
