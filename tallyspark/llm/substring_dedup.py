@@ -123,7 +123,7 @@ def repeated_runs(docs: DataFrame, least: int = RUN_WORDS, id_col: str = "doc_id
     known = F.coalesce(F.col("hot_first"), F.lit("99999999999999999999999999999999999999").cast("decimal(38,0)")) < F.col("place")
     common_gone = told.where(F.col("again") | known)
     rare_gone = told.where("hot_first IS NULL AND NOT again").join(first.where(~hot).drop("n"), ["high", "low"]).where("place > first")
-    gone = common_gone.select("place", "k", "words").union(rare_gone.select("place", "k", "words"))
+    gone = common_gone.select("place", "k", "words").union(rare_gone.select("place", "k", "words")).distinct()  # rows of one id and text share a place
     listed = gone.groupBy("place").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("k", "words"))).alias("units"))
     return listed.where(F.col("words") >= least).select("place", _runs(least)("units").alias("runs"))
 

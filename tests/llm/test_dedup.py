@@ -283,6 +283,34 @@ def test_edited_texts_with_odd_ids(spark):
     assert fingerprints.edited_fingerprints(docs(spark, rows)).count() == 5
 
 
+def test_rows_without_an_id_follow_each_other_once(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_A_BLOCK", 4)
+    rows = [*[(None, f"text {k % 9}") for k in range(60)], *[(5, f"more {k % 3}") for k in range(20)], *[(k, "end") for k in range(10, 20)]]
+    df = fingerprints.with_next(docs(spark, rows).select("doc_id", "text"), "doc_id", ["doc_id", "text"])
+    ends = [(x["doc_id"], x["text"], x["next"]["doc_id"], x["next"]["text"]) for x in df.collect()]
+    assert Counter((a, b) for a, b, _, _ in ends) == Counter((c, d) for _, _, c, d in ends) == Counter(rows)
+    assert sum(a is None and c is not None for a, _, c, _ in ends) == 1 and sum(a == 5 and c != 5 for a, _, c, _ in ends) == 1
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_many_copies_without_an_id_cost_no_more_than_rows_with_one(spark, weak):
+    """The edited texts of copies are compared once, not with each other."""
+    few = {"hash_of": lambda c: F.struct((F.length(c) % 4).cast("long").alias("h1"), F.lit(1).cast("long").alias("h2"))} if weak else {}
+    rows = spark.range(8000).select(F.when(F.col("id") % 8 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 8 == 0, F.concat(F.lit("row "), "id")).otherwise("the same text again").alias("text"))
+    got = fingerprints.edited_fingerprints(rows, **few)
+    same = got.where("doc_id IS NULL").groupBy("fingerprint").count().collect()
+    assert got.count() == 8000 and [x["count"] for x in same] == [7000]
+
+
+def test_copies_of_an_id_are_cut_as_one(spark):
+    """Rows of one id and text have one place: their units are gathered once, however many they are."""
+    passage = " ".join(f"word{k}" for k in range(60)) + "."
+    rows = [(1, f"one two three four. {passage}"), *[(None, f"five six seven eight. {passage} end of it")] * 3000, (2, passage)]
+    got = substring_dedup.remove_repeats(docs(spark, rows)).groupBy("doc_id", "text").count().collect()
+    assert sorted((x["doc_id"] is None, x["count"]) for x in got) == [(False, 1), (False, 1), (True, 3000)]
+    assert sum("word59" in x["text"] for x in got) == 1
+
+
 def test_ids_from_end_to_end_are_cut_evenly(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_A_BLOCK", 4)
     rows = [(-(2**63), "first of all"), *[(k, f"text number {k}") for k in range(40)], (2**62, "an outlier"), (2**63 - 1, "last of all")]
