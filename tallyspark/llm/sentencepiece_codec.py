@@ -35,6 +35,8 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 SLICE_BYTES = 4 << 20
 MOST_CACHED_WORDS = 100_000
 MOST_CACHED_PAIRS = 100_000
+LONG_WORD = 4096  # from here on a word's blocks advance together
+WORD_BLOCK, WARM_UP, BLOCKS_AT_ONCE = 1024, 128, 1024
 TABLE_BITS, FEW = 20, (1 << 20) - 1
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -260,19 +262,28 @@ class Model:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for n, group in by_length.items():
+            if n > LONG_WORD and self.model_type == BPE:
+                out.update((w, self._long_word(w)) for w in group)
+                continue
             step = max(1, 400_000 // n)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 out.update(zip(part, self._viterbi(part, n), strict=True))
         return out
 
-    def _viterbi(self, words: list[str], n: int) -> list[bytes]:
-        m = len(words)
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.int64)  # a row per position
+    def _last_pieces(self, chars: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For words of one length, a column each, the last piece of the best path to each position and its length; a
+        piece of -1 - c is a character without a piece. ``known``: both for positions 1 to ``longest``, where the words
+        go on from others."""
+        n, m = chars.shape
         best = np.full((n + 1, m), -np.inf)
         best[0] = 0.0
-        piece = np.zeros((n + 1, m), np.int64)  # last piece of the best path to each position; -1 - c: a character without a piece
+        piece = np.zeros((n + 1, m), np.int64)
         length = np.zeros((n + 1, m), np.int64)
+        begin = 1
+        if known is not None:
+            begin += self.longest
+            best[0], best[1:begin], piece[1:begin], length[1:begin] = -np.inf, 0.0, *known
         rolling = np.zeros((min(self.longest, n), m), np.uint64)  # rolling[k]: hash of the k + 1 characters that end here
         single = self.model_type == BPE  # then a prefix has one last piece, and nothing else needs to be tried
         for end in range(1, n + 1):
@@ -280,6 +291,8 @@ class Model:
             with np.errstate(over="ignore"):
                 rolling[1:] = rolling[:-1] * np.uint64(0x9E3779B97F4A7C15) + c
             rolling[0] = c
+            if end < begin:
+                continue
             for size in range(1, min(self.longest, end, len(rolling)) + 1):
                 start, h = end - size, rolling[size - 1]
                 on = best[start] > -np.inf
@@ -308,6 +321,50 @@ class Model:
                 better = score > best[end, i]
                 i, ids = i[better], ids[better]
                 best[end, i], piece[end, i], length[end, i] = score[better], ids, size
+        return piece, length
+
+    def _long_word(self, word: str) -> bytes:
+        """The ids of a word of any length: its blocks advance together, each from a bit before its place. The last
+        piece at a position depends on those of the ``longest`` positions before it alone, so a block whose first such
+        positions are as the block before it has them is right; any other one advances again from there, once for
+        all blocks of equal characters and equal positions before them."""
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n, back = len(chars), self.longest
+        piece, length = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        at = np.arange(WORD_BLOCK, n, WORD_BLOCK)
+        whole = at[at + WORD_BLOCK <= n]
+        first = self._last_pieces(chars[:WORD_BLOCK, None])
+        piece[: WORD_BLOCK + 1], length[: WORD_BLOCK + 1] = first[0][:, 0], first[1][:, 0]
+        seen: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for k in range(0, len(at), BLOCKS_AT_ONCE):
+            some = at[k : k + BLOCKS_AT_ONCE]
+            full = some[some <= (whole[-1] if len(whole) else -1)]
+            told = self._last_pieces(chars[full[None, :] + np.arange(-WARM_UP, WORD_BLOCK)[:, None]]) if len(full) else None
+            for j, a in enumerate(some.tolist()):
+                stop = min(n, a + WORD_BLOCK)
+                before = slice(a - back + 1, a + 1)
+                if j < len(full) and np.array_equal(told[0][WARM_UP - back + 1 : WARM_UP + 1, j], piece[before]) and np.array_equal(told[1][WARM_UP - back + 1 : WARM_UP + 1, j], length[before]):
+                    now = told[0][WARM_UP + 1 :, j], told[1][WARM_UP + 1 :, j]
+                else:
+                    key = chars[a - back : stop].tobytes() + piece[before].tobytes() + length[before].tobytes()
+                    if key not in seen:
+                        if len(seen) >= BLOCKS_AT_ONCE:
+                            seen.clear()
+                        again = self._last_pieces(chars[a - back : stop, None], (piece[before, None], length[before, None]))
+                        seen[key] = again[0][back + 1 :, 0], again[1][back + 1 :, 0]
+                    now = seen[key]
+                piece[a + 1 : stop + 1], length[a + 1 : stop + 1] = now
+        path, where, sizes, ids = [], n, length.tolist(), piece.tolist()
+        while where > 0:
+            path.append(ids[where])
+            where -= sizes[where]
+        path.reverse()
+        return array("i", self._with_bytes(path)).tobytes()
+
+    def _viterbi(self, words: list[str], n: int) -> list[bytes]:
+        m = len(words)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.int64)  # a row per position
+        piece, length = self._last_pieces(chars)
         where, pending, rows, ids = np.full(m, n), np.arange(m), [], []
         while len(pending):  # from the last piece of each word to its first
             now = where[pending]
@@ -332,7 +389,9 @@ class Model:
         return out
 
     def _blanks(self, n: int) -> list[str]:
-        return self.merged(SPACE * n)
+        if n <= 64:
+            return self.merged(SPACE * n)
+        return [self.pieces[i] for i in np.frombuffer(self.encode_words([SPACE * n])[SPACE * n], np.int32)]
 
     def encode_unit(self, unit: str, core: bytes) -> bytes:
         """A word with several leading blanks from the ids of its one-blank form (empty: no word follows). Blanks only

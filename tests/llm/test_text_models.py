@@ -96,6 +96,32 @@ def test_ids_equal_the_library():
         assert sentencepiece_codec.decode_ids(model, got) == library.decode(want)
 
 
+@pytest.mark.parametrize(("long", "block", "warm"), [(4096, 1024, 128), (40, 20, 17), (30, 64, 16)])
+def test_long_words_equal_the_library(monkeypatch, long, block, warm):
+    """Also blocks that do not meet the path of those before them, as in runs of one character."""
+    import sentencepiece
+
+    for name, value in (("LONG_WORD", long), ("WORD_BLOCK", max(block, 16)), ("WARM_UP", warm), ("BLOCKS_AT_ONCE", 7 if long < 4096 else 1024)):
+        monkeypatch.setattr(sentencepiece_codec, name, value)
+    model, library = sentencepiece_codec.Model(open(sentencepiece_codec.MODEL, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    r, n = random.Random(long), 60_000 if long == 4096 else 700
+    some = lambda letters: "".join(r.choices(letters, k=n + r.randrange(50)))
+    cases = [some("abcdefghij"), "a" * n, "xy" * n, some(["the", "of", "ing", "tion"]), some("日本語中文"), some("0123456789"), some("éß日a\x01🙂"), "-" * n, f"a{' ' * n}b", f"in {'=' * n}{some('ab')} out", "q" * long, "q" * (long + 1)]
+    for t, got in zip(cases, sentencepiece_codec.encode_batch(model, cases), strict=True):
+        assert list(got) == library.encode(t), (len(t), t[:20])
+
+
+def test_a_million_characters_without_a_blank():
+    import time
+
+    model = sentencepiece_codec.load(sentencepiece_codec.MODEL)
+    r = random.Random(8)
+    text = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    began = time.process_time()
+    ids = sentencepiece_codec.encode_batch(model, [text])[0]
+    assert time.process_time() - began < 60 and sentencepiece_codec.decode_ids(model, ids) == text
+
+
 def test_unigram_paths_have_the_greatest_score():
     model = sentencepiece_codec.Model(open(sentencepiece_codec.MODEL, "rb").read())
     model.model_type = sentencepiece_codec.UNIGRAM
