@@ -110,11 +110,8 @@ def odd_sketch(shingles: np.ndarray) -> bytes:
 
 
 def most_odd(differing: np.ndarray) -> np.ndarray:
-    """Odd sketches of sets that differ in so many shingles differ in so many bits at most: never in more than that, and
-    (for large sets) not in more than six standard deviations over the mean."""
-    m = 8.0 * ODD_BYTES
-    mean, spread = m / 2 * (1 - np.exp(-2 * differing / m)), np.sqrt(m / 4 * (1 - np.exp(-4 * differing / m)))
-    return np.minimum(differing, mean + 6 * spread + 1)
+    """Odd sketches of sets that differ in so many shingles differ in so many bits at most, whatever the shingles are."""
+    return np.minimum(differing, 8.0 * ODD_BYTES)
 
 
 def _slices(batch: pa.RecordBatch, column: str):
