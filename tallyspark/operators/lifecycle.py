@@ -5,7 +5,7 @@ of one key follow each other in feed order, as each depends on what the rows bef
 sorted inside partitions, and every key is walked once in constant memory. Everything else is set-based.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -23,22 +23,42 @@ def with_keys(feed: DataFrame) -> DataFrame:
 def _with_state(feed: DataFrame, refs: DataFrame, pending: DataFrame, ledger: DataFrame, payee_ids: DataFrame) -> DataFrame:
     """Feed rows with what was known before the batch: their reference, their pending row and its account, the ledger
     row of their account with their reference (newest date, then first), and their payee's id."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    x = with_keys(feed.withColumn("entry_ref", text("entry_ref"))).withColumn("title", fn.title_case(text("payee")))
+    x = with_keys(feed.withColumn("entry_ref", _text("entry_ref"))).withColumn("title", fn.title_case(_text("payee")))
     known = refs.where("ref <> ''").select(F.col("ref").alias("entry_ref"), F.lit(True).alias("ref_known")).distinct()
-    waiting = pending.groupBy(F.col("key").alias("pending_key")).agg(F.max("txn_id").alias("pending_value"))
-    waiting = waiting.withColumn("pending_id", fn.split_pending("pending_value")["txn_id"]).drop("pending_value")
-    row = F.struct("id", "account", "amount_cents", text("notes").alias("notes"), text("payee_id").alias("payee_id"), text("payee_name").alias("payee_name"), "cleared", text("imported_payee").alias("imported_payee"))
-    waiting = waiting.join(ledger.select(F.col("id").alias("pending_id"), row.alias("pending_row")), "pending_id", "left")
-    named = ledger.where("coalesce(financial_id, '') <> ''").groupBy("account", F.col("financial_id").alias("entry_ref")).agg(F.max_by(row, F.struct("date", -F.col("ord"))).alias("own"))
+    x = x.join(known, "entry_ref", "left").join(_waiting(pending, ledger), "pending_key", "left").join(_named(ledger), ["account", "entry_ref"], "left")
+    return _with_ids(x, payee_ids).select(*_OWN, F.coalesce("ref_known", F.lit(False)).alias("ref_known"), "pending_id", "pending_row", "own")
+
+
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+def _row() -> Column:
+    """A ledger row as its key keeps it."""
+    return F.struct("id", "account", "amount_cents", *[_text(c).alias(c) for c in ("notes", "payee_id", "payee_name")], "cleared", _text("imported_payee").alias("imported_payee"))
+
+
+def _waiting(pending: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(pending_key, pending_id, pending_row) of each waiting row; the row is null if the ledger has it no more."""
+    held = pending.groupBy(F.col("key").alias("pending_key")).agg(F.max("txn_id").alias("pending_value"))
+    held = held.withColumn("pending_id", fn.split_pending("pending_value")["txn_id"]).drop("pending_value")
+    return held.join(ledger.select(F.col("id").alias("pending_id"), _row().alias("pending_row")), "pending_id", "left")
+
+
+def _named(ledger: DataFrame) -> DataFrame:
+    """(account, entry_ref, own): the account's ledger row with the reference, newest date, then first."""
+    return ledger.where("coalesce(financial_id, '') <> ''").groupBy("account", F.col("financial_id").alias("entry_ref")).agg(F.max_by(_row(), F.struct("date", -F.col("ord"))).alias("own"))
+
+
+_OWN = ("pending_key", "feed_ord", "account", "status", "date", "amount_cents", "entry_ref", "payee", "notes", "title", "payee_id", "new_id")
+
+
+def _with_ids(x: DataFrame, payee_ids: DataFrame) -> DataFrame:
+    """Keyed rows with the id of their payee and the id they get if they become ledger rows."""
     payees = payee_ids.groupBy(F.col("name").alias("title")).agg(F.min("id").alias("payee_id"))
-    x = x.join(known, "entry_ref", "left").join(waiting, "pending_key", "left").join(named, ["account", "entry_ref"], "left").join(payees, "title", "left")
     new_id = stable_id(F.lit("txn"), F.col("account").cast("string"), F.col("entry_ref"), F.col("date").cast("string"), F.col("amount_cents").cast("string"), F.col("feed_ord").cast("string"))
-    return x.select(
-        "pending_key", "feed_ord", "account", "status", "date", "amount_cents", "entry_ref", text("payee").alias("payee"), text("notes").alias("notes"), "title",
-        F.coalesce("payee_id", F.when(F.col("title") != "", stable_id(F.lit("payee"), F.col("title"))), F.lit("")).alias("payee_id"), new_id.alias("new_id"),
-        F.coalesce("ref_known", F.lit(False)).alias("ref_known"), "pending_id", "pending_row", "own",
-    )
+    payee_id = F.coalesce("payee_id", F.when(F.col("title") != "", stable_id(F.lit("payee"), F.col("title"))), F.lit(""))
+    return x.join(payees, "title", "left").withColumns({"payee": _text("payee"), "notes": _text("notes"), "payee_id": payee_id, "new_id": new_id})
 
 
 _SETTLED_DDL = (
@@ -51,13 +71,13 @@ _SETTLED = pa.schema(
 )
 
 
-class _Key:
-    """What is known of one pending key while its rows go by."""
+class Key:
+    """What is known of one pending key while its rows go by: whether its reference was booked, the row that waits, and
+    by account the ledger row with its reference as it is by now."""
 
-    def __init__(self, r: SimpleNamespace):
-        self.name, self.booked = r.pending_key, r.ref_known
-        self.waits = r.pending_row or {"id": r.pending_id, "account": None} if r.pending_id is not None else None
-        self.rows: dict[int, dict] = {}  # the ledger row with the key's reference, by account, as it is by now
+    def __init__(self, name: str, booked: bool, waits: dict | None, rows: MutableMapping | None = None):
+        self.name, self.booked, self.waits = name, booked, waits
+        self.rows = {} if rows is None else rows
 
     def step(self, r: SimpleNamespace) -> dict:
         self.booked |= r.ref_known
@@ -117,7 +137,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.to_pylist():
             r = SimpleNamespace(**x)
             if key is None or key.name != r.pending_key:
-                key = _Key(r)
+                key = Key(r.pending_key, r.ref_known, r.pending_row or {"id": r.pending_id, "account": None} if r.pending_id is not None else None)
             out.append({"changed": False, **{k: x[k] for k in same}, **key.step(r)})
         yield pa.RecordBatch.from_pylist(out, _SETTLED)
 
@@ -129,6 +149,11 @@ def settle(feed: DataFrame, refs: DataFrame, pending: DataFrame, ledger: DataFra
     refs: ref; pending: key, txn_id ("id" or "id|day"); payee_ids: name, id. feed_ord is the order of the whole cycle."""
     known = _with_state(feed, refs, pending, ledger, payee_ids)
     x = known.repartition("pending_key").sortWithinPartitions("pending_key", "feed_ord").mapInArrow(_walk, _SETTLED_DDL)
+    return with_counters(x)
+
+
+def with_counters(x: DataFrame) -> DataFrame:
+    """Settled rows with what each of them counts as."""
     b, touched = F.col("branch"), F.col("changed")
     added = b.isin("pending_new", "pending_gone", "booked") & touched
     skipped = b.isin("pending_known", "ref_known") | (b.isin("pending_new", "booked") & ~touched)

@@ -229,7 +229,10 @@ def _settled(spark, sf_dir):
     return lc.settle(td.feed(spark, sf_dir), _refs(spark, sf_dir), _pending(spark, sf_dir), td.ledger(spark, sf_dir), _payees(spark, sf_dir))
 
 
-@query("lifecycle_counts", f"{_WITH}{SETTLED_SQL} SELECT coalesce(account, -1) AS account, sum(added::INT)::BIGINT AS added, sum(confirmed::INT)::BIGINT AS confirmed, sum(skipped::INT)::BIGINT AS skipped FROM t GROUP BY ROLLUP (account)")
+LIFECYCLE_SQL = f"{_WITH}{SETTLED_SQL} SELECT coalesce(account, -1) AS account, sum(added::INT)::BIGINT AS added, sum(confirmed::INT)::BIGINT AS confirmed, sum(skipped::INT)::BIGINT AS skipped FROM t GROUP BY ROLLUP (account)"
+
+
+@query("lifecycle_counts", LIFECYCLE_SQL)
 def lifecycle_counts(spark, sf_dir):
     return lc.counters(_settled(spark, sf_dir)).withColumn("account", F.coalesce("account", F.lit(-1)))
 

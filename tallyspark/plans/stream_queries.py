@@ -4,10 +4,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import changelog as cl
+from ..operators import lifecycle as lc
 from ..session import scratch
 from ..sources import testdata as td
 from ..sources import wire
 from ..streaming import pipelines as sp
+from ..streaming import settling as st
 from . import cycle_queries
 from .registry import query
 
@@ -50,6 +52,16 @@ def stream_pending(spark, sf_dir):
     return out.select("feed_ord", "branch")
 
 
+@query("stream_settle", cycle_queries.LIFECYCLE_SQL)
+def stream_settle(spark, sf_dir):
+    """The counters of ``lifecycle_counts``, from a stream on top of the tables before it."""
+    folder = _folder(spark)
+    before = st.initial_state(cycle_queries._refs(spark, sf_dir), cycle_queries._pending(spark, sf_dir), td.ledger(spark, sf_dir))
+    feed = td.feed(spark, sf_dir).withColumn("ord_", F.col("feed_ord").cast("double"))
+    settled = sp.run_available(st.settle_stream(_streamed(spark, feed, folder), cycle_queries._payees(spark, sf_dir), before), folder, st.STATE_CONF)
+    return lc.counters(settled).withColumn("account", F.coalesce("account", F.lit(-1)))
+
+
 @query("stream_merge", f'WITH m AS ({td.MESSAGES_SQL}), l AS (SELECT *, row_number() OVER (PARTITION BY dataset, "row", "column" ORDER BY ord DESC) AS k FROM m) SELECT dataset, "row", "column", value, ord FROM l WHERE k = 1')
 def stream_merge(spark, sf_dir):
     folder = _folder(spark)

@@ -164,9 +164,17 @@ def push_messages(messages: DataFrame, path: str, checkpoint: str, file: str, gr
     return messages.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def run_available(stream: DataFrame, folder: str) -> DataFrame:
+def run_available(stream: DataFrame, folder: str, conf: dict[str, str] | None = None) -> DataFrame:
     """Drive what is there now to completion into a table under ``folder`` and read it back. Run again on the same folder
-    it goes on where it stopped; a new folder replays everything."""
-    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    it goes on where it stopped; a new folder replays everything. ``conf`` holds while the query starts."""
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
