@@ -58,3 +58,37 @@ def load_clock(clocks: DataFrame, epoch: str = "1970-01-01T00:00:00.000Z-0000-00
     """The stored clock's parts; a missing or malformed one is the epoch's."""
     said = clocks.select(F.get_json_object("clock", "$.timestamp").alias("t")).agg(F.first("t").alias("t"))
     return said.select(F.coalesce(fn.parse_clock("t"), fn.parse_clock(F.lit(epoch))).alias("c")).select("c.*")
+
+
+# Pulling since a clock
+
+EPOCH = "1970-01-01T00:00:00.000Z-0000-0000000000000000"
+
+
+def clock_order(text: Column | str) -> Column:
+    """What clocks are ordered by: time, then counter, then client; null for a malformed one."""
+    c = fn.parse_clock(text)
+    return F.when(c.isNotNull(), F.struct(c["ts"].alias("ts"), c["counter"].alias("counter"), c["client"].alias("client")))
+
+
+def newer(messages: DataFrame, since: str, stamp: str = "timestamp") -> DataFrame:
+    """Messages whose clock is behind ``since`` in the order of clocks; malformed clocks are behind none, and a malformed
+    ``since`` counts as the epoch."""
+    own, then = clock_order(stamp), F.coalesce(clock_order(F.lit(since)), clock_order(F.lit(EPOCH)))
+    return messages.where(own > then)
+
+
+def advanced(messages: DataFrame, since: str, stamp: str = "timestamp") -> str:
+    """The clock after ``messages`` were taken in: that of the last of them, or ``since`` if there is none."""
+    last = messages.agg(F.max_by(stamp, clock_order(stamp)).alias("t")).first()["t"]  # one row
+    return since if last is None else last
+
+
+def pull(log: DataFrame, cells: DataFrame, since: str) -> tuple[DataFrame, str]:
+    """Cells (dataset, row, column, value, timestamp) after the messages of ``log`` that are newer than ``since``, and
+    the clock to ask with the next time. Of a cell's values the one with the last clock stays, of equal clocks the greatest."""
+    new = newer(log, since)
+    both = cells.unionByName(new.where(~F.col("dataset").isin(*SKIPPED) & fn.is_safe_identifier("column")).select(cells.columns))
+    last = F.max_by(F.struct("value", "timestamp"), F.struct(clock_order("timestamp"), "value"))
+    merged = both.groupBy("dataset", "row", "column").agg(last.alias("l")).select("dataset", "row", "column", "l.value", "l.timestamp")
+    return merged, advanced(new, since)

@@ -1,13 +1,18 @@
 """Matching, reconciliation and the sync cycle over whole test tables."""
 
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as fn
+from ..operators import cycle as cy
 from ..operators import lifecycle as lc
 from ..operators import reconcile as rc
 from ..operators import rules as ru
 from ..operators import store as st
+from ..operators.commit import State
+from ..session import scratch
 from ..sources import feed as feed_source
 from ..sources import testdata as td
 from .registry import query
@@ -124,6 +129,40 @@ def cycle_refs(spark, sf_dir):
     return lc.next_refs(refs, x, F.lit("1996-01-01").cast("date"))
 
 
+@query(
+    "cycle_commit",
+    CYCLE_SQL.replace("c_custkey WHERE o_orderkey % 17 <> 0", "c_custkey WHERE o_orderkey % 17 <> 0 AND (o_custkey % 50) % 10 NOT IN (3, 5, 7, 9)")
+    + """, told AS (
+  SELECT count(*) FILTER (WHERE branch IN ('pending_new', 'pending_gone', 'booked')) AS added, count(*) FILTER (WHERE branch = 'confirmed') AS confirmed, count(*) FILTER (WHERE branch IN ('pending_known', 'ref_known')) AS skipped,
+         sum(band::INT + words::INT)::BIGINT AS rules_applied, sum(2 * band::INT + words::INT)::BIGINT AS outbox, count(*) FILTER (WHERE branch IN ('confirmed', 'pending_gone')) AS dropped, count(*) FILTER (WHERE branch = 'pending_new') AS put,
+         count(*) FILTER (WHERE branch IN ('pending_new', 'pending_gone', 'booked') AND NOT (named AND k % 4 = 0)) AS created FROM m
+), kept_refs AS (
+  SELECT ref FROM (SELECT CASE WHEN named THEN 'REF-' ELSE 'TX-' END || k AS ref, date FROM m WHERE touched UNION ALL
+    SELECT 'REF-' || o_orderkey, o_orderdate::DATE FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0 AND o_orderdate::DATE >= DATE '1995-12-11') GROUP BY ref HAVING max(date) >= DATE '1995-12-11'
+), start_ AS (
+  SELECT count(*) FILTER (WHERE o_orderkey % 7 = 0) AS waiting, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS held FROM orders JOIN customer ON o_custkey = c_custkey
+)
+SELECT 2 AS version, 'success' AS status, added, confirmed, skipped, rules_applied, outbox, outbox AS counter, (SELECT count(*) FROM kept_refs) AS refs, waiting - dropped + put AS pending, held + created AS ledger FROM told, start_
+""",
+)
+def cycle_commit(spark, sf_dir):
+    """Scans of landed pages, some of them broken, through the whole cycle into the second version of a state."""
+    folder = scratch(spark, "state")
+    rules = spark.createDataFrame([(r["id"], r["conditions_op"], r["conditions"], r["actions"], r["tombstone"]) for r in CYCLE_RULES], cy.TABLES["rules"])
+    start = {"refs": _refs(spark, sf_dir), "pending": _pending(spark, sf_dir), "ledger": td.ledger(spark, sf_dir).withColumn("category", F.lit("").cast("string")), "payees": _payees(spark, sf_dir).select("name", "id"), "rules": rules}
+    State(spark, folder).commit(start)
+    rows, scans = feed_source.scan_accounts(td.landed_pages(spark, sf_dir), ["own name"])
+    feed = rows.withColumn("feed_ord", (F.col("account") * 10_000_000 + F.col("page_no")) * 64 + F.col("position")).drop("position", "page_no")
+    state = State(spark, folder)
+    cy.run(state, feed, scans, dt.date(1996, 1, 1))
+    after = State(spark, folder)
+    n = lambda name: after.read(name).count()
+    log = after.read("log").select("status", "added", "confirmed", "skipped", "rules_applied")  # one row
+    clock = after.read("clock").select(fn.parse_clock("clock")["counter"].cast("long").alias("counter"))  # one row
+    sizes = {name: F.lit(n(name)).cast("long") for name in ("outbox", "refs", "pending", "ledger")}
+    return log.join(clock).withColumns({"version": F.lit(after.version)} | sizes)
+
+
 @query("ref_anti_join", f"{_WITH} SELECT feed_ord FROM feed WHERE NOT (status = 'BOOK' AND feed_ord % 5 = 0)")
 def ref_anti_join(spark, sf_dir):
     f = td.feed(spark, sf_dir)

@@ -70,6 +70,23 @@ def stream_merge(spark, sf_dir):
     return sp.read_cells(spark, f"{folder}/cells")
 
 
+_CLOCKS = "SELECT date_trunc('day', ts::TIMESTAMP) AS t, (event_id * 7919) % 4096 AS n, 'C' || (user_id % 5) AS client, event_id % 2 = 0 AS early FROM events"
+
+
+@query("pull_since", f"WITH c AS ({_CLOCKS}), last AS (SELECT max(ROW(t, n, client)) AS c FROM c WHERE early), late AS (SELECT c.* FROM c, last WHERE ROW(c.t, c.n, c.client) > last.c) SELECT (SELECT count(*) FROM c WHERE early) AS first_pull, (SELECT count(*) FROM late) AS second_pull, 0::BIGINT AS third_pull, coalesce((SELECT max(ROW(t, n, client)) FROM late), (SELECT c FROM last))[2]::BIGINT AS counter")
+def pull_since(spark, sf_dir):
+    """Three pulls, the second and third from a log that has grown in between: each brings only what is newer than the clock."""
+    m = td.table(spark, sf_dir, "events")
+    clock = cl.fn.format_clock(F.date_trunc("day", F.col("ts").cast("timestamp")), (F.col("event_id") * 7919) % 4096, F.concat(F.lit("C"), F.col("user_id") % 5))
+    log = m.select(F.lit("t").alias("dataset"), F.col("event_id").cast("string").alias("row"), F.lit("c").alias("column"), F.lit("S:x").alias("value"), clock.alias("timestamp"), (F.col("event_id") % 2 == 0).alias("early"))
+    since, brought = cl.EPOCH, []
+    for part in (log.where("early"), log, log):
+        new = cl.newer(part, since)
+        brought.append(new.count())
+        since = cl.advanced(new, since)
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(c) for n, c in zip(brought, ("first_pull", "second_pull", "third_pull"), strict=True)], cl.fn.parse_clock(F.lit(since))["counter"].cast("long").alias("counter"))
+
+
 @query("stream_push", f'WITH m AS ({td.MESSAGES_SQL}) SELECT dataset, "row", "column", value, row_number() OVER (ORDER BY ord) - 1 AS counter, \'CLIENT\' AS client FROM m')
 def stream_push(spark, sf_dir):
     folder = _folder(spark)
