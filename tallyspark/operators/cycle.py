@@ -55,8 +55,9 @@ def stamped(messages: DataFrame, clock: str, client: str, now: str) -> tuple[Dat
     return out, after
 
 
-def run(state: State, feed: DataFrame, scans: DataFrame, as_of: dt.date, client: str = "0000000000000000", now: str | None = None) -> int:
+def run(state: State, feed: DataFrame, scans: DataFrame, as_of: dt.date, client: str = "0000000000000000", now: str | None = None, also: dict[str, DataFrame] | None = None) -> int:
     """One cycle. feed: rows of ``sources.feed.scan_accounts`` with ``feed_ord``; scans: its status (account, error).
+    ``also`` are further tables to commit with the cycle's own.
 
     Returns the number of the version that was committed."""
     now = now or f"{as_of} 00:00:00"
@@ -66,7 +67,7 @@ def run(state: State, feed: DataFrame, scans: DataFrame, as_of: dt.date, client:
     next_id = (known["log"].agg(F.max("id")).first()[0] or 0) + 1
     log = lambda n: known["log"].unionByName(state.spark.createDataFrame([(next_id, as_of, outcome["status"], *n, outcome["errors"])], TABLES["log"]))
     if outcome["status"] != "success":
-        return state.commit({"log": log((0, 0, 0, 0))})
+        return state.commit({"log": log((0, 0, 0, 0))} | (also or {}))
     refs = store.prune_refs(known["refs"], day)
     settled = lc.settle(feed, refs, known["pending"], known["ledger"], known["payees"])
     old = known["ledger"].select(F.col("id").alias("ledger_id"), "category")
@@ -89,5 +90,5 @@ def run(state: State, feed: DataFrame, scans: DataFrame, as_of: dt.date, client:
         {
             "payees": payees, "refs": lc.next_refs(refs, done, day), "pending": lc.next_pending(known["pending"], done), "ledger": ledger, "outbox": sent,
             "clock": state.spark.createDataFrame([(clock,)], TABLES["clock"]), "log": log(tuple(n)),
-        }
+        } | (also or {})
     )

@@ -1,14 +1,18 @@
 """Streaming forms, driven over files that are there now, and the wire codecs."""
 
+import datetime as dt
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import changelog as cl
 from ..operators import lifecycle as lc
+from ..operators.commit import State
 from ..session import scratch
 from ..sources import testdata as td
 from ..sources import wire
 from ..streaming import pipelines as sp
+from ..streaming import recurring as rec
 from ..streaming import settling as st
 from . import cycle_queries
 from .registry import query
@@ -62,6 +66,33 @@ def stream_settle(spark, sf_dir):
     return lc.counters(settled).withColumn("account", F.coalesce("account", F.lit(-1)))
 
 
+RUN_DAYS = ("1996-01-01", "1999-01-01", "2001-12-31")
+
+
+def _runs_sql() -> str:
+    """Rows of each run: from the day of the run before (the first: 30 days back) to its own; those of the first day again."""
+    one = lambda k, since, upto: f"SELECT {k}::BIGINT AS id, count(*) FILTER (WHERE date > DATE '{since}' OR {k} = 1) AS added, count(*) FILTER (WHERE date = DATE '{since}' AND {k} > 1) AS skipped FROM feed WHERE date BETWEEN DATE '{since}' AND DATE '{upto}'"
+    parts = [one(k + 1, "1995-12-02" if k == 0 else RUN_DAYS[k - 1], day) for k, day in enumerate(RUN_DAYS)]
+    return f"WITH feed AS ({td.FEED_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("recurring_runs", _runs_sql())
+def recurring_runs(spark, sf_dir):
+    """Three recurring runs, each a restart on what has landed until its day, with windows that overlap by that day."""
+    folder = _folder(spark)
+    feed = td.feed(spark, sf_dir).withColumns({"status": F.lit("BOOK"), "cleared": F.lit(True)})
+    scans = spark.createDataFrame([(0, 1, None)], "account long, pages long, error string")
+    before = None
+    for day in RUN_DAYS:
+        landed = feed.where((F.col("date") <= F.lit(day).cast("date")) & (F.lit(True) if before is None else F.col("date") > F.lit(before).cast("date")))
+        landed.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        arrivals = spark.readStream.schema(feed.schema).parquet(f"{folder}/in")
+        fetch = lambda since: (spark.read.schema(feed.schema).parquet(f"{folder}/in").where(F.col("date") >= F.lit(since)), scans)
+        rec.recurring(arrivals, fetch, f"{folder}/state", f"{folder}/runs", None, lambda day=day: dt.date.fromisoformat(day)).start().awaitTermination()
+        before = day
+    return State(spark, f"{folder}/state").read("log").select("id", "added", "skipped")
+
+
 @query("stream_merge", f'WITH m AS ({td.MESSAGES_SQL}), l AS (SELECT *, row_number() OVER (PARTITION BY dataset, "row", "column" ORDER BY ord DESC) AS k FROM m) SELECT dataset, "row", "column", value, ord FROM l WHERE k = 1')
 def stream_merge(spark, sf_dir):
     folder = _folder(spark)
