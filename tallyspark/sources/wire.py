@@ -6,111 +6,178 @@ file 2, group 3, key 5, since 6. Response: envelopes 1, merkle 2.
 
 import io
 import zipfile
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MESSAGE_FIELDS = ("dataset", "row", "column", "value")
 
 
-def _varint(n: int) -> bytes:
-    out = bytearray()
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    out.append(n)
-    return bytes(out)
-
-
-def _block(number: int, raw: bytes) -> bytes:
-    return _varint(number << 3 | 2) + _varint(len(raw)) + raw
-
-
-def fields(raw: bytes):
-    """(number, value) of every field; raises ValueError on a truncated message."""
-    at, end = 0, len(raw)
-
-    def varint() -> int:
-        nonlocal at
-        value = shift = 0
-        while at < end:
-            b = raw[at]
-            at += 1
-            value |= (b & 127) << shift
-            if b < 128:
-                return value
-            shift += 7
-        raise ValueError("truncated number")
-
-    while at < end:
-        key = varint()
-        kind = key & 7
-        if kind == 0:
-            yield key >> 3, varint()
-            continue
-        size = varint() if kind == 2 else {1: 8, 5: 4}.get(kind, -1)
-        if size < 0 or at + size > end:
-            raise ValueError("truncated or unknown field")
-        yield key >> 3, raw[at : at + size]
-        at += size
-
-
-def encode_message(dataset: str, row: str, column: str, value: str) -> bytes:
-    return b"".join(_block(k, v.encode()) for k, v in enumerate((dataset, row, column, value), 1) if v)
-
-
-def decode_message(raw: bytes) -> dict:
-    got = {k: v for k, v in fields(raw) if isinstance(v, bytes)}
-    return {name: got.get(k, b"").decode() for k, name in enumerate(MESSAGE_FIELDS, 1)}
-
-
-def encode_envelope(timestamp: str, content: bytes, encrypted: bool = False) -> bytes:
-    return _block(1, timestamp.encode()) + (_varint(2 << 3) + b"\x01" if encrypted else b"") + _block(3, content)
-
-
-def encode_request(envelopes: list[bytes], file: str, group: str, key: str = "", since: str = "") -> bytes:
-    return b"".join(_block(1, e) for e in envelopes) + b"".join(_block(n, v.encode()) for n, v in ((2, file), (3, group), (5, key), (6, since)) if v)
-
-
-def decode_response(raw: bytes) -> tuple[list[dict], str]:
-    """Messages with their envelope's timestamp, in order, and the merkle text; encrypted envelopes are an error."""
-    messages, merkle = [], ""
-    for number, value in fields(raw):
-        if number == 1:
-            e = dict(fields(value))
-            if e.get(2):
-                raise ValueError("encrypted messages are not supported")
-            messages.append({"timestamp": e.get(1, b"").decode(), **decode_message(e.get(3, b""))})
-        elif number == 2:
-            merkle = value.decode()
-    return messages, merkle
+# Reading: all fields of all messages of a batch at once
+
+
+def _numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number that would begin at each byte and how many bytes it has; 0 bytes where it does not end."""
+    n = len(data)
+    value, size = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.int64)
+    at = np.arange(n)
+    for k in range(10):
+        at = at[at + k < n]
+        b = data[at + k].astype(np.uint64)
+        value[at] |= (b & np.uint64(127)) << np.uint64(7 * k)
+        ends = b < 128
+        size[at[ends]] = k + 1
+        at = at[~ends]
+    return value, size
+
+
+@dataclass
+class _Fields:
+    """Fields in the order of the bytes: the message each belongs to, its number, whether it has bytes, their range, and
+    the number it has otherwise."""
+
+    owner: np.ndarray
+    number: np.ndarray
+    bytes_: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    value: np.ndarray
+
+    def of(self, number: int) -> np.ndarray:
+        return np.flatnonzero((self.number == number) & self.bytes_)
+
+
+def _fields(numbers: tuple[np.ndarray, np.ndarray], start: np.ndarray, stop: np.ndarray) -> _Fields:
+    """The fields of the messages at start to stop. For every byte of a message the end of a field that would begin there
+    is known; which bytes do begin one follows by doubling steps from the messages' first bytes."""
+    value, size = numbers
+    n = len(value) - 1
+    length = stop - start
+    at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+    owner = np.repeat(np.arange(len(start)), length)
+    end = np.repeat(stop, length)
+    kind = (value[at] & np.uint64(7)).astype(np.int64)
+    body = np.minimum(at + size[at], n)
+    told, told_size = value[body], size[body]
+    wide = np.where(kind == 2, np.minimum(told, np.uint64(1 << 40)).astype(np.int64), np.array([0, 8, 0, -1, -1, 4, -1, -1])[kind])
+    first = body + np.where((kind == 0) | (kind == 2), told_size, 0)
+    last = first + wide
+    good = (size[at] > 0) & (wide >= 0) & ~(((kind == 0) | (kind == 2)) & (told_size == 0)) & (last <= end)
+    done, broken = len(at), len(at) + 1
+    place = np.full(n + 1, broken)  # a byte's place among the messages' bytes
+    place[at] = np.arange(len(at))
+    step = np.append(np.where(good, np.where(last == end, done, place[np.minimum(last, n)]), broken), [done, broken])
+    begins = np.zeros(len(at) + 2, bool)
+    begins[(np.cumsum(length) - length)[length > 0]] = True
+    known = 0
+    while (now := int(np.count_nonzero(begins))) > known:
+        known = now
+        begins[step[np.flatnonzero(begins)]] = True
+        step = step[step]
+    if begins[broken]:
+        raise ValueError("truncated or unknown field")
+    p = np.flatnonzero(begins[:done])
+    return _Fields(owner[p], (value[at[p]] >> np.uint64(3)).astype(np.int64), kind[p] != 0, first[p], last[p], told[p])
+
+
+def _texts(data: np.ndarray, found: _Fields, number: int, n: int) -> pa.Array:
+    """The last field ``number`` of each of ``n`` messages as text, '' without one."""
+    start, stop = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    i = found.of(number)
+    start[found.owner[i]], stop[found.owner[i]] = found.start[i], found.stop[i]
+    length = stop - start
+    ends = np.cumsum(length)
+    taken = data[np.repeat(start - ends + length, length) + np.arange(int(ends[-1]) if n else 0)]
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(taken)]).cast(pa.string())
+
+
+def decode_responses(bodies: pa.Array) -> pa.Array:
+    """The messages of each binary response, in order, with their envelope's timestamp; null and empty bodies have none.
+    Unknown fields are skipped; ValueError on a truncated body, or one that holds encrypted messages."""
+    bodies = pc.fill_null(bodies, b"")
+    n = len(bodies)
+    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + n + 1].astype(np.int64)
+    held = bodies.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None and n else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    numbers = _numbers(data)
+    outer = _fields(numbers, offsets[:-1], offsets[1:])
+    mine = outer.of(1)
+    m = len(mine)
+    envelopes = _fields(numbers, outer.start[mine], outer.stop[mine])
+    flag = np.zeros(m, bool)
+    said = np.flatnonzero(envelopes.number == 2)
+    flag[envelopes.owner[said]] = np.where(envelopes.bytes_[said], envelopes.stop[said] > envelopes.start[said], envelopes.value[said] > 0)
+    if flag.any():
+        raise ValueError("encrypted messages are not supported")
+    start, stop = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    content = envelopes.of(3)
+    start[envelopes.owner[content]], stop[envelopes.owner[content]] = envelopes.start[content], envelopes.stop[content]
+    messages = _fields(numbers, start, stop)
+    columns = [_texts(data, envelopes, 1, m), *[_texts(data, messages, k, m) for k in range(1, 5)]]
+    ends = np.searchsorted(outer.owner[mine], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, ["timestamp", *MESSAGE_FIELDS]))
+
+
+# Writing: a message's bytes are an expression, a request joins those of its messages
+
+
+def _varint(n: Column) -> Column:
+    """A length as bytes of seven bits each, the last one under 128."""
+    byte = lambda x: F.unhex(F.lpad(F.hex(x), 2, "0"))
+    part = lambda k: F.shiftright(n, 7 * k).bitwiseAND(F.lit(127))
+    out = byte(part(4))
+    for k in reversed(range(4)):
+        out = F.when(n < 1 << 7 * (k + 1), byte(part(k))).otherwise(F.concat(byte(part(k).bitwiseOR(F.lit(128))), out))
+    return out
+
+
+def _block(number: int, raw: str, size: str) -> Column:
+    return F.concat(F.lit(bytes([number << 3 | 2])), _varint(F.col(size)), F.col(raw))
+
+
+def with_envelopes(messages: DataFrame, out: str, fields: tuple[str, ...] = MESSAGE_FIELDS) -> DataFrame:
+    """Messages with their envelope as binary field 1 of a request; empty and null texts are left out of the message.
+
+    Bytes and their lengths are columns of their own, step by step, so that no expression holds another one twice."""
+    names = ("timestamp", *fields)
+    x = messages.withColumns({f"__b{k}": F.encode(F.coalesce(F.col(c), F.lit("")), "UTF-8") for k, c in enumerate(names)})
+    x = x.withColumns({f"__n{k}": F.octet_length(f"__b{k}") for k in range(len(names))})
+    x = x.withColumn("__content", F.concat(*[F.when(F.col(f"__n{k}") > 0, _block(k, f"__b{k}", f"__n{k}")).otherwise(F.lit(b"")) for k in range(1, len(names))]))
+    x = x.withColumn("__n", F.octet_length("__content")).withColumn("__envelope", F.concat(_block(1, "__b0", "__n0"), _block(3, "__content", "__n")))
+    x = x.withColumn("__size", F.octet_length("__envelope")).withColumn(out, _block(1, "__envelope", "__size"))
+    return x.drop(*[f"__{c}{k}" for c in "bn" for k in range(len(names))], "__content", "__n", "__envelope", "__size")
 
 
 _MESSAGES = "array<struct<timestamp:string,dataset:string,row:string,column:string,value:string>>"
-_MESSAGES_ARROW = pa.list_(pa.struct([(k, pa.string()) for k in ("timestamp", *MESSAGE_FIELDS)]))
 
 
 def response_messages(responses: DataFrame, body_col: str = "body") -> DataFrame:
     """One row per message of binary sync responses, with its ordinal in the response."""
-
-    def decode(bodies: pa.Array) -> pa.Array:
-        return pa.array([decode_response(b)[0] if b is not None else [] for b in bodies.to_pylist()], _MESSAGES_ARROW)
-
-    parsed = responses.withColumn("__m", F.arrow_udf(decode, _MESSAGES)(F.col(body_col)))
+    parsed = responses.withColumn("__m", F.arrow_udf(decode_responses, _MESSAGES)(F.col(body_col).cast("binary")))
     kept = [c for c in responses.columns if c != body_col]
     return parsed.select(*kept, F.posexplode("__m").alias("ord", "__x")).select(*kept, "ord", "__x.*")
 
 
-def request_bodies(messages: DataFrame, file: str, group: str, by: list[str], since: str = "") -> DataFrame:
-    """Messages (timestamp, dataset, row, column, value, ord) to one binary request for each ``by`` group."""
-    row = F.struct("ord", "timestamp", "dataset", "row", "column", "value")
-    grouped = messages.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("__m"))
+def joined(lists: pa.Array) -> pa.Array:
+    """The elements of each list of binaries, one behind the other: they lie like that already."""
+    flat, ends = lists.flatten(), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    at = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at[ends].astype(np.int32)), flat.buffers()[2] if len(flat) else pa.py_buffer(b"")])
 
-    def encode(groups: pa.Array) -> pa.Array:
-        return pa.array([encode_request([encode_envelope(m["timestamp"], encode_message(m["dataset"], m["row"], m["column"], m["value"])) for m in g], file, group, since=since) for g in groups.to_pylist()], pa.binary())
 
-    return grouped.select(*by, F.arrow_udf(encode, "binary")(F.col("__m")).alias("body"))
+def request_bodies(messages: DataFrame, file: str, group: str, by: list[str], since: str = "") -> DataFrame:
+    """Messages (timestamp, dataset, row, column, value, ord) to one binary request for each ``by`` group."""
+    one = with_envelopes(messages, "__e")
+    grouped = one.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", "__e"))).alias("__m"))
+    tail = [(n, v.encode()) for n, v in ((2, file), (3, group), (6, since)) if v]
+    said = [F.concat(F.lit(bytes([n << 3 | 2])), _varint(F.lit(len(v))), F.lit(v)) for n, v in tail]
+    return grouped.select(*by, F.concat(F.arrow_udf(joined, "binary")(F.col("__m.__e")), *said).alias("body"))
 
 
 ARCHIVE_FILES = ("db.sqlite", "metadata.json")

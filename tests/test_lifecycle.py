@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests import wire_model
+
 from tallyspark.operators import changelog as cl
 from tallyspark.operators import lifecycle as lc
 from tallyspark.operators import reconcile as rc
@@ -233,15 +235,6 @@ def test_messages_merge_by_arrival_and_skip_prefs(spark):
     assert [tuple(r) for r in cl.merge_cells(m).collect()] == [("payees", "p", "name", "0:", 3)]
 
 
-def test_wire_codec():
-    e = wire.encode_envelope("t1", wire.encode_message("payees", "p", "name", "S:é" * 50))
-    assert wire.decode_response(wire.encode_request([e], "", "")) == ([{"timestamp": "t1", "dataset": "payees", "row": "p", "column": "name", "value": "S:é" * 50}], "")
-    with pytest.raises(ValueError):
-        wire.decode_response(wire.encode_request([wire.encode_envelope("t", b"", True)], "", ""))
-    with pytest.raises(ValueError):
-        wire.decode_response(e[:-1] + b"\xff\xff")
-
-
 def test_refs_expire_after_21_days(spark):
     from tallyspark.operators import store as st
 
@@ -316,7 +309,7 @@ def test_pushed_messages_count_on_and_need_a_group(spark, tmp_path):
     sp.push_messages(stream, f"{tmp_path}/sent", f"{tmp_path}/s1", "f", "g", "C", a_request=3).start().awaitTermination()
     sent = [spark.read.parquet(f"{tmp_path}/sent/batch={n}").orderBy("request").collect() for n in sp._written(spark, f"{tmp_path}/sent", "batch")]
     assert [len(b) for b in sent] == [2, 2]
-    back = [m for b in sent for x in b for m in wire.decode_response(bytes(x["body"]))[0]]
+    back = [m for b in sent for x in b for m in wire_model.decode_response(bytes(x["body"]))[0]]
     assert [m["value"] for m in back] == [f"S:{n}{k}" for n in range(2) for k in range(4)]
     assert [m["timestamp"].split("Z-")[1] for m in back] == [f"{k:04X}-C" for k in range(8)]
     assert spark.read.parquet(f"{tmp_path}/sent/clock=1").first()["counter"] == 8
