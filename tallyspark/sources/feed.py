@@ -72,11 +72,11 @@ def decode_pages(pages: DataFrame) -> DataFrame:
     cannot be read. A page is a JSON object; its transactions are a list of objects, its key is a text; both may be
     null or missing, and so may be the whole object."""
     parsed = _once(pages, "__p", F.from_json("page", _PAGE, {"columnNameOfCorruptRecord": "__bad"}))
-    p, text = F.col("__p"), F.coalesce(F.col("page"), F.lit(""))
-    null = text.rlike(r"^\s*null\s*$")
-    object_ = text.rlike(r"^\s*\{[\s\S]*\}\s*$")
+    p, text = F.col("__p"), F.btrim(F.coalesce(F.col("page"), F.lit("")), F.lit(" \t\r\n"))
+    null = text == "null"
+    object_ = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
     kind = F.coalesce(F.schema_of_variant(p["continuation_key"]), F.lit("VOID"))
-    listed = F.coalesce(F.forall(p["transactions"], lambda r: F.coalesce(r.rlike(r"^\s*\{"), F.lit(True))), F.lit(True))
+    listed = F.coalesce(F.forall(p["transactions"], lambda r: F.coalesce(F.startswith(r, F.lit("{")), F.lit(True))), F.lit(True))
     good = null | (object_ & p.isNotNull() & p["__bad"].isNull() & kind.isin("STRING", "VOID") & listed)
     fault = F.when(F.coalesce("status", F.lit(200)) != 200, F.concat(F.lit("status "), "status")).when(~good, "cannot be decoded")
     records = F.filter(F.coalesce(p["transactions"], F.array().cast("array<string>")), lambda r: r.isNotNull())
