@@ -325,15 +325,36 @@ def test_the_metadata_view_helps():
     assert right(both) >= right(t) + 0.1 and right(both) >= right(s) - 0.01
 
 
-def test_pseudo_labels_come_from_all_unlabelled_rows(spark):
-    scored = [(k, f"s{k % 7}" if k < 4000 else "rare", "en", 0.99 if k % 2 else 0.5, 0.5 if k % 2 else 0.01) for k in range(4020)] + [(None, "s1", "en", 0.99, 0.99), (5000, "s1", "en", 0.5, 0.5)]
-    df = spark.createDataFrame(scored, "doc_id long, source string, lang string, p_text double, p_meta double")
-    told = spark.createDataFrame([(k,) for k in range(0, 4000, 10)], "doc_id long")
-    got = quality.confident_rows(df, told, 400).collect()
-    ids = {x["doc_id"] for x in got}
-    assert 300 < len(got) <= 400 and len(ids) == len(got) and not any(i % 10 == 0 and i < 4000 for i in ids) and not ids & {None, 5000}
-    assert ids >= set(range(4000, 4020))  # a rare source keeps all its rows
-    assert all((x["lent_text"], x["lent_meta"]) == ((-1, 1) if x["doc_id"] % 2 else (0, -1)) for x in got)
+def test_lessons_add_up_all_confident_rows(spark):
+    """Sums of a pass over all documents against rows taken one by one."""
+    rows, labels = corpus(1500, 9)
+    rows += [(None, rows[0][1]), (9000, None), rows[1]]
+    df = docs(spark, rows)
+    model = quality.fit(df, spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int"), rounds=1)
+    told, wanted = np.array([k for k, _, _ in labels[:400]]), model.text.weights != 0
+    got = quality.lessons(df, model, wanted, told)
+    scored = [x for x in quality.score(df, model, out="q").collect() if x["doc_id"] is None or x["doc_id"] not in set(told.tolist())]
+    for view, p in ((got.text, "p_meta"), (got.meta, "p_text")):
+        lent = quality.lent(np.array([x["q"][p] for x in scored]))
+        y, n, _ = view
+        assert n[y == 1].sum() == (lent == 1).sum() and n[y == 0].sum() == (lent == 0).sum()
+    taught = [x for x, y in zip(scored, quality.lent(np.array([x["q"]["p_meta"] for x in scored])), strict=True) if y >= 0]
+    want = Counter()
+    for x in taught:
+        want.update(plain_features(x["text"], True, True, True))
+    assert set(np.flatnonzero(got.sums[0])) == set(want) and all(math.isclose(got.sums[1][k], v, abs_tol=1e-4) for k, v in want.items())
+    y, n, (r, s, v) = got.text
+    sums = np.bincount(s, v * n[r], minlength=1 << linear.BITS)
+    assert np.allclose(sums, np.where(wanted, got.sums[1], 0), atol=1e-6)
+
+
+def test_a_fit_does_not_depend_on_how_often_a_corpus_is_repeated(spark):
+    rows, labels = corpus(900, 10)
+    told = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    unlabelled = [(k + 10_000 * c, x) for c in range(1, 6) for k, x in rows[200:]]
+    once, often = (quality.fit(docs(spark, x), told) for x in (rows, rows + unlabelled))
+    a, b = ({x["doc_id"]: x["quality_score"]["score"] for x in quality.score(docs(spark, rows), m).collect()} for m in (once, often))
+    assert sum((a[k] >= 0.5) == (b[k] >= 0.5) for k in a) >= 0.99 * len(a)
 
 
 def test_a_source_without_labels_is_learnt(spark):
