@@ -132,12 +132,10 @@ def stream_push(spark, sf_dir):
 @query("wire_roundtrip", f'WITH m AS ({td.MESSAGES_SQL}) SELECT "row" AS batch, ord, dataset, "column", value FROM m')
 def wire_roundtrip(spark, sf_dir):
     m = td.messages(spark, sf_dir)
-    first = m.groupBy("row").agg(F.min("ord").alias("first"))
     stamped = cl.stamp(m, F.lit("2024-01-01 00:00:00").cast("timestamp"), 0, "CLIENT").withColumn("batch", F.col("row"))
-    sent = wire.request_bodies(stamped.withColumn("value", F.col("value")), "", "", ["batch"])
-    back = wire.response_messages(sent)
+    sent = wire.request_bodies(wire.in_requests(stamped, ["batch"], sp.MESSAGES_A_REQUEST), "", "", ["batch", "request"])
     counter = F.conv(F.regexp_extract("timestamp", r"Z-([0-9A-F]+)-", 1), 16, 10).cast("long")
-    return back.join(first, "row").select("batch", counter.alias("ord"), "dataset", "column", "value")
+    return wire.response_messages(sent.drop("request")).select("batch", counter.alias("ord"), "dataset", "column", "value")
 
 
 @query("archive_scan", "SELECT n_name AS name, 'db.sqlite' AS file, octet_length(encode(n_name)) AS bytes FROM nation")

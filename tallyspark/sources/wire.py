@@ -6,6 +6,7 @@ file 2, group 3, key 5, since 6. Response: envelopes 1, merkle 2.
 
 import io
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,8 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MESSAGE_FIELDS = ("dataset", "row", "column", "value")
+_MESSAGE = pa.struct([(c, pa.string()) for c in ("timestamp", *MESSAGE_FIELDS)])
+#: Bytes that are decoded at once.
+PIECE = 1 << 20
 
 
 # Reading: all fields of all messages of a batch at once
@@ -96,15 +101,74 @@ def _texts(data: np.ndarray, found: _Fields, number: int, n: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(taken)]).cast(pa.string())
 
 
-def decode_responses(bodies: pa.Array) -> pa.Array:
-    """The messages of each binary response, in order, with their envelope's timestamp; null and empty bodies have none.
-    Unknown fields are skipped; ValueError on a truncated body, or one that holds encrypted messages."""
+def _number(raw, at: int, stop: int) -> tuple[int, int]:
+    """The number that begins at ``at`` and the place behind it."""
+    value = 0
+    for k in range(min(10, stop - at)):
+        value |= (raw[at + k] & 127) << 7 * k
+        if raw[at + k] < 128:
+            return value, at + k + 1
+    raise ValueError("truncated or unknown field")
+
+
+def _cuts(raw, at: int, stop: int) -> list[int]:
+    """Places between a body's outer fields, PIECE bytes apart or one field, and its end: what lies between two of them
+    is a response of its own."""
+    cuts, last = [], at
+    while at < stop:
+        kind, body = _number(raw, at, stop)
+        kind &= 7
+        if kind in (0, 2):
+            told, body = _number(raw, body, stop)
+            end = body + (told if kind == 2 else 0)
+        elif kind in (1, 5):
+            end = body + (8 if kind == 1 else 4)
+        else:
+            raise ValueError("truncated or unknown field")
+        if end > stop:
+            raise ValueError("truncated or unknown field")
+        if end - last > PIECE and at > last:
+            cuts.append(at)
+            last = at
+        at = end
+    return [*cuts, stop]
+
+
+def _pieces(bodies: pa.Array) -> Iterator[tuple[np.ndarray, pa.StructArray]]:
+    """The messages of binary responses, some at a time, each with the number of its body.
+
+    Reading takes some tens of bytes for each byte at hand, so about PIECE bytes are read at once: small bodies together,
+    a large one in parts."""
     bodies = pc.fill_null(bodies, b"")
     n = len(bodies)
-    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + n + 1].astype(np.int64)
+    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
     held = bodies.buffers()[2]
-    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None and n else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    data = np.frombuffer(held, np.uint8) if held is not None and n else np.zeros(0, np.uint8)
+    raw, places, owners = memoryview(data), [int(offsets[0])], []
+    for k, large in enumerate(np.diff(offsets) > PIECE):
+        ends = _cuts(raw, int(offsets[k]), int(offsets[k + 1])) if large else [int(offsets[k + 1])]
+        places += ends
+        owners += [k] * len(ends)
+    places, owners, at = np.array(places), np.array(owners, np.int64), 0
+    while at < len(owners):
+        next_ = max(at + 1, int(np.searchsorted(places, places[at] + PIECE, "right")) - 1)
+        some = _decode(data[places[at] : places[next_]], places[at : next_ + 1] - places[at])
+        yield np.repeat(owners[at:next_], np.diff(some.offsets.to_numpy())), some.values
+        at = next_
+
+
+def decode_responses(bodies: pa.Array) -> pa.Array:
+    """The messages of each binary response, in order, with their envelope's timestamp; null and empty bodies have none.
+    Unknown fields are skipped; ValueError on a truncated body, or one that holds encrypted messages."""
+    found = list(_pieces(bodies))
+    owners = np.concatenate([np.zeros(0, np.int64), *[o for o, _ in found]])
+    ends = np.searchsorted(owners, np.arange(len(bodies) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays([pa.array([], _MESSAGE), *[m for _, m in found]]))
+
+
+def _decode(data: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """The messages of the bodies that lie in ``data``."""
+    n = len(offsets) - 1
     numbers = _numbers(data)
     outer = _fields(numbers, offsets[:-1], offsets[1:])
     mine = outer.of(1)
@@ -154,14 +218,26 @@ def with_envelopes(messages: DataFrame, out: str, fields: tuple[str, ...] = MESS
     return x.drop(*[f"__{c}{k}" for c in "bn" for k in range(len(names))], "__content", "__n", "__envelope", "__size")
 
 
-_MESSAGES = "array<struct<timestamp:string,dataset:string,row:string,column:string,value:string>>"
-
-
 def response_messages(responses: DataFrame, body_col: str = "body") -> DataFrame:
-    """One row per message of binary sync responses, with its ordinal in the response."""
-    parsed = responses.withColumn("__m", F.arrow_udf(decode_responses, _MESSAGES)(F.col(body_col).cast("binary")))
+    """One row per message of binary sync responses, with its ordinal in the response. Messages leave the task as they
+    are read, so it never holds those of all its responses."""
     kept = [c for c in responses.columns if c != body_col]
-    return parsed.select(*kept, F.posexplode("__m").alias("ord", "__x")).select(*kept, "ord", "__x.*")
+    names = [*kept, "ord", *_MESSAGE.names]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, before = None, 0  # the body that the piece before ended in, and its messages until then
+            for owners, found in _pieces(batch.column(body_col)):
+                if not len(owners):
+                    continue
+                first = np.searchsorted(owners, owners)
+                place = np.arange(len(owners)) - first + np.where(owners == body, before, 0)
+                body, before = owners[-1], int(place[-1]) + 1
+                own = [batch.column(c).take(pa.array(owners)) for c in kept]
+                yield pa.record_batch([*own, pa.array(place.astype(np.int32)), *found.flatten()], names=names)
+
+    kind = T.StructType([*[responses.schema[c] for c in kept], T.StructField("ord", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in _MESSAGE.names]])
+    return responses.select(*kept, F.col(body_col).cast("binary").alias(body_col)).mapInArrow(read, kind)
 
 
 def joined(lists: pa.Array) -> pa.Array:
@@ -171,6 +247,15 @@ def joined(lists: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at[ends].astype(np.int32)), flat.buffers()[2] if len(flat) else pa.py_buffer(b"")])
 
 
+def in_requests(messages: DataFrame, by: list[str], a_request: int) -> DataFrame:
+    """Messages with the number of their ``request``, which has ``a_request`` messages of a ``by`` group at most. Numbers
+    go up with ``ord`` and have gaps: each range of (group, ord) counts for itself, so no task sees a group."""
+    place = F.monotonically_increasing_id()  # the partition's number, then 33 bits
+    dealt = messages.repartitionByRange(*by, "ord").sortWithinPartitions(*by, "ord", *[c for c in messages.columns if c not in (*by, "ord")]).withColumn("request", place)
+    last = (1 << 33) - 1
+    return dealt.withColumn("request", F.col("request") - F.col("request").bitwiseAND(F.lit(last)) % a_request)
+
+
 def request_bodies(messages: DataFrame, file: str, group: str, by: list[str], since: str = "") -> DataFrame:
     """Messages (timestamp, dataset, row, column, value, ord) to one binary request for each ``by`` group."""
     one = with_envelopes(messages, "__e")
