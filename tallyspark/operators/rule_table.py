@@ -3,8 +3,9 @@
 The live rules of a table become an index that is sent to the executors once (``MOST_RULES`` of them at most). Each
 condition becomes a plain test: a text is among some, holds a text, fits a pattern, counts as true, or the amount lies
 in an interval. A batch looks each different text of a field up once: equal texts in a hash table, held ones with one
-automaton, patterns by RE2. What holds is counted by row and rule, so a rule whose tests all name other texts costs a
-row nothing; intervals are found in the batch's sorted amounts. A rule with nothing but negative tests or intervals
+automaton, patterns by RE2. A rule that needs a text is looked at only where the one that fewest rules share is found,
+and its other tests are looked up there, so a rule whose own text is another one costs a row nothing, whatever tests it
+shares; intervals are found in the batch's sorted amounts. A rule with nothing but negative tests or intervals
 holds unless something speaks against it.
 
 Results equal those of ``rules.matched_rules`` and ``rules.apply_rules``, which compile every rule into the plan. The
@@ -91,7 +92,9 @@ def test_of(c: dict) -> tuple:
 
 @dataclass
 class Index:
-    """What the executors get. Tests are numbered; ``owners`` has (rule, +1 or -1) of each, in two flat arrays."""
+    """What the executors get. Tests are numbered. A rule that needs some text is under one of its tests, ``lead``, and has
+    the others in ``rest`` (test, whether it must hold); any other rule is under all of its tests in ``owner`` (rule, +1
+    or -1). All three are flat arrays."""
 
     ids: list[str]
     any_of: np.ndarray  # whether a rule holds by one of its tests
@@ -104,10 +107,17 @@ class Index:
     holds: dict = field(default_factory=dict)  # field -> text -> tests
     fits: dict = field(default_factory=dict)  # field -> pattern -> tests
     true: dict = field(default_factory=dict)  # field -> tests
-    amounts: list = field(default_factory=list)  # (low, high, rule) of rules that hold by one test
+    amounts: np.ndarray | None = None  # (low, high, rule) of rules that hold by one test
+    idle: np.ndarray | None = None  # rules with an interval that hold where nothing is found
+    idle_free: np.ndarray | None = None  # the same without an interval
     owner_start: np.ndarray | None = None
     owner_rule: np.ndarray | None = None
     owner_sign: np.ndarray | None = None
+    lead_start: np.ndarray | None = None
+    lead_rule: np.ndarray | None = None
+    rest_start: np.ndarray | None = None
+    rest_test: np.ndarray | None = None
+    rest_wanted: np.ndarray | None = None
     actions: pa.Array | None = None
 
     def fields(self) -> tuple[list[str], list[str]]:
@@ -119,7 +129,10 @@ def build_index(rules: list[ru.Rule]) -> Index:
     n = len(rules)
     index = Index([r.id for r in rules], np.array([r.op == "or" for r in rules], bool), np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, LEAST), np.full(n, MOST), np.zeros(n, bool))
     numbers: dict[tuple, int] = {}
-    owners: list[list[tuple[int, int]]] = []
+    owners: list[int] = []  # how many rules have a test
+    shared: list[list[tuple[int, int]]] = []
+    needs: list[list[tuple[int, bool]]] = []
+    amounts: list[tuple[int, int, int]] = []
     for k, rule in enumerate(rules):
         tests = dict.fromkeys(test_of(c) for c in rule.conditions)
         fixed = [t[3] for t in tests if t[0] == "fixed"]
@@ -128,23 +141,47 @@ def build_index(rules: list[ru.Rule]) -> Index:
         if rule.op == "or":
             index.always[k] = any(fixed)
             index.needed[k] = 1
-            index.amounts += [(low, high, k) for low, high in ranges]
+            amounts += [(low, high, k) for low, high in ranges]
         else:
             index.needed[k] = len(texts) if all(fixed) else len(texts) + 1
             index.low[k], index.high[k] = max([LEAST, *(x for x, _ in ranges)]), min([MOST, *(x for _, x in ranges)])
         index.base[k] = sum(not wanted for *_, wanted in texts)
+        needs.append([])
         for kind, at, said, wanted in texts:
             number = numbers.setdefault((kind, at, said), len(numbers))
             if number == len(owners):
-                owners.append([])
+                owners.append(0)
+                shared.append([])
                 for text in said if kind == "among" else (said,):
                     if kind == "true":
                         index.true.setdefault(at, []).append(number)
                     else:
                         getattr(index, kind).setdefault(at, {}).setdefault(text, []).append(number)
-            owners[number].append((k, 1 if wanted else -1))
-    flat = [x for own in owners for x in own]
-    index.owner_start = np.cumsum([0, *map(len, owners)])
+            owners[number] += 1
+            needs[-1].append((number, wanted))
+    index.amounts = np.array([(max(low, LEAST), min(high, MOST), k) for low, high, k in amounts if low <= min(high, MOST)], np.int64).reshape(-1, 3)
+    idle = index.always | np.where(index.any_of, index.base >= 1, index.base == index.needed)
+    free = (index.low == LEAST) & (index.high == MOST)
+    index.idle, index.idle_free = np.flatnonzero(idle & ~free), np.flatnonzero(idle & free)
+    # a rule that needs a text is looked at where its rarest one is found, whatever else it shares with other rules
+    lead: list[list[int]] = [[] for _ in owners]
+    for k, tests in enumerate(needs):
+        wanted = [number for number, good in tests if good]
+        if rules[k].op == "or" or not wanted:
+            for number, good in tests:
+                shared[number].append((k, 1 if good else -1))
+            needs[k] = []
+        elif index.needed[k] > len(tests):  # never holds
+            needs[k] = []
+        else:
+            first = min(wanted, key=lambda number: owners[number])
+            lead[first].append(k)
+            needs[k] = [x for x in tests if x != (first, True)]
+    index.lead_start, index.lead_rule = np.cumsum([0, *map(len, lead)]), np.array([k for own in lead for k in own], np.int64)
+    index.rest_start = np.cumsum([0, *map(len, needs)])
+    index.rest_test, index.rest_wanted = np.array([t for own in needs for t, _ in own], np.int64), np.array([w for own in needs for _, w in own], bool)
+    flat = [x for own in shared for x in own]
+    index.owner_start = np.cumsum([0, *map(len, shared)])
     index.owner_rule, index.owner_sign = np.array([r for r, _ in flat], np.int64), np.array([s for _, s in flat], np.int64)
     said = [[{"rule": r.id, "field": a.get("field"), "op": a.get("op"), "text": ru.text_of(a.get("value")), "truth": ru.truth_of(a.get("value"))} for a in r.actions] for r in rules]
     index.actions = pa.array(said, pa.list_(pa.struct([("rule", pa.string()), ("field", pa.string()), ("op", pa.string()), ("text", pa.string()), ("truth", pa.bool_())])))
@@ -190,6 +227,20 @@ def _found(index: Index, automata: dict, at: str, texts: pa.Array) -> tuple[np.n
     return np.repeat(np.arange(len(code)), each), flat[_runs(start[code], each)]
 
 
+def _led(index: Index, rows: np.ndarray, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, rule) of the rules that need some text and have all their texts right, of the (row, test) that hold."""
+    n_tests = len(index.lead_start) - 1
+    have = np.sort(rows * n_tests + tests)
+    lengths = index.lead_start[tests + 1] - index.lead_start[tests]
+    row, rule = np.repeat(rows, lengths), index.lead_rule[_runs(index.lead_start[tests], lengths)]
+    lengths = index.rest_start[rule + 1] - index.rest_start[rule]
+    at = _runs(index.rest_start[rule], lengths)
+    asked = np.repeat(row, lengths) * n_tests + index.rest_test[at]
+    held = have[np.minimum(np.searchsorted(have, asked), max(0, len(have) - 1))] == asked
+    wrong = np.bincount(np.repeat(np.arange(len(row)), lengths), held != index.rest_wanted[at], minlength=len(row))
+    return row[wrong == 0], rule[wrong == 0]
+
+
 def match_rows(index: Index, automata: dict, lower: dict[str, pa.Array], raw: dict[str, pa.Array], cents: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, rule) of all matches, by row and then by rule. ``known`` says which rows have an amount."""
     n, n_rules = len(cents), len(index.ids)
@@ -211,26 +262,31 @@ def match_rows(index: Index, automata: dict, lower: dict[str, pa.Array], raw: di
     order = order[known[order]]
     ranked = cents[order]
 
-    def inside(low, high):
-        return order[np.searchsorted(ranked, low, "left") : np.searchsorted(ranked, high, "right")]
+    def inside(low, high, rule):
+        """Keys of the rows whose amount lies in each rule's interval, all intervals at once."""
+        first = np.searchsorted(ranked, low, "left")
+        lengths = np.maximum(np.searchsorted(ranked, high, "right") - first, 0)
+        return order[_runs(first, lengths)] * n_rules + np.repeat(rule, lengths)
 
-    for low, high, rule in index.amounts:
-        hit = inside(low, high)
-        keys.append(hit * n_rules + rule)
-        signs.append(np.ones(len(hit), np.int64))
+    if len(index.amounts):
+        keys.append(inside(*index.amounts.T))
+        signs.append(np.ones(len(keys[-1]), np.int64))
     touched, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, np.concatenate(signs), minlength=len(touched)).astype(np.int64)
     row, rule = touched // max(1, n_rules), touched % max(1, n_rules)
     total += index.base[rule]
-    bounded = (index.low[rule] > LEAST) | (index.high[rule] < MOST)
-    fit = ~bounded | (known[row] & (index.low[rule] <= cents[row]) & (cents[row] <= index.high[rule]))
-    good = index.always[rule] | np.where(index.any_of[rule], total >= 1, (total == index.needed[rule]) & fit)
-    held = [touched[good]]
-    for k in np.flatnonzero(index.always | np.where(index.any_of, index.base >= 1, index.base == index.needed)):  # these hold where nothing was found
-        free = index.low[k] == LEAST and index.high[k] == MOST
-        some = (np.arange(n) if free else inside(index.low[k], index.high[k])) * n_rules + k
-        held.append(some[~np.isin(some, touched)])
-    held = np.sort(np.concatenate(held))
+
+    def fits(row, rule):
+        bounded = (index.low[rule] > LEAST) | (index.high[rule] < MOST)
+        return ~bounded | (known[row] & (index.low[rule] <= cents[row]) & (cents[row] <= index.high[rule]))
+
+    good = index.always[rule] | np.where(index.any_of[rule], total >= 1, (total == index.needed[rule]) & fits(row, rule))
+    led, by = _led(index, rows, tests)
+    led = (led * n_rules + by)[fits(led, by)]
+    # these hold where nothing was found
+    some = [inside(index.low[index.idle], index.high[index.idle], index.idle), (np.arange(n)[:, None] * n_rules + index.idle_free).ravel()]
+    some = np.concatenate(some)
+    held = np.sort(np.concatenate([touched[good], led, some[~np.isin(some, touched)]]))
     return held // max(1, n_rules), held % max(1, n_rules)
 
 
