@@ -4,17 +4,16 @@ feed: feed_ord, account, date, amount_cents, payee, notes, entry_ref, cleared
 ledger: id, ord, account, date, amount_cents, payee_id, payee_name, notes, financial_id, cleared, imported_payee
 """
 
+import datetime as dt
+from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as fn
-from ..session import scratch
 
 WINDOW_DAYS = 7
 
@@ -42,8 +41,7 @@ def window_candidates(feed: DataFrame, ledger: DataFrame, excluded: DataFrame |
 
     The join goes by account, amount and stretch of days, so a common amount is dealt out over time and only rows of
     neighbouring days meet."""
-    free = ledger if excluded is None else ledger.join(excluded.select(F.col("ledger_id").alias("id")), "id", "left_anti")
-    l = free.select("account", "amount_cents", F.col("id").alias("ledger_id"), F.col("date").alias("l_date"), F.col("payee_name").alias("l_payee"), F.col("ord").alias("l_ord"), _stretch(F.col("date"), days).alias("stretch"))
+    l = _free(ledger, excluded).select("account", "amount_cents", F.col("id").alias("ledger_id"), F.col("date").alias("l_date"), F.col("payee_name").alias("l_payee"), F.col("ord").alias("l_ord"), _stretch(F.col("date"), days).alias("stretch"))
     reach = F.sequence(_stretch(F.date_sub("date", days), days), _stretch(F.date_add("date", days), days))
     f = feed.select("account", "amount_cents", "feed_ord", "date", "payee", F.explode(reach).alias("stretch"))
     pairs = f.join(l, ["account", "amount_cents", "stretch"]).where(F.col("l_date").between(F.date_sub("date", days), F.date_add("date", days)))
@@ -51,86 +49,113 @@ def window_candidates(feed: DataFrame, ledger: DataFrame, excluded: DataFrame |
     return pairs.withColumns({"other_payee": other_payee, "distance": distance})
 
 
-def window_matches(feed: DataFrame, ledger: DataFrame, excluded: DataFrame | None = None, days: int = WINDOW_DAYS) -> DataFrame:
-    """(feed_ord, ledger_id, distance) of the best candidate of each feed row, each row for itself."""
-    found = window_candidates(feed, ledger, excluded, days)
-    best = found.groupBy("feed_ord").agg(F.min(F.struct("other_payee", "distance", "l_ord", "ledger_id")).alias("b"))
-    return best.select("feed_ord", "b.ledger_id", "b.distance", (F.col("b.other_payee") == 0).alias("same_payee"))
+def _free(ledger: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    return ledger if excluded is None else ledger.join(excluded.select(F.col("ledger_id").alias("id")), "id", "left_anti")
 
 
-_PAIR = ("account", "amount_cents", "island", "part", "nth", "feed_ord", "ledger_id")
+def _nearest(feed: DataFrame, ledger: DataFrame, by: list[str], days: int) -> DataFrame:
+    """(by, date, distance, l_ord, ledger_id): what suits best on a feed day among ledger rows with equal ``by``. Rows of
+    one day are one on either side, so a day meets at most three stretches of days, however many rows there are."""
+    l = ledger.groupBy(*by, F.col("date").alias("l_date")).agg(F.min(F.struct("l_ord", "ledger_id")).alias("l")).withColumn("stretch", _stretch(F.col("l_date"), days))
+    reach = F.sequence(_stretch(F.date_sub("date", days), days), _stretch(F.date_add("date", days), days))
+    f = feed.select(*by, "date").distinct().select("*", F.explode(reach).alias("stretch"))
+    pairs = f.join(l, [*by, "stretch"]).where(F.col("l_date").between(F.date_sub("date", days), F.date_add("date", days)))
+    distance = F.abs(fn.date_to_int("l_date") - fn.date_to_int("date"))
+    return pairs.groupBy(*by, "date").agg(F.min(F.struct(distance.alias("distance"), "l.l_ord", "l.ledger_id")).alias("b"))
 
 
-def _serve(batches: Iterator[pa.RecordBatch], wait: bool, group: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """First come, first served over candidates sorted by group, feed row and rank: what a group has taken is kept, no more.
+def window_matches(feed: DataFrame, ledger: DataFrame, excluded: DataFrame | None = None, days: int = WINDOW_DAYS) -> DataFrame:
+    """(feed_ord, ledger_id, distance) of the best candidate of each feed row, each row for itself.
+
+    A row of the same payee comes before all others, and where there is none, all others count alike: so the best one of
+    a day is the first of the payee's or of all, and pairs of rows are never made."""
+    by, own = ["account", "amount_cents"], ["account", "amount_cents", "fold"]
+    l = _free(ledger, excluded).select(*by, "date", fn.folded("payee_name").alias("fold"), F.col("ord").alias("l_ord"), F.col("id").alias("ledger_id"))
+    f = feed.select("feed_ord", *by, "date", fn.folded("payee").alias("fold"))
+    same = f.join(_nearest(f, l, own, days), [*own, "date"], "left")
+    others = _nearest(same.where("b IS NULL"), l, by, days).withColumnRenamed("b", "o")
+    found = same.where("b IS NULL").drop("b").join(others, [*by, "date"]).select("feed_ord", F.lit(1).alias("other_payee"), F.col("o").alias("b"))
+    found = same.where("b IS NOT NULL").select("feed_ord", F.lit(0).alias("other_payee"), "b").unionByName(found)
+    best = found.groupBy("feed_ord").agg(F.min(F.struct("other_payee", "b")).alias("x"))
+    return best.select("feed_ord", "x.b.ledger_id", "x.b.distance", (F.col("x.other_payee") == 0).alias("same_payee"))
+
+
+def _serve(batches: Iterator[pa.RecordBatch], days: int) -> Iterator[pa.RecordBatch]:
+    """First come, first served over groups sorted by group, then ledger rows by (l_ord, ledger_id), then feed rows by
+    feed_ord. Of a group the ledger rows that are left are held, in queues by day and by payee and day; a feed row looks
+    at the first row left of each day of its window."""
+    now, days_, own, gone, nth, served = None, {}, {}, set(), 0, None
+    numbers: dict[int, int] = {}
+
+    def number(day: int) -> int:
+        if day not in numbers:
+            d = dt.date(1970, 1, 1) + dt.timedelta(days=day)
+            numbers[day] = d.year * 10_000 + d.month * 100 + d.day
+        return numbers[day]
+
+    def best(queues: dict, payee, day: int):
+        """The nearest day's first row left, of equally near ones the smaller; queues lose what is gone on the way."""
+        found, target = None, number(day)
+        for d in range(day - days, day + days + 1):
+            queue = queues.get(d if payee is None else (payee, d))
+            if not queue:
+                continue
+            while queue and queue[0][0] in gone:
+                queue.popleft()
+            if queue:
+                key = (abs(number(d) - target), *queue[0])
+                if found is None or key < found:
+                    found = key
+        return found
 
-    With ``wait`` the first island of a bucket that is not the first bucket is passed on as it is, with ``taken`` false:
-    earlier buckets may hold rows of it."""
-    part = TaskContext.get().partitionId()
-    now, taken, served, nth, waits = None, set(), None, 0, wait and part > 0
     for batch in batches:
-        columns = {c: batch.column(c).to_pylist() for c in (*group, "feed_ord", "ledger_id")}
-        keep, done = [], []
-        for k, (key, feed_ord, ledger_id) in enumerate(zip(zip(*(columns[c] for c in group), strict=True), columns["feed_ord"], columns["ledger_id"], strict=True)):
-            if key != now:
-                waits = waits and now is None
-                now, taken, served = key, set(), None
-            if waits:
-                keep.append(k)
-                done.append(False)
-            elif feed_ord != served and ledger_id not in taken:
-                taken.add(ledger_id)
+        columns = [batch.column(c).to_pylist() for c in ("account", "amount_cents", "island", "feed_ord", "day", "fold", "ledger_id")]
+        feed_ords, ids = [], []
+        for account, cents, island, feed_ord, day, fold, ledger_id in zip(*columns, strict=True):
+            if (account, cents, island) != now:
+                now, days_, own, gone, nth, served = (account, cents, island), {}, {}, set(), 0, None
+            if feed_ord is None:
+                row = (nth, ledger_id)
+                nth += 1
+                days_.setdefault(day, deque()).append(row)
+                if fold is not None:
+                    own.setdefault((fold, day), deque()).append(row)
+                continue
+            if feed_ord == served:
+                continue
+            got = (best(own, fold, day) if fold is not None else None) or best(days_, None, day)
+            if got is not None:
+                gone.add(got[1])
                 served = feed_ord
-                keep.append(k)
-                done.append(True)
-        if keep:
-            rows = batch.take(pa.array(keep))
-            own = {"part": pa.array(np.full(len(keep), part, np.int32)), "nth": pa.array(nth + np.array(keep)), "taken": pa.array(done)}
-            yield pa.record_batch([rows.column(c) if c in rows.schema.names else own[c] for c in (*_PAIR, "taken")], names=[*_PAIR, "taken"])
-        nth += batch.num_rows
+                feed_ords.append(feed_ord)
+                ids.append(got[2])
+        if ids:
+            yield pa.record_batch([pa.array(feed_ords, batch.column("feed_ord").type), pa.array(ids, batch.column("ledger_id").type)], names=["feed_ord", "ledger_id"])
 
 
 def greedy_matches(feed: DataFrame, ledger: DataFrame, excluded: DataFrame | None = None, days: int = WINDOW_DAYS) -> DataFrame:
     """One-to-one assignment in feed order: a ledger row taken by one feed row is gone for the later ones.
 
     Rows only compete inside one (account, amount), and there only along an unbroken run of stretches of days, an
-    island. Candidates are dealt by range of island and feed row, so a bucket holds about as many as any other, however
-    large an island is. A bucket serves its islands one after another, but for the one it begins with, which may have
-    begun in an earlier bucket; of these, every round serves the next bucket of each island, without the ledger rows
-    that its earlier buckets took. There are as many rounds as the longest island spans buckets, most often one or none."""
-    spark = feed.sparkSession
-    pairs = window_candidates(feed, ledger, excluded, days).select("account", "amount_cents", "feed_ord", "ledger_id", "other_payee", "distance", "l_ord", "stretch")
-    # a pair's feed row may reach one stretch further than its ledger row, so only a gap of three parts two islands
-    held = pairs.select("account", "amount_cents", "stretch").distinct()
-    along = Window.partitionBy("account", "amount_cents").orderBy("stretch")
+    island. Islands are dealt whole, and a feed row looks at the days of its window, not at the rows of those days, so
+    pairs are never made. First come, first served is sequential by nature: an island is served by one task, which holds
+    its ledger rows (some 200 bytes each) and nothing of its feed."""
+    by = ["account", "amount_cents"]
+    l = _free(ledger, excluded).where("date IS NOT NULL").select(*by, F.col("ord").alias("l_ord"), F.col("id").alias("ledger_id"), "date", fn.folded("payee_name").alias("fold"), _stretch(F.col("date"), days).alias("stretch"))
+    # a feed row reaches three stretches in a row, so only a gap of three parts two islands
+    along = Window.partitionBy(*by).orderBy("stretch")
     parted = (F.col("stretch") - F.lag("stretch").over(along) > 2).cast("long")
-    islands = held.withColumn("island", F.coalesce(F.sum(parted).over(along), F.lit(0)))
-    by = ("account", "amount_cents", "island")
-    placed = pairs.join(islands, ["account", "amount_cents", "stretch"])
-    dealt = placed.repartitionByRange(*by, "feed_ord").sortWithinPartitions(*by, "feed_ord", "other_payee", "distance", "l_ord", "ledger_id").select(*by, "feed_ord", "ledger_id")
-    types = dict(dealt.dtypes) | {"part": "int", "nth": "bigint"}
-    kind = ", ".join(f"{c} {types[c]}" for c in _PAIR) + ", taken boolean"
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        path = scratch(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    served = written(dealt.mapInArrow(lambda x: _serve(x, True, by), kind), "served")
-    out, waiting = served.where("taken"), served.where("NOT taken")
-    # one island a bucket waits: no more rows than there are buckets
-    spans = waiting.select(*by, "part").distinct().withColumn("round", F.row_number().over(Window.partitionBy(*by).orderBy("part")))
-    rounds = spans.agg(F.max("round")).first()[0]
-    if rounds is None:
-        return out.select("feed_ord", "ledger_id")
-    waiting = waiting.join(F.broadcast(spans), [*by, "part"])
-    gone = out.join(F.broadcast(spans.select(*by).distinct()), list(by), "left_semi").select(*by, "ledger_id")
-    for k in range(1, rounds + 1):
-        free = waiting.where(F.col("round") == k).join(gone, [*by, "ledger_id"], "left_anti").select(*_PAIR)
-        now = written(free.repartition(*by).sortWithinPartitions(*by, "nth").mapInArrow(lambda x: _serve(x, False, by), kind), "served")
-        gone = gone.unionByName(now.select(*by, "ledger_id"))
-        out = out.unionByName(now)
-    return out.select("feed_ord", "ledger_id")
+    islands = l.select(*by, "stretch").distinct().withColumn("island", F.coalesce(F.sum(parted).over(along), F.lit(0)))
+    reach = F.sequence(_stretch(F.date_sub("date", days), days), _stretch(F.date_add("date", days), days))
+    f = feed.where("feed_ord IS NOT NULL").select("feed_ord", *by, "date", fn.folded("payee").alias("fold"))
+    where = f.select(*by, "date").distinct().select("*", F.explode(reach).alias("stretch")).join(islands, [*by, "stretch"]).groupBy(*by, "date").agg(F.min("island").alias("island"))
+    day = F.unix_date("date").alias("day")
+    rows = l.join(islands, [*by, "stretch"]).select(*by, "island", F.lit(None).cast(dict(f.dtypes)["feed_ord"]).alias("feed_ord"), day, "fold", "l_ord", "ledger_id")
+    rows = rows.unionByName(f.join(where, [*by, "date"]).select(*by, "island", "feed_ord", day, "fold"), allowMissingColumns=True)
+    # ledger rows, which have no feed_ord, come first
+    dealt = rows.repartition(*by, "island").sortWithinPartitions(*by, "island", F.col("feed_ord").asc_nulls_first(), "l_ord", "ledger_id")
+    types = dict(rows.dtypes)
+    return dealt.mapInArrow(lambda x: _serve(x, days), f"feed_ord {types['feed_ord']}, ledger_id {types['ledger_id']}")
 
 
 def patch(feed: DataFrame, ledger: DataFrame, matches: DataFrame, payee_ids: DataFrame) -> DataFrame:
