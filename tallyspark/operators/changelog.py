@@ -71,16 +71,24 @@ def clock_order(text: Column | str) -> Column:
     return F.when(c.isNotNull(), F.struct(c["ts"].alias("ts"), c["counter"].alias("counter"), c["client"].alias("client")))
 
 
+def _with_order(messages: DataFrame, stamp: str) -> DataFrame:
+    """Messages with their clock's order, behind a generator, so that a condition on it is not pushed below what makes the
+    text: that would make and read the text again for every part of the order."""
+    read = messages.select("*", F.explode(F.array(fn.parse_clock(stamp))).alias("__clock"))
+    return read.select(*messages.columns, F.when(F.col("__clock").isNotNull(), F.struct("__clock.ts", "__clock.counter", "__clock.client")).alias("__clock"))
+
+
 def newer(messages: DataFrame, since: str, stamp: str = "timestamp") -> DataFrame:
     """Messages whose clock is behind ``since`` in the order of clocks; malformed clocks are behind none, and a malformed
     ``since`` counts as the epoch."""
-    own, then = clock_order(stamp), F.coalesce(clock_order(F.lit(since)), clock_order(F.lit(EPOCH)))
-    return messages.where(own > then)
+    then = F.coalesce(clock_order(F.lit(since)), clock_order(F.lit(EPOCH)))
+    one = messages.sparkSession.range(1).select(then.alias("__then"))  # one row, read once
+    return _with_order(messages, stamp).join(F.broadcast(one), F.col("__clock") > F.col("__then")).drop("__clock", "__then")
 
 
 def advanced(messages: DataFrame, since: str, stamp: str = "timestamp") -> str:
     """The clock after ``messages`` were taken in: that of the last of them, or ``since`` if there is none."""
-    last = messages.agg(F.max_by(stamp, clock_order(stamp)).alias("t")).first()["t"]  # one row
+    last = _with_order(messages, stamp).agg(F.max_by(stamp, "__clock").alias("t")).first()["t"]  # one row
     return since if last is None else last
 
 
