@@ -22,13 +22,16 @@ def _folder(spark) -> str:
     return scratch(spark, "stream")
 
 
-def _streamed(spark, df, folder: str, files: int = 4):
-    """``df`` (with a column ord_) as a stream of ``files`` batches, in order of ord_."""
-    cut = df.approxQuantile("ord_", [k / files for k in range(1, files)], 0.001)
-    for low, high in zip([None, *cut], [*cut, None], strict=True):  # one after the other, as a file's time is its place
-        part = df.where((F.lit(low is None) | (F.col("ord_") > F.lit(low))) & (F.lit(high is None) | (F.col("ord_") <= F.lit(high))))
-        part.drop("ord_").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(df.drop("ord_").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+def _landings(spark, df, folder: str, parts: int = 4):
+    """``df`` (with a column ord_) landing in ``parts`` parts, in order of ord_: after each of them, the stream of what has
+    landed, to be driven on from where it stopped. A part is one batch of any number of files."""
+    df.write.parquet(f"{folder}/all")  # made once
+    whole = spark.read.schema(df.schema).parquet(f"{folder}/all")
+    cut = whole.approxQuantile("ord_", [k / parts for k in range(1, parts)], 0.001)
+    for low, high in zip([None, *cut], [*cut, None], strict=True):
+        part = whole.where((F.lit(low is None) | (F.col("ord_") > F.lit(low))) & (F.lit(high is None) | (F.col("ord_") <= F.lit(high))))
+        part.drop("ord_").write.mode("append").parquet(f"{folder}/in")
+        yield spark.readStream.schema(df.drop("ord_").schema).parquet(f"{folder}/in")
 
 
 @query(
@@ -44,7 +47,8 @@ def stream_dedup(spark, sf_dir):
     folder = _folder(spark)
     e = td.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.concat(F.lit("R"), F.col("user_id") % 60).alias("entry_ref"))
     e = e.withColumn("ord_", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
-    out = sp.run_available(sp.dedup_refs(_streamed(spark, e, folder), days=3), folder)
+    for landed in _landings(spark, e, folder):
+        out = sp.run_available(sp.dedup_refs(landed, days=3), folder)
     return out.select("entry_ref", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
@@ -52,7 +56,8 @@ def stream_dedup(spark, sf_dir):
 def stream_pending(spark, sf_dir):
     folder = _folder(spark)
     feed = cycle_queries.colliding(spark, sf_dir)
-    out = sp.run_available(sp.pending_to_booked(_streamed(spark, feed.withColumn("ord_", F.col("feed_ord").cast("double")), folder)), folder)
+    for landed in _landings(spark, feed.withColumn("ord_", F.col("feed_ord").cast("double")), folder):
+        out = sp.run_available(sp.pending_to_booked(landed), folder)
     return out.select("feed_ord", "branch")
 
 
@@ -62,7 +67,8 @@ def stream_settle(spark, sf_dir):
     folder = _folder(spark)
     before = st.initial_state(cycle_queries._refs(spark, sf_dir), cycle_queries._pending(spark, sf_dir), td.ledger(spark, sf_dir))
     feed = td.feed(spark, sf_dir).withColumn("ord_", F.col("feed_ord").cast("double"))
-    settled = sp.run_available(st.settle_stream(_streamed(spark, feed, folder), cycle_queries._payees(spark, sf_dir), before), folder, st.STATE_CONF)
+    for landed in _landings(spark, feed, folder):
+        settled = sp.run_available(st.settle_stream(landed, cycle_queries._payees(spark, sf_dir), before), folder, st.STATE_CONF)
     return lc.counters(settled).withColumn("account", F.coalesce("account", F.lit(-1)))
 
 
@@ -97,7 +103,8 @@ def recurring_runs(spark, sf_dir):
 def stream_merge(spark, sf_dir):
     folder = _folder(spark)
     m = td.messages(spark, sf_dir).withColumn("ord_", F.col("ord").cast("double"))
-    sp.merge_messages(_streamed(spark, m, folder, 5), f"{folder}/cells", f"{folder}/state", compact_every=2).start().awaitTermination()
+    for landed in _landings(spark, m, folder, 5):
+        sp.merge_messages(landed, f"{folder}/cells", f"{folder}/state", compact_every=2).start().awaitTermination()
     return sp.read_cells(spark, f"{folder}/cells")
 
 
@@ -122,7 +129,8 @@ def pull_since(spark, sf_dir):
 def stream_push(spark, sf_dir):
     folder = _folder(spark)
     m = td.messages(spark, sf_dir).withColumn("ord_", F.col("ord").cast("double"))
-    sp.push_messages(_streamed(spark, m, folder, 3), f"{folder}/sent", f"{folder}/state", "file", "group", "CLIENT", a_request=500).start().awaitTermination()
+    for landed in _landings(spark, m, folder, 3):
+        sp.push_messages(landed, f"{folder}/sent", f"{folder}/state", "file", "group", "CLIENT", a_request=500).start().awaitTermination()
     sent = spark.read.parquet(*[f"{folder}/sent/batch={k}" for k in sp._written(spark, f"{folder}/sent", "batch")])
     back = wire.response_messages(sent)
     counter = F.conv(F.regexp_extract("timestamp", r"Z-([0-9A-F]+)-", 1), 16, 10).cast("long")

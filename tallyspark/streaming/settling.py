@@ -1,4 +1,4 @@
-"""The sync cycle as a stream: every pending key keeps its own state between batches.
+"""The sync cycle as a stream: every pending key keeps its own state between batches, beside the others of its bucket.
 
 ``settle_stream`` gives what ``lifecycle.settle`` gives for the same rows batch by batch, with the tables of the batch
 form as initial state and the key's walk of the batch form as its step. A key's state is whether (and with which date)
@@ -10,20 +10,22 @@ also lets the state of keys that no row has met for so many days go (state TTL),
 """
 
 import datetime as dt
-from collections.abc import Iterator, MutableMapping
+from collections.abc import Iterator
 from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import lifecycle as lc
+from . import buckets as bk
 from .pipelines import REF_DAYS
 
 _VALUES = ("id", "account", "amount_cents", "notes", "payee_id", "payee_name", "cleared", "imported_payee")
 _ROW = "id string, account bigint, amount_cents bigint, notes string, payee_id string, payee_name string, cleared boolean, imported_payee string"
-_KEY = f"booked boolean, ref_date date, as_of date, waits boolean, {_ROW}"
 _OUT = lc._SETTLED_DDL
 
 #: Stateful processors keep their state in RocksDB.
@@ -35,90 +37,76 @@ def _plain(x):
     return None if x is None or x is pd.NaT or x != x else x.item() if hasattr(x, "item") else x
 
 
-class _Rows(MutableMapping):
-    """Ledger rows by account over map state: read when asked for, written once at the end of a batch."""
+_LEDGER_ROW = pa.struct([("id", pa.string()), ("account", pa.int64()), ("amount_cents", pa.int64()), *[(c, pa.string()) for c in ("notes", "payee_id", "payee_name")], ("cleared", pa.bool_()), ("imported_payee", pa.string())])
+_KEYS = pa.schema([("key", pa.string()), ("booked", pa.bool_()), ("ref_date", pa.date32()), ("as_of", pa.date32()), ("touched", pa.int64()), ("waits", _LEDGER_ROW), ("rows", pa.list_(_LEDGER_ROW))])
+_WHOLE = ("feed_ord", "account", "amount_cents")
 
-    def __init__(self, state):
-        self.state, self.held = state, {}
 
-    def _load(self, account) -> dict | None:
-        if account not in self.held:
-            some = self.state.containsKey((account,))
-            self.held[account] = dict(zip(_VALUES, self.state.getValue((account,)), strict=True)) if some else None
-        return self.held[account]
+class _Key(lc.Key):
+    """A key of the batch form with the dates it is forgotten by."""
 
-    def __getitem__(self, account):
-        row = self._load(account)
-        if row is None:
-            raise KeyError(account)
-        return row
+    def __init__(self, name: str, x: dict | None):
+        x = x or {"booked": False, "ref_date": None, "as_of": None, "waits": None, "rows": ()}
+        super().__init__(name, x["booked"], x["waits"], {row["account"]: row for row in x["rows"]})
+        self.ref_date, self.as_of = x["ref_date"], x["as_of"]
 
-    def __setitem__(self, account, row):
-        self.held[account] = row
-
-    def __delitem__(self, account):
-        raise TypeError("rows are never taken away")
-
-    def __iter__(self):
-        return iter(a for a in self.held if self.held[a] is not None)
-
-    def __len__(self):
-        return sum(1 for _ in self)
-
-    def save(self) -> None:
-        for account, row in self.held.items():
-            if row is not None:
-                self.state.updateValue((account,), tuple(row[c] for c in _VALUES))
+    def state(self, now: int | None) -> dict:
+        return {"key": self.name, "booked": self.booked, "ref_date": self.ref_date, "as_of": self.as_of, "touched": now, "waits": self.waits, "rows": list(self.rows.values())}
 
 
 class Settling(StatefulProcessor):
+    """The walk of a bucket's keys (see ``buckets``)."""
+
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.key = handle.getValueState("key", _KEY, self.ttl_ms)
-        self.rows = handle.getMapState("rows", "owner bigint", _ROW, self.ttl_ms)
+        self.keys = handle.getValueState("keys", "held binary", self.ttl_ms)
 
-    def _open(self, name: str) -> tuple[lc.Key, dt.date | None, dt.date | None]:
-        booked, ref_date, as_of, waits, *row = self.key.get() if self.key.exists() else (False, None, None, False, *[None] * len(_VALUES))
-        return lc.Key(name, bool(booked), dict(zip(_VALUES, row, strict=True)) if waits else None, _Rows(self.rows)), ref_date, as_of
+    def _open(self, names: set[str], timerValues) -> tuple[dict[str, _Key], pa.Table, int | None]:
+        """The keys of ``names``, the states of the bucket's others, and the time of the batch if keys live for a time."""
+        held, now = self.keys.get(), None
+        table = bk.load(held[0] if held else None, _KEYS)
+        if self.ttl_ms is not None:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            table = table.filter(pc.greater(table["touched"], now - self.ttl_ms))
+        met, rest = bk.parted(table, names)
+        return {n: _Key(n, met.get(n)) for n in names}, rest, now
 
-    def _close(self, key: lc.Key, ref_date, as_of) -> None:
-        row = key.waits or {}
-        self.key.update((key.booked, ref_date, as_of, key.waits is not None, *[row.get(c) for c in _VALUES]))
-        key.rows.save()
+    def _close(self, keys: dict[str, _Key], rest: pa.Table, now: int | None) -> None:
+        self.keys.update((bk.saved(rest, (k.state(now) for k in keys.values())),))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        state, ref_date, as_of = self._open(key[0])
-        for x in initialState.to_dict("records"):
-            x = {k: _plain(v) for k, v in x.items()}
-            row = {c: int(x[c]) if c in ("account", "amount_cents") and x[c] is not None else x[c] for c in _VALUES}  # beside nulls they come as floats
+        told = bk.records([initialState], _WHOLE)
+        keys, rest, now = self._open({x["pending_key"] for x in told}, timerValues)
+        for x in told:
+            k, row = keys[x["pending_key"]], {c: x[c] for c in _VALUES}
             if x["kind"] == "ref":
-                state.booked, ref_date = True, max(filter(None, (ref_date, x["date"])), default=None)
+                k.booked, k.ref_date = True, max(filter(None, (k.ref_date, x["date"])), default=None)
             elif x["kind"] == "waiting":
-                state.waits = row
+                k.waits = row
             else:
-                state.rows[row["account"]] = row
-        self._close(state, ref_date, as_of)
+                k.rows[row["account"]] = row
+        self._close(keys, rest, now)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, ref_date, as_of = self._open(key[0])
-        batch = pd.concat(list(rows)).sort_values("feed_ord", kind="stable")  # a key's rows of one batch
+        batch = bk.records(rows, _WHOLE)
+        keys, rest, now = self._open({x["pending_key"] for x in batch}, timerValues)
+        names = [c.split()[0] for c in _OUT.split(", ")]
         out = []
-        for x in batch.to_dict("records"):
-            x = {k: _plain(v) for k, v in x.items()}
-            r = SimpleNamespace(**x, ref_known=False, own=None)
-            if r.as_of is not None and (as_of is None or r.as_of > as_of):
-                as_of = r.as_of
-                if state.booked and ref_date is not None and ref_date < as_of - dt.timedelta(days=REF_DAYS):
-                    state.booked = False
-            done = state.step(r)
+        for x in batch:
+            k, r = keys[x["pending_key"]], SimpleNamespace(**x, ref_known=False, own=None)
+            if r.as_of is not None and (k.as_of is None or r.as_of > k.as_of):
+                k.as_of = r.as_of
+                if k.booked and k.ref_date is not None and k.ref_date < k.as_of - dt.timedelta(days=REF_DAYS):
+                    k.booked = False
+            done = k.step(r)
             if r.entry_ref and (done["branch"] in ("confirmed", "pending_gone") or done["branch"] == "booked" and done["changed"]):
-                ref_date = r.date
-            out.append({"changed": False, **{c: x[c] for c in ("feed_ord", "account", "status", "pending_key", "entry_ref", "date", "amount_cents")}, **done})
-        self._close(state, ref_date, as_of)
-        names = [c.split()[0] for c in _OUT.split(", ")]
-        yield pd.DataFrame({c: pd.Series([x.get(c) for x in out], dtype="Int64" if c in ("feed_ord", "account", "amount_cents") else object) for c in names})
+                k.ref_date = r.date
+            told = {"changed": False, **{c: x[c] for c in ("feed_ord", "account", "status", "pending_key", "entry_ref", "date", "amount_cents")}, **done}
+            out.append([told.get(c) for c in names])
+        self._close(keys, rest, now)
+        yield pd.DataFrame({c: pd.Series(v, dtype="Int64" if c in _WHOLE else object) for c, v in zip(names, zip(*out, strict=True), strict=True)})
 
     def close(self) -> None:
         pass
@@ -143,7 +131,7 @@ def settle_stream(feed: DataFrame, payee_ids: DataFrame, initial: DataFrame | No
     if "as_of" not in feed.columns:
         feed = feed.withColumn("as_of", F.lit(None).cast("date"))
     x = lc.with_keys(feed.withColumn("entry_ref", lc._text("entry_ref"))).withColumn("title", lc.fn.title_case(lc._text("payee")))
-    keyed = lc._with_ids(x, payee_ids).select(*lc._OWN, "as_of").groupBy("pending_key")
+    keyed = lc._with_ids(x, payee_ids).select(bk.bucket("pending_key").alias("bucket"), *bk.exact((*lc._OWN, "as_of"), _WHOLE)).groupBy("bucket")
     ttl = None if keep_days is None else keep_days * 86_400_000
-    start = None if initial is None else initial.groupBy("pending_key")
+    start = None if initial is None else initial.select(bk.bucket("pending_key").alias("bucket"), *bk.exact(initial.columns, _WHOLE)).groupBy("bucket")
     return lc.with_counters(keyed.transformWithStateInPandas(Settling(ttl), _OUT, "append", "None" if ttl is None else "ProcessingTime", initialState=start))

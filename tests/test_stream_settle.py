@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,52 @@ def test_a_stream_goes_on_where_it_stopped_and_ends_with_a_time_limit(spark, tmp
 @pytest.mark.parametrize(("value", "want"), [(float("nan"), None), (None, None), ("x", "x"), (True, True), (dt.date(2024, 1, 1), dt.date(2024, 1, 1))])
 def test_plain_values(value, want):
     assert st._plain(value) == want
+
+
+class Held:
+    """Value state of one bucket, and the handle and the clock a processor meets it by."""
+
+    def __init__(self):
+        self.value, self.calls, self.now = None, 0, 0
+
+    def getValueState(self, name, schema, ttl=None):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def bucket_rows(*rows):
+    day = dt.date(2024, 3, 1)
+    base = {"date": day, "payee": "s", "notes": "", "title": "S", "payee_id": "p", "as_of": None}
+    return pd.DataFrame([base | {"pending_key": k, "entry_ref": k, "feed_ord": str(n), "account": a, "status": s, "amount_cents": c, "new_id": f"N{n}"} for n, k, a, s, c in rows])
+
+
+def test_a_bucket_of_keys_is_one_call_and_whole_numbers_stay_exact():
+    held, big = Held(), str(2**60 + 1)
+    walk = st.Settling()
+    walk.init(held)
+    # pieces of one batch; rows are taken in order of feed_ord, whatever their key
+    first = list(walk.handleInputRows((0,), iter([bucket_rows((10, "B", "1", "BOOK", None), (9, "A", "1", "BOOK", big)), bucket_rows((2, "A", "1", "PDNG", big), (3, "C", None, "PDNG", None))]), held))[0]
+    assert dict(zip(first["feed_ord"], first["branch"], strict=True)) == {10: "booked", 9: "confirmed", 2: "pending_new", 3: "pending_new"}
+    assert set(first["amount_cents"][first["pending_key"] == "A"]) == {2**60 + 1}
+    again = list(walk.handleInputRows((0,), iter([bucket_rows((11, "A", "1", "BOOK", big), (12, "C", "2", "BOOK", "5"), (13, "D", "1", "BOOK", "5"))]), held))[0]
+    assert list(again["branch"]) == ["ref_known", "pending_gone", "booked"]
+    assert held.calls == 4
+
+
+def test_a_key_of_a_bucket_lives_as_long_as_it_is_met():
+    held = Held()
+    walk = st.Settling(1000)
+    walk.init(held)
+    run = lambda now, *rows: (setattr(held, "now", now), list(list(walk.handleInputRows((0,), iter([bucket_rows(*rows)]), held))[0]["branch"]))[1]
+    assert run(1, (1, "A", "1", "BOOK", "5"), (2, "B", "1", "BOOK", "5")) == ["booked", "booked"]
+    assert run(900, (3, "A", "1", "BOOK", "5")) == ["ref_known"]
+    assert run(1500, (4, "A", "1", "BOOK", "5"), (5, "B", "1", "BOOK", "5")) == ["ref_known", "booked"]
