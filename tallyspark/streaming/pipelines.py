@@ -3,6 +3,8 @@
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -11,6 +13,7 @@ from pyspark.sql.window import Window
 from ..operators import changelog
 from ..operators import lifecycle as lc
 from ..sources import wire
+from . import buckets as bk
 
 REF_DAYS = 21
 COMPACT_EVERY = 8
@@ -49,32 +52,47 @@ def dedup_refs(feed: DataFrame, ts: str = "ts", days: int = REF_DAYS, forget: bo
 
 
 _OUT = "pending_key string, feed_ord long, account long, branch string"
-_STATE = "waits_for bigint, waiting boolean, booked boolean"
+_KEYS = pa.schema([("key", pa.string()), ("waits_for", pa.int64()), ("waiting", pa.bool_()), ("booked", pa.bool_()), ("touched", pa.int64())])
+_WHOLE = ("feed_ord", "account")
+_REF_MS = REF_DAYS * 86_400_000
 
 
-def _advance(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(key, rows: Iterator[pd.DataFrame], state: GroupState, now: int | None = None) -> Iterator[pd.DataFrame]:
+    """One bucket's rows of one batch, key by key in order; ``now`` forgets what was not met for REF_DAYS before it."""
+    table = bk.load(state.get[0] if state.exists else None, _KEYS)
+    if now is not None:  # a reference is remembered for a while, a waiting row until it is booked
+        table = table.filter(pc.or_(table["waiting"], pc.greater(table["touched"], now - _REF_MS)))
     if state.hasTimedOut:
-        state.remove()
-        return
-    waits_for, waiting, booked = state.get if state.exists else (0, False, False)
-    g, out = pd.concat(list(rows)).sort_values("feed_ord"), []  # a key's rows of one batch, whatever pieces they came in
-    for r in g.itertuples(index=False):
-        if r.status == "PDNG":
-            out.append("pending_known" if waiting else "pending_new")
-            waits_for, waiting = (waits_for, True) if waiting else (int(r.account), True)
-        elif r.entry_ref and booked:
-            out.append("ref_known")
+        batch = []
+    else:
+        batch = bk.records(rows, _WHOLE)
+    met, rest = bk.parted(table, {x["pending_key"] for x in batch})
+    for x in batch:
+        k = met.setdefault(x["pending_key"], {"key": x["pending_key"], "waits_for": None, "waiting": False, "booked": False})
+        if x["status"] == "PDNG":
+            x["branch"] = "pending_known" if k["waiting"] else "pending_new"
+            if not k["waiting"]:
+                k["waits_for"], k["waiting"] = x["account"], True
+        elif x["entry_ref"] and k["booked"]:
+            x["branch"] = "ref_known"
         else:
-            out.append("booked" if not waiting else "confirmed" if waits_for == r.account else "pending_gone")
-            waiting, booked = False, booked or bool(r.entry_ref)
-    state.update((waits_for, waiting, booked))
-    yield pd.DataFrame({"pending_key": key[0], "feed_ord": g["feed_ord"].to_numpy(), "account": g["account"].to_numpy(), "branch": out})
+            x["branch"] = "booked" if not k["waiting"] else "confirmed" if k["waits_for"] == x["account"] else "pending_gone"
+            k["waiting"], k["booked"] = False, k["booked"] or bool(x["entry_ref"])
+        k["touched"] = now
+    if met or rest.num_rows:
+        state.update((bk.saved(rest, met.values()),))
+    else:
+        state.remove()
+    if now is not None:
+        limits = [k["touched"] for k in met.values() if not k["waiting"]] + [pc.min(rest.filter(pc.invert(rest["waiting"]))["touched"]).as_py()]
+        if any(limits):
+            state.setTimeoutDuration(max(min(t for t in limits if t) + _REF_MS - now, 1))
+    if batch:
+        yield pd.DataFrame({c: pd.Series([x[c] for x in batch], dtype="Int64" if c in _WHOLE else object) for c in ("pending_key", "feed_ord", "account", "branch")})
 
 
 def _advance_and_forget(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    yield from _advance(key, rows, state)
-    if state.exists and not state.get[1]:  # a reference is remembered for a while, a waiting row until it is booked
-        state.setTimeoutDuration(REF_DAYS * 86_400_000)
+    yield from _advance(key, rows, state, state.getCurrentProcessingTimeMs())
 
 
 def pending_to_booked(feed: DataFrame, forget: bool = False) -> DataFrame:
@@ -84,9 +102,9 @@ def pending_to_booked(feed: DataFrame, forget: bool = False) -> DataFrame:
     ``forget`` drops booked references after REF_DAYS of wall-clock time. It is for streams that run on: a query with
     such timers has always another batch to wait for, so it would not end under an available-now trigger.
     """
-    keyed = lc.with_keys(feed).select("pending_key", "account", "feed_ord", "status", "entry_ref")
+    keyed = lc.with_keys(feed).select(bk.bucket("pending_key").alias("bucket"), *bk.exact(("pending_key", "account", "feed_ord", "status", "entry_ref"), _WHOLE))
     step, timer = (_advance_and_forget, GroupStateTimeout.ProcessingTimeTimeout) if forget else (_advance, GroupStateTimeout.NoTimeout)
-    return keyed.groupBy("pending_key").applyInPandasWithState(step, _OUT, _STATE, "append", timer)
+    return keyed.groupBy("bucket").applyInPandasWithState(step, _OUT, "held binary", "append", timer)
 
 
 def _written(spark: SparkSession, path: str, kind: str) -> list[int]:

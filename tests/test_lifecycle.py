@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,3 +355,48 @@ def test_forgetting_streams_start(spark, tmp_path):
     finally:
         q.stop()
     assert [x["branch"] for x in spark.table("forgetting").collect()] == ["booked"]
+
+
+class GroupHeld:
+    """A group's state as applyInPandasWithState hands it out."""
+
+    def __init__(self):
+        self.value, self.now, self.limit, self.hasTimedOut = None, 0, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.limit = ms
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+
+def bucket_of(*rows):
+    return iter([pd.DataFrame([{"pending_key": k, "entry_ref": k, "feed_ord": str(n), "account": a, "status": s}]) for n, k, a, s in rows])  # a piece a row
+
+
+def test_a_bucket_of_streamed_keys_is_one_call():
+    held = GroupHeld()
+    out = list(sp._advance((0,), bucket_of((4, "A", "1", "BOOK"), (1, "A", "1", "PDNG"), (2, "B", None, "PDNG"), (3, "B", str(2**60 + 1), "BOOK"), (5, "A", "1", "BOOK")), held))
+    assert [dict(zip(x["feed_ord"], x["branch"], strict=True)) for x in out] == [{1: "pending_new", 2: "pending_new", 3: "pending_gone", 4: "confirmed", 5: "ref_known"}]
+    assert 2**60 + 1 in set(out[0]["account"].dropna())
+    assert list(list(sp._advance((0,), bucket_of((6, "B", "1", "BOOK"), (7, "C", "1", "BOOK")), held))[0]["branch"]) == ["ref_known", "booked"]
+
+
+def test_streamed_keys_of_a_bucket_are_forgotten_one_by_one():
+    held, day = GroupHeld(), 86_400_000
+    run = lambda now, *rows: (setattr(held, "now", now), list(list(sp._advance_and_forget((0,), bucket_of(*rows), held))[0]["branch"]))[1]
+    assert run(day, (1, "A", "1", "BOOK"), (2, "W", "1", "PDNG")) == ["booked", "pending_new"] and held.limit == 21 * day
+    assert run(11 * day, (3, "B", "1", "BOOK")) == ["booked"] and held.limit == 11 * day
+    held.now, held.hasTimedOut = 22 * day, True
+    assert list(sp._advance_and_forget((0,), iter([]), held)) == [] and held.limit == 10 * day
+    held.hasTimedOut = False
+    assert run(23 * day, (4, "A", "1", "BOOK"), (5, "B", "1", "BOOK"), (6, "W", "1", "PDNG")) == ["booked", "ref_known", "pending_known"]
