@@ -72,7 +72,7 @@ def feed_scan_status(spark, sf_dir):
 @query("feed_scan_outcome", SCAN_SQL + "SELECT CASE WHEN count(*) = count(error) THEN 'fetch_error' ELSE 'success' END AS status, count(error) AS failed, coalesce(string_agg(account || ': ' || error, '; ' ORDER BY account) FILTER (WHERE error IS NOT NULL), '') AS errors FROM s")
 def feed_scan_outcome(spark, sf_dir):
     """What a run reports of its scans: the errors by account, and fetch_error if none was read."""
-    return rp.fetch_outcome(feed_source.scan_accounts(td.landed_pages(spark, sf_dir))[1])
+    return rp.fetch_outcome(feed_source.scan_status(feed_source.decode_pages(td.landed_pages(spark, sf_dir))))
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..schemas import FEED_JSON, FEED_PAGE
+from ..session import scratch
 
 
 def page_records(pages: DataFrame, page_col: str = "page") -> DataFrame:
@@ -113,12 +114,19 @@ def scan_status(decoded: DataFrame, accounts: DataFrame | None = None) -> DataFr
     return accounts.select("account").distinct().join(out, "account", "left").select("account", F.coalesce("pages", F.lit(0)).alias("pages"), F.when(F.col("pages").isNull(), "page 0 is missing").otherwise(F.col("error")).alias("error"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "pages")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_accounts(pages: DataFrame, own_names: list[str] | None = None, accounts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of the accounts whose scan was whole, and the status of every account's scan.
 
     pages: account, page_no (from 0), request_key, status (null: 200), page. Malformed records inside a page are
-    dropped; pages behind an account's last one are not part of its scan."""
-    decoded = decode_pages(pages.select(*_KEPT))
+    dropped; pages behind an account's last one are not part of its scan. Decoded pages are written to the shared folder
+    once, as the scans' status is needed before, and beside, the rows."""
+    decoded = _written(decode_pages(pages.select(*_KEPT)).drop("page"))
     status = scan_status(decoded, accounts)
     whole = status.where("error IS NULL").select("account", F.col("pages").alias("__pages"))
     read = decoded.join(whole, "account").where(F.col("page_no") < F.col("__pages"))

@@ -75,3 +75,12 @@ def test_outcome_of_a_run(spark):
     assert said(bad) == ("fetch_error", 2, "1: page 0: status 500; 2: page 0: status 500")
     assert said([*bad, (3, 0, "", 200, "{}")]) == ("success", 2, "1: page 0: status 500; 2: page 0: status 500")
     assert said([]) == ("success", 0, "")
+
+
+def test_pages_are_decoded_once_for_status_and_rows(spark):
+    """Neither what comes back is made from the pages again."""
+    df = spark.createDataFrame([(1, 0, "", 200, page([1, 2], "a"), "x"), (1, 1, "a", 200, page([3]), "x")], PAGES)
+    rows, status = fd.scan_accounts(df)
+    plan = rows.join(status, "account")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 2 and "schema_of_variant" not in plan  # the record and its remittance list
+    assert rows.join(status, "account").count() == 3
