@@ -2,13 +2,15 @@
 
 Pending keys and references are known by their text alone, whatever the account; ledger rows belong to accounts. Rows
 of one key follow each other in feed order, as each depends on what the rows before it did: the feed is dealt by key,
-sorted inside partitions, and every key is walked once in constant memory. Everything else is set-based.
+sorted inside partitions, and every key is walked once in constant memory; rows that have their key for themselves are
+told all at once. Everything else is set-based.
 """
 
 from collections.abc import Iterator, MutableMapping
 from types import SimpleNamespace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,12 +131,69 @@ def _values(row: dict) -> dict:
     return {"ledger_id": row["id"], **{k: row[k] for k in ("amount_cents", "notes", "payee_id", "payee_name", "cleared", "imported_payee")}}
 
 
+def _field(rows: pa.Array, name: str) -> pa.Array:
+    return pc.struct_field(rows, name)
+
+
+def _alone(b: pa.RecordBatch) -> pa.RecordBatch:
+    """What ``Key.step`` says of rows that have their key for themselves, for all of them at once."""
+    x, own, waits = {n: b.column(n) for n in b.schema.names}, b.column("own"), b.column("pending_row")
+    is_ = lambda c: pc.fill_null(c, False)
+    filled = lambda c: is_(pc.not_equal(x[c], ""))
+    kept = lambda c: pc.if_else(use_own, _field(own, c), pc.if_else(use_waits, _field(waits, c), pa.scalar(None, _field(own, c).type)))
+    pending, waiting = is_(pc.equal(x["status"], "PDNG")), x["pending_id"].is_valid()
+    account = _field(waits, "account")
+    here = pc.and_(waits.is_valid(), pc.or_(is_(pc.equal(account, x["account"])), pc.and_(account.is_null(), x["account"].is_null())))
+    known = pc.and_(filled("entry_ref"), is_(x["ref_known"]))
+    booked = pc.if_else(known, "ref_known", pc.if_else(pc.invert(waiting), "booked", pc.if_else(here, "confirmed", "pending_gone")))
+    branch = pc.if_else(pending, pc.if_else(waiting, "pending_known", "pending_new"), booked)
+    confirmed, looked = pc.equal(branch, "confirmed"), pc.is_in(branch, pa.array(["pending_new", "booked", "pending_gone"]))
+    exact = pc.and_(looked, pc.and_(own.is_valid(), filled("entry_ref")))
+    created = pc.and_not(looked, exact)
+    use_own = pc.or_(exact, pc.and_(confirmed, is_(pc.equal(_field(own, "id"), _field(waits, "id")))))
+    use_waits = pc.and_not(confirmed, use_own)
+    cleared = pc.if_else(pc.or_(looked, confirmed), pc.invert(pending), pa.scalar(None, pa.bool_()))
+    names = pc.and_(pc.and_(exact, filled("title")), pc.and_(is_(pc.not_equal(x["title"], _field(own, "payee_name"))), is_(pc.not_equal(x["payee_id"], _field(own, "payee_id")))))
+    imports = pc.and_(pc.and_(exact, filled("payee")), is_(pc.equal(_field(own, "imported_payee"), "")))
+    notes = pc.if_else(pc.or_(created, pc.and_(exact, filled("notes"))), x["notes"], kept("notes"))
+    moved = pc.or_(pc.fill_null(pc.not_equal(_field(own, "cleared"), cleared), True), is_(pc.not_equal(notes, _field(own, "notes"))))
+    changed = pc.or_(pc.or_(created, confirmed), pc.and_(exact, pc.or_(moved, pc.or_(names, imports))))
+    made = {
+        "branch": branch, "how": pc.if_else(confirmed, "pending", pc.if_else(exact, "exact", pc.if_else(created, "created", pa.scalar(None, pa.string())))),
+        "ledger_id": pc.if_else(created, x["new_id"], kept("id")), "changed": changed, "amount_cents": pc.if_else(pc.or_(use_own, use_waits), kept("amount_cents"), x["amount_cents"]), "notes": notes,
+        "payee_id": pc.if_else(pc.or_(created, names), x["payee_id"], kept("payee_id")), "payee_name": pc.if_else(pc.or_(created, names), x["title"], kept("payee_name")),
+        "cleared": cleared, "imported_payee": pc.if_else(pc.or_(created, imports), x["payee"], kept("imported_payee")),
+    }
+    return pa.RecordBatch.from_arrays([made.get(f.name, x.get(f.name)).cast(f.type) for f in _SETTLED], schema=_SETTLED)
+
+
+def _values_of(column: pa.Array) -> list:
+    """A column's values; a struct's are made of its fields' values, which is much faster than row by row."""
+    if not pa.types.is_struct(column.type):
+        return column.to_pylist()
+    names = [f.name for f in column.type]
+    fields = zip(*[c.to_pylist() for c in column.flatten()], strict=True)
+    return [dict(zip(names, v, strict=True)) if ok else None for ok, v in zip(column.is_valid().to_pylist(), fields, strict=True)]
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key = None
+    """Rows sorted by key and place. Keys of one row are told at once, the others are walked row by row; the last key of
+    a batch may go on in the next one."""
+    key, last = None, None
     same = ("feed_ord", "account", "status", "pending_key", "entry_ref", "date", "amount_cents")
     for batch in batches:
-        out = []
-        for x in batch.to_pylist():
+        if not batch.num_rows:
+            continue
+        names = batch.column("pending_key")
+        new = pc.invert(pc.equal(names[1:], names[:-1]))
+        first, end = pa.array([last is None or names[0].as_py() != last]), pa.array([False])
+        last = names[-1].as_py()
+        alone = pc.and_(pa.concat_arrays([first, new]), pa.concat_arrays([new, end]))
+        if alone.true_count:
+            yield _alone(batch.filter(alone))
+        rest, out = batch.filter(pc.invert(alone)), []
+        for values in zip(*[_values_of(c) for c in rest.columns], strict=True):
+            x = dict(zip(rest.schema.names, values, strict=True))
             r = SimpleNamespace(**x)
             if key is None or key.name != r.pending_key:
                 key = Key(r.pending_key, r.ref_known, r.pending_row or {"id": r.pending_id, "account": None} if r.pending_id is not None else None)

@@ -3,8 +3,11 @@
 import datetime as dt
 import json
 import random
+from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -400,3 +403,32 @@ def test_streamed_keys_of_a_bucket_are_forgotten_one_by_one():
     assert list(sp._advance_and_forget((0,), iter([]), held)) == [] and held.limit == 10 * day
     held.hasTimedOut = False
     assert run(23 * day, (4, "A", "1", "BOOK"), (5, "B", "1", "BOOK"), (6, "W", "1", "PDNG")) == ["booked", "ref_known", "pending_known"]
+
+
+def test_rows_alone_with_their_key_are_told_as_the_walk_tells_them():
+    """Lone rows and runs, cut into batches anywhere, against ``Key.step`` row by row; a lone row makes no step."""
+    r, text = random.Random(3), ("notes", "payee_id", "payee_name", "imported_payee")
+    held = lambda account: {"id": r.choice(["L1", "L2"]), "account": account, "amount_cents": r.choice([None, 1]), "cleared": r.choice([True, False, None])} | {c: r.choice(["", "A", "B"]) for c in text}
+    rows, k = [], 0
+    for n in range(3000):
+        k += r.random() < 0.7
+        account, ref, waits = r.randint(1, 2), r.choice(["", f"R{k}"]), r.choice([None, "L1", "L9"])
+        own = held(account) if ref and r.random() < 0.6 else None
+        rows.append({"pending_key": f"k{k:05}", "feed_ord": n, "account": account, "status": r.choice(["PDNG", "BOOK", None]), "date": None, "amount_cents": r.choice([None, 5]), "entry_ref": ref, "new_id": f"N{n}", "ref_known": r.random() < 0.3, "own": own,
+                     "pending_id": waits, "pending_row": held(r.randint(1, 2)) if waits == "L1" else None} | {c: r.choice(["", "A", "C"]) for c in ("payee", "notes", "title", "payee_id")})
+    kept = pa.struct([("id", pa.string()), ("account", pa.int64()), ("amount_cents", pa.int64()), *[(c, pa.string()) for c in text], ("cleared", pa.bool_())])
+    whole, own = ("feed_ord", "account", "amount_cents"), ("own", "pending_row")
+    types = {c: pa.int64() if c in whole else kept if c in own else pa.bool_() if c == "ref_known" else pa.date32() if c == "date" else pa.string() for c in rows[0]}
+    table, want, key = pa.Table.from_pylist(rows, pa.schema(list(types.items()))), [], None
+    for x in table.to_pylist():
+        q = SimpleNamespace(**x)
+        if key is None or key.name != q.pending_key:
+            key = lc.Key(q.pending_key, q.ref_known, q.pending_row or {"id": q.pending_id, "account": None} if q.pending_id is not None else None)
+        done = {"changed": False} | {c: x[c] for c in ("feed_ord", "account", "status", "pending_key", "entry_ref", "date", "amount_cents")} | key.step(q)
+        want.append({f.name: done.get(f.name) for f in lc._SETTLED})
+    for size in (1, 7, 1000):
+        got = [x for b in lc._walk(iter(table.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+        assert sorted(got, key=lambda x: x["feed_ord"]) == want
+    assert len({(x["branch"], x["how"], x["changed"]) for x in want}) >= 10
+    single = table.filter(pc.less(table["feed_ord"], 1)).to_batches()[0]
+    assert lc._alone(single).num_rows == 1
